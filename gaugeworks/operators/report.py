@@ -57,8 +57,7 @@ def default_metrics() -> Metrics:
 
 def assemble(*families: DataFrame) -> DataFrame:
     """One long report from metric families."""
-    columns = REPORT.fieldNames()
-    return reduce(DataFrame.unionByName, [f.select(*columns) for f in families])
+    return reduce(DataFrame.unionByName, [f.select(*REPORT) for f in families])
 
 
 def enrich(report: DataFrame, other: DataFrame, metric: str = "accuracy", group: Sequence[str] = tuple(GROUP)) -> DataFrame:

@@ -1,28 +1,26 @@
-"""Fixed schemas of the tables the operators consume and produce."""
+"""Schemas (as DDL), keys and levels of the tables the operators consume and produce."""
 
 from __future__ import annotations
 
-from pyspark.sql import types as T
-
-TASKS = T.StructType.fromDDL(
+TASKS = (
     "task_file string, row_idx bigint, prompt string, reference string, policy string, "
     "difficulty int, resources array<string>"
 )
-SAMPLES = T.StructType.fromDDL(
+SAMPLES = (
     "model string, strategy string, task_file string, row_idx bigint, sample_idx int, "
     "output string, plannable boolean, verdict string, plan_error string, "
     "policy_error string, notes string"
 )
-JUDGEMENTS = T.StructType.fromDDL(
+JUDGEMENTS = (
     "model string, strategy string, task_file string, row_idx bigint, sample_idx int, "
     "judge string, judge_run int, judge_output string, judge_verdict string"
 )
-REPORT = T.StructType.fromDDL("model string, strategy string, metric string, key string, value double")
+REPORT = ["model", "strategy", "metric", "key", "value"]
 RESOURCE = (
     "address string, mode string, type string, name string, "
     "attributes variant, depends_on array<string>"
 )
-CHUNKS = T.StructType.fromDDL("doc_id string, chunk_idx int, text string, embedding array<float>")
+CHUNKS = "doc_id string, chunk_idx int, text string, embedding array<float>"
 
 TASK_KEY = ["task_file", "row_idx"]
 SAMPLE_KEY = ["model", "strategy", "task_file", "row_idx", "sample_idx"]
