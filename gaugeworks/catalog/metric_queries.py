@@ -64,12 +64,18 @@ words AS (
          list_filter(string_split_regex(reference, '\\s+'), lambda x: x <> '') AS r,
          list_filter(string_split_regex(candidate, '\\s+'), lambda x: x <> '') AS c
   FROM bleu_pairs),
-grams AS (
-  SELECT row_idx, n, 'c' AS side, unnest(list_transform(range(1, len(c) - n + 2), lambda i: array_to_string(c[i:i + n - 1], ' '))) AS gram
-  FROM words, unnest([1, 2, 3, 4]) AS t(n) WHERE len(r) >= 4 AND len(c) >= 4
+placed AS (
+  SELECT row_idx, 'c' AS side, unnest(c) AS w, unnest(range(1, len(c) + 1)) AS i FROM words WHERE len(r) >= 4 AND len(c) >= 4
   UNION ALL
-  SELECT row_idx, n, 'r', unnest(list_transform(range(1, len(r) - n + 2), lambda i: array_to_string(r[i:i + n - 1], ' ')))
-  FROM words, unnest([1, 2, 3, 4]) AS t(n) WHERE len(r) >= 4 AND len(c) >= 4),
+  SELECT row_idx, 'r', unnest(r), unnest(range(1, len(r) + 1)) FROM words WHERE len(r) >= 4 AND len(c) >= 4),
+following AS (
+  SELECT *, lead(w, 1) OVER line AS w2, lead(w, 2) OVER line AS w3, lead(w, 3) OVER line AS w4
+  FROM placed WINDOW line AS (PARTITION BY row_idx, side ORDER BY i)),
+grams AS (
+  SELECT row_idx, side, 1 AS n, w AS gram FROM following
+  UNION ALL SELECT row_idx, side, 2, w || ' ' || w2 FROM following WHERE w2 IS NOT NULL
+  UNION ALL SELECT row_idx, side, 3, w || ' ' || w2 || ' ' || w3 FROM following WHERE w3 IS NOT NULL
+  UNION ALL SELECT row_idx, side, 4, w || ' ' || w2 || ' ' || w3 || ' ' || w4 FROM following WHERE w4 IS NOT NULL),
 gram_counts AS (
   SELECT row_idx, n, gram, count(*) FILTER (side = 'c') AS in_c, count(*) FILTER (side = 'r') AS in_r
   FROM grams GROUP BY row_idx, n, gram),

@@ -18,6 +18,15 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows over all cores where the scan has fewer partitions, as for one small file.
+
+    For work that costs much per row. A scan of many files has enough partitions and stays as is.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 # -- samples: several per task, from events -------------------------------------------------
 
 EVENT_SAMPLES_SQL = f"""
@@ -350,7 +359,10 @@ def plan_texts(spark: SparkSession, sf: str) -> DataFrame:
         'planned_values', named_struct('root_module', named_struct('resources', {planned})),
         'resource_changes', {changes},
         'configuration', named_struct('root_module', named_struct('resources', {resource}))))"""
-    return table(spark, sf, "orders").selectExpr("o_orderkey AS plan_id", f"{document} AS json")
+    orders = table(spark, sf, "orders").select(
+        "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice"
+    )
+    return spread(orders).selectExpr("o_orderkey AS plan_id", f"{document} AS json")
 
 
 def plans(spark: SparkSession, sf: str) -> DataFrame:
@@ -378,7 +390,10 @@ def policy_outputs(spark: SparkSession, sf: str) -> DataFrame:
     # a list of mixed scalars and objects has no Spark type, so that part is spliced in as text
     mixed = """concat('"rules":{"listed":[', o_orderstatus <> 'P', ',true,{"count":', o_orderkey % 6, '}]},')"""
     spliced = f"""regexp_replace({document}, '^\\\\{{"pkg":\\\\{{', concat('{{"pkg":{{', {mixed}))"""
-    texts = table(spark, sf, "orders").selectExpr("o_orderkey AS plan_id", f"{spliced} AS json")
+    orders = table(spark, sf, "orders").select(
+        "o_orderkey", "o_orderstatus", "o_totalprice", "o_orderpriority"
+    )
+    texts = spread(orders).selectExpr("o_orderkey AS plan_id", f"{spliced} AS json")
     return plan_documents.parse(texts)
 
 

@@ -12,10 +12,10 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-MAX_DEPTH = 100
+MAX_DEPTH = 32
 
-_NODES = "array<variant>"
-_PATHED = "array<struct<path:string,value:variant>>"
+_NODES = "array<struct<name:string,value:variant>>"
+_LEVEL = "array<array<struct<name:string,value:variant>>>"
 
 
 def as_object(node: Column) -> Column:
@@ -30,61 +30,79 @@ def _empty(ddl: str) -> Column:
     return F.array().cast(ddl)
 
 
+def _start(doc: Column) -> Column:
+    root = F.struct(F.lit(None).cast("string").alias("name"), doc.alias("value"))
+    return F.array(root).cast(_NODES)
+
+
 def _fold(state: Column, step: Callable[[Column], Column], result: str, max_depth: int) -> Column:
     def finish(acc: Column) -> Column:
         too_deep = F.raise_error(F.lit(f"document is deeper than {max_depth} levels"))
         return F.when(F.size(acc["nodes"]) == 0, acc[result]).otherwise(too_deep)
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(max_depth)), state, lambda acc, _: step(acc), finish)
+    # one step per level, one to see the last nodes and one to run out of them
+    levels = F.sequence(F.lit(1), F.lit(max_depth + 2))
+    return F.aggregate(levels, state, lambda acc, _: step(acc), finish)
 
 
 def count_key(doc: Column, key: str, max_depth: int = MAX_DEPTH) -> Column:
     """How many objects of the document, at any depth, have ``key``."""
 
     def children(node: Column) -> Column:
-        return F.coalesce(F.map_values(as_object(node)), as_list(node), _empty(_NODES))
-
-    def has_key(node: Column) -> Column:
-        return F.coalesce(F.map_contains_key(as_object(node), key), F.lit(False))
+        items = F.transform(
+            as_list(node["value"]),
+            lambda x: F.struct(F.lit(None).cast("string").alias("name"), x.alias("value")),
+        )
+        return F.coalesce(_members(node, lambda name: name), items, _empty(_NODES))
 
     def step(acc: Column) -> Column:
         return F.struct(
             F.flatten(F.transform(acc["nodes"], children)).alias("nodes"),
-            (acc["hits"] + F.size(F.filter(acc["nodes"], has_key))).alias("hits"),
+            (acc["hits"] + F.size(F.filter(acc["nodes"], lambda n: n["name"] == key))).alias("hits"),
         )
 
-    start = F.struct(F.array(doc).cast(_NODES).alias("nodes"), F.lit(0).cast("bigint").alias("hits"))
-    return F.when(doc.isNotNull(), _fold(start, step, "hits", max_depth))
+    state = F.struct(_start(doc).alias("nodes"), F.lit(0).cast("bigint").alias("hits"))
+    return F.when(doc.isNotNull(), _fold(state, step, "hits", max_depth))
+
+
+def _members(node: Column, named: Callable[[Column], Column]) -> Column:
+    return F.transform(
+        F.map_entries(as_object(node["value"])),
+        lambda e: F.struct(named(e["key"]).alias("name"), e["value"].alias("value")),
+    )
 
 
 def leaves(doc: Column, max_depth: int = MAX_DEPTH) -> Column:
-    """``array<struct(path, value)>`` of the scalars; list positions are not part of a path."""
+    """``array<struct(path, value)>`` of the scalars; list positions are not part of a path.
+
+    ``below`` keeps the children of each node, NULL for a scalar, so that a node is taken apart
+    once only.
+    """
 
     def children(node: Column) -> Column:
-        members = F.transform(
-            F.map_entries(as_object(node["value"])),
-            lambda e: F.struct(
-                F.concat_ws(".", node["path"], e["key"]).alias("path"), e["value"].alias("value")
-            ),
-        )
         items = F.transform(
-            as_list(node["value"]),
-            lambda x: F.struct(node["path"].alias("path"), x.alias("value")),
+            as_list(node["value"]), lambda x: F.struct(node["name"].alias("name"), x.alias("value"))
         )
-        return F.coalesce(members, items, _empty(_PATHED))
-
-    def is_leaf(node: Column) -> Column:
-        return as_object(node["value"]).isNull() & as_list(node["value"]).isNull()
+        return F.coalesce(_members(node, lambda name: F.concat_ws(".", node["name"], name)), items)
 
     def step(acc: Column) -> Column:
+        nodes = F.flatten(F.array_compact(acc["below"]))
+        scalars = F.zip_with(acc["nodes"], acc["below"], lambda n, b: F.when(b.isNull(), n))
         return F.struct(
-            F.flatten(F.transform(acc["nodes"], children)).alias("nodes"),
-            F.concat(acc["found"], F.filter(acc["nodes"], is_leaf)).alias("found"),
+            nodes.alias("nodes"),
+            F.transform(nodes, children).alias("below"),
+            F.concat(acc["found"], F.array_compact(scalars)).alias("found"),
         )
 
-    root = F.struct(F.lit(None).cast("string").alias("path"), doc.alias("value"))
-    start = F.struct(F.array(root).cast(_PATHED).alias("nodes"), _empty(_PATHED).alias("found"))
-    return F.when(doc.isNotNull(), _fold(start, step, "found", max_depth))
+    start = _start(doc)
+    state = F.struct(
+        start.alias("nodes"),
+        F.transform(start, children).cast(_LEVEL).alias("below"),
+        _empty(_NODES).alias("found"),
+    )
+    found = _fold(state, step, "found", max_depth)
+    pathed = F.transform(found, lambda n: F.struct(n["name"].alias("path"), n["value"].alias("value")))
+    return F.when(doc.isNotNull(), pathed)
 
 
 def type_name(value: Column) -> Column:

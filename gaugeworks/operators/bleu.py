@@ -13,18 +13,6 @@ from gaugeworks.session import shuffle_partitions
 ORDER = 4
 
 
-def _grams(words: Column, n: int, is_candidate: bool) -> Column:
-    """``array<struct(n, gram, is_candidate)>``; words hold no space, so joining keeps them apart."""
-    starts = F.sequence(F.lit(1), F.size(words) - (n - 1))
-    grams = words if n == 1 else F.transform(starts, lambda i: F.array_join(F.slice(words, i, n), " "))
-    return F.transform(
-        grams,
-        lambda g: F.struct(
-            F.lit(n).alias("n"), g.alias("gram"), F.lit(is_candidate).alias("is_candidate")
-        ),
-    )
-
-
 def bleu(
     pairs: DataFrame,
     key: Sequence[str],
@@ -35,8 +23,9 @@ def bleu(
     """``key`` and ``bleu`` for every pair; ``key`` identifies a pair and may carry more columns.
 
     The texts are shuffled once, by key; n-grams are made after that and counted where they are,
-    by hash aggregation that spills, because the three aggregations need no other partitioning.
-    The partition count is fixed: sized from the texts it would be too low for their n-grams.
+    by hash aggregation that spills, because the aggregations need no other partitioning. The
+    partition count is fixed: sized from the texts it would be too low for their n-grams. Pairs
+    of equal words score 1 and make no n-grams.
     """
     key = list(key)
     count = partitions or shuffle_partitions(pairs.sparkSession)
@@ -46,23 +35,40 @@ def bleu(
     words = placed.select(
         *key, text.tokens(F.col("_reference")).alias("_r"), text.tokens(F.col("_candidate")).alias("_c")
     )
-    long_enough = (F.size("_r") >= ORDER) & (F.size("_c") >= ORDER)
-    grams = F.concat(
-        *[_grams(F.col(side), n, side == "_c") for side in ("_r", "_c") for n in range(1, ORDER + 1)]
+    keyed = [*key, "_r_len", "_c_len", "_same"]
+    sides = F.array(
+        F.struct(F.lit(False).alias("in_c"), F.col("_r").alias("words")),
+        F.struct(F.lit(True).alias("in_c"), F.col("_c").alias("words")),
     )
-    exploded = words.select(
+    long_enough = (F.size("_r") >= ORDER) & (F.size("_c") >= ORDER)
+    same = F.coalesce(F.col("_r") == F.col("_c"), F.lit(False))
+    texts = words.select(
         *key,
         F.size("_r").alias("_r_len"),
         F.size("_c").alias("_c_len"),
-        F.explode_outer(F.when(long_enough, grams)).alias("_g"),
+        (long_enough & same).alias("_same"),
+        F.explode_outer(F.when(long_enough & ~same, sides)).alias("_side"),
+    )
+    # row i holds words i to i + 3; its first n words are one n-gram for each n that fits
+    spelled = [f"_w{n}" for n in range(1, ORDER + 1)]
+    line = F.col("_side.words")
+    shifted = [F.slice(line, n, F.size(line)).alias(name) for n, name in enumerate(spelled, start=1)]
+    places = texts.select(
+        *keyed, F.col("_side.in_c").alias("_is_c"), F.inline_outer(F.arrays_zip(*shifted)).alias(*spelled)
     )
-    keyed = [*key, "_r_len", "_c_len"]
-    counted = exploded.groupBy(*keyed, F.col("_g.n").alias("_n"), F.col("_g.gram").alias("_gram")).agg(
-        F.count_if("_g.is_candidate").alias("_in_c"), F.count_if(~F.col("_g.is_candidate")).alias("_in_r")
+    n = F.col("_n")
+    grams = places.withColumn("_n", F.explode(F.array(*[F.lit(i) for i in range(1, ORDER + 1)])))
+    last = F.coalesce(*[F.when(n == i, F.col(w)) for i, w in enumerate(spelled, start=1)])
+    fitting = grams.filter(last.isNotNull() | (F.col("_is_c").isNull() & (n == 1)))
+    spelled_out = [F.when(n >= i, F.col(w)).alias(w) for i, w in enumerate(spelled, start=1)]
+    counted = (
+        fitting.select(*keyed, "_is_c", "_n", *spelled_out)
+        .groupBy(*keyed, "_n", *spelled)
+        .agg(F.count_if("_is_c").alias("_in_c"), F.count_if(~F.col("_is_c")).alias("_in_r"))
     )
     clipped = F.least("_in_c", "_in_r")
     matched = counted.groupBy(*keyed).agg(
-        *[F.sum(F.when(F.col("_n") == n, clipped)).alias(f"_m{n}") for n in range(1, ORDER + 1)]
+        *[F.sum(F.when(n == i, clipped)).alias(f"_m{i}") for i in range(1, ORDER + 1)]
     )
     return matched.select(*key, _score().alias("bleu"))
 
@@ -80,6 +86,8 @@ def _score() -> Column:
         misses = misses + none.cast("int")
         logs = logs + F.log(F.when(none, 1 / (F.pow(F.lit(2.0), misses) * total)).otherwise(F.col(f"_m{n}") / total))
     penalty = F.when(c_len > r_len, F.lit(1.0)).otherwise(F.exp(1 - r_len / c_len))
-    return F.when(F.coalesce(F.col("_m1"), F.lit(0)) == 0, F.lit(0.0)).otherwise(
-        penalty * F.exp(logs / ORDER)
+    return (
+        F.when(F.col("_same"), F.lit(1.0))
+        .when(F.coalesce(F.col("_m1"), F.lit(0)) == 0, F.lit(0.0))
+        .otherwise(penalty * F.exp(logs / ORDER))
     )
