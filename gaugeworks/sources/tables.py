@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Sequence
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from gaugeworks.functions import text
 from gaugeworks.operators import files as paths
-
-MAX_COLUMNS = 256
+from gaugeworks.session import checkpointed
 
 # Dataset columns and the names they had in older files.
 TASK_COLUMNS = {
@@ -23,18 +23,6 @@ TASK_COLUMNS = {
 }
 
 
-def _csv(spark: SparkSession):
-    """Quoted multi-line text; a quote inside a cell is doubled."""
-    return (
-        spark.read.option("header", False)
-        .option("multiLine", True)
-        .option("quote", '"')
-        .option("escape", '"')
-        .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", "*.csv")
-    )
-
-
 def _numbered(names: Sequence[str]) -> list[str]:
     seen: dict[str, int] = {}
     renamed = []
@@ -64,41 +52,60 @@ def find_tables(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def read_tables(
-    spark: SparkSession, path: str | Sequence[str], max_columns: int = MAX_COLUMNS
-) -> list[DataFrame]:
+def _headers(spark: SparkSession, path: str | Sequence[str], glob: str) -> DataFrame:
+    """``task_file`` and the first line of every file; only lines are split, nothing is parsed."""
+    lines = (
+        spark.read.option("recursiveFileLookup", True)
+        .option("pathGlobFilter", glob)
+        .text(path)
+        .select(
+            F.col("_metadata.file_path").alias("task_file"),
+            F.struct(F.monotonically_increasing_id().alias("at"), F.col("value").alias("line")).alias("first"),
+            F.col("_metadata.file_block_start").alias("start"),
+        )
+    )
+    opening = lines.filter("start = 0").groupBy("task_file").agg(F.min("first").alias("first"))
+    return opening.select("task_file", F.col("first.line").alias("header"))
+
+
+def read_tables(spark: SparkSession, path: str | Sequence[str], glob: str = "*.csv") -> list[DataFrame]:
     """The CSV files below ``path``: one DataFrame per distinct header.
 
     Each has ``task_file`` (the file), ``row_idx`` (record position in the file, from 0) and the
-    named columns as text, empty cells NULL. A multi-line file cannot be split, so one task reads
-    it in order and the row position is the distance to the file's first record; only those first
-    positions are joined. Convert to parquet once after reading.
+    named columns as text, empty cells NULL. Cells may hold line breaks and doubled quotes; the
+    header is one line. A multi-line file cannot be split, so one task reads it, in order. The
+    records are parsed once, into parquet in the shared folder, with a number that grows along a
+    file; the position is the distance to the file's first number.
     """
-    schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(max_columns)])
-    records = (
-        _csv(spark)
-        .schema(schema)
-        .csv(path)
-        .select("*", F.col("_metadata.file_path").alias("task_file"), F.monotonically_increasing_id().alias("_at"))
-    )
-    starts = records.groupBy("task_file").agg(F.min("_at").alias("_start"))
-    placed = records.join(starts, "task_file").withColumn("row_idx", F.col("_at") - F.col("_start") - 1)
-    cells = F.array_compact(F.array(*[F.col(f"c{i}") for i in range(max_columns)]))
-    headers = placed.filter("row_idx = -1").select("task_file", cells.alias("_header"))
+    headers = _headers(spark, path, glob)
     # as many distinct headers as there are kinds of files, not as there are files
-    kinds = [row["_header"] for row in headers.select("_header").distinct().collect()]
+    kinds = sorted(row["header"] for row in headers.select("header").distinct().collect())
     tables = []
-    for header in sorted(kinds):
-        if len(header) >= max_columns:
-            raise ValueError(f"header with {len(header)} columns or more: raise max_columns")
-        rows = placed.filter("row_idx >= 0")
+    for header in kinds:
+        names = unique_names(next(csv.reader([header])))
+        source = path
         if len(kinds) > 1:
-            same = headers.filter(F.col("_header") == F.array(*[F.lit(h) for h in header]))
-            rows = rows.join(same.select("task_file"), "task_file", "left_semi")
-        named = [
-            F.nullif(F.col(f"c{i}"), F.lit("")).alias(name) for i, name in enumerate(unique_names(header))
-        ]
-        tables.append(rows.select("task_file", "row_idx", *named))
+            # the paths of this kind, which Spark's file index holds on the driver in any case
+            source = [unquote(row["task_file"]) for row in headers.filter(F.col("header") == header).collect()]
+        records = (
+            spark.read.schema(", ".join(f"c{i} string" for i in range(len(names))))
+            .option("header", True)
+            .option("multiLine", True)
+            .option("quote", '"')
+            .option("escape", '"')
+            .option("recursiveFileLookup", True)
+            .option("pathGlobFilter", glob)
+            .csv(source)
+            .select("*", F.col("_metadata.file_path").alias("task_file"), F.monotonically_increasing_id().alias("_at"))
+        )
+        stored = checkpointed(records, "records")
+        starts = stored.groupBy("task_file").agg(F.min("_at").alias("_start"))
+        cells = [F.nullif(F.col(f"c{i}"), F.lit("")).alias(name) for i, name in enumerate(names)]
+        tables.append(
+            stored.join(starts, "task_file").select(
+                "task_file", (F.col("_at") - F.col("_start")).alias("row_idx"), *cells
+            )
+        )
     return tables
 
 
