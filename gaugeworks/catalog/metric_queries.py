@@ -391,12 +391,11 @@ _MEASURED = (V.RESOURCES_SQL, _MEASURED_SQL)
 
 
 def _measured(spark, sf):
-    tasks = V.table(spark, sf, "documents").selectExpr(
+    tasks = V.documents(spark, sf, "doc_id", "source", "lang", "text").selectExpr(
         "doc_id AS row_idx", "source AS prompt", "text AS reference",
         "concat(source, '\\n\\n', lang, '\\n', text) AS policy",
     )
-    plans = V.plans(spark, sf).withColumnRenamed("plan_id", "row_idx")
-    return measure.measure_tasks(tasks, plans, ["row_idx"], needle="the")
+    return measure.measure_tasks(tasks, V.document_plans(spark, sf), ["row_idx"], needle="the")
 
 
 @query(

@@ -134,8 +134,7 @@ def n08(spark, sf):
 )
 def j04(spark, sf):
     resources = documents.plan_resources(V.plans(spark, sf))
-    edges = documents.plan_edges(resources)
-    return documents.referring_resources(resources, edges, "aws_subnet", "aws_vpc").select("plan_id", "address", "name")
+    return documents.referring_resources(resources, "aws_subnet", "aws_vpc").drop("pos")
 
 
 # -- checks ----------------------------------------------------------------------------------

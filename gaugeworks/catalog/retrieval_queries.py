@@ -19,7 +19,7 @@ chunks AS (
 
 
 def _chunks(spark, sf):
-    return retrieval.chunk_documents(V.table(spark, sf, "documents"))
+    return retrieval.chunk_documents(V.documents(spark, sf, "doc_id", "text"))
 
 
 def _vector_table(spark, sf):

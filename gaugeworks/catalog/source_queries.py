@@ -134,22 +134,22 @@ def s05(spark, sf):
     return resources.select(F.col("plan_id").cast("bigint").alias("plan_id"), "pos", "type", "address")
 
 
-def _written_texts(spark, sf, name, rows, key):
-    """One text file per row: a folder per key value, holding one line-free record."""
-    path = scratch_path(spark, name)
-    rows.repartition(key).write.partitionBy(key).option("lineSep", "\x1e").text(path)
-    return path
-
-
 @query(
     "s06_document_folder",
-    "SELECT conv_id AS folder_id, md5(text || chr(30)) AS text FROM conversations WHERE turn = 0",
+    """SELECT conv_id // 100 AS folder_id, md5(string_agg(text || chr(30), '' ORDER BY conv_id, turn)) AS text
+       FROM conversations GROUP BY conv_id // 100""",
 )
 def s06(spark, sf):
-    opening = V.table(spark, sf, "conversations").filter("turn = 0").select("conv_id", F.col("text").alias("value"))
-    path = _written_texts(spark, sf, "folder", opening, "conv_id")
-    texts = documents.read_documents(spark, path, folder_names=True)
-    folder = F.regexp_extract("doc_id", "conv_id=([0-9]+)", 1).cast("bigint")
+    """One file per hundred conversations, each read back whole."""
+    path = scratch_path(spark, "folder")
+    turns = V.table(spark, sf, "conversations").withColumn("folder", F.expr("conv_id div 100"))
+    (
+        turns.repartition("folder").sortWithinPartitions("folder", "conv_id", "turn")
+        .select("folder", F.col("text").alias("value"))
+        .write.partitionBy("folder").option("lineSep", "\x1e").text(path)
+    )
+    texts = documents.read_documents(spark, path, whole_path=True)
+    folder = F.regexp_extract("doc_id", "folder=([0-9]+)", 1).cast("bigint")
     return texts.select(folder.alias("folder_id"), F.md5("text").alias("text"))
 
 

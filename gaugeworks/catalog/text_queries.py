@@ -43,7 +43,7 @@ _ESCAPES = "chr(27) || '[31m' || text || chr(27) || '[0m' || chr(27) || 'M'"
 def t02(spark, sf):
     raw = F.concat(F.lit("\x1b[31m"), F.col("text"), F.lit("\x1b[0m\x1bM"))
     cleaned = text.remove_unwanted_characters(raw)
-    return V.table(spark, sf, "documents").select("doc_id", F.md5(cleaned).alias("cleaned"))
+    return V.documents(spark, sf, "doc_id", "text").select("doc_id", F.md5(cleaned).alias("cleaned"))
 
 
 @query(
@@ -52,7 +52,7 @@ def t02(spark, sf):
          AS loc FROM documents""",
 )
 def t03(spark, sf):
-    return V.table(spark, sf, "documents").select("doc_id", text.nonblank_lines(F.col("text")).alias("loc"))
+    return V.documents(spark, sf, "doc_id", "text").select("doc_id", text.nonblank_lines(F.col("text")).alias("loc"))
 
 
 @query(
@@ -60,7 +60,7 @@ def t03(spark, sf):
     "SELECT doc_id, CAST(len(string_split(text, 'the')) - 1 AS BIGINT) AS n FROM documents",
 )
 def t04(spark, sf):
-    return V.table(spark, sf, "documents").select("doc_id", text.occurrences(F.col("text"), "the").alias("n"))
+    return V.documents(spark, sf, "doc_id", "text").select("doc_id", text.occurrences(F.col("text"), "the").alias("n"))
 
 
 _ERROR_TEXTS_SQL = """
@@ -157,7 +157,7 @@ def t10(spark, sf):
          SELECT doc_id, list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '') AS t FROM documents)""",
 )
 def t11(spark, sf):
-    rows = V.table(spark, sf, "documents").select("doc_id", text.tokens(F.col("text")).alias("t"))
+    rows = V.documents(spark, sf, "doc_id", "text").select("doc_id", text.tokens(F.col("text")).alias("t"))
     return rows.select("doc_id", F.size("t").cast("bigint").alias("n"), F.md5(F.array_join("t", "|")).alias("tokens"))
 
 

@@ -18,6 +18,11 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf: str, *columns: str) -> DataFrame:
+    """Columns of the documents, for work on their whole texts."""
+    return spread(table(spark, sf, "documents").select(*columns))
+
+
 def spread(rows: DataFrame) -> DataFrame:
     """Rows over all cores where the scan has fewer partitions, as for one small file.
 
@@ -212,7 +217,7 @@ def raw_outputs(spark: SparkSession, sf: str) -> DataFrame:
     output = output.when(kind == 7, F.concat(F.lit("a ```hcl\n``` "), text)).otherwise(
         F.concat(F.lit("x ```hcl\n"), text, F.lit("\n``` y ```hcl\nsecond\n```"))
     )
-    return table(spark, sf, "documents").select("doc_id", output.alias("output"))
+    return documents(spark, sf, "doc_id", "text").select("doc_id", output.alias("output"))
 
 
 # what extraction must give, known from how the outputs are made
@@ -322,7 +327,7 @@ def _type_at(position: str) -> str:
     return f"element_at(array({_TYPE_LIST}), cast(1 + (o_custkey + {position}) % 12 AS int))"
 
 
-def plan_texts(spark: SparkSession, sf: str) -> DataFrame:
+def plan_texts(spark: SparkSession, sf: str, order_keys: DataFrame | None = None) -> DataFrame:
     """One plan per order, as JSON text: 1 to 5 resources with constants, references and blocks."""
     resource = f"""transform(sequence(1, cast(1 + o_orderkey % 5 AS int)), i -> named_struct(
         'address', concat({_type_at('i')}, '.r', i),
@@ -362,6 +367,8 @@ def plan_texts(spark: SparkSession, sf: str) -> DataFrame:
     orders = table(spark, sf, "orders").select(
         "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice"
     )
+    if order_keys is not None:
+        orders = orders.join(order_keys, "o_orderkey", "left_semi")
     return spread(orders).selectExpr("o_orderkey AS plan_id", f"{document} AS json")
 
 
@@ -369,6 +376,12 @@ def plans(spark: SparkSession, sf: str) -> DataFrame:
     return plan_documents.parse(plan_texts(spark, sf))
 
 
+def document_plans(spark: SparkSession, sf: str) -> DataFrame:
+    """The plans whose order key is the id of a document: the plans of the document tasks."""
+    ids = table(spark, sf, "documents").select(F.col("doc_id").alias("o_orderkey"))
+    return plan_documents.parse(plan_texts(spark, sf, ids)).withColumnRenamed("plan_id", "row_idx")
+
+
 # -- policy outputs --------------------------------------------------------------------------
 
 POLICY_LEAVES_SQL = """

@@ -42,7 +42,11 @@ def _fold(state: Column, step: Callable[[Column], Column], result: str, max_dept
 
     # one step per level, one to see the last nodes and one to run out of them
     levels = F.sequence(F.lit(1), F.lit(max_depth + 2))
-    return F.aggregate(levels, state, lambda acc, _: step(acc), finish)
+
+    def advance(acc: Column, _: Column) -> Column:
+        return F.when(F.size(acc["nodes"]) == 0, acc).otherwise(step(acc))
+
+    return F.aggregate(levels, state, advance, finish)
 
 
 def count_key(doc: Column, key: str, max_depth: int = MAX_DEPTH) -> Column:

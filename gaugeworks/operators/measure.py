@@ -115,9 +115,9 @@ def level_histogram(
 
 def type_histogram(measured: DataFrame, types: str = "resource_types") -> DataFrame:
     """Occurrences of each resource type, repeats within a task included."""
-    return (
-        measured.select(F.explode(types).alias("type")).groupBy("type").agg(F.count("*").alias("n_resources"))
-    )
+    # an inner explode would add a filter on the column, evaluating the walk that made it once more
+    exploded = measured.select(F.explode_outer(types).alias("type")).filter(F.col("type").isNotNull())
+    return exploded.groupBy("type").agg(F.count("*").alias("n_resources"))
 
 
 def family_histogram(types: DataFrame, rules: Sequence[tuple[str, Sequence[str]]] = RESOURCE_FAMILIES) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -60,28 +62,36 @@ def plan_resources(plans: DataFrame, section: str = "configuration", key: str =
     return rows.select(key, F.lit(section).alias("section"), "pos", "r.*")
 
 
-def plan_edges(resources: DataFrame, key: str = "plan_id") -> DataFrame:
-    """One row per reference: which attribute of which resource refers to what."""
-    leaf = F.explode(variants.leaves(F.col("attributes"))).alias("leaf")
-    rows = resources.select(key, F.col("address").alias("src_address"), leaf)
+def plan_edges(resources: DataFrame, key: str = "plan_id", keep: Sequence[str] = ()) -> DataFrame:
+    """One row per reference: which attribute of which resource refers to what.
+
+    ``keep`` names further columns of the referring resource to carry along.
+    """
     suffix = ".references"
+    references = F.filter(variants.leaves(F.col("attributes")), lambda n: n["path"].endswith(suffix))
+    leaf = F.explode(references).alias("leaf")
     path = F.col("leaf.path")
-    return rows.filter(path.endswith(suffix)).select(
+    return resources.select(key, F.col("address").alias("src_address"), *keep, leaf).select(
         key,
         "src_address",
+        *keep,
         F.substring(path, F.lit(1), F.length(path) - len(suffix)).alias("attribute_path"),
         F.try_variant_get(F.col("leaf.value"), "$", "string").alias("dst_ref"),
     )
 
 
 def referring_resources(
-    resources: DataFrame, edges: DataFrame, source_type: str, target_type: str, key: str = "plan_id"
+    resources: DataFrame, source_type: str, target_type: str, key: str = "plan_id"
 ) -> DataFrame:
-    """Resources of one type that refer to the address of a resource of another in the same plan."""
+    """Resources of one type that refer to the address of a resource of another in the same plan.
+
+    Only the attributes of the first type are searched for references; a plan with very many
+    resources spreads over the join by address.
+    """
     sources = resources.filter(F.col("type") == source_type)
     targets = resources.filter(F.col("type") == target_type).select(key, F.col("address").alias("dst_ref"))
-    hits = edges.join(targets, [key, "dst_ref"], "left_semi").select(key, F.col("src_address").alias("address"))
-    return sources.join(hits, [key, "address"], "left_semi")
+    hits = plan_edges(sources, key, ["pos", "name"]).join(targets, [key, "dst_ref"], "left_semi")
+    return hits.select(key, "pos", F.col("src_address").alias("address"), "name").distinct()
 
 
 def out_degrees(edges: DataFrame, key: str = "plan_id") -> DataFrame:

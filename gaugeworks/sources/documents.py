@@ -24,8 +24,8 @@ def read_plan_lines(spark: SparkSession, path: str, key: str = "plan_id") -> Dat
     )
 
 
-def read_documents(spark: SparkSession, path: str, folder_names: bool = False) -> DataFrame:
+def read_documents(spark: SparkSession, path: str, whole_path: bool = False) -> DataFrame:
     """``doc_id`` (the file name, or the whole path) and ``text`` of every file below a folder."""
     texts = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True)
-    name = F.col("_metadata.file_path") if folder_names else F.col("_metadata.file_name")
+    name = F.col("_metadata.file_path") if whole_path else F.col("_metadata.file_name")
     return texts.select(name.alias("doc_id"), F.col("value").alias("text"))
