@@ -49,8 +49,8 @@ def first_samples(
     short = F.col("n_samples") < n
     if strict:
         message = F.concat(F.lit("task with too few samples: "), F.to_json(F.struct(*key)))
-        failing = F.when(short, F.raise_error(message)).otherwise(F.col("n_samples"))
-        return counts.withColumn("n_samples", failing.cast("bigint")), counts.filter(F.lit(False))
+        # in a filter, so that no later column pruning removes it
+        return counts.filter(F.when(short, F.raise_error(message)).otherwise(True)), counts.limit(0)
     return counts.filter(~short), counts.filter(short)
 
 
