@@ -51,7 +51,7 @@ def test_soft_match_is_exact_however_tokens_are_packed(spark, per_block):
 
 
 def test_soft_match_of_equal_texts_is_one(spark):
-    rows = [(1, side, i, [1.0 + i, 2.0, -i]) for side in ("candidate", "reference") for i in range(4)]
+    rows = [(1, side, i, [1.0 + i, 2.0, -1.0 * i]) for side in ("candidate", "reference") for i in range(4)]
     tokens = spark.createDataFrame(rows, "pair long, side string, token_idx long, embedding array<double>")
     assert vectors.soft_match(tokens, ["pair"]).first()["f1"] == pytest.approx(1)
 
