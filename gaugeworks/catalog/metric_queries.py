@@ -126,8 +126,8 @@ def _by_correctness_sql(metric: str, column: str, source: str) -> str:
 
 @query("a05_mean_bleu", V.with_sql(*_DOC_BLEU) + _by_correctness_sql("bleu", "bleu", "bleu"))
 def a05(spark, sf):
-    key = ["model", "strategy", "row_idx", "correct"]
-    scored = bleu.bleu(V.doc_pairs(spark, sf), key)
+    pairs = V.doc_pairs(spark, sf)
+    scored = bleu.bleu(pairs, ["row_idx"]).join(pairs.select("row_idx", "model", "strategy", "correct"), "row_idx")
     return _values(accuracy.mean_by_correctness(scored, [("bleu", "bleu")]))
 
 

@@ -120,37 +120,32 @@ def order_tasks(spark: SparkSession, sf: str) -> DataFrame:
 
 # -- samples: full result rows, one per order line -------------------------------------------
 
-LINE_RESULTS_SQL = """
+_RESULT_COLUMNS = {
+    "output": "concat('code ', max(l_partkey))",
+    "plannable": "CASE WHEN bool_or(l_returnflag <> 'R') THEN 'true' ELSE 'false' END",
+    "verdict": """CASE WHEN bool_or(l_returnflag = 'A') THEN NULL
+                       WHEN bool_or(l_linestatus = 'F') THEN 'Success' ELSE 'Failure' END""",
+    "plan_error": "CASE WHEN bool_or(l_returnflag = 'R') THEN 'no file exists at' ELSE 'No error' END",
+    "policy_error": "CASE WHEN bool_or(l_linestatus = 'O') THEN 'Rule violation' ELSE 'No error' END",
+    "notes": "concat('note ', max(l_suppkey))",
+}
+LINE_RESULTS_SQL = f"""
 line_results AS (
-  SELECT 'file-' || (l_orderkey // 100) AS task_file,
-         l_orderkey % 100 AS row_idx,
-         l_linenumber - 1 AS sample_idx,
-         max('code ' || l_partkey) AS output,
-         max(CASE WHEN l_returnflag <> 'R' THEN 'true' ELSE 'false' END) AS plannable,
-         max(CASE WHEN l_returnflag = 'A' THEN NULL WHEN l_linestatus = 'F' THEN 'Success' ELSE 'Failure' END)
-           AS verdict,
-         max(CASE WHEN l_returnflag = 'R' THEN 'no file exists at' ELSE 'No error' END) AS plan_error,
-         max(CASE WHEN l_linestatus = 'O' THEN 'Rule violation' ELSE 'No error' END) AS policy_error,
-         max('note ' || l_suppkey) AS notes
-  FROM lineitem GROUP BY ALL)"""
+  SELECT 'file-' || (l_orderkey // 100) AS task_file, l_orderkey % 100 AS row_idx, l_linenumber - 1 AS sample_idx,
+         {", ".join(f"{sql} AS {name}" for name, sql in _RESULT_COLUMNS.items())}
+  FROM lineitem GROUP BY l_orderkey, l_linenumber)"""
 
 
 def line_results(spark: SparkSession, sf: str) -> DataFrame:
-    rows = table(spark, sf, "lineitem").selectExpr(
-        "concat('file-', l_orderkey div 100) AS task_file",
-        "l_orderkey % 100 AS row_idx",
-        "l_linenumber - 1 AS sample_idx",
-        "concat('code ', l_partkey) AS output",
-        "CASE WHEN l_returnflag <> 'R' THEN 'true' ELSE 'false' END AS plannable",
-        "CASE WHEN l_returnflag = 'A' THEN NULL WHEN l_linestatus = 'F' THEN 'Success' ELSE 'Failure' END"
-        " AS verdict",
-        "CASE WHEN l_returnflag = 'R' THEN 'no file exists at' ELSE 'No error' END AS plan_error",
-        "CASE WHEN l_linestatus = 'O' THEN 'Rule violation' ELSE 'No error' END AS policy_error",
-        "concat('note ', l_suppkey) AS notes",
+    """An order can repeat a line number; a sample exists once."""
+    lines = table(spark, sf, "lineitem").groupBy("l_orderkey", "l_linenumber")
+    results = lines.agg(*[F.expr(sql).alias(name) for name, sql in _RESULT_COLUMNS.items()])
+    return results.select(
+        F.concat(F.lit("file-"), F.expr("l_orderkey div 100")).alias("task_file"),
+        (F.col("l_orderkey") % 100).alias("row_idx"),
+        (F.col("l_linenumber") - 1).alias("sample_idx"),
+        *_RESULT_COLUMNS,
     )
-    key = ["task_file", "row_idx", "sample_idx"]
-    # an order can repeat a line number; a sample exists once
-    return rows.groupBy(*key).agg(*[F.max(c).alias(c) for c in rows.columns if c not in key])
 
 
 # -- text pairs ------------------------------------------------------------------------------

@@ -20,12 +20,13 @@ def bleu(
     candidate: str = "candidate",
     partitions: int | None = None,
 ) -> DataFrame:
-    """``key`` and ``bleu`` for every pair; ``key`` identifies a pair and may carry more columns.
+    """``key`` and ``bleu`` for every pair.
 
-    The texts are shuffled once, by key; n-grams are made after that and counted where they are,
-    by hash aggregation that spills, because the aggregations need no other partitioning. The
-    partition count is fixed: sized from the texts it would be too low for their n-grams. Pairs
-    of equal words score 1 and make no n-grams.
+    ``key`` identifies a pair; keep it short, since every n-gram carries it. The texts are
+    shuffled once, by key; n-grams are made after that and counted where they are, by hash
+    aggregation that spills, because the aggregations need no other partitioning. The partition
+    count is fixed: sized from the texts it would be too low for their n-grams. Pairs of equal
+    words score 1 and make no n-grams.
     """
     key = list(key)
     count = partitions or shuffle_partitions(pairs.sparkSession)
@@ -35,26 +36,21 @@ def bleu(
     words = placed.select(
         *key, text.tokens(F.col("_reference")).alias("_r"), text.tokens(F.col("_candidate")).alias("_c")
     )
-    keyed = [*key, "_r_len", "_c_len", "_same"]
     sides = F.array(
         F.struct(F.lit(False).alias("in_c"), F.col("_r").alias("words")),
         F.struct(F.lit(True).alias("in_c"), F.col("_c").alias("words")),
     )
     long_enough = (F.size("_r") >= ORDER) & (F.size("_c") >= ORDER)
-    same = F.coalesce(F.col("_r") == F.col("_c"), F.lit(False))
+    same = long_enough & F.coalesce(F.col("_r") == F.col("_c"), F.lit(False))
     texts = words.select(
-        *key,
-        F.size("_r").alias("_r_len"),
-        F.size("_c").alias("_c_len"),
-        (long_enough & same).alias("_same"),
-        F.explode_outer(F.when(long_enough & ~same, sides)).alias("_side"),
+        *key, same.alias("_same"), F.explode_outer(F.when(long_enough & ~same, sides)).alias("_side")
     )
     # row i holds words i to i + 3; its first n words are one n-gram for each n that fits
     spelled = [f"_w{n}" for n in range(1, ORDER + 1)]
     line = F.col("_side.words")
     shifted = [F.slice(line, n, F.size(line)).alias(name) for n, name in enumerate(spelled, start=1)]
     places = texts.select(
-        *keyed, F.col("_side.in_c").alias("_is_c"), F.inline_outer(F.arrays_zip(*shifted)).alias(*spelled)
+        *key, "_same", F.col("_side.in_c").alias("_is_c"), F.inline_outer(F.arrays_zip(*shifted)).alias(*spelled)
     )
     n = F.col("_n")
     grams = places.withColumn("_n", F.explode(F.array(*[F.lit(i) for i in range(1, ORDER + 1)])))
@@ -62,13 +58,21 @@ def bleu(
     fitting = grams.filter(last.isNotNull() | (F.col("_is_c").isNull() & (n == 1)))
     spelled_out = [F.when(n >= i, F.col(w)).alias(w) for i, w in enumerate(spelled, start=1)]
     counted = (
-        fitting.select(*keyed, "_is_c", "_n", *spelled_out)
-        .groupBy(*keyed, "_n", *spelled)
-        .agg(F.count_if("_is_c").alias("_in_c"), F.count_if(~F.col("_is_c")).alias("_in_r"))
+        fitting.select(*key, "_same", "_is_c", "_n", *spelled_out)
+        .groupBy(*key, "_n", *spelled)
+        .agg(
+            F.count_if("_is_c").alias("_in_c"),
+            F.count_if(~F.col("_is_c")).alias("_in_r"),
+            F.bool_or("_same").alias("_same"),
+        )
     )
     clipped = F.least("_in_c", "_in_r")
-    matched = counted.groupBy(*keyed).agg(
-        *[F.sum(F.when(n == i, clipped)).alias(f"_m{i}") for i in range(1, ORDER + 1)]
+    matched = counted.groupBy(*key).agg(
+        # the single words of a side are as many as its words
+        F.sum(F.when(n == 1, F.col("_in_c"))).alias("_c_len"),
+        F.sum(F.when(n == 1, F.col("_in_r"))).alias("_r_len"),
+        F.bool_or("_same").alias("_same"),
+        *[F.sum(F.when(n == i, clipped)).alias(f"_m{i}") for i in range(1, ORDER + 1)],
     )
     return matched.select(*key, _score().alias("bleu"))
 

@@ -55,13 +55,22 @@ def to_long(wide: DataFrame, keep: Sequence[str]) -> DataFrame:
 
 
 def to_wide(samples: DataFrame, key: Sequence[str], n: int) -> DataFrame:
-    """Six columns per sample; only the first n samples have columns."""
-    picked = []
-    for number in range(n):
-        here = F.col("sample_idx") == number
-        for name, prefix in SAMPLE_COLUMNS.items():
-            picked.append(F.max(F.when(here, F.col(name))).alias(f"{prefix}{number}"))
-    return samples.groupBy(*key).agg(*picked)
+    """Six columns per sample; only the first n samples have columns.
+
+    A task gathers at most n samples: a repeated sample is an error, not a longer list.
+    """
+    sample = F.struct(F.col("sample_idx").cast("int"), F.struct(*SAMPLE_COLUMNS))
+    gathered = (
+        samples.filter(F.col("sample_idx").between(0, n - 1))
+        .groupBy(*key)
+        .agg(F.map_from_entries(F.collect_list(sample)).alias("_samples"))
+    )
+    cells = [
+        F.try_element_at("_samples", F.lit(number))[name].alias(f"{prefix}{number}")
+        for number in range(n)
+        for name, prefix in SAMPLE_COLUMNS.items()
+    ]
+    return gathered.select(*key, *cells)
 
 
 def add_empty_samples(wide: DataFrame, first: int, n: int) -> DataFrame:
