@@ -36,6 +36,21 @@ PLAN_ERRORS = [
 _FENCE = "```"
 
 
+def _not_whitespace() -> str:
+    """The inside of a character class of everything but WHITESPACE, printable ASCII first.
+
+    Splitting on its complement settles most characters with the first range, which a class that
+    lists the whitespace cannot.
+    """
+    codes = sorted(map(ord, WHITESPACE))
+    ranges = [(a + 1, b - 1) for a, b in zip([-1, *codes], [*codes, 0x110000]) if a + 1 < b]
+    ranges.sort(key=lambda r: not r[0] <= ord("a") <= r[1])
+    return "".join(rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b in ranges)
+
+
+WHITESPACE_RUN = f"[^{_not_whitespace()}]+"
+
+
 def strip(text: Column) -> Column:
     return F.btrim(text, F.lit(WHITESPACE))
 
@@ -138,7 +153,7 @@ def tokens(text: Column) -> Column:
     """Whitespace tokens, none of them empty."""
     stripped = strip(text)
     return F.when(stripped == "", F.array().cast("array<string>")).otherwise(
-        F.split(stripped, f"[{WHITESPACE}]+")
+        F.split(stripped, WHITESPACE_RUN)
     )
 
 
