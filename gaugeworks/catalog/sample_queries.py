@@ -160,6 +160,18 @@ def j03(spark, sf):
     return samples.still_to_do(wanted, done).select("task_file", "row_idx", "model", "strategy", "sample_idx")
 
 
+@query(
+    "j03_unjudged_files",
+    V.with_sql(V.LINE_RESULTS_SQL)
+    + """SELECT DISTINCT task_file FROM line_results WHERE task_file NOT IN (
+           SELECT task_file FROM line_results WHERE row_idx = 0 AND sample_idx = 0 AND verdict IS NOT NULL)""",
+)
+def j03_unjudged(spark, sf):
+    rows = V.line_results(spark, sf).select("task_file", "row_idx", "sample_idx", "verdict")
+    judged = rows.filter("sample_idx = 0").withColumnRenamed("verdict", "judge_output")
+    return samples.unjudged_files(rows.select("task_file").distinct(), judged)
+
+
 @query(
     "j05_work_list",
     f"""SELECT model, strategy, CAST(i AS INTEGER) AS sample_idx, count(*) AS n_tasks,

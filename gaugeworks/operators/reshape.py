@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -27,10 +28,15 @@ def _quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
-def sample_numbers(columns: Sequence[str]) -> list[int]:
-    """The sample numbers a wide header holds, in column order."""
+def sample_numbers(columns: Sequence[str]) -> list[str]:
+    """The sample numbers a wide header holds, in column order.
+
+    A table put together from several runs repeats numbers; their columns were renamed on
+    reading, so that ``0.1`` is a further sample next to ``0``.
+    """
     prefix = SAMPLE_COLUMNS["output"]
-    return [int(c[len(prefix):]) for c in columns if c.startswith(prefix) and c[len(prefix):].isdigit()]
+    suffixes = [c[len(prefix):] for c in columns if c.startswith(prefix)]
+    return [s for s in suffixes if re.fullmatch(r"\d+(\.\d+)*", s)]
 
 
 def to_long(wide: DataFrame, keep: Sequence[str]) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,11 +46,14 @@ def with_vectors(chunks: DataFrame, vector_table: DataFrame, key: Sequence[str]
 
 def load_or_build(spark: SparkSession, path: str, build) -> DataFrame:
     """The stored vector table, built and stored first where there is none."""
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path + "/_SUCCESS")
-    files = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not files.exists(hadoop):
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as error:
+        # no such path, or a build that never finished
+        if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
         build().write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+        return spark.read.parquet(path)
 
 
 def distinct_contexts(hits: DataFrame, key: Sequence[str] = ("prompt_id",)) -> DataFrame:

@@ -81,6 +81,14 @@ def still_to_do(wanted: DataFrame, done: DataFrame, key: Sequence[str] = tuple(S
     return wanted.join(done.select(*key).distinct(), list(key), "left_anti")
 
 
+def unjudged_files(
+    files: DataFrame, judgements: DataFrame, file: Sequence[str] = ("task_file",)
+) -> DataFrame:
+    """Files still to be judged: those whose first row has no judge output yet."""
+    begun = judgements.filter((F.col("row_idx") == 0) & F.col("judge_output").isNotNull())
+    return files.join(begun.select(*file).distinct(), list(file), "left_anti")
+
+
 def final_turns(turns: DataFrame, key: Sequence[str] = tuple(SAMPLE_KEY)) -> DataFrame:
     """The result of the last turn of every sample.
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from gaugeworks.session import scratch_path
 
 BLOCK_BYTES = 64 * 1024 * 1024
+TILE_VALUES = 4 * 1024 * 1024
 TOKENS_PER_BLOCK = 512
 
 
@@ -84,20 +85,25 @@ def _search_block(part, searched, schema, question_id, chunk_id, vector):
 def _search(shared, question_id: str, chunk_id: str, vector: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, wanted = shared.value
+        if not ids:
+            return
         score = np.full(len(ids), -np.inf)
         best: list = [None] * len(ids)
         for batch in batches:
             if batch.num_rows == 0:
                 continue
             batch = batch.sort_by(chunk_id)  # argmax then takes the lowest id of equal scores
-            similarity = wanted @ _unit_rows(batch.column(vector)).T
-            at = similarity.argmax(axis=1)
-            top = similarity[np.arange(len(ids)), at]
             names = batch.column(chunk_id).to_pylist()
-            for q in np.nonzero(top >= score)[0]:
-                name = names[at[q]]
-                if top[q] > score[q] or best[q] is None or name < best[q]:
-                    score[q], best[q] = top[q], name
+            offered = _unit_rows(batch.column(vector))
+            step = max(1, TILE_VALUES // len(ids))
+            for first in range(0, len(names), step):
+                similarity = wanted @ offered[first : first + step].T
+                at = similarity.argmax(axis=1)
+                top = similarity[np.arange(len(ids)), at]
+                for q in np.nonzero(top >= score)[0]:
+                    name = names[first + at[q]]
+                    if top[q] > score[q] or best[q] is None or name < best[q]:
+                        score[q], best[q] = top[q], name
         kept = [i for i, name in enumerate(best) if name is not None]
         if kept:
             yield pa.RecordBatch.from_pydict(

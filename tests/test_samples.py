@@ -1,6 +1,7 @@
 from pyspark.sql import functions as F
 
 from gaugeworks.operators import files, ordinals, reshape, samples
+from gaugeworks.sources import tables
 
 
 def test_numbering_splits_a_hot_group(spark):
@@ -44,12 +45,20 @@ def test_wide_long_wide(spark):
 
 def test_empty_sample_and_judge_columns(spark):
     more = reshape.add_empty_samples(_wide(spark), 2, 4)
-    assert reshape.sample_numbers(more.columns) == [0, 1, 2, 3]
+    assert reshape.sample_numbers(more.columns) == ["0", "1", "2", "3"]
     judged = reshape.add_empty_judgements(more, "j", 2)
     long = reshape.judgements_to_long(judged, ["row_idx"], "j", 2)
     assert long.count() == 4 and long.filter("judge_verdict IS NOT NULL").count() == 0
 
 
+def test_repeated_sample_columns_are_further_samples(spark):
+    names = ["k", "LLM Output #0", "LLM Output #0", "LLM Correct? #0", "LLM Correct? #0"]
+    renamed = tables.unique_names(names)
+    wide = spark.createDataFrame([("x", "a", "b", "Success", "Failure")], renamed)
+    rows = [(r["sample_idx"], r["output"], r["verdict"]) for r in reshape.to_long(wide, ["k"]).collect()]
+    assert rows == [(0, "a", "Success"), (1, "b", "Failure")]
+
+
 def test_incomplete_samples_are_dropped(spark):
     rows = [("f", 0, 0, "Success"), ("f", 1, 0, None), ("f", 0, 1, None), ("f", 1, 1, "Success")]
     long = spark.createDataFrame(rows, "task_file string, row_idx long, sample_idx int, verdict string")
