@@ -36,12 +36,3 @@ def difficulty_level(
         chain = F.when(fits, F.lit(level)) if chain is None else chain.when(fits, F.lit(level))
     return chain.otherwise(F.lit(len(limits) + 1))
 
-
-def cosine(a: Column, b: Column) -> Column:
-    """Cosine of two vectors of equal length; NULL where one of them is all zero."""
-    dot = F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x)
-    return F.try_divide(dot, norm(a) * norm(b))
-
-
-def norm(a: Column) -> Column:
-    return F.sqrt(F.aggregate(a, F.lit(0.0), lambda s, x: s + x.cast("double") * x))

@@ -1,12 +1,14 @@
-"""Walks over semi-structured documents held as VARIANT, as single column expressions.
+"""Semi-structured documents held as VARIANT: counts, leaves and verdicts as column expressions.
 
-A walk is one fold over the depth of the document: its accumulator holds the nodes of the
-current depth, and each step replaces them by their children. Rows stay where they are, so a
-walk never shuffles. A document deeper than ``max_depth`` raises instead of losing nodes.
+Nothing here shuffles: each expression looks at the document of its row. Counts and verdicts need
+no paths, so they scan the compact JSON text once. Leaves need paths, so they walk: a fold over
+the depth whose accumulator holds the nodes of the current depth, each step replacing them by
+their children. A document deeper than ``max_depth`` raises instead of losing leaves.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import Column
@@ -14,6 +16,10 @@ from pyspark.sql import functions as F
 
 MAX_DEPTH = 32
 
+# A string and a zero as JSON writes them.
+JSON_STRING = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
+JSON_ZERO = r"-?0(?:\.0+)?(?:[eE][+-]?\d+)?"
+
 _NODES = "array<struct<name:string,value:variant>>"
 _LEVEL = "array<array<struct<name:string,value:variant>>>"
 
@@ -49,24 +55,23 @@ def _fold(state: Column, step: Callable[[Column], Column], result: str, max_dept
     return F.aggregate(levels, state, advance, finish)
 
 
-def count_key(doc: Column, key: str, max_depth: int = MAX_DEPTH) -> Column:
-    """How many objects of the document, at any depth, have ``key``."""
+def _key_token(key: str) -> str:
+    """Matches an object key in compact JSON and nothing else.
 
-    def children(node: Column) -> Column:
-        items = F.transform(
-            as_list(node["value"]),
-            lambda x: F.struct(F.lit(None).cast("string").alias("name"), x.alias("value")),
-        )
-        return F.coalesce(_members(node, lambda name: name), items, _empty(_NODES))
+    A quote without a backslash before it opens or closes a string; after a closing one comes
+    punctuation, so this one opens the string, which ends at the second quote; only a key is
+    followed by a colon.
+    """
+    return r"(?<!\\)\Q" + json.dumps(key, ensure_ascii=False) + r":\E"
 
-    def step(acc: Column) -> Column:
-        return F.struct(
-            F.flatten(F.transform(acc["nodes"], children)).alias("nodes"),
-            (acc["hits"] + F.size(F.filter(acc["nodes"], lambda n: n["name"] == key))).alias("hits"),
-        )
 
-    state = F.struct(_start(doc).alias("nodes"), F.lit(0).cast("bigint").alias("hits"))
-    return F.when(doc.isNotNull(), _fold(state, step, "hits", max_depth))
+def count_key(doc: Column, key: str) -> Column:
+    """How many objects of the document, at any depth, have ``key``."""
+    return F.regexp_count(F.to_json(doc), F.lit(_key_token(key))).cast("bigint")
+
+
+def has_key(doc: Column, key: str) -> Column:
+    return F.to_json(doc).rlike(_key_token(key))
 
 
 def _members(node: Column, named: Callable[[Column], Column]) -> Column:
@@ -125,8 +130,13 @@ def is_false(value: Column, zero_is_false: bool = True) -> Column:
 
 
 def policy_verdict(output: Column, zero_is_false: bool = True) -> Column:
-    """``Success`` unless a leaf of the policy output is false; no leaves is ``Success``."""
-    violated = F.exists(leaves(output), lambda n: is_false(n["value"], zero_is_false))
+    """``Success`` unless a leaf of the policy output is false; no leaves is ``Success``.
+
+    With its strings emptied, the compact JSON text holds a bare word or number only as a leaf.
+    """
+    bare = F.regexp_replace(F.to_json(output), JSON_STRING, '""')
+    leaf = rf"false|{JSON_ZERO}" if zero_is_false else "false"
+    violated = bare.rlike(rf"(?:^|[:\[,])(?:{leaf})(?:$|[,\]}}])")
     return F.when(violated, F.lit("Failure")).when(output.isNotNull(), F.lit("Success"))
 
 

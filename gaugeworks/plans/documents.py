@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from gaugeworks.functions import variants
 
+# Fixed value: the key below which a resource lists what it refers to.
+REFERENCES = "references"
 # Where each section of a plan keeps its resources, and where a resource keeps its attributes.
 SECTIONS = {
     "configuration": ("$.configuration.root_module.resources", "expressions"),
@@ -19,12 +21,7 @@ SECTIONS = {
 
 def parse(rows: DataFrame, json: str = "json", doc: str = "doc") -> DataFrame:
     """Rows with the plan text replaced by the parsed document."""
-    return rows.withColumn(doc, F.parse_json(json)).drop(*({json} - {doc}))
-
-
-def resource_list(doc: Column) -> Column:
-    """The configured resources of a document as ``array<variant>``, in plan order."""
-    return F.try_variant_get(doc, SECTIONS["configuration"][0], "array<variant>")
+    return rows.select(*[c for c in rows.columns if c != json], F.parse_json(json).alias(doc))
 
 
 def resource_array(doc: Column, section: str = "configuration") -> Column:
@@ -53,7 +50,7 @@ def type_list(types: Column) -> Column:
 def interconnections(doc: Column) -> Column:
     """Number of reference lists below the configured resources, at any depth."""
     resources = F.try_variant_get(doc, SECTIONS["configuration"][0], "variant")
-    return variants.count_key(resources, "references")
+    return variants.count_key(resources, REFERENCES)
 
 
 def plan_resources(plans: DataFrame, section: str = "configuration", key: str = "plan_id") -> DataFrame:
@@ -67,16 +64,24 @@ def plan_edges(resources: DataFrame, key: str = "plan_id", keep: Sequence[str] =
 
     ``keep`` names further columns of the referring resource to carry along.
     """
-    suffix = ".references"
-    references = F.filter(variants.leaves(F.col("attributes")), lambda n: n["path"].endswith(suffix))
-    leaf = F.explode(references).alias("leaf")
-    path = F.col("leaf.path")
-    return resources.select(key, F.col("address").alias("src_address"), *keep, leaf).select(
+    # most attributes are constants: only those that hold a reference somewhere are walked
+    referring = F.map_filter(
+        variants.as_object(F.col("attributes")),
+        lambda name, node: (name == REFERENCES) | variants.has_key(node, REFERENCES),
+    )
+    attributes = resources.select(
+        key, F.col("address").alias("src_address"), *keep, F.explode(referring).alias("_attribute", "_node")
+    )
+    leaf = F.explode(variants.leaves(F.col("_node"))).alias("_leaf")
+    paths = attributes.select("*", leaf).withColumn(
+        "_path", F.concat_ws(".", "_attribute", F.col("_leaf.path"))
+    )
+    return paths.filter(F.col("_path").rlike(rf"(?:^|\.){REFERENCES}$")).select(
         key,
         "src_address",
         *keep,
-        F.substring(path, F.lit(1), F.length(path) - len(suffix)).alias("attribute_path"),
-        F.try_variant_get(F.col("leaf.value"), "$", "string").alias("dst_ref"),
+        F.regexp_replace("_path", rf"\.?{REFERENCES}$", "").alias("attribute_path"),
+        F.try_variant_get(F.col("_leaf.value"), "$", "string").alias("dst_ref"),
     )
 
 

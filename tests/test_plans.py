@@ -63,6 +63,8 @@ def test_walks_agree_with_plain_python(spark):
     docs = [
         {"a": 1, "b": {"c": [True, False, 0, None, "x", {}, [[1, [2]]]], "d": []}, "references": {"references": []}},
         {"references": [{"x": {"references": ["a"]}}], "y": [{"references": 1}, {"references": None}]},
+        {'a"references': 1, 'x': 'say "references": {"references":1}', "y\\\\": {"references": "\\\\"}, "referencesx": [{"xreferences": 1}]},
+        {"references": {"é": '"references":'}, "k": '\\"references\\":'},
         [], {}, True, 0, "s", [[[[{"k": {"k": {"k": 1.5}}}]]]],
     ]
 
@@ -103,7 +105,9 @@ def test_depth_limit_raises(spark):
 
 
 def test_verdict(spark):
-    cases = [('{"a":true,"b":[true]}', "Success"), ('{"a":{"b":[true,false]}}', "Failure"), ('{"a":0}', "Failure"), ('{"a":0.0}', "Failure"), ("{}", "Success"), ('{"a":"false","b":null}', "Success")]
+    cases = [('{"a":true,"b":[true]}', "Success"), ('{"a":{"b":[true,false]}}', "Failure"), ('{"a":0}', "Failure"), ('{"a":0.0}', "Failure"), ("{}", "Success"), ('{"a":"false","b":null}', "Success"),
+        ('{"a":[[false]]}', "Failure"), ("false", "Failure"), ("0", "Failure"), ('"0"', "Success"), ('{"false":10,"b":[100,0.5,1e0]}', "Success"),
+        ('{"a":"x,false,0]","b":"\\\\\\",false"}', "Success"), ('{"a":-0.0}', "Failure"), ('{"a":0e5}', "Failure"), ("[true,null,0]", "Failure")]
     rows = spark.createDataFrame(cases, "json string, want string").withColumn("v", F.parse_json("json"))
     assert rows.filter(variants.policy_verdict(F.col("v")) != F.col("want")).count() == 0
     zero = rows.filter("json = '{\"a\":0}'").select(variants.policy_verdict(F.col("v"), False)).first()[0]
