@@ -14,6 +14,8 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from gaugeworks.functions.text import occurrences
+
 MAX_DEPTH = 32
 
 # A string and a zero as JSON writes them.
@@ -55,23 +57,16 @@ def _fold(state: Column, step: Callable[[Column], Column], result: str, max_dept
     return F.aggregate(levels, state, advance, finish)
 
 
-def _key_token(key: str) -> str:
-    """Matches an object key in compact JSON and nothing else.
-
-    A quote without a backslash before it opens or closes a string; after a closing one comes
-    punctuation, so this one opens the string, which ends at the second quote; only a key is
-    followed by a colon.
-    """
-    return r"(?<!\\)\Q" + json.dumps(key, ensure_ascii=False) + r":\E"
-
-
 def count_key(doc: Column, key: str) -> Column:
-    """How many objects of the document, at any depth, have ``key``."""
-    return F.regexp_count(F.to_json(doc), F.lit(_key_token(key))).cast("bigint")
-
+    """How many objects of the document, at any depth, have ``key``.
 
-def has_key(doc: Column, key: str) -> Column:
-    return F.to_json(doc).rlike(_key_token(key))
+    In compact JSON, a quote without a backslash before it opens or closes a string, and after a
+    closing one comes punctuation. So the key in quotes with a colon behind is an object key,
+    unless a backslash precedes it: then it is the end of a longer key that holds a quote.
+    """
+    token = json.dumps(key, ensure_ascii=False) + ":"
+    compact = F.to_json(doc)
+    return occurrences(compact, token) - occurrences(compact, "\\" + token)
 
 
 def _members(node: Column, named: Callable[[Column], Column]) -> Column:

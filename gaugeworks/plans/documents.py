@@ -64,23 +64,15 @@ def plan_edges(resources: DataFrame, key: str = "plan_id", keep: Sequence[str] =
 
     ``keep`` names further columns of the referring resource to carry along.
     """
-    # most attributes are constants: only those that hold a reference somewhere are walked
-    referring = F.map_filter(
-        variants.as_object(F.col("attributes")),
-        lambda name, node: (name == REFERENCES) | variants.has_key(node, REFERENCES),
+    found = F.filter(
+        variants.leaves(F.col("attributes")), lambda n: n["path"].rlike(rf"(?:^|\.){REFERENCES}$")
     )
-    attributes = resources.select(
-        key, F.col("address").alias("src_address"), *keep, F.explode(referring).alias("_attribute", "_node")
-    )
-    leaf = F.explode(variants.leaves(F.col("_node"))).alias("_leaf")
-    paths = attributes.select("*", leaf).withColumn(
-        "_path", F.concat_ws(".", "_attribute", F.col("_leaf.path"))
-    )
-    return paths.filter(F.col("_path").rlike(rf"(?:^|\.){REFERENCES}$")).select(
+    rows = resources.select(key, F.col("address").alias("src_address"), *keep, F.explode(found).alias("_leaf"))
+    return rows.select(
         key,
         "src_address",
         *keep,
-        F.regexp_replace("_path", rf"\.?{REFERENCES}$", "").alias("attribute_path"),
+        F.regexp_replace("_leaf.path", rf"\.?{REFERENCES}$", "").alias("attribute_path"),
         F.try_variant_get(F.col("_leaf.value"), "$", "string").alias("dst_ref"),
     )
 
