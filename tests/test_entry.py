@@ -21,6 +21,8 @@ def con():
 @pytest.mark.parametrize("name", list(entry.queries()))
 def test_query_equals_its_sql(spark, con, name):
     df = entry.queries()[name](spark, SF)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoopJoin" not in plan and "CartesianProduct" not in plan
     result = con.sql(entry.oracle_sql()[name])
     assert sorted(df.columns) == sorted(result.columns)
     assert normal_rows(df.columns, df.collect()) == normal_rows(result.columns, result.fetchall())
