@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeworks.llm import bpe, packing, token_files
+from gaugeworks.llm import bpe, language, neural_lm, packing, quality, token_files
 from gaugeworks.session import checkpointed, scratch_path
 
 QUERIES = {}
@@ -48,6 +48,22 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.count_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"), END_OF_TEXT)
 
 
+@_query("op5_neural_lm_scores")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """log10 probability of every text by unigram counts and by the log-bilinear model."""
+    return neural_lm.train_and_score(_table(spark, sf_dir, "documents"))
+
+
+@_query("op6_cross_parsing_language")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every text; every fourth document, by checksum, is kept from learning."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = language.held_out()
+    model = language.fit(docs.where(~held_out))
+    found = docs.select("doc_id", held_out.alias("held_out"), language.predict(F.col("text"), model).alias("of"))
+    return found.select("doc_id", "held_out", "of.lang_pred", "of.score")
+
+
 @_query("op7_grouping_genetic_packing")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of all documents in as few sequences of at most 2048 ids as found."""
@@ -60,3 +76,14 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of all documents written to files with Elias-Fano boundaries and read back from them."""
     docs = _table(spark, sf_dir, "documents")
     return token_files.encode_and_read(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@_query("op9_learned_quality_rules")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, base rule and verdict of the learned rules for every document."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    rules = quality.fit(docs, _table(spark, sf_dir, "labels"))
+    judged = quality.judge(docs, rules, "doc_id")
+    return judged.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
+    )
