@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeworks.llm import bpe, language, neural_lm, packing, quality, token_files
+from gaugeworks.llm import bpe, jaccard, language, neural_lm, packing, quality, token_files
 from gaugeworks.session import checkpointed, scratch_path
 
 QUERIES = {}
@@ -87,3 +87,42 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
     )
+
+
+# the sets are lists of distinct shingles, copies share one list
+_JACCARD_SQL = r"""
+WITH RECURSIVE
+words AS (
+  SELECT doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+sets AS (
+  SELECT doc_id, CASE
+    WHEN len(w) = 0 THEN []
+    WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct([w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] for i in range(1, len(w) - 1)]) END AS s
+  FROM words),
+copies AS (SELECT list_sort(s) AS s, min(doc_id) AS node FROM sets WHERE len(s) > 0 GROUP BY ALL),
+shingles AS (SELECT node, len(s) AS n, unnest(s) AS g FROM copies),
+links AS (
+  SELECT a.node AS a, b.node AS b
+  FROM shingles a JOIN shingles b ON a.g = b.g AND a.node <> b.node
+   AND 10 * least(a.n, b.n) >= 9 * greatest(a.n, b.n)
+  GROUP BY a.node, b.node, a.n, b.n
+  HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))),
+reached(node, to_node) AS (
+  SELECT node, node FROM copies
+  UNION
+  SELECT r.node, l.b FROM reached r JOIN links l ON r.to_node = l.a),
+component AS (SELECT node, min(to_node) AS component_id FROM reached GROUP BY node)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles,
+       CASE WHEN len(s.s) = 0 THEN s.doc_id ELSE c.component_id END AS component_id
+FROM sets s LEFT JOIN copies k ON list_sort(s.s) = k.s LEFT JOIN component c ON k.node = c.node
+"""
+
+
+@_query("op10_shingle_jaccard_join", _JACCARD_SQL)
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose 3-word shingles are alike to 0.9, by the size-aware join."""
+    return jaccard.similar_components(_table(spark, sf_dir, "documents"))
