@@ -257,28 +257,25 @@ def _possible(x: str, y: str, percent: int):
     return left * (100 + percent) >= percent * (a + b)
 
 
-def node_components(docs: DataFrame, nodes: DataFrame, boundary: int, width: int, percent: int) -> DataFrame:
-    """(node, component) of all nodes that link with another; a component is its lowest node."""
-    size = F.col("size")
-    scanned = F.when(100 * size >= percent * (boundary + 1), F.col("prefix")).otherwise(F.array().cast("array<long>"))
-    subsets = F.when(size <= boundary, F.col("subsets")).otherwise(F.array().cast("array<long>"))
-    # subsets meet at the first place: nothing is known of what stands before it
-    lists = nodes.select("node", "size", F.posexplode(scanned).alias("place", "key")).unionByName(
-        nodes.select("node", "size", F.lit(0).alias("place"), F.explode(subsets).alias("key"))
-    )
+def joined_lists(lists: DataFrame) -> DataFrame:
+    """Entries (node, size, place, key) of the lists that hold two nodes, with the ends of the list."""
     ends = (
         lists.groupBy("key")
         .agg(F.min("node").alias("low"), F.max("node").alias("high"))
         .where("low < high")
     )
-    met = checkpointed(lists.join(ends, "key"), "jaccard-lists")
+    return lists.join(ends, "key")
 
-    wanted = nodes.join(met.select("node").distinct(), "node").select("node", "doc_id", "d1", "d2")
-    sets = checkpointed(shingle_sets(docs, checkpointed(wanted, "jaccard-wanted"), width), "jaccard-sets")
-    sizes = sets.select("node", F.size("hashes").alias("size"))
 
+def node_components(met: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(node, component) of all nodes that link with another; a component is its lowest node.
+
+    ``met`` is a stored result of ``joined_lists``, in which any two alike sets share a list at
+    their first common key; ``sets`` holds the whole set of each of its nodes.
+    """
+    sizes = sets.select("node", F.size("hashes").alias("size"))
     proposed = (
-        met.select("node", "size", F.explode(F.array("low", "high")).alias("end"))
+        met.select("node", F.explode(F.array("low", "high")).alias("end"))
         .where("node != end")
         .select(F.least("node", "end").alias("a"), F.greatest("node", "end").alias("b"))
         .distinct()
@@ -316,6 +313,22 @@ def node_components(docs: DataFrame, nodes: DataFrame, boundary: int, width: int
     return connected(links.unionByName(more))
 
 
+def shingle_components(docs: DataFrame, nodes: DataFrame, boundary: int, width: int, percent: int) -> DataFrame:
+    """(node, component) of the nodes of ``docs`` that link with another."""
+    size = F.col("size")
+    nothing = F.array().cast("array<long>")
+    scanned = F.when(100 * size >= percent * (boundary + 1), F.col("prefix")).otherwise(nothing)
+    subsets = F.when(size <= boundary, F.col("subsets")).otherwise(nothing)
+    # subsets meet at the first place: nothing is known of what stands before it
+    lists = nodes.select("node", "size", F.posexplode(scanned).alias("place", "key")).unionByName(
+        nodes.select("node", "size", F.lit(0).alias("place"), F.explode(subsets).alias("key"))
+    )
+    met = checkpointed(joined_lists(lists), "jaccard-lists")
+    wanted = nodes.join(met.select("node").distinct(), "node").select("node", "doc_id", "d1", "d2")
+    sets = shingle_sets(docs, checkpointed(wanted, "jaccard-wanted"), width)
+    return node_components(met, checkpointed(sets, "jaccard-sets"), percent)
+
+
 def similar_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """Per row of ``docs``: doc_id, n_shingles, component_id (the lowest doc_id reachable by links)."""
     cells = cell_counts(docs, width)
@@ -333,7 +346,7 @@ def similar_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
         .withColumn("node", F.monotonically_increasing_id()),
         "jaccard-nodes",
     )
-    joined = node_components(docs, nodes, light_boundary(nodes), width, percent)
+    joined = shingle_components(docs, nodes, light_boundary(nodes), width, percent)
     own = nodes.join(joined, "node", "left").select(
         "d1", "d2", "doc_id", F.coalesce("component", "node").alias("component")
     )
