@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeworks.llm import bpe, jaccard, language, neural_lm, packing, quality, spotsigs, token_files
+from gaugeworks.llm import bpe, html_text, jaccard, language, neural_lm, packing, quality, spotsigs, token_files
 from gaugeworks.session import checkpointed, scratch_path
 
 QUERIES = {}
@@ -29,6 +29,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@_query("op1_template_text")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page by the deduced template of its host."""
+    return html_text.extract(_table(spark, sf_dir, "pages"))
+
+
 @_query("op2_spot_signatures")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spot-signature fingerprints of every text and its edited text, and how alike they are."""
