@@ -27,7 +27,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaugeworks.llm.components import connected
@@ -359,3 +359,19 @@ def similar_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
         F.col("n_shingles").cast("long").alias("n_shingles"),
         F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
     )
+
+
+def keep_one(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """One document of each component, that of the lowest doc_id, with its own columns.
+
+    Documents without words are all kept, as are those without doc_id and a linked number. Of rows
+    repeated with the same doc_id and text one is kept.
+    """
+    found = similar_components(docs, width, percent)
+    gone = found.where("doc_id <> component_id OR (doc_id IS NULL AND component_id IS NOT NULL)")
+    gone = gone.select(F.col("doc_id").alias("_gone")).distinct()
+    kept = docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(gone["_gone"]), "left_anti")
+    words = F.length(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+", "")) > 0
+    same = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("doc_id")
+    numbered = kept.select(F.struct(*docs.columns).alias("row"), words.alias("words"), F.row_number().over(same).alias("nth"))
+    return numbered.where("nth = 1 OR NOT words").select("row.*")

@@ -150,19 +150,21 @@ class Parser:
         total = np.array([np.bincount(text_of, c, len(texts)) for c in count])
         return total.reshape(len(self.start), len(texts)), sizes, has_letter
 
-    def predict(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(number of the language, score, whether there is a letter) of each text.
+    def predict(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(number of the language, score, bits a symbol, whether there is a letter) of each text.
 
-        The score is the share of the second-best language's cost that the best one saves.
+        The score is the share of the second-best language's cost that the best one saves. The
+        bits are what the best one's phrases after the first cost for each symbol.
         """
-        total, _, has_letter = self.phrases(texts)
+        total, sizes, has_letter = self.phrases(texts)
         cost = total * np.array(self.weight)[:, None]
         best = np.argmin(cost, axis=0)
+        bits = (cost.min(axis=0) - np.array(self.weight)[best]) / np.maximum(sizes, 1)
         if len(cost) == 1:
-            return best, has_letter.astype(float), has_letter
+            return best, has_letter.astype(float), bits, has_letter
         two = np.sort(cost, axis=0)[:2]
         score = np.where(has_letter, 1 - two[0] / np.maximum(two[1], 1e-9), 0.0)
-        return best, score, has_letter
+        return best, score, bits, has_letter
 
 
 @lru_cache(maxsize=1)
@@ -216,37 +218,51 @@ def fit(
 
 
 def predict(text: Column, model: Model) -> Column:
-    """A struct lang_pred, score of a text."""
+    """A struct lang_pred, score, bits of a text; see ``Parser.predict``."""
 
-    @F.pandas_udf("lang_pred string, score double")
+    @F.pandas_udf("lang_pred string, score double, bits double")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         parser = _parser(model) if model.languages else None
         names = np.array([*model.languages, UNKNOWN], object)
         for batch in batches:
             texts = [t or "" for t in batch]
-            found, scores, at = [], [], 0
+            found, scores, all_bits, at = [], [], [], 0
             while at < len(texts):
                 size, end = 0, at
                 while end < len(texts) and size < _BATCH_CHARS:
                     size += len(texts[end])
                     end += 1
                 if parser is None:
-                    best, score, known = np.full(end - at, -1), np.zeros(end - at), np.zeros(end - at, bool)
+                    best, known = np.full(end - at, -1), np.zeros(end - at, bool)
+                    score = bits = np.zeros(end - at)
                 else:
-                    best, score, known = parser.predict(texts[at:end])
+                    best, score, bits, known = parser.predict(texts[at:end])
                 found.append(names[np.where(known, best, -1)])
                 scores.append(score)
+                all_bits.append(bits)
                 at = end
             yield pd.DataFrame(
                 {
                     "lang_pred": np.concatenate(found) if found else [],
                     "score": np.concatenate(scores) if scores else [],
+                    "bits": np.concatenate(all_bits) if all_bits else [],
                 }
             )
 
     return run(text)
 
 
+def keep_known(docs: DataFrame, model: Model) -> DataFrame:
+    """The documents in a learned language, with their own columns.
+
+    Rejected are texts without a letter, and those for which even the best language needs more
+    bits a symbol than a symbol drawn at random from the letters learned.
+    """
+    random_bits = math.log2(max(2, len({c for text in model.texts for c in text})))
+    of = docs.select(F.struct(*docs.columns).alias("row"), predict(F.col("text"), model).alias("of"))
+    return of.where((F.col("of.lang_pred") != UNKNOWN) & (F.col("of.bits") <= random_bits)).select("row.*")
+
+
 def held_out(folds: int = 4, rest: int = 2) -> Column:
     """Whether a row is held out: the checksum of its key's text has this rest."""
     part = F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds
