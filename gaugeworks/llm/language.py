@@ -83,8 +83,9 @@ class Parser:
     """Phrase counts of many texts in all languages of a model.
 
     Entry (state, symbol) of the table is the next state times the number of symbols. Where a
-    state has no such step, the phrase ends: the entry is then the complement of the state that
-    the symbol leads to from the start.
+    state has no such step, a new phrase begins: the entry is then the complement of the state
+    that the symbol leads to from the automaton's start. Parsing begins, and goes on after a
+    letter that the language lacks, in a state from which every step begins a phrase.
     """
 
     def __init__(self, model: Model) -> None:
@@ -100,18 +101,20 @@ class Parser:
         base = 0
         for text in model.texts:
             steps = suffix_automaton([number.get(c, 1) for c in text])
-            self.start.append(base * width)
+            outside = (base + len(steps)) * width
+            self.start.append(outside)
             self.weight.append(math.log2(max(len(text), 2)))
-            first = np.full(width, ~(base * width), np.int64)
+            first = np.full(width, ~outside, np.int64)
             for symbol, target in steps[0].items():
                 first[symbol] = ~((base + target) * width)
-            table = np.repeat(first[None, :], len(steps), 0)
+            table = np.repeat(first[None, :], len(steps) + 1, 0)
             for state, step in enumerate(steps):
                 if step:
                     table[state, list(step)] = (base + np.array(list(step.values()), np.int64)) * width
-            tables.append(table.astype(np.int32 if (base + len(steps)) * width < 1 << 31 else np.int64))
-            base += len(steps)
-        self.table = np.concatenate(tables).reshape(-1)
+            tables.append(table)
+            base += len(steps) + 1
+        kind = np.int32 if base * width < 1 << 31 else np.int64
+        self.table = np.concatenate([t.astype(kind) for t in tables]).reshape(-1)
 
     def symbols(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Symbols of all texts, one after the other, and how many each has."""
@@ -139,7 +142,7 @@ class Parser:
         order = np.argsort(-size, kind="stable")
         begin, size, text_of = begin[order], size[order], text_of[order]
         state = np.repeat(np.array(self.start, self.table.dtype)[:, None], len(order), 1)
-        count = np.ones(state.shape, np.int32)
+        count = np.zeros(state.shape, np.int32)
         bits = self.table.dtype.itemsize * 8 - 1
         active = np.searchsorted(-size, -np.arange(1, (size[0] if len(size) else 0) + 1), side="right")
         for step, n in enumerate(active.tolist()):
