@@ -1,7 +1,7 @@
 """Byte-level BPE: whole texts to ids with character offsets, and back.
 
 The tokenizers library merges characters, so each byte is first mapped to a printable character;
-decoding maps tokens back to bytes, of which one character may take several tokens. The ids are
+decoding goes back through the table of token bytes, where one character may take several tokens. The ids are
 those that a rank table defines: of all neighbours whose joined bytes have a rank, the pair of
 lowest rank is joined first, the leftmost of equals.
 
@@ -24,14 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gaugeworks.llm.words import WordIds, library_words, slices, spaced_chunks
-
-
-def byte_characters() -> list[str]:
-    """The character for each byte: itself if printable, else one from U+0100 on, in byte order."""
-    shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
-    others = iter(range(0x100, 0x200))
-    return [chr(byte if byte in shown else next(others)) for byte in range(256)]
+from gaugeworks.llm.words import Pieces, WordIds, slices, spaced_chunks, spelt
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -53,79 +46,72 @@ def merge_by_rank(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[p] for p in parts]
 
 
-class RankCodec:
-    """Ids of texts by a rank table and a splitting pattern.
+def split_pattern(pattern: str):
+    """Matches of a tokenizer's splitting pattern, whose white space is that of Unicode."""
+    spaces = pattern.replace(r"\S", r"\P{White_Space}").replace(r"\s", r"\p{White_Space}")
+    return regex.compile(spaces).findall
+
+
+class RankPieces(Pieces):
+    """Ids of words by a rank table.
 
     The library joins pairs in a fixed order, so it is given every split of a token into two
     tokens, by rank. Where one token overlaps itself in three neighbours ("----"), its splits
-    would compete by place, which such an order cannot say: words with such a run are merged by
+    would compete by place, which such an order cannot say: pieces with such a run are merged by
     the definition instead.
     """
 
-    def __init__(self, path: str, pattern: str, offsets: bool = False) -> None:
+    def __init__(self, ranks: dict[bytes, int], split, offsets: bool) -> None:
         import ahocorasick
-        from tokenizers import Tokenizer, models, pre_tokenizers
+        from tokenizers import models
 
-        self.ranks = read_ranks(path)
-        self.bytes_of = np.full(max(self.ranks.values()) + 1, b"", object)
-        for token, rank in self.ranks.items():
-            self.bytes_of[rank] = token
-        self._shown = byte_characters()
-        spelt = {t: "".join(map(self._shown.__getitem__, t)) for t in self.ranks}
+        names = {token: spelt(token) for token in ranks}
         merges, overlapping = [], set()
-        for token in sorted(self.ranks, key=self.ranks.__getitem__):
-            cuts = [
-                cut
-                for cut in range(1, len(token))
-                if token[:cut] in self.ranks and token[cut:] in self.ranks
-            ]
-            merges += [(spelt[token[:cut]], spelt[token[cut:]]) for cut in cuts]
+        for token in sorted(ranks, key=ranks.__getitem__):
+            cuts = [c for c in range(1, len(token)) if token[:c] in ranks and token[c:] in ranks]
+            merges += [(names[token[:c]], names[token[c:]]) for c in cuts]
             if len(cuts) > 1:
                 overlapping |= {
-                    token[:cut] + token
-                    for cut in cuts
-                    if token[cut:] == token[:-cut] and token[-cut:] in self.ranks
+                    token[:c] + token
+                    for c in cuts
+                    if token[c:] == token[:-c] and token[-c:] in ranks
                 }
+        super().__init__(models.BPE({names[t]: r for t, r in ranks.items()}, merges), split)
+        self._ranks, self._offsets = ranks, offsets
+        self._length = {rank: len(token) for token, rank in ranks.items()}
         self._overlaps = ahocorasick.Automaton()
-        for run in overlapping:
+        for run in overlapping or {bytes(1 << 16)}:
             self._overlaps.add_word(run.decode("latin-1"), True)
         self._overlaps.make_automaton()
-        self.overlaps = len(overlapping)
-        self._library = Tokenizer(models.BPE({spelt[t]: r for t, r in self.ranks.items()}, merges))
-        self._library.pre_tokenizer = pre_tokenizers.ByteLevel(
-            add_prefix_space=False, use_regex=False, trim_offsets=False
-        )
-        self._by_library = library_words(self._library, offsets)
-        spaces = pattern.replace(r"\S", r"\P{White_Space}").replace(r"\s", r"\p{White_Space}")
-        self._pieces = regex.compile(spaces).findall
-        self._words = WordIds(self._encode_words, spaced_chunks, self._pieces, offsets)
-
-    def _has_overlap(self, piece: str) -> bool:
-        found = self._overlaps.iter(piece.encode().decode("latin-1")) if self.overlaps else ()
-        return any(True for _ in found)
-
-    def _encode_words(self, words: list[str]):
-        pieces = [self._pieces(word) for word in words]
-        own = list(dict.fromkeys(p for each in pieces for p in each))
-        by_library = [p for p in own if not self._has_overlap(p)]
-        known = dict(zip(by_library, self._by_library(by_library)))
-        known |= {p: self._by_definition(p) for p in own if p not in known}
-        for each in pieces:
-            ids, begins, ends, at = [], [], [], 0
-            for piece in each:
-                of_piece = known[piece]
-                ids += of_piece[0]
-                begins += [at + x for x in of_piece[1]]
-                ends += [at + x for x in of_piece[2]]
-                at += len(piece)
-            yield ids, begins, ends
-
-    def _by_definition(self, piece: str) -> tuple[list[int], list[int], list[int]]:
-        ids = merge_by_rank(piece.encode(), self.ranks)
-        character = [i for i, c in enumerate(piece) for _ in c.encode()]
-        stops = list(accumulate(len(self.bytes_of[i]) for i in ids))
-        starts = [0, *stops[:-1]]
-        return ids, [character[x] for x in starts], [character[x - 1] + 1 for x in stops]
+
+    def ids(self, piece: str) -> list[int]:
+        content = piece.encode()
+        if next(self._overlaps.iter(content.decode("latin-1")), None):
+            return merge_by_rank(content, self._ranks)
+        return super().ids(piece)
+
+    def __call__(self, words: list[str]):
+        if not self._offsets:
+            yield from super().__call__(words)
+            return
+        for word in words:
+            ids = [i for piece in self._split(word) for i in self.ids(piece)]
+            character = [n for n, c in enumerate(word) for _ in c.encode()]
+            stops = list(accumulate(map(self._length.__getitem__, ids)))
+            first = [character[x] for x in [0, *stops[:-1]]] if ids else []
+            yield ids, first, [character[x - 1] + 1 for x in stops]
+
+
+class RankCodec:
+    """Texts to ids by a rank table and a splitting pattern, and back."""
+
+    def __init__(self, path: str, pattern: str, offsets: bool = False) -> None:
+        self.ranks = read_ranks(path)
+        self.bytes_of = np.full(max(self.ranks.values()) + 1, b"", object)
+        for token, rank in self.ranks.items():
+            self.bytes_of[rank] = token
+        split = split_pattern(pattern)
+        self._words = WordIds(RankPieces(self.ranks, split, offsets), spaced_chunks, split, offsets)
 
     def encode(self, texts: list[str]):
         """See ``WordIds.encode``."""

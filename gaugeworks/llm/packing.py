@@ -27,7 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gaugeworks.llm.words import WordIds, library_words, slices
+from gaugeworks.llm.bpe import split_pattern
+from gaugeworks.llm.words import Pieces, WordIds, slices
 from gaugeworks.session import checkpointed
 
 CAPACITY = 2048
@@ -37,9 +38,30 @@ EPOCHS = 2
 GENERATIONS = 6
 POPULATION = 4
 
+# fixed value: the splitting pattern of the lower-case vocabulary
+_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _BLANKS = re.compile(r"[ \n]")
 
 
+class LowerPieces(Pieces):
+    """Ids of words whose tokenizer lowers letters and drops white space.
+
+    Words up to U+00FF need no normal form; all others go through the whole tokenizer.
+    """
+
+    def __init__(self, tokenizer) -> None:
+        findall = split_pattern(_PATTERN)
+        super().__init__(tokenizer.model, lambda word: findall(word.lower()))
+        self._tokenizer = tokenizer
+
+    def __call__(self, words: list[str]):
+        for word in words:
+            if not word or max(word) <= "\xff":
+                yield from super().__call__([word])
+            else:
+                yield self._tokenizer.encode(word, add_special_tokens=False).ids, (), ()
+
+
 @lru_cache(maxsize=2)
 def _lower_words(path: str) -> WordIds:
     from tokenizers import Tokenizer
@@ -47,7 +69,7 @@ def _lower_words(path: str) -> WordIds:
     tokenizer = Tokenizer.from_file(path)
     tokenizer.encode_special_tokens = True
     # this tokenizer drops white space and never joins what it parts
-    return WordIds(library_words(tokenizer), _BLANKS.split, lambda text: [text])
+    return WordIds(LowerPieces(tokenizer), _BLANKS.split, lambda text: [text])
 
 
 def pieces(docs: DataFrame, path: str, end_id: int = 0, capacity: int = CAPACITY) -> DataFrame:

@@ -23,11 +23,15 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from gaugeworks.llm.bpe import split_pattern
 from gaugeworks.llm.elias_fano import EliasFano
 from gaugeworks.llm.order import id_range
-from gaugeworks.llm.words import WordIds, library_words, slices, spaced_chunks
+from gaugeworks.llm.words import Pieces, WordIds, slices, spaced_chunks
 from gaugeworks.session import checkpointed, scratch_path
 
+# fixed value: the splitting pattern of the byte-level vocabularies that this module reads
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
 _MAGIC = b"EFTOKEN1"
 _HEAD = "<8sIQ"  # magic, bytes of an id, leading documents without doc_id
 
@@ -37,9 +41,9 @@ def _byte_words(path: str) -> tuple[WordIds, np.dtype]:
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
     kind = np.dtype("<u2" if tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-    return WordIds(library_words(tokenizer), spaced_chunks, lambda text: [text]), kind
+    split = split_pattern(PATTERN)
+    return WordIds(Pieces(tokenizer.model, split), spaced_chunks, split), kind
 
 
 def _file_system(path: str) -> tuple[fs.FileSystem, str]:

@@ -7,21 +7,17 @@ all other words of a batch up at once; the library encodes only new words.
 
 from __future__ import annotations
 
-import os
 import re
 from array import array
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 
-os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-
 # a text with other white space than single blanks and line feeds takes the general way
 _ODD_SPACE = re.compile(
     "[\x00\t\x0b\x0c\r\x1c-\x1f\x85\xa0 ᠎ -​    　﻿]"
 )
 _CACHED_WORDS = 600_000
-_LIBRARY_WORDS = 512
 _SLICE_CHARS = 4_000_000
 
 
@@ -92,13 +88,12 @@ class WordIds:
     def _learn(self) -> None:
         new, self._index.new = self._index.new, []
         ids, first, last, sizes = array("I"), array("I"), array("I"), array("q")
-        for at in range(0, len(new), _LIBRARY_WORDS):
-            for own, begins, ends in self._encode(new[at : at + _LIBRARY_WORDS]):
-                ids.extend(own)
-                sizes.append(len(own))
-                if self._offsets:
-                    first.extend(begins)
-                    last.extend(ends)
+        for own, begins, ends in self._encode(new):
+            ids.extend(own)
+            sizes.append(len(own))
+            if self._offsets:
+                first.extend(begins)
+                last.extend(ends)
         self._ids = np.concatenate((self._ids, np.array(ids, np.uint32)))
         self._first = np.concatenate((self._first, np.array(first, np.uint32)))
         self._last = np.concatenate((self._last, np.array(last, np.uint32)))
@@ -155,16 +150,46 @@ class WordIds:
         return self._ids[take], ends, self._first[take] + shift, self._last[take] + shift
 
 
-def library_words(tokenizer, offsets: bool = False):
-    """The ``encode`` of ``WordIds`` for a tokenizer of the tokenizers library."""
+def byte_characters() -> list[str]:
+    """The character for each byte: itself if printable, else one from U+0100 on, in byte order."""
+    shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = iter(range(0x100, 0x200))
+    return [chr(byte if byte in shown else next(others)) for byte in range(256)]
+
+
+SHOWN = dict(enumerate(byte_characters()))
+
 
-    def encode(words: list[str]) -> Iterator[tuple[list[int], list[int], list[int]]]:
-        if not offsets:
-            for found in tokenizer.encode_batch_fast(words, add_special_tokens=False):
-                yield found.ids, [], []
-            return
-        for found in tokenizer.encode_batch(words, add_special_tokens=False):
-            first, last = zip(*found.offsets) if found.ids else ((), ())
-            yield found.ids, first, last
+def spelt(content: bytes) -> str:
+    """Bytes as the characters that byte-level vocabularies are written in."""
+    return content.decode("latin-1").translate(SHOWN)
+
+
+class Pieces:
+    """Ids of words by a model of the tokenizers library, which sees one piece at a time.
+
+    ``split`` cuts a word into pieces. Calling the model itself spares the library's own cutting
+    and its result objects, most of the time for new words. Ids of short pieces are kept.
+    """
 
-    return encode
+    def __init__(self, model, split: Callable[[str], list[str]]) -> None:
+        self._model, self._split = model, split
+        self._short: dict[str, list[int]] = {}
+
+    def ids(self, piece: str) -> list[int]:
+        return [t.id for t in self._model.tokenize(spelt(piece.encode()))]
+
+    def __call__(self, words: list[str]) -> Iterator[tuple[list[int], tuple, tuple]]:
+        short = self._short
+        for word in words:
+            ids: list[int] = []
+            for piece in self._split(word):
+                if len(piece) > 3:
+                    ids += self.ids(piece)
+                else:
+                    if piece not in short:
+                        if len(short) > 1 << 16:
+                            short.clear()
+                        short[piece] = self.ids(piece)
+                    ids += short[piece]
+            yield ids, (), ()
