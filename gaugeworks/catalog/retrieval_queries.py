@@ -23,10 +23,11 @@ def _chunks(spark, sf):
 
 
 def _vector_table(spark, sf):
-    """The vectors, given to the first two chunks of the documents in turn."""
-    return V.table(spark, sf, "embeddings").selectExpr(
-        "vec_id div 2 AS doc_id", "cast(vec_id % 2 AS int) AS chunk_idx", "embedding"
-    )
+    """A vector for every chunk: vector (7 * doc_id + chunk_idx) modulo their number."""
+    embeddings = V.table(spark, sf, "embeddings").select("vec_id", "embedding")
+    n = embeddings.count()
+    chosen = F.expr(f"(doc_id * 7 + chunk_idx) % {max(n, 1)}").cast("bigint").alias("vec_id")
+    return _chunks(spark, sf).select("doc_id", "chunk_idx", chosen).join(embeddings, "vec_id").drop("vec_id")
 
 
 @query("rt01_chunks", V.with_sql(_CHUNKS_SQL) + "SELECT doc_id, chunk_idx, md5(text) AS text FROM chunks")
@@ -35,7 +36,7 @@ def rt01(spark, sf):
 
 
 _VECTOR_JOIN_SQL = """SELECT c.doc_id, c.chunk_idx, md5(c.text) AS text, round(CAST(e.embedding[1] AS DOUBLE), 6) AS first_value
-  FROM chunks c JOIN embeddings e ON e.vec_id // 2 = c.doc_id AND e.vec_id % 2 = c.chunk_idx"""
+  FROM chunks c JOIN embeddings e ON e.vec_id = (c.doc_id * 7 + c.chunk_idx) % (SELECT count(*) FROM embeddings)"""
 
 
 def _first_value(rows):

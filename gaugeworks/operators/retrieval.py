@@ -40,20 +40,25 @@ def chunk_documents(
 
 
 def with_vectors(chunks: DataFrame, vector_table: DataFrame, key: Sequence[str] = ("doc_id", "chunk_idx")) -> DataFrame:
-    """Chunks that have a vector, with it."""
-    return chunks.join(vector_table.select(*key, "embedding"), list(key))
+    """All chunks with their vector; NULL marks those that have none yet."""
+    return chunks.join(vector_table.select(*key, "embedding"), list(key), "left")
 
 
 def load_or_build(spark: SparkSession, path: str, build) -> DataFrame:
-    """The stored vector table, built and stored first where there is none."""
+    """The stored vector table, built and stored first where there is none.
+
+    The last thing a build writes is a marker beside the table; a table without one never
+    finished, whatever it holds, and is built anew.
+    """
+    marker = f"{path.rstrip('/')}.complete"
     try:
-        return spark.read.parquet(path)
+        spark.read.parquet(marker)
     except AnalysisException as error:
-        # no such path, or a build that never finished
         if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             raise
         build().write.mode("overwrite").parquet(path)
-        return spark.read.parquet(path)
+        spark.range(1).coalesce(1).write.mode("overwrite").parquet(marker)
+    return spark.read.parquet(path)
 
 
 def distinct_contexts(hits: DataFrame, key: Sequence[str] = ("prompt_id",)) -> DataFrame:

@@ -7,13 +7,13 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gaugeworks.session import scratch_path
+from gaugeworks.session import shuffle_partitions
 
-BLOCK_BYTES = 64 * 1024 * 1024
-TILE_VALUES = 4 * 1024 * 1024
+BLOCK_VECTORS = 512
 TOKENS_PER_BLOCK = 512
 
 
@@ -21,7 +21,10 @@ def _unit_rows(column: pa.Array) -> np.ndarray:
     """A list column as a matrix of unit rows; zero vectors stay zero."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    width = len(column[0]) if len(column) else 0
+    widths = set(column.value_lengths().to_pylist())
+    if len(widths) > 1:
+        raise ValueError(f"vectors of different widths: {sorted(widths)}")
+    width = widths.pop() if widths else 0
     matrix = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width)
     norms = np.linalg.norm(matrix, axis=1, keepdims=True)
     return matrix / np.where(norms == 0, 1.0, norms)
@@ -31,41 +34,58 @@ def _usable(rows: DataFrame, vector: str) -> DataFrame:
     return rows.filter(F.col(vector).isNotNull() & (F.size(vector) > 0))
 
 
+def _packed(rows: DataFrame, name: str, vector: str, per_block: int, out: str) -> DataFrame:
+    """Rows packed into blocks where they are: ``{out}_ids``, ``{out}_values`` (unit rows), ``{out}_block``.
+
+    The block number is a hash of its ids, so a repeated task gives the same blocks.
+    """
+    kind = rows.schema[name].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first in range(0, batch.num_rows, per_block):
+                part = batch.slice(first, per_block)
+                values = _unit_rows(part.column(1))
+                ids = pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), part.column(0))
+                yield pa.RecordBatch.from_arrays(
+                    [ids, pa.array([values.ravel()], pa.list_(pa.float64()))], [f"{out}_ids", f"{out}_values"]
+                )
+
+    blocks = rows.select(name, vector).mapInArrow(run, f"{out}_ids array<{kind}>, {out}_values array<double>")
+    return blocks.withColumn(f"{out}_block", F.xxhash64(f"{out}_ids"))
+
+
 def nearest(
     questions: DataFrame,
     chunks: DataFrame,
     question_id: str = "question_id",
     chunk_id: str = "chunk_id",
     vector: str = "embedding",
-    block_bytes: int = BLOCK_BYTES,
+    per_block: int = BLOCK_VECTORS,
 ) -> DataFrame:
     """``question_id, chunk_id, score`` of the most similar chunk; ties go to the lowest id.
 
-    The question vectors are measured first. Within ``block_bytes`` they are broadcast and the
-    chunks are read once, each task keeping one best chunk per question. Beyond it the questions
-    are cut into blocks of that size, by hash, and the chunks are read once per block, the hits
-    of each block being written to the shared folder; every question is in exactly one block, so
-    the result stays exact and the driver holds one block at a time.
+    Both sides are packed into blocks, and the blocks dealt to the cells of a square grid, about
+    as many as there are shuffle partitions: a question block meets the chunk blocks of its row of
+    cells, a chunk block the question blocks of its column, so each pair of blocks meets once, on
+    an executor. A task holds two blocks and the best chunk so far of one block's questions, and
+    returns one row a question. Nothing runs before the result is read.
     """
-    spark = questions.sparkSession
-    wanted = _usable(questions, vector).select(question_id, vector)
-    searched = _usable(chunks, vector).select(chunk_id, vector)
-    size = wanted.agg(F.sum(F.size(vector).cast("bigint")).alias("n")).first()["n"] or 0
-    blocks = max(1, math.ceil(size * 8 / block_bytes))
+    side = max(1, int(math.sqrt(shuffle_partitions(questions.sparkSession))))
+    own = F.pmod(F.xxhash64(F.lit(1), "_q_block"), F.lit(side))
+    asked = _packed(_usable(questions, vector), question_id, vector, per_block, "_q").select(
+        "*", F.explode(F.sequence(own * side, own * side + side - 1)).alias("_cell")
+    )
+    column = F.pmod(F.xxhash64(F.lit(1), "_c_block"), F.lit(side))
+    last = F.lit(side * (side - 1)).cast("bigint")
+    offered = _packed(_usable(chunks, vector), chunk_id, vector, per_block, "_c").select(
+        "*", F.explode(F.sequence(column, column + last, F.lit(side).cast("bigint"))).alias("_cell")
+    )
     id_type = questions.schema[question_id].dataType.simpleString()
     chunk_type = chunks.schema[chunk_id].dataType.simpleString()
     schema = f"{question_id} {id_type}, {chunk_id} {chunk_type}, score double"
-
-    if blocks == 1:
-        found = _search_block(wanted, searched, schema, question_id, chunk_id, vector)[0]
-    else:
-        path = scratch_path(spark, "nearest")
-        for block in range(blocks):
-            part = wanted.filter(F.pmod(F.xxhash64(question_id), F.lit(blocks)) == block)
-            hits, shared = _search_block(part, searched, schema, question_id, chunk_id, vector)
-            hits.write.mode("append").parquet(path)
-            shared.unpersist()
-        found = spark.read.schema(schema).parquet(path)
+    met = asked.join(offered, "_cell").select("_q_block", "_q_ids", "_q_values", "_c_ids", "_c_values")
+    found = met.mapInArrow(_search(question_id, chunk_id), schema)
     # the least struct is the highest score, then the lowest id
     best = F.min(F.struct((-F.col("score")).alias("negative"), F.col(chunk_id).alias("id"))).alias("best")
     return found.groupBy(question_id).agg(best).select(
@@ -73,54 +93,49 @@ def nearest(
     )
 
 
-def _search_block(part, searched, schema, question_id, chunk_id, vector):
-    """The best chunk of each task for the questions of one block, and their broadcast."""
-    table = part.toArrow()
-    shared = part.sparkSession.sparkContext.broadcast(
-        (table.column(question_id).to_pylist(), _unit_rows(table.column(vector)))
-    )
-    return searched.mapInArrow(_search(shared, question_id, chunk_id, vector), schema), shared
-
+def _search(question_id: str, chunk_id: str):
+    def matrix(batch: pa.RecordBatch, side: str, row: int) -> tuple[pa.Array, np.ndarray]:
+        ids = batch.column(f"{side}_ids")[row].values
+        values = batch.column(f"{side}_values")[row].values.to_numpy(zero_copy_only=False)
+        return ids, values.reshape(len(ids), -1)
 
-def _search(shared, question_id: str, chunk_id: str, vector: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, wanted = shared.value
-        if not ids:
-            return
-        score = np.full(len(ids), -np.inf)
-        best: list = [None] * len(ids)
+        now, ids, score, best = None, None, np.empty(0), []
+
+        def hits() -> Iterator[pa.RecordBatch]:
+            if now is not None:
+                yield pa.RecordBatch.from_arrays(
+                    [ids, pa.array(best), pa.array(score)], [question_id, chunk_id, "score"]
+                )
+
         for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            batch = batch.sort_by(chunk_id)  # argmax then takes the lowest id of equal scores
-            names = batch.column(chunk_id).to_pylist()
-            offered = _unit_rows(batch.column(vector))
-            step = max(1, TILE_VALUES // len(ids))
-            for first in range(0, len(names), step):
-                similarity = wanted @ offered[first : first + step].T
-                at = similarity.argmax(axis=1)
-                top = similarity[np.arange(len(ids)), at]
+            for row, block in enumerate(batch.column("_q_block").to_pylist()):
+                asked, wanted = matrix(batch, "_q", row)
+                if block != now:
+                    yield from hits()
+                    now, ids, score, best = block, asked, np.full(len(asked), -np.inf), [None] * len(asked)
+                names, offered = matrix(batch, "_c", row)
+                if wanted.shape[1] != offered.shape[1]:
+                    raise ValueError(f"vectors of different widths: {wanted.shape[1]}, {offered.shape[1]}")
+                order = pc.sort_indices(names)
+                names = names.take(order)
+                similarity = wanted @ offered[order.to_numpy()].T
+                at = similarity.argmax(axis=1)  # the lowest id of equal scores
+                top = similarity[np.arange(len(asked)), at]
                 for q in np.nonzero(top >= score)[0]:
-                    name = names[first + at[q]]
+                    name = names[int(at[q])].as_py()
                     if top[q] > score[q] or best[q] is None or name < best[q]:
                         score[q], best[q] = top[q], name
-        kept = [i for i, name in enumerate(best) if name is not None]
-        if kept:
-            yield pa.RecordBatch.from_pydict(
-                {
-                    question_id: [ids[i] for i in kept],
-                    chunk_id: [best[i] for i in kept],
-                    "score": score[kept],
-                }
-            )
+        yield from hits()
 
     return run
 
 
 def _blocks(tokens: DataFrame, key: Sequence[str], side: str, per_block: int) -> DataFrame:
     """Token vectors packed into blocks of bounded length; a long text spreads over many."""
-    rows = tokens.filter(F.col("side") == side).withColumn(
-        "block", F.floor(F.col("token_idx") / per_block)
+    place = F.col("token_idx").cast("bigint")
+    rows = tokens.filter(F.col("side") == side).withColumns(
+        {"token_idx": place, "block": F.floor(place / per_block)}
     )
     packed = F.collect_list(F.struct("token_idx", "embedding"))
     return rows.groupBy(*key, "block").agg(packed.alias(f"{side}_tokens")).drop("block")
@@ -135,7 +150,7 @@ def soft_match(
     and token positions counted from 0. Precision averages the best match of each candidate
     token, recall that of each reference token. Blocks of the two sides meet; each meeting
     returns one best value per token, so memory is bounded by two blocks however long a text is.
-    A pair with an empty side has no row.
+    A pair with an empty side scores 0 throughout.
     """
     key = list(key)
     usable = _usable(tokens, "embedding")
@@ -152,6 +167,8 @@ def soft_match(
         F.avg(F.when(F.col("is_candidate"), F.col("best"))).alias("precision"),
         F.avg(F.when(~F.col("is_candidate"), F.col("best"))).alias("recall"),
     )
+    both = tokens.groupBy(*key).agg(F.count("*").alias("_n")).drop("_n").join(means, key, "left")
+    means = both.fillna(0.0, ["precision", "recall"])
     p, r = F.col("precision"), F.col("recall")
 
     def f_score(beta: int):

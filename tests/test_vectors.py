@@ -14,15 +14,15 @@ def _unit(matrix):
     return matrix / np.linalg.norm(matrix, axis=1, keepdims=True)
 
 
-@pytest.mark.parametrize("block_bytes", [1 << 20, 900])
-def test_nearest_is_exact_with_and_without_blocks(spark, block_bytes):
+@pytest.mark.parametrize("per_block", [1000, 7])
+def test_nearest_is_exact_however_vectors_are_packed(spark, per_block):
     rng = np.random.default_rng(1)
     q, c = rng.normal(size=(40, 8)), rng.normal(size=(300, 8))
     c[200] = c[7]  # a tie: the lower id must win
     q[0] = c[7]
     questions = _rows(spark, q, range(40)).withColumnRenamed("id", "question_id").repartition(3)
     chunks = _rows(spark, c, range(300)).withColumnRenamed("id", "chunk_id").repartition(5)
-    got = {r["question_id"]: r for r in vectors.nearest(questions, chunks, block_bytes=block_bytes).collect()}
+    got = {r["question_id"]: r for r in vectors.nearest(questions, chunks, per_block=per_block).collect()}
     similarity = _unit(q) @ _unit(c).T
     assert len(got) == 40 and got[0]["chunk_id"] == 7
     for i in range(40):
@@ -74,3 +74,24 @@ def test_contexts(spark):
     assert got == {1: "Context 0: \na", 2: "Context 0: \nz"}
     full = retrieval.prompt_contexts(contexts).filter(F.col("prompt_id") == 1).first()["context"]
     assert full == "Context 0: \naContext 1: \nb"
+
+
+def test_empty_sides_score_nothing(spark):
+    rows = [(1, "candidate", 0, [1.0, 0.0]), (1, "reference", 0, [1.0, 0.0]), (2, "reference", 0, [1.0, 0.0]), (3, "candidate", 0, None)]
+    tokens = spark.createDataFrame(rows, "pair long, side string, token_idx int, embedding array<double>")
+    got = {r["pair"]: (r["precision"], r["recall"], r["f1"]) for r in vectors.soft_match(tokens, ["pair"]).collect()}
+    assert got == {1: (1, 1, 1), 2: (0, 0, 0), 3: (0, 0, 0)}
+
+
+def test_widths_must_agree(spark):
+    questions = spark.createDataFrame([(1, [1.0, 0.0])], "question_id long, embedding array<double>")
+    chunks = spark.createDataFrame([(1, [1.0, 0.0, 0.0])], "chunk_id long, embedding array<double>")
+    with pytest.raises(Exception, match="different widths"):
+        vectors.nearest(questions, chunks).collect()
+
+
+def test_unfinished_tables_are_built_again(spark, tmp_path):
+    path = str(tmp_path / "index")
+    spark.range(3).write.parquet(path)
+    assert retrieval.load_or_build(spark, path, lambda: spark.range(10)).count() == 10
+    assert retrieval.load_or_build(spark, path, lambda: spark.range(99)).count() == 10
