@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import csv
-from collections.abc import Sequence
-from urllib.parse import unquote
+import io
+import zlib
+from collections.abc import Iterator, Sequence
+from itertools import islice
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,6 +26,9 @@ TASK_COLUMNS = {
 }
 
 
+_BATCH_RECORDS = 1000
+
+
 def _numbered(names: Sequence[str]) -> list[str]:
     seen: dict[str, int] = {}
     renamed = []
@@ -52,60 +58,62 @@ def find_tables(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def _headers(spark: SparkSession, path: str | Sequence[str], glob: str) -> DataFrame:
-    """``task_file`` and the first line of every file; only lines are split, nothing is parsed."""
-    lines = (
-        spark.read.option("recursiveFileLookup", True)
-        .option("pathGlobFilter", glob)
-        .text(path)
-        .select(
-            F.col("_metadata.file_path").alias("task_file"),
-            F.struct(F.monotonically_increasing_id().alias("at"), F.col("value").alias("line")).alias("first"),
-            F.col("_metadata.file_block_start").alias("start"),
-        )
-    )
-    opening = lines.filter("start = 0").groupBy("task_file").agg(F.min("first").alias("first"))
-    return opening.select("task_file", F.col("first.line").alias("header"))
+def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All records of each file with their position; the first one, the header, is at -1.
+
+    ``kind`` is a hash of the header, so that files of one kind can be read without their names.
+    """
+    limit = csv.field_size_limit(1 << 30)
+    try:
+        for batch in batches:
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1)):
+                text_ = io.TextIOWrapper(io.BytesIO(content.as_buffer()), encoding="utf-8-sig", newline="")
+                rows = (row for row in csv.reader(text_) if row)
+                header = next(rows, None)
+                if header is None:
+                    continue
+                kind = zlib.crc32("\0".join(header).encode())
+                at, held = -1, [header]
+                while held:
+                    size = len(held)
+                    places = pa.array(range(at, at + size), pa.int64())
+                    cells = pa.array(held, pa.list_(pa.string()))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([path] * size), pa.array([kind] * size, pa.int64()), places, cells],
+                        ["task_file", "kind", "row_idx", "cells"],
+                    )
+                    at += size
+                    held = list(islice(rows, _BATCH_RECORDS))
+    finally:
+        csv.field_size_limit(limit)
 
 
 def read_tables(spark: SparkSession, path: str | Sequence[str], glob: str = "*.csv") -> list[DataFrame]:
     """The CSV files below ``path``: one DataFrame per distinct header.
 
     Each has ``task_file`` (the file), ``row_idx`` (record position in the file, from 0) and the
-    named columns as text, empty cells NULL. Cells may hold line breaks and doubled quotes; the
-    header is one line. A multi-line file cannot be split, so one task reads it, in order. The
-    records are parsed once, into parquet in the shared folder, with a number that grows along a
-    file; the position is the distance to the file's first number.
+    named columns as text, empty cells NULL. Any cell, of the header too, may hold line breaks and
+    doubled quotes. Cells beyond the header have no name and are left out. A file whose cells
+    hold line breaks cannot be split, so one task reads it, in order; every file is read once,
+    into parquet in the shared folder.
     """
-    headers = _headers(spark, path, glob)
+    files = (
+        spark.read.format("binaryFile")
+        .option("recursiveFileLookup", True)
+        .option("pathGlobFilter", glob)
+        .load(path)
+        .select(F.col("_metadata.file_path").alias("task_file"), "content")
+    )
+    schema = "task_file string, kind long, row_idx long, cells array<string>"
+    stored = checkpointed(files.mapInArrow(_records, schema), "records")
     # as many distinct headers as there are kinds of files, not as there are files
-    kinds = sorted(row["header"] for row in headers.select("header").distinct().collect())
+    kinds = stored.filter("row_idx = -1").select("kind", "cells").distinct().orderBy("cells").collect()
     tables = []
-    for header in kinds:
-        names = unique_names(next(csv.reader([header])))
-        source = path
-        if len(kinds) > 1:
-            # the paths of this kind, which Spark's file index holds on the driver in any case
-            source = [unquote(row["task_file"]) for row in headers.filter(F.col("header") == header).collect()]
-        records = (
-            spark.read.schema(", ".join(f"c{i} string" for i in range(len(names))))
-            .option("header", True)
-            .option("multiLine", True)
-            .option("quote", '"')
-            .option("escape", '"')
-            .option("recursiveFileLookup", True)
-            .option("pathGlobFilter", glob)
-            .csv(source)
-            .select("*", F.col("_metadata.file_path").alias("task_file"), F.monotonically_increasing_id().alias("_at"))
-        )
-        stored = checkpointed(records, "records")
-        starts = stored.groupBy("task_file").agg(F.min("_at").alias("_start"))
-        cells = [F.nullif(F.col(f"c{i}"), F.lit("")).alias(name) for i, name in enumerate(names)]
-        tables.append(
-            stored.join(starts, "task_file").select(
-                "task_file", (F.col("_at") - F.col("_start")).alias("row_idx"), *cells
-            )
-        )
+    for kind in kinds:
+        names = unique_names(kind["cells"])
+        cells = [F.nullif(F.get("cells", F.lit(i)), F.lit("")).alias(name) for i, name in enumerate(names)]
+        rows = stored.filter((F.col("kind") == kind["kind"]) & (F.col("row_idx") >= 0))
+        tables.append(rows.select("task_file", "row_idx", *cells))
     return tables
 
 

@@ -119,3 +119,26 @@ def test_ingestion_resumes_without_repeats(spark, tmp_path, event_time):
         live.start_ingestion(stream, path, state, ["model", "row_idx", "sample_idx"], done, event_time).awaitTermination()
     rows = sorted(r["row_idx"] for r in spark.read.parquet(path).collect())
     assert rows == list(range(2, 110))
+
+
+def test_header_cells_may_hold_line_breaks(spark, tmp_path):
+    _write(tmp_path / "a.csv", ["k", "two\nlines", "last"], [["1", "2", "3"], ["4", "", "6", "more"], ["7"]])
+    (tmp_path / "empty.csv").write_text("")
+    [table] = tables.read_tables(spark, str(tmp_path))
+    assert table.columns == ["task_file", "row_idx", "k", "two\nlines", "last"]
+    rows = [tuple(r)[1:] for r in table.orderBy("row_idx").collect()]
+    assert rows == [(0, "1", "2", "3"), (1, "4", None, "6"), (2, "7", None, None)]
+
+
+def test_many_files_of_two_kinds(spark, tmp_path):
+    for i in range(300):
+        _write(tmp_path / f"f{i}.csv", ["a", "b"] if i % 3 else ["a", "c"], [[str(i), "x"]])
+    counts = {tuple(t.columns[2:]): t.count() for t in tables.read_tables(spark, str(tmp_path))}
+    assert counts == {("a", "b"): 200, ("a", "c"): 100}
+
+
+def test_booleans_and_attribution_of_read_tables(spark, tmp_path):
+    _write(tmp_path / "gpt" / "COT" / "a.csv", ["flag"], [["True"], ["false"], [""]])
+    [table] = tables.read_tables(spark, str(tmp_path))
+    flags = [r["flag"] for r in tables.as_booleans(table, ["flag"]).orderBy("row_idx").collect()]
+    assert flags == [True, False, False]
