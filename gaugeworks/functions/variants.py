@@ -3,7 +3,8 @@
 Nothing here shuffles: each expression looks at the document of its row. Counts and verdicts need
 no paths, so they scan the compact JSON text once. Leaves need paths, so they walk: a fold over
 the depth whose accumulator holds the nodes of the current depth, each step replacing them by
-their children. A document deeper than ``max_depth`` raises instead of losing leaves.
+their children. A document deeper than the usual depth is walked on, for as many steps as its
+text has brackets, which no nesting can exceed.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 
 from gaugeworks.functions.text import occurrences
 
-MAX_DEPTH = 32
+USUAL_DEPTH = 12
 
 # A string and a zero as JSON writes them.
 JSON_STRING = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
@@ -43,18 +44,27 @@ def _start(doc: Column) -> Column:
     return F.array(root).cast(_NODES)
 
 
-def _fold(state: Column, step: Callable[[Column], Column], result: str, max_depth: int) -> Column:
+def _fold(state: Column, step: Callable[[Column], Column], result: str, doc: Column, max_depth: int | None) -> Column:
     def finish(acc: Column) -> Column:
         too_deep = F.raise_error(F.lit(f"document is deeper than {max_depth} levels"))
         return F.when(F.size(acc["nodes"]) == 0, acc[result]).otherwise(too_deep)
 
-    # one step per level, one to see the last nodes and one to run out of them
-    levels = F.sequence(F.lit(1), F.lit(max_depth + 2))
-
     def advance(acc: Column, _: Column) -> Column:
         return F.when(F.size(acc["nodes"]) == 0, acc).otherwise(step(acc))
 
-    return F.aggregate(levels, state, advance, finish)
+    # one step per level, one to see the last nodes and one to run out of them
+    if max_depth is not None:
+        return F.aggregate(F.sequence(F.lit(1), F.lit(max_depth + 2)), state, advance, finish)
+    usual = F.aggregate(F.sequence(F.lit(1), F.lit(USUAL_DEPTH + 2)), state, advance)
+    text = F.to_json(doc)
+    brackets = F.length(text) - F.length(F.translate(text, "[{", ""))
+
+    def go_on(acc: Column) -> Column:
+        rest = F.aggregate(F.sequence(F.lit(1), brackets + 2), acc, advance, lambda a: a[result])
+        return F.when(F.size(acc["nodes"]) == 0, acc[result]).otherwise(rest)
+
+    # the transform of one element evaluates the usual walk once
+    return F.transform(F.array(usual), go_on)[0]
 
 
 def count_key(doc: Column, key: str) -> Column:
@@ -76,11 +86,11 @@ def _members(node: Column, named: Callable[[Column], Column]) -> Column:
     )
 
 
-def leaves(doc: Column, max_depth: int = MAX_DEPTH) -> Column:
+def leaves(doc: Column, max_depth: int | None = None) -> Column:
     """``array<struct(path, value)>`` of the scalars; list positions are not part of a path.
 
     ``below`` keeps the children of each node, NULL for a scalar, so that a node is taken apart
-    once only.
+    once only. With ``max_depth`` a deeper document is an error.
     """
 
     def children(node: Column) -> Column:
@@ -104,7 +114,7 @@ def leaves(doc: Column, max_depth: int = MAX_DEPTH) -> Column:
         F.transform(start, children).cast(_LEVEL).alias("below"),
         _empty(_NODES).alias("found"),
     )
-    found = _fold(state, step, "found", max_depth)
+    found = _fold(state, step, "found", doc, max_depth)
     pathed = F.transform(found, lambda n: F.struct(n["name"].alias("path"), n["value"].alias("value")))
     return F.when(doc.isNotNull(), pathed)
 

@@ -87,7 +87,9 @@ class Section:
         return check
 
     def undefined(self, path: str) -> Check:
-        return lambda r, _: self._attribute(r, path).isNull()
+        """The negation of ``defined``: missing, or false."""
+        defined = self.defined(path)
+        return lambda r, rs: ~F.coalesce(defined(r, rs), F.lit(False))
 
     def equals(self, path: str, value: str | int | float | bool) -> Check:
         """Typed constant equality; it does not hold for a missing value or another type."""
@@ -121,7 +123,8 @@ class Section:
         return lambda r, _: variants.type_name(self._value(r, path)) == "BOOLEAN"
 
     def in_range(self, path: str, low: float, high: float) -> Check:
-        return lambda r, _: self._value(r, path, "double").between(low, high)
+        """A number in the range; texts and booleans are in none."""
+        return lambda r, _: self._same_kind(r, path, low) & self._value(r, path, "double").between(low, high)
 
     def is_cidr(self, path: str, version: int | None = None) -> Check:
         shapes = {4: [ipv4_cidr], 6: [ipv6_cidr], None: [ipv4_cidr, ipv6_cidr]}[version]
@@ -133,7 +136,7 @@ class Section:
         return check
 
     def one_of(self, path: str, values: Sequence[str]) -> Check:
-        return lambda r, _: self._value(r, path, "string").isin(*values)
+        return lambda r, _: self._same_kind(r, path, "") & self._value(r, path, "string").isin(*values)
 
     def without(self, path: str, *others: str) -> Check:
         """The attribute is defined and the conflicting ones are not."""
@@ -141,10 +144,10 @@ class Section:
 
     def text_below(self, path: str, bound: str) -> Check:
         """Lexicographic comparison, as versions are compared."""
-        return lambda r, _: self._value(r, path, "string") < bound
+        return lambda r, _: self._same_kind(r, path, bound) & (self._value(r, path, "string") < bound)
 
     def text_at_least(self, path: str, bound: str) -> Check:
-        return lambda r, _: self._value(r, path, "string") >= bound
+        return lambda r, _: self._same_kind(r, path, bound) & (self._value(r, path, "string") >= bound)
 
     def refers_to(self, path: str, type_: str, *checks: Check) -> Check:
         """The attribute refers to a resource of the type, in the same plan, passing the checks."""

@@ -69,12 +69,14 @@ def plan_resources(plans: DataFrame, section: str = "configuration", key: str =
 def plan_edges(resources: DataFrame, key: str = "plan_id", keep: Sequence[str] = ()) -> DataFrame:
     """One row per reference: which attribute of which resource refers to what.
 
-    ``keep`` names further columns of the referring resource to carry along.
+    ``keep`` names further columns of the referring resource to carry along. Resources that refer
+    to nothing are not walked.
     """
+    refers = variants.count_key(F.col("attributes"), REFERENCES) > 0
     found = F.filter(
         variants.leaves(F.col("attributes")), lambda n: n["path"].rlike(rf"(?:^|\.){REFERENCES}$")
     )
-    rows = resources.select(key, F.col("address").alias("src_address"), *keep, F.explode(found).alias("_leaf"))
+    rows = resources.filter(refers).select(key, F.col("address").alias("src_address"), *keep, F.explode(found).alias("_leaf"))
     return rows.select(
         key,
         "src_address",

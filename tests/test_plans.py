@@ -177,3 +177,35 @@ def test_conditions_never_shuffle(plans):
     rule = checks.body(c.has_type("aws_vpc"), c.refers_to("pool_id", "aws_ipam_pool"))
     plan = checks.evaluate(plans, {"x": rule})._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan
+
+
+def test_checks_are_typed(spark):
+    text = json.dumps({"configuration": {"root_module": {"resources": [
+        {"address": "a", "type": "t", "mode": "managed", "expressions": {
+            "text": {"constant_value": "5"}, "flag": {"constant_value": True}, "number": {"constant_value": 443}, "off": False,
+        }}]}}})
+    plans = spark.createDataFrame([("p", text)], "plan_id string, json string").select("plan_id", F.parse_json("json").alias("doc"))
+    c = checks.Section()
+    got = holds(
+        plans,
+        there=checks.body(c.defined("text")),
+        text_in_range=checks.body(c.in_range("text", 0, 32)),
+        flag_in_range=checks.body(c.in_range("flag", 0, 32)),
+        number_in_range=checks.body(c.in_range("number", 0, 500)),
+        number_one_of=checks.body(c.one_of("number", ["443"])),
+        text_one_of=checks.body(c.one_of("text", ["5"])),
+        number_below=checks.body(c.text_below("number", "5")),
+        text_below=checks.body(c.text_below("text", "6")),
+        number_at_least=checks.body(c.text_at_least("number", "1")),
+        off_undefined=checks.body(c.undefined("off")),
+        off_defined=checks.body(c.defined("off")),
+        text_undefined=checks.body(c.undefined("text")),
+    )["p"]
+    assert {k for k, v in got.items() if v} == {"there", "number_in_range", "text_one_of", "text_below", "off_undefined"}
+
+
+def test_deep_documents_are_walked_to_the_end(spark):
+    deep = '{"a":' * 60 + "[1,2]" + "}" * 60
+    rows = spark.createDataFrame([(deep,), ('{"b":[[[3]]]}',)], "json string").select(F.parse_json("json").alias("v"))
+    got = sorted(tuple((x.path, x.value) for x in r[0]) for r in rows.select(F.transform(variants.leaves(F.col("v")), lambda x: F.struct(x["path"].alias("path"), F.to_json(x["value"]).alias("value")))).collect())
+    assert got == [((".".join("a" * 60), "1"), (".".join("a" * 60), "2")), (("b", "3"),)]
