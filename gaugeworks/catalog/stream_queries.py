@@ -55,7 +55,11 @@ def st2(spark, sf):
     )
     for _ in range(2):
         arriving = _arriving(spark, sf, "lineitem").select(
-            F.col("l_orderkey").alias("row_idx"), F.col("l_linenumber").alias("sample_idx")
+            F.col("l_orderkey").alias("row_idx"),
+            F.col("l_linenumber").alias("sample_idx"),
+            F.col("l_shipdate").cast("timestamp").alias("at"),
         )
-        live.start_ingestion(arriving, path, checkpoint, ["row_idx", "sample_idx"], done).awaitTermination()
-    return spark.read.parquet(path)
+        # keys are forgotten a day after the latest event time
+        query = live.start_ingestion(arriving, path, checkpoint, ["row_idx", "sample_idx"], done, event_time="at")
+        query.awaitTermination()
+    return spark.read.parquet(path).drop("at")

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -32,12 +35,27 @@ def start_report(
 ) -> StreamingQuery:
     """Keep the counters of every group up to date below ``path``.
 
-    Each batch writes its changed groups under its batch number, so a repeated batch overwrites
-    itself; :func:`read_report` takes the latest row per group.
+    Two snapshots take turns, so the folder does not grow: a batch merges its changed groups into
+    the snapshot of the batch before and overwrites the older one, as one file, which appears
+    whole or not at all. A repeated batch overwrites itself. :func:`read_report` takes the latest
+    row of each group.
     """
 
     def upsert(changed: DataFrame, batch_id: int) -> None:
-        changed.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        spark = changed.sparkSession
+        try:
+            before = spark.read.parquet(f"{path}/slot={(batch_id + 1) % 2}")
+        except AnalysisException as error:
+            if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+                raise
+            merged = changed
+        else:
+            new, old = changed.alias("new"), before.alias("old")
+            same = reduce(and_, [F.col(f"new.{c}").eqNullSafe(F.col(f"old.{c}")) for c in group])
+            merged = changed.unionByName(old.join(new, same, "left_anti").drop("batch"))
+        merged.withColumn("batch", F.lit(batch_id)).coalesce(1).write.mode("overwrite").parquet(
+            f"{path}/slot={batch_id % 2}"
+        )
 
     return (
         live_counters(samples, group)
