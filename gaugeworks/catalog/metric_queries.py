@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from gaugeworks.catalog import views as V
 from gaugeworks.catalog.registry import query, rounded
 from gaugeworks.functions import scores, variants
-from gaugeworks.operators import accuracy, bleu, judge, measure, ordinals, passk, report, vectors
+from gaugeworks.operators import accuracy, bleu, judge, measure, ordinals, passk, report, scoring, vectors
 from gaugeworks.plans import documents
 
 N = 20
@@ -126,9 +126,35 @@ def _by_correctness_sql(metric: str, column: str, source: str) -> str:
 
 @query("a05_mean_bleu", V.with_sql(*_DOC_BLEU) + _by_correctness_sql("bleu", "bleu", "bleu"))
 def a05(spark, sf):
+    return _values(_mean_bleu(spark, sf))
+
+
+def _mean_bleu(spark, sf):
+    # the group goes along as a key, so that the pairs are made once
+    scored = bleu.bleu(V.doc_pairs(spark, sf), ["row_idx", "model", "strategy", "correct"])
+    return accuracy.mean_by_correctness(scored, [("bleu", "bleu")])
+
+
+_SAMPLE_PAIRS_SQL = """
+bleu_pairs AS (
+  SELECT p.model, p.strategy, p.row_idx, p.correct, p.reference, x.code AS candidate
+  FROM doc_pairs p JOIN extracted x ON x.doc_id = p.row_idx)"""
+
+
+@query(
+    "a05_sample_scores",
+    V.with_sql(V.DOC_PAIRS_SQL, V.EXTRACTED_SQL, _SAMPLE_PAIRS_SQL, _BLEU_SQL)
+    + f"""SELECT model, strategy, row_idx, CAST(0 AS INTEGER) AS sample_idx, round(bleu, 6) AS bleu,
+            trim(reference, {_SPACE}) = trim(candidate, {_SPACE}) AS exact
+          FROM bleu JOIN (SELECT row_idx, reference, candidate FROM bleu_pairs) USING (row_idx)""",
+)
+def a05_samples(spark, sf):
     pairs = V.doc_pairs(spark, sf)
-    scored = bleu.bleu(pairs, ["row_idx"]).join(pairs.select("row_idx", "model", "strategy", "correct"), "row_idx")
-    return _values(accuracy.mean_by_correctness(scored, [("bleu", "bleu")]))
+    outputs = V.raw_outputs(spark, sf).withColumnRenamed("doc_id", "row_idx")
+    first = F.lit(0).alias("sample_idx")
+    rows = pairs.select("model", "strategy", F.lit("docs").alias("task_file"), "row_idx", first).join(outputs, "row_idx")
+    tasks = pairs.select(F.lit("docs").alias("task_file"), "row_idx", "reference")
+    return rounded(scoring.score_samples(rows, tasks), "bleu").drop("task_file")
 
 
 @query(
@@ -257,11 +283,11 @@ def a11(spark, sf):
 
 _JUDGE_SQL = """
 confusion AS (
-  SELECT model, strategy, count(*) AS n, count(*) FILTER (rating = 'correct') AS yes,
+  SELECT model, strategy, judge, count(*) AS n, count(*) FILTER (rating = 'correct') AS yes,
          count(*) FILTER (rating = 'correct' AND correct) AS tp,
          count(*) FILTER (rating = 'correct' AND NOT correct) AS fp,
          count(*) FILTER (rating = 'incorrect' AND correct) AS fn
-  FROM judged GROUP BY model, strategy)"""
+  FROM judged GROUP BY model, strategy, judge)"""
 
 
 def _judge_report(spark, sf):
@@ -272,7 +298,7 @@ def _judge_report(spark, sf):
 @query(
     "a12_judge_accuracy",
     V.with_sql(V.JUDGED_SQL, _JUDGE_SQL)
-    + "SELECT model, strategy, 'llm-judge' AS metric, 'accuracy' AS key, round(yes / n, 6) AS value FROM confusion",
+    + "SELECT model, strategy, judge, 'llm-judge' AS metric, 'accuracy' AS key, round(yes / n, 6) AS value FROM confusion",
 )
 def a12(spark, sf):
     return _judge_report(spark, sf).filter("key = 'accuracy'")
@@ -281,9 +307,9 @@ def a12(spark, sf):
 @query(
     "a13_judge_precision_recall",
     V.with_sql(V.JUDGED_SQL, _JUDGE_SQL)
-    + """SELECT model, strategy, 'llm-judge' AS metric, 'precision' AS key,
+    + """SELECT model, strategy, judge, 'llm-judge' AS metric, 'precision' AS key,
            round(CASE WHEN tp + fp = 0 THEN 0 ELSE tp / (tp + fp) END, 6) AS value FROM confusion
-         UNION ALL SELECT model, strategy, 'llm-judge', 'recall',
+         UNION ALL SELECT model, strategy, judge, 'llm-judge', 'recall',
            round(CASE WHEN tp + fn = 0 THEN 0 ELSE tp / (tp + fn) END, 6) FROM confusion""",
 )
 def a13(spark, sf):
@@ -323,7 +349,7 @@ def a21(spark, sf):
          LEFT JOIN scored s ON s.model = g.model AND s.strategy = g.strategy GROUP BY g.model, g.strategy""",
 )
 def j02(spark, sf):
-    pass_rows = _pass_at_k(spark, sf).withColumn("key", F.col("k").cast("string")).drop("k")
+    pass_rows = passk.as_report(_pass_at_k(spark, sf))
     return _values(report.enrich(pass_rows, accuracy.accuracy(V.line_samples(spark, sf))))
 
 
@@ -335,6 +361,38 @@ report AS (
 _REPORT = (*_SCORED, V.ORDER_TASKS_SQL, _BY_LEVEL_SQL, _REPORT_SQL)
 
 
+_FULL_REPORT_SQL = (
+    V.with_sql(*_REPORT, V.EVENT_SAMPLES_SQL, _PASSK_SQL, *_DOC_BLEU, V.JUDGED_SQL, _JUDGE_SQL, _SOFT_SQL)
+    + "SELECT * FROM report UNION ALL "
+    + "SELECT model, strategy, metric, CAST(k AS VARCHAR) AS key, round(value, 6) AS value FROM pass_at_k UNION ALL "
+    + _by_correctness_sql("bleu", "bleu", "bleu")
+    + " UNION ALL "
+    + _by_correctness_sql("f1", "f1", "soft")
+    + """ UNION ALL SELECT model, strategy, 'llm-judge', judge || ' accuracy', round(yes / n, 6) FROM confusion
+          UNION ALL SELECT model, strategy, 'llm-judge', judge || ' precision',
+            round(CASE WHEN tp + fp = 0 THEN 0 ELSE tp / (tp + fp) END, 6) FROM confusion
+          UNION ALL SELECT model, strategy, 'llm-judge', judge || ' recall',
+            round(CASE WHEN tp + fn = 0 THEN 0 ELSE tp / (tp + fn) END, 6) FROM confusion"""
+)
+
+
+@query("s08_full_report", _FULL_REPORT_SQL)
+def s08_full(spark, sf):
+    """Every metric family in one report."""
+    judged = judge.judge_report(judge.judged_samples(V.label_samples(spark, sf), V.judgements(spark, sf)))
+    soft = _soft_match(spark, sf).selectExpr(
+        "*", "concat('m', pair % 4) AS model", "'Standard' AS strategy", "pair % 3 = 0 AS correct"
+    )
+    families = [
+        report_rows(spark, sf),
+        passk.as_report(_pass_at_k(spark, sf)),
+        _mean_bleu(spark, sf),
+        accuracy.mean_by_correctness(soft, [("f1", "f1")]),
+        judged.withColumn("key", F.concat_ws(" ", "judge", "key")),
+    ]
+    return _values(report.assemble(*families))
+
+
 def report_rows(spark, sf):
     rows, tasks = V.line_samples(spark, sf), V.order_tasks(spark, sf)
     return _values(report.assemble(accuracy.accuracy(rows), accuracy.accuracy_by_level(rows, tasks)))

@@ -214,10 +214,10 @@ def r03(spark, sf):
 )
 def s02_wide(spark, sf):
     path = scratch_path(spark, "wide")
-    wide = reshape.to_wide(V.line_results(spark, sf), ["task_file", "row_idx"], 7)
+    wide = reshape.to_wide(V.line_results(spark, sf), ["task_file", "row_idx"])
     sinks.write_csv(wide.withColumnsRenamed({"task_file": "file", "row_idx": "row"}), path)
     [table] = tables.read_tables(spark, path)
-    long = reshape.to_long(table, ["file", "row"]).filter(F.col("output").isNotNull())
+    long = reshape.to_long(table, ["file", "row"])
     return long.withColumnsRenamed({"file": "task_file", "row": "row_idx"}).withColumn(
         "row_idx", F.col("row_idx").cast("bigint")
     )

@@ -112,7 +112,7 @@ def t06(spark, sf):
        FROM documents d JOIN labels l ON l.doc_id = d.doc_id""",
 )
 def t07(spark, sf):
-    return V.judgements(spark, sf).select(
+    return V.judgements(spark, sf).filter("judge = 'a'").select(
         F.col("row_idx").alias("doc_id"), text.last_line(F.col("judge_output")).alias("rating_line")
     )
 
@@ -124,7 +124,7 @@ def t07(spark, sf):
        FROM documents d JOIN labels l ON l.doc_id = d.doc_id""",
 )
 def t08(spark, sf):
-    return V.judgements(spark, sf).select(
+    return V.judgements(spark, sf).filter("judge = 'a'").select(
         F.col("row_idx").alias("doc_id"), text.classify_verdict(F.col("judge_verdict")).alias("class")
     )
 
@@ -136,7 +136,7 @@ def t08(spark, sf):
        FROM documents d JOIN labels l ON l.doc_id = d.doc_id""",
 )
 def t09(spark, sf):
-    return V.judgements(spark, sf).select(
+    return V.judgements(spark, sf).filter("judge = 'a'").select(
         F.col("row_idx").alias("doc_id"), text.rescue_rating(F.col("judge_output")).alias("rating")
     )
 

@@ -20,16 +20,7 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 def documents(spark: SparkSession, sf: str, *columns: str) -> DataFrame:
     """Columns of the documents, for work on their whole texts."""
-    return spread(table(spark, sf, "documents").select(*columns))
-
-
-def spread(rows: DataFrame) -> DataFrame:
-    """Rows over all cores where the scan has fewer partitions, as for one small file.
-
-    For work that costs much per row. A scan of many files has enough partitions and stays as is.
-    """
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+    return table(spark, sf, "documents").select(*columns)
 
 
 # -- samples: several per task, from events -------------------------------------------------
@@ -121,7 +112,7 @@ def order_tasks(spark: SparkSession, sf: str) -> DataFrame:
 # -- samples: full result rows, one per order line -------------------------------------------
 
 _RESULT_COLUMNS = {
-    "output": "concat('code ', max(l_partkey))",
+    "output": "CASE WHEN max(l_partkey) % 9 = 0 THEN NULL ELSE concat('code ', max(l_partkey)) END",
     "plannable": "CASE WHEN bool_or(l_returnflag <> 'R') THEN 'true' ELSE 'false' END",
     "verdict": """CASE WHEN bool_or(l_returnflag = 'A') THEN NULL
                        WHEN bool_or(l_linestatus = 'F') THEN 'Success' ELSE 'Failure' END""",
@@ -229,10 +220,11 @@ extracted AS (
 
 JUDGED_SQL = """
 judged AS (
-  SELECT 'm' || (d.doc_id % 4) AS model, d.lang AS strategy, l.quality = 1 AS correct,
+  SELECT 'm' || (d.doc_id % 4) AS model, d.lang AS strategy, j.judge, l.quality = 1 AS correct,
          CASE WHEN d.n_chars % 10 = 1 THEN 'unrated'
-              WHEN l.toxic = 0 THEN 'correct' ELSE 'incorrect' END AS rating
-  FROM documents d JOIN labels l ON l.doc_id = d.doc_id)"""
+              WHEN (j.judge = 'a' AND l.toxic = 0) OR (j.judge = 'b' AND d.doc_id % 3 = 0) THEN 'correct'
+              ELSE 'incorrect' END AS rating
+  FROM documents d JOIN labels l ON l.doc_id = d.doc_id, unnest(['a', 'b']) AS j(judge))"""
 
 
 def labelled(spark: SparkSession, sf: str) -> DataFrame:
@@ -263,15 +255,17 @@ def label_samples(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def judgements(spark: SparkSession, sf: str) -> DataFrame:
-    """Judge texts ending in a rating; some verdicts are missing, some rate nothing."""
-    rating = "concat('Rating: ', CASE WHEN toxic = 0 THEN 'Correct' ELSE 'Incorrect' END)"
-    return labelled(spark, sf).selectExpr(
+    """Texts of two judges ending in a rating; some verdicts are missing, some rate nothing."""
+    correct = "(judge = 'a' AND toxic = 0) OR (judge = 'b' AND doc_id % 3 = 0)"
+    rating = f"concat('Rating: ', CASE WHEN {correct} THEN 'Correct' ELSE 'Incorrect' END)"
+    judges = F.explode(F.array(F.lit("a"), F.lit("b")))
+    return labelled(spark, sf).withColumn("judge", judges).selectExpr(
         "model",
         "strategy",
         "task_file",
         "row_idx",
         "sample_idx",
-        "'judge' AS judge",
+        "judge",
         "0 AS judge_run",
         f"""CASE n_chars % 10 WHEN 0 THEN concat(text, '\\n', {rating}, '\\nAs explained.')
                  WHEN 1 THEN concat(text, '\\nNo opinion.')
@@ -364,7 +358,7 @@ def plan_texts(spark: SparkSession, sf: str, order_keys: DataFrame | None = None
     )
     if order_keys is not None:
         orders = orders.join(order_keys, "o_orderkey", "left_semi")
-    return spread(orders).selectExpr("o_orderkey AS plan_id", f"{document} AS json")
+    return orders.selectExpr("o_orderkey AS plan_id", f"{document} AS json")
 
 
 def plans(spark: SparkSession, sf: str) -> DataFrame:
@@ -401,7 +395,7 @@ def policy_outputs(spark: SparkSession, sf: str) -> DataFrame:
     orders = table(spark, sf, "orders").select(
         "o_orderkey", "o_orderstatus", "o_totalprice", "o_orderpriority"
     )
-    texts = spread(orders).selectExpr("o_orderkey AS plan_id", f"{spliced} AS json")
+    texts = orders.selectExpr("o_orderkey AS plan_id", f"{spliced} AS json")
     return plan_documents.parse(texts)
 
 

@@ -111,9 +111,15 @@ def follow_up_prompt(
     plan_error: Column,
     policy_error: Column,
 ) -> Column:
-    """Second-turn prompt: plan error, else policy violation, else the prompt unchanged."""
+    """Second-turn prompt: plan error, else policy violation, else the prompt unchanged.
+
+    What is not known to be plannable is not; a missing text fills its slot with nothing.
+    """
+    code, policy, plan_error, policy_error = (
+        F.coalesce(slot, F.lit("")) for slot in (code, policy, plan_error, policy_error)
+    )
     return (
-        F.when(~plannable, fill(PLAN_ERROR_PROMPT, prompt, code, plan_error))
+        F.when(~F.coalesce(plannable, F.lit(False)), fill(PLAN_ERROR_PROMPT, prompt, code, plan_error))
         .when(verdict == "Failure", fill(POLICY_ERROR_PROMPT, prompt, code, policy, policy_error))
         .otherwise(prompt)
     )

@@ -26,13 +26,15 @@ def difficulty_level(
     interconnections: Column,
     limits: Sequence[tuple[int, int, int]] = DIFFICULTY_LIMITS,
 ) -> Column:
-    chain = None
+    """Level 1 for the easiest; NULL if a measure is missing."""
+    known = lines.isNotNull() & resources.isNotNull() & interconnections.isNotNull()
+    chain = F.when(~known, F.lit(None).cast("int"))
     for level, (below_lines, below_resources, below_links) in enumerate(limits, start=1):
         fits = (
             (lines < below_lines)
             & (resources < below_resources)
             & (interconnections < below_links)
         )
-        chain = F.when(fits, F.lit(level)) if chain is None else chain.when(fits, F.lit(level))
+        chain = chain.when(fits, F.lit(level))
     return chain.otherwise(F.lit(len(limits) + 1))
 

@@ -19,18 +19,27 @@ def rated(judgements: DataFrame) -> DataFrame:
     )
 
 
-def judged_samples(samples: DataFrame, judgements: DataFrame, judge_run: int = 0) -> DataFrame:
-    """The scored rows with the rating of one judge run; rows it did not rate are unrated."""
-    ratings = rated(judgements.filter(F.col("judge_run") == judge_run)).select(*SAMPLE_KEY, "rating")
+def judged_samples(
+    samples: DataFrame, judgements: DataFrame, judge_run: int = 0, judges: Sequence[str] | None = None
+) -> DataFrame:
+    """The scored rows once for each judge, with its rating in one run; rows it did not rate are unrated.
+
+    ``judges`` are read from the judgements if they are not named.
+    """
+    run = judgements.filter(F.col("judge_run") == judge_run)
+    if judges is None:
+        judges = sorted(r["judge"] for r in run.select("judge").where("judge IS NOT NULL").distinct().collect())
+    ratings = rated(run).select(*SAMPLE_KEY, "judge", "rating")
     return (
         scored_rows(samples)
-        .join(ratings, SAMPLE_KEY, "left")
+        .withColumn("judge", F.explode(F.array(*[F.lit(j) for j in judges]).cast("array<string>")))
+        .join(ratings, [*SAMPLE_KEY, "judge"], "left")
         .withColumn("rating", F.coalesce("rating", F.lit("unrated")))
     )
 
 
-def judge_report(judged: DataFrame, group: Sequence[str] = tuple(GROUP)) -> DataFrame:
-    """Judge accuracy (judged correct / all rows), and precision and recall against ``correct``."""
+def judge_report(judged: DataFrame, group: Sequence[str] = (*GROUP, "judge")) -> DataFrame:
+    """Per judge: accuracy (judged correct / all rows), and precision and recall against ``correct``."""
     yes, no = F.col("rating") == "correct", F.col("rating") == "incorrect"
     counts = judged.groupBy(*group).agg(
         F.count("*").alias("n_rows"),

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,7 +13,7 @@ from pyspark.sql import functions as F
 def number_rows(
     rows: DataFrame, group: Sequence[str], order: Sequence[str], bucket: Column, name: str = "row_idx"
 ) -> DataFrame:
-    """Position from 0 of each row within its group, by ``order``.
+    """Position from 0 of each row within its group, by ``order``; NULLs form a group and come first.
 
     ``bucket`` must not decrease along the order and should cut a group into pieces one task can
     sort (a day of a timestamp, a range of an id). Rows are sorted within (group, bucket) only;
@@ -24,11 +26,11 @@ def number_rows(
         *group, "_bucket", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset")
     )
     within = Window.partitionBy(*group, "_bucket").orderBy(*order)
-    return (
-        cut.withColumn("_position", F.row_number().over(within) - 1)
-        .join(offsets, [*group, "_bucket"])
-        .withColumn(name, F.col("_offset") + F.col("_position"))
-        .drop("_bucket", "_position", "_offset")
+    numbered = cut.withColumn("_position", F.row_number().over(within) - 1).alias("_row")
+    same = reduce(and_, [F.col(f"_row.`{c}`").eqNullSafe(F.col(f"_at.`{c}`")) for c in [*group, "_bucket"]])
+    return numbered.join(offsets.alias("_at"), same).select(
+        *[F.col(f"_row.`{c}`") for c in rows.columns],
+        (F.col("_at._offset") + F.col("_row._position")).alias(name),
     )
 
 

@@ -41,12 +41,17 @@ def pass_at_k_report(
     n: int,
     ks: Sequence[int] | None = None,
     group: Sequence[str] = tuple(GROUP),
-    strict: bool = False,
+    strict: bool = True,
 ) -> DataFrame:
     """Mean pass@k, by verdict and by plan only, over the first n samples of every task.
 
-    Tasks with fewer than n samples are left to :func:`first_samples`'s second result, or are an
-    error when ``strict``.
+    A task with fewer than n samples is an error. Unless ``strict``, such tasks are left out;
+    :func:`first_samples` names them.
     """
     enough, _ = first_samples(with_prompt(samples), n, strict=strict)
     return mean_pass_at_k(enough, n, ks or range(1, n + 1), group)
+
+
+def as_report(rows: DataFrame) -> DataFrame:
+    """pass@k rows as report rows: k is the key."""
+    return rows.withColumn("key", F.col("k").cast("string")).drop("k")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -43,40 +45,51 @@ def to_long(wide: DataFrame, keep: Sequence[str]) -> DataFrame:
     """One row per sample from a wide table; ``keep`` are the columns to repeat.
 
     ``sample_idx`` is the position of the sample's columns, booleans are read leniently, and
-    empty texts (missing cells) become NULL.
+    empty texts (missing cells) become NULL. A sample is there if any of its six cells is set: an
+    empty output with a verdict is a sample, columns that another task needed are none.
     """
     present = set(wide.columns)
     structs = []
     for position, number in enumerate(sample_numbers(wide.columns)):
         fields = [F.lit(position).alias("sample_idx")]
+        cells = []
         for name, prefix in SAMPLE_COLUMNS.items():
             column = f"{prefix}{number}"
             cell = F.col(_quoted(column)).cast("string") if column in present else F.lit(None).cast("string")
             cell = F.nullif(cell, F.lit(""))
+            cells.append(cell)
             fields.append((text.lenient_true(cell) if name == "plannable" else cell).alias(name))
-        structs.append(F.struct(*fields))
+        structs.append(F.when(F.coalesce(*cells).isNotNull(), F.struct(*fields)))
     if not structs:
         raise ValueError("the table has no sample columns")
-    return wide.select(*[F.col(_quoted(k)) for k in keep], F.inline(F.array(*structs)))
+    present = F.filter(F.array(*structs), lambda s: s.isNotNull())
+    return wide.select(*[F.col(_quoted(k)) for k in keep], F.inline(present))
+
+
+def sample_width(samples: DataFrame) -> int:
+    """How many samples a wide table needs columns for."""
+    return (samples.agg(F.max("sample_idx").alias("last")).first()["last"] or 0) + 1
 
 
-def to_wide(samples: DataFrame, key: Sequence[str], n: int) -> DataFrame:
-    """Six columns per sample; only the first n samples have columns.
+def to_wide(samples: DataFrame, key: Sequence[str], n: int | None = None) -> DataFrame:
+    """Six columns per sample, for n samples or for as many as there are.
 
-    A task gathers at most n samples: a repeated sample is an error, not a longer list.
+    The cells are combined map-side, one value each. A sample beyond n is an error, and so is a
+    repeated one.
     """
-    sample = F.struct(F.col("sample_idx").cast("int"), F.struct(*SAMPLE_COLUMNS))
-    gathered = (
-        samples.filter(F.col("sample_idx").between(0, n - 1))
-        .groupBy(*key)
-        .agg(F.map_from_entries(F.collect_list(sample)).alias("_samples"))
-    )
-    cells = [
-        F.try_element_at("_samples", F.lit(number))[name].alias(f"{prefix}{number}")
-        for number in range(n)
-        for name, prefix in SAMPLE_COLUMNS.items()
-    ]
-    return gathered.select(*key, *cells)
+    n = sample_width(samples) if n is None else n
+    index = F.col("sample_idx")
+    outside = F.raise_error(F.concat(F.lit(f"sample not in 0..{n - 1}: "), index.cast("string"))).cast("int")
+    placed = F.when(index.between(0, n - 1), index.cast("int")).otherwise(outside)
+    cells, once = [], []
+    for number in range(n):
+        here = F.col("_place") == number
+        once.append(F.count_if(here) <= 1)
+        cells += [F.max(F.when(here, F.col(name))).alias(f"{prefix}{number}") for name, prefix in SAMPLE_COLUMNS.items()]
+    wide = samples.withColumn("_place", placed).groupBy(*key).agg(*cells, reduce(and_, once).alias("_once"))
+    repeated = F.raise_error(F.concat(F.lit("repeated sample: "), F.to_json(F.struct(*key)))).cast("boolean")
+    # in a filter, so that no later column pruning removes it
+    return wide.filter(F.when(F.col("_once"), True).otherwise(repeated)).drop("_once")
 
 
 def add_empty_samples(wide: DataFrame, first: int, n: int) -> DataFrame:

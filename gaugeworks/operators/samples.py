@@ -93,10 +93,11 @@ def final_turns(turns: DataFrame, key: Sequence[str] = tuple(SAMPLE_KEY)) -> Dat
     """The result of the last turn of every sample.
 
     The latest turn is found by a map-side combined aggregate that carries only the turn number;
-    the wide columns come from joining it back, so no group is ever gathered.
+    the wide columns come from joining it back, so no group is ever gathered. Of rows that repeat
+    the last turn one stays.
     """
     last = turns.groupBy(*key).agg(F.max("turn").alias("turn"))
-    return turns.join(last, [*key, "turn"], "left_semi")
+    return turns.join(last, [*key, "turn"], "left_semi").dropDuplicates([*key, "turn"])
 
 
 def second_turns(

@@ -5,6 +5,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from gaugeworks.catalog import registry
 from tools.compare import normal_rows
 
 SF = "/root/testdata/sf0.001"
@@ -18,18 +19,20 @@ def con():
     return con
 
 
-@pytest.mark.parametrize("name", list(entry.queries()))
+@pytest.mark.parametrize("name", list(registry.QUERIES))
 def test_query_equals_its_sql(spark, con, name):
     df = entry.queries()[name](spark, SF)
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoopJoin" not in plan and "CartesianProduct" not in plan
+    assert "RoundRobinPartitioning" not in plan
     result = con.sql(entry.oracle_sql()[name])
     assert sorted(df.columns) == sorted(result.columns)
     assert normal_rows(df.columns, df.collect()) == normal_rows(result.columns, result.fetchall())
 
 
 def test_every_query_has_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(registry.QUERIES) == set(registry.ORACLES)
+    assert set(registry.QUERIES) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
 
 
 def test_entry(spark):

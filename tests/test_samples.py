@@ -1,5 +1,7 @@
+import pytest
 from pyspark.sql import functions as F
 
+from gaugeworks.functions import prompts
 from gaugeworks.operators import files, ordinals, reshape, samples
 from gaugeworks.sources import tables
 
@@ -36,10 +38,10 @@ def test_wide_long_wide(spark):
     long = reshape.to_long(wide, ["task_file", "row_idx"])
     rows = {(r["row_idx"], r["sample_idx"]): r for r in long.collect()}
     assert rows[0, 0]["plannable"] is True and rows[0, 1]["plannable"] is False
-    assert rows[0, 0]["plan_error"] is None and rows[1, 1]["verdict"] is None
+    assert rows[0, 0]["plan_error"] is None and (1, 1) not in rows
     back = reshape.to_wide(long, ["task_file", "row_idx"], 2)
     assert sorted(back.columns) == sorted(wide.columns)
-    assert reshape.complete_samples(long).count() == 4
+    assert reshape.complete_samples(long).count() == 2
     assert reshape.sample_counts(long).first()["n_samples"] == 2
 
 
@@ -113,3 +115,36 @@ def test_file_names(spark):
     assert tuple(row) == (
         "/d/george/completed-plain.v2-george.csv", "evaluation-dataset-for-plain.v2-george-multi-turn", "george", "/r/RAG/m/george",
     )
+
+
+def test_numbering_keeps_rows_without_group_or_bucket(spark):
+    rows = spark.createDataFrame([("a", 1), ("a", None), (None, 5), (None, 30), ("a", 20)], "g string, v long")
+    numbered = ordinals.number_rows(rows, ["g"], ["v"], F.floor(F.col("v") / 10))
+    assert {(r.g, r.v): r.row_idx for r in numbered.collect()} == {
+        ("a", None): 0, ("a", 1): 1, ("a", 20): 2, (None, 5): 0, (None, 30): 1,
+    }
+
+
+_RESULTS = "f string, sample_idx int, output string, plannable string, verdict string, plan_error string, policy_error string, notes string"
+
+
+def test_wide_tables_keep_empty_and_far_samples(spark):
+    rows = [("x", 0, None, "false", "Failure", None, None, None), ("x", 9, "c", "true", "Success", None, None, "n"), ("y", 1, "d", "true", None, None, None, None)]
+    samples_ = spark.createDataFrame(rows, _RESULTS)
+    long = reshape.to_long(reshape.to_wide(samples_, ["f"]), ["f"]).collect()
+    assert sorted((r.f, r.sample_idx, r.output) for r in long) == [("x", 0, None), ("x", 9, "c"), ("y", 1, "d")]
+    with pytest.raises(Exception, match="not in 0..6"):
+        reshape.to_wide(samples_, ["f"], 7).collect()
+    with pytest.raises(Exception, match="repeated sample"):
+        reshape.to_wide(samples_.unionByName(samples_), ["f"]).collect()
+
+
+def test_last_of_equal_turns_is_one_row(spark):
+    turns = spark.createDataFrame([(1, 0, "a"), (1, 1, "b"), (1, 1, "b"), (2, 0, "c")], "k int, turn int, verdict string")
+    assert samples.final_turns(turns, ["k"]).count() == 2
+
+
+def test_follow_up_of_unknown_results(spark):
+    row = spark.createDataFrame([("p", "c", None, None, None, None, None)], "prompt string, code string, policy string, plannable boolean, verdict string, plan_error string, policy_error string")
+    made = row.select(prompts.follow_up_prompt(*[F.col(c) for c in row.columns])).first()[0]
+    assert made is not None and made != "p"
