@@ -16,7 +16,6 @@ the columns named here are read.
 
 from __future__ import annotations
 
-import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -40,7 +39,15 @@ POPULATION = 4
 
 # fixed value: the splitting pattern of the lower-case vocabulary
 _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-_BLANKS = re.compile(r"[ \n]")
+
+
+def blank_words(text: str) -> list[str]:
+    """Words of a plain text; lowered at once where lowering letter by letter gives the same."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return text.replace("\n", " ").split(" ")
+    return text.lower().replace("\n", " ").split(" ")
 
 
 class LowerPieces(Pieces):
@@ -69,7 +76,7 @@ def _lower_words(path: str) -> WordIds:
     tokenizer = Tokenizer.from_file(path)
     tokenizer.encode_special_tokens = True
     # this tokenizer drops white space and never joins what it parts
-    return WordIds(LowerPieces(tokenizer), _BLANKS.split, lambda text: [text])
+    return WordIds(LowerPieces(tokenizer), blank_words, lambda text: [text])
 
 
 def pieces(docs: DataFrame, path: str, end_id: int = 0, capacity: int = CAPACITY) -> DataFrame:
