@@ -7,6 +7,9 @@ by rising corpus frequency, the first shingles of two alike sets must meet, so t
 the light sets that are large enough to be its partner. The boundary is the size at which, over
 the corpus, enumerating costs more than scanning.
 
+Before whole sets are fetched, their parity sketches are compared: the bits in which two sketches
+differ are at most the elements in which the sets differ, so no alike pair is refuted.
+
 Links are only needed to join components. So each list first proposes links to its lowest and
 its highest node, and these are verified; then, list by list, members of different components
 are paired, which leaves few pairs where copies abound, and none is lost. Every proposed link
@@ -22,7 +25,9 @@ and text are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +36,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaugeworks.llm.components import connected
-from gaugeworks.llm.words import slices
+from gaugeworks.llm.shingles import mixed, shingle_sets, sliced
 from gaugeworks.session import checkpointed
 
 WIDTH = 3
@@ -39,49 +44,15 @@ PERCENT = 90
 MAX_LIGHT = 19  # light sets have at most so many shingles
 CELL_BITS = 18  # cells that shingles are counted in; their number bounds what tasks receive
 _CHUNKS = 8
+SKETCH = tuple(f"p{i}" for i in range(8))  # 512 bits, each the parity of the elements it stands for
 _BIT_BITS = 23  # size of the filter for documents whose sets are read again
-_HELD_WORDS = 500_000
-_A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
-
-
-def mixed(x: np.ndarray) -> np.ndarray:
-    """64-bit numbers spread over the whole range."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-class Shingler:
-    """Sorted distinct shingle hashes of texts."""
-
-    def __init__(self, width: int) -> None:
-        self.width = width
-        self.factors = mixed(np.arange(1, width + 1, dtype=np.uint64) * _A) | np.uint64(1)
-        self.known: dict[bytes, int] = {}
-
-    def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.known) > _HELD_WORDS:
-            self.known = {}
-        lists = [t.encode().lower().split() for t in texts]
-        for word in {w for words in lists for w in words}.difference(self.known):
-            self.known[word] = xxhash.xxh3_64_intdigest(word)
-        look, sets = self.known.__getitem__, []
-        for words in lists:
-            hashes = np.fromiter(map(look, words), np.uint64, len(words))
-            size = min(self.width, len(words))
-            total = np.full(max(len(words) - size + 1, 0) if size else 0, size, np.uint64)
-            for i in range(size):
-                total += hashes[i : len(words) - size + 1 + i] * self.factors[i]
-            sets.append(np.unique(mixed(total)))
-        return sets
-
-
 def least_overlap(a: int, b: int, percent: int) -> int:
     """Common elements that sets of these sizes need to be alike enough."""
     return -(-percent * (a + b) // (100 + percent))
 
 
-def prefix_size(size: int, percent: int) -> int:
+def prefix_size(size, percent: int):
+    """How many of its first elements a set of this size posts; numbers or arrays."""
     return size + (-percent * size // 100) + 1
 
 
@@ -90,7 +61,7 @@ def subset_keys(hashes: np.ndarray, percent: int, largest: int) -> list[int]:
     size = len(hashes)
     partners = range(-(-percent * size // 100), min(100 * size // percent, largest) + 1)
     gone = {size - least_overlap(size, other, percent) for other in partners}
-    spread = mixed(hashes ^ _B)
+    spread = mixed(~hashes)
     keys: list[int] = []
     for n in sorted(g for g in gone if g >= 0):
         left_out = np.array(list(combinations(range(size), n)), np.int64)
@@ -99,6 +70,10 @@ def subset_keys(hashes: np.ndarray, percent: int, largest: int) -> list[int]:
     return keys
 
 
+def cell_of(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(64 - CELL_BITS)).astype(np.int64)
+
+
 def cell_counts(docs: DataFrame, width: int) -> np.ndarray:
     """How often shingles of each hash cell occur in the corpus, one count a document.
 
@@ -109,12 +84,11 @@ def cell_counts(docs: DataFrame, width: int) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        shingler = Shingler(width)
         cells = np.zeros(1 << CELL_BITS, np.int64)
         for batch in batches:
-            for texts in slices([t or "" for t in batch.column(0).to_pylist()]):
-                found = np.concatenate(shingler(texts))
-                cells += np.bincount((found >> np.uint64(64 - CELL_BITS)).astype(np.int64), minlength=len(cells))
+            for texts in sliced([t or "" for t in batch.column(0).to_pylist()]):
+                found, _ = shingle_sets(texts, width)
+                cells += np.bincount(cell_of(found), minlength=len(cells))
         parts = np.split(np.minimum(cells, 255).astype(np.uint32), _CHUNKS)
         yield pa.RecordBatch.from_arrays(
             [
@@ -142,40 +116,59 @@ def cell_counts(docs: DataFrame, width: int) -> np.ndarray:
 
 
 def describe_sets(docs: DataFrame, cells: np.ndarray, width: int, percent: int) -> DataFrame:
-    """Per row: doc_id, n_shingles, the digest of the set (d1, d2), its keys and what scanning costs.
+    """Per row: doc_id, n_shingles, the set's digest (d1, d2) and sketch, its keys and what scanning costs.
 
     ``prefix`` are the keys for inverted lists, ``subsets`` those of a set that may be light,
     ``scan`` the lengths of its lists, as far as the cells tell.
     """
     usual = float(cells.mean())
+    # what is above 2^16 need not be ordered further; equal counts are ordered by hash
+    rank = np.minimum(cells, (1 << 16) - 1).astype(np.uint16)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler(width)
         for batch in batches:
-            keys, at = batch.column(0), 0
-            for texts in slices([t or "" for t in batch.column(1).to_pylist()]):
-                rows = []
-                for found in shingler(texts):
-                    size = len(found)
-                    digest = xxhash.xxh3_128_digest(found.tobytes())
-                    d1, d2 = np.frombuffer(digest, np.int64).tolist()
-                    count = cells[(found >> np.uint64(64 - CELL_BITS)).astype(np.int64)]
-                    first = np.argsort(count, kind="stable")[: prefix_size(size, percent) if size else 0]
-                    prefix = found[first].astype(np.int64)
+            at = 0
+            for texts in sliced([t or "" for t in batch.column(1).to_pylist()]):
+                found, sizes = shingle_sets(texts, width)
+                count = rank[cell_of(found)]
+                of = np.repeat(np.arange(len(texts), dtype=np.int64), sizes)
+                order = np.argsort(count, kind="stable")
+                order = order[np.argsort(of[order].astype(np.uint16), kind="stable")]
+                begin = np.cumsum(sizes) - sizes
+                place = np.arange(len(found)) - begin[of]
+                kept = order[place < prefix_size(sizes, percent)[of]]
+                per_text = np.bincount(of[kept], minlength=len(texts))
+                scan = np.bincount(of[kept], np.maximum(count[kept] - usual, 1.0), len(texts))
+                digests, subsets = [], []
+                for start, size in zip(begin.tolist(), sizes.tolist()):
+                    own = found[start : start + size]
+                    digests.append(xxhash.xxh3_128_digest(own))
                     light = 0 < size <= MAX_LIGHT
-                    subsets = subset_keys(found, percent, MAX_LIGHT) if light else []
-                    scan = float(np.maximum(count[first] - usual, 1).sum()) if light else 0.0
-                    rows.append((size, d1, d2, prefix, subsets, scan))
-                own = [list(c) for c in zip(*rows)]
-                kinds = (pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.float64())
+                    subsets.append(subset_keys(own, percent, MAX_LIGHT) if light else [])
+                digest = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+                sketch = np.zeros((len(texts), len(SKETCH)), np.uint64)
+                bit = found >> np.uint64(8)
+                word = ((bit >> np.uint64(6)) & np.uint64(7)).astype(np.int64)
+                np.bitwise_xor.at(sketch, (of, word), np.uint64(1) << (bit & np.uint64(63)))
+                bounds = pa.array(np.concatenate(([0], np.cumsum(per_text))), pa.int32())
                 yield pa.RecordBatch.from_arrays(
-                    [keys.slice(at, len(texts)), *(pa.array(c, k) for c, k in zip(own, kinds))],
-                    ["doc_id", "n_shingles", "d1", "d2", "prefix", "subsets", "scan"],
+                    [
+                        batch.column(0).slice(at, len(texts)),
+                        pa.array(sizes, pa.int32()),
+                        pa.array(digest[:, 0]),
+                        pa.array(digest[:, 1]),
+                        pa.ListArray.from_arrays(bounds, pa.array(found[kept].view(np.int64))),
+                        pa.array(subsets, pa.list_(pa.int64())),
+                        pa.array(scan.astype(np.float64)),
+                        *(pa.array(np.ascontiguousarray(sketch[:, i]).view(np.int64)) for i in range(len(SKETCH))),
+                    ],
+                    ["doc_id", "n_shingles", "d1", "d2", "prefix", "subsets", "scan", *SKETCH],
                 )
                 at += len(texts)
 
     schema = (
-        "doc_id long, n_shingles int, d1 long, d2 long, prefix array<long>, subsets array<long>, scan double"
+        "doc_id long, n_shingles int, d1 long, d2 long, prefix array<long>, subsets array<long>, scan double, "
+        + ", ".join(f"{p} long" for p in SKETCH)
     )
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
 
@@ -183,14 +176,14 @@ def describe_sets(docs: DataFrame, cells: np.ndarray, width: int, percent: int)
 def light_boundary(nodes: DataFrame) -> int:
     """The size up to which enumerating subsets costs less than scanning lists."""
     by_size = nodes.where(F.col("size") <= MAX_LIGHT).groupBy("size")
-    costs = by_size.agg(F.sum(F.size("subsets")).alias("subsets"), F.sum("scan").alias("scan")).collect()
+    costs = by_size.agg(F.sum("n_subsets").alias("subsets"), F.sum("scan").alias("scan")).collect()
     gain = np.zeros(MAX_LIGHT + 1)
     for r in costs:
         gain[r["size"]] = r.scan - r.subsets
     return int(np.argmax(np.cumsum(gain)))
 
 
-def shingle_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+def read_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     """(node, hashes) of the nodes in ``wanted`` (node, doc_id, d1, d2), read from one document each.
 
     A filter of fixed size on doc_ids spares most other documents the way to the join.
@@ -209,23 +202,23 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
         bits[begin : begin + len(r.bits)] = np.frombuffer(r.bits, np.uint8)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler(width)
         for batch in batches:
             at = batch.column(2).to_numpy()
             marked = (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1
             batch = batch.filter(pa.array(marked.astype(bool)))
-            keys, done = batch.column(0), 0
-            for texts in slices([t or "" for t in batch.column(1).to_pylist()]):
-                sets = shingler(texts)
-                digests = np.array(
-                    [np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), np.int64) for s in sets]
-                )
+            done = 0
+            for texts in sliced([t or "" for t in batch.column(1).to_pylist()]):
+                found, sizes = shingle_sets(texts, width)
+                parts = np.split(found, np.cumsum(sizes)[:-1])
+                digests = b"".join(xxhash.xxh3_128_digest(np.ascontiguousarray(p)) for p in parts)
+                digest = np.frombuffer(digests, np.int64).reshape(-1, 2)
+                bounds = pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32())
                 yield pa.RecordBatch.from_arrays(
                     [
-                        keys.slice(done, len(texts)),
-                        pa.array(digests[:, 0]),
-                        pa.array(digests[:, 1]),
-                        pa.array([s.astype(np.int64) for s in sets], pa.list_(pa.int64())),
+                        batch.column(0).slice(done, len(texts)),
+                        pa.array(digest[:, 0]),
+                        pa.array(digest[:, 1]),
+                        pa.ListArray.from_arrays(bounds, pa.array(found.view(np.int64))),
                     ],
                     ["doc_id", "d1", "d2", "hashes"],
                 )
@@ -250,15 +243,24 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").where(100 * common >= percent * union).select("a", "b")
 
 
-def _possible(x: str, y: str, percent: int):
-    """Whether sets that meet first at these places of these sizes can be alike enough."""
+def _possible(x: str, y: str, percent: int, sketch: tuple[str, ...]):
+    """Whether sets that meet first at these places, of these sizes and sketches, can be alike enough."""
     a, b = F.col(f"{x}.size"), F.col(f"{y}.size")
     left = F.least(a - F.col(f"{x}.place"), b - F.col(f"{y}.place"))
-    return left * (100 + percent) >= percent * (a + b)
+    enough = left * (100 + percent) >= percent * (a + b)
+    if not sketch:
+        return enough
+    apart = reduce(add, [F.bit_count(F.col(f"{x}.{p}").bitwiseXOR(F.col(f"{y}.{p}"))) for p in sketch])
+    # elements that only one of two alike sets has
+    return enough & (apart * (100 + percent) <= (100 - percent) * (a + b))
 
 
 def joined_lists(lists: DataFrame) -> DataFrame:
-    """Entries (node, size, place, key) of the lists that hold two nodes, with the ends of the list."""
+    """Entries (node, size, place, key) of the lists that hold two nodes, with the ends of the list.
+
+    The entries are shuffled once, by key; the ends of the lists are found where they are.
+    """
+    lists = lists.repartition("key")
     ends = (
         lists.groupBy("key")
         .agg(F.min("node").alias("low"), F.max("node").alias("high"))
@@ -267,28 +269,29 @@ def joined_lists(lists: DataFrame) -> DataFrame:
     return lists.join(ends, "key")
 
 
-def node_components(met: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _pairs(x: DataFrame, y: DataFrame, condition, percent: int) -> DataFrame:
+    """Distinct pairs (a, b) of entries of the same lists that may be alike enough."""
+    sketch = tuple(p for p in SKETCH if p in x.columns)
+    met = (F.col("x.key") == F.col("y.key")) & condition & _possible("x", "y", percent, sketch)
+    found = x.alias("x").join(y.alias("y"), met)
+    return found.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+
+
+def node_components(met: DataFrame, verify, percent: int) -> DataFrame:
     """(node, component) of all nodes that link with another; a component is its lowest node.
 
     ``met`` is a stored result of ``joined_lists``, in which any two alike sets share a list at
-    their first common key; ``sets`` holds the whole set of each of its nodes.
+    their first common key; it may hold the sketches of the sets. ``verify`` gives those of a
+    stored table of pairs (a, b) whose whole sets are alike.
     """
-    sizes = sets.select("node", F.size("hashes").alias("size"))
-    proposed = (
-        met.select("node", F.explode(F.array("low", "high")).alias("end"))
-        .where("node != end")
-        .select(F.least("node", "end").alias("a"), F.greatest("node", "end").alias("b"))
-        .distinct()
-        .join(sizes.select(F.col("node").alias("a"), F.col("size").alias("size_a")), "a")
-        .join(sizes.select(F.col("node").alias("b"), F.col("size").alias("size_b")), "b")
-        .where(100 * F.least("size_a", "size_b") >= percent * F.greatest("size_a", "size_b"))
-        .select("a", "b")
-    )
-    links = checkpointed(verified(proposed, sets, percent), "jaccard-links")
+    sketch = [p for p in SKETCH if p in met.columns]
+    ends = met.where("node = low OR node = high")
+    star = checkpointed(_pairs(met, ends, F.col("x.node") != F.col("y.node"), percent), "jaccard-pairs")
+    links = checkpointed(verify(star), "jaccard-links")
     joined = connected(links)
 
     label = F.coalesce("component", "node").alias("component")
-    labelled = met.join(joined, "node", "left").select("key", "node", "size", "place", label)
+    labelled = met.join(joined, "node", "left").select("key", "node", "size", "place", label, *sketch)
     by_component = labelled.groupBy("key", "component").agg(F.count("*").alias("n"))
     main = (
         by_component.groupBy("key")
@@ -300,33 +303,42 @@ def node_components(met: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     apart = (F.col("x.component") != F.col("y.component")) & (
         (F.col("y.component") == F.col("y.main")) | (F.col("x.node") < F.col("y.node"))
     )
-    pairs = (
-        open_.where("component != main")
-        .alias("x")
-        .join(open_.alias("y"), (F.col("x.key") == F.col("y.key")) & apart & _possible("x", "y", percent))
-        .select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
-        .distinct()
-    )
-    more = checkpointed(verified(pairs, sets, percent), "jaccard-links")
-    if more.isEmpty():
+    others = _pairs(open_.where("component != main"), open_, apart, percent)
+    unseen = checkpointed(others.join(star, ["a", "b"], "left_anti"), "jaccard-pairs")
+    if unseen.isEmpty():
         return joined
-    return connected(links.unionByName(more))
+    more = checkpointed(verify(unseen), "jaccard-links")
+    return joined if more.isEmpty() else connected(links.unionByName(more))
 
 
-def shingle_components(docs: DataFrame, nodes: DataFrame, boundary: int, width: int, percent: int) -> DataFrame:
+def shingle_components(
+    docs: DataFrame, described: DataFrame, nodes: DataFrame, boundary: int, width: int, percent: int
+) -> DataFrame:
     """(node, component) of the nodes of ``docs`` that link with another."""
     size = F.col("size")
+    same = (
+        (F.col("r.d1") == F.col("n.d1"))
+        & (F.col("r.d2") == F.col("n.d2"))
+        & F.col("r.doc_id").eqNullSafe(F.col("n.doc_id"))
+    )
+    keyed = described.alias("r").join(nodes.alias("n"), same).select("n.node", "n.size", "r.prefix", "r.subsets")
     nothing = F.array().cast("array<long>")
     scanned = F.when(100 * size >= percent * (boundary + 1), F.col("prefix")).otherwise(nothing)
     subsets = F.when(size <= boundary, F.col("subsets")).otherwise(nothing)
     # subsets meet at the first place: nothing is known of what stands before it
-    lists = nodes.select("node", "size", F.posexplode(scanned).alias("place", "key")).unionByName(
-        nodes.select("node", "size", F.lit(0).alias("place"), F.explode(subsets).alias("key"))
+    keys = F.concat(
+        F.transform(scanned, lambda key, place: F.struct(place.alias("place"), key.alias("key"))),
+        F.transform(subsets, lambda key: F.struct(F.lit(0).alias("place"), key.alias("key"))),
     )
-    met = checkpointed(joined_lists(lists), "jaccard-lists")
-    wanted = nodes.join(met.select("node").distinct(), "node").select("node", "doc_id", "d1", "d2")
-    sets = shingle_sets(docs, checkpointed(wanted, "jaccard-wanted"), width)
-    return node_components(met, checkpointed(sets, "jaccard-sets"), percent)
+    lists = keyed.select("node", "size", F.inline(keys))
+    met = checkpointed(joined_lists(lists).join(nodes.select("node", *SKETCH), "node"), "jaccard-lists")
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        both = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        wanted = checkpointed(nodes.join(both, "node").select("node", "doc_id", "d1", "d2"), "jaccard-wanted")
+        return verified(pairs, checkpointed(read_sets(docs, wanted, width), "jaccard-sets"), percent)
+
+    return node_components(met, verify, percent)
 
 
 def similar_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
@@ -338,15 +350,15 @@ def similar_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
         .groupBy("d1", "d2")
         .agg(
             F.min("doc_id").alias("doc_id"),
-            F.first("n_shingles").alias("size"),
-            F.first("prefix").alias("prefix"),
-            F.first("subsets").alias("subsets"),
-            F.first("scan").alias("scan"),
+            F.max("n_shingles").alias("size"),
+            F.max(F.size("subsets")).alias("n_subsets"),
+            F.max("scan").alias("scan"),
+            *(F.max(p).alias(p) for p in SKETCH),
         )
         .withColumn("node", F.monotonically_increasing_id()),
         "jaccard-nodes",
     )
-    joined = shingle_components(docs, nodes, light_boundary(nodes), width, percent)
+    joined = shingle_components(docs, described, nodes, light_boundary(nodes), width, percent)
     own = nodes.join(joined, "node", "left").select(
         "d1", "d2", "doc_id", F.coalesce("component", "node").alias("component")
     )

@@ -1,7 +1,7 @@
 """Spot signatures: what stands after common words, as a fingerprint of a text.
 
-Every common word (anchor) opens a signature: the anchor and the next content words, common words
-between them left out. A text's fingerprint is the set of its signatures. Sets are compared by
+Every common word that stands before a content word (an anchor) opens a signature: the anchor and
+the next content words, common words between them left out. A text's fingerprint is the set of its signatures. Sets are compared by
 Jaccard likeness; as sets of lengths a <= b are never more alike than a / b, sets are partitioned
 by length and only neighbouring partitions compared.
 
@@ -19,7 +19,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gaugeworks.llm.jaccard import joined_lists, node_components
+from gaugeworks.llm.jaccard import joined_lists, node_components, verified
 from gaugeworks.llm.order import id_range
 from gaugeworks.session import checkpointed
 
@@ -48,9 +48,10 @@ def signatures(text: Column, anchors: list[str] = ANCHORS, chain: int = CHAIN) -
     stop = _any_of(anchors) + " "
     word = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+", " ")
     spaced = F.concat(F.lit(" "), F.trim(word), F.lit(" "))
-    content = f"(?:{stop})*+[^ ]++"
-    spans = F.regexp_extract_all(spaced, F.lit(f"(?= ({stop}{' '.join([content] * chain)}) )"), F.lit(1))
-    found = F.transform(spans, lambda s: F.xxhash64(F.regexp_replace(s, f"(?<= )(?:{stop})+", "")))
+    # possessive loops neither recurse nor go back, however long a run of common words is
+    content = "[^ ]++" + f" (?:{stop})*+[^ ]++" * (chain - 1)
+    spans = F.regexp_extract_all(spaced, F.lit(f"(?= ({stop}(?!{stop}){content}) )"), F.lit(1))
+    found = F.transform(spans, lambda s: F.xxhash64(F.regexp_replace(s, f"(?<= )(?:{stop})++", "")))
     whole = F.when(spaced == "  ", F.array().cast("array<long>")).otherwise(F.array(F.xxhash64(spaced)))
     return F.array_sort(F.array_distinct(F.when(F.size(spans) > 0, found).otherwise(whole)))
 
@@ -151,7 +152,8 @@ def near_duplicate_classes(docs: DataFrame, percent: int = 80) -> DataFrame:
         "node", "size", "place", F.explode(F.array(F.col("part"), F.col("part") + 1)).alias("part"), "hash"
     ).select("node", "size", "place", F.xxhash64("part", "hash").alias("key"))
     met = checkpointed(joined_lists(lists), "spotsigs-lists")
-    joined = node_components(met, nodes.select("node", "hashes"), percent)
+    sets = nodes.select("node", "hashes")
+    joined = node_components(met, lambda pairs: verified(pairs, sets, percent), percent)
     own = nodes.join(joined, "node", "left").select("digest", "doc_id", F.coalesce("component", "node").alias("component"))
     numbers = own.groupBy("component").agg(F.min("doc_id").alias("class_id"))
     classes = own.join(numbers, "component").select("digest", "class_id")
