@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from gaugeworks.functions.text import CODE_DELIMITERS
 from gaugeworks.operators.ordinals import number_rows
 from gaugeworks.plans import documents as plan_documents
+from gaugeworks.session import shuffle_partitions
 
 STRATEGY_NAMES = ["Standard", "COT", "FSP", "multi-turn", "RAG"]
 _SPARK_NAMES = "array(" + ", ".join(f"'{s}'" for s in STRATEGY_NAMES) + ")"
@@ -23,6 +24,11 @@ def documents(spark: SparkSession, sf: str, *columns: str) -> DataFrame:
     return table(spark, sf, "documents").select(*columns)
 
 
+def dealt(orders: DataFrame) -> DataFrame:
+    """Orders dealt by key, a few narrow columns, before each becomes a document many times its size."""
+    return orders.repartition(shuffle_partitions(orders.sparkSession), "o_orderkey")
+
+
 # -- samples: several per task, from events -------------------------------------------------
 
 EVENT_SAMPLES_SQL = f"""
@@ -358,7 +364,7 @@ def plan_texts(spark: SparkSession, sf: str, order_keys: DataFrame | None = None
     )
     if order_keys is not None:
         orders = orders.join(order_keys, "o_orderkey", "left_semi")
-    return orders.selectExpr("o_orderkey AS plan_id", f"{document} AS json")
+    return dealt(orders).selectExpr("o_orderkey AS plan_id", f"{document} AS json")
 
 
 def plans(spark: SparkSession, sf: str) -> DataFrame:
@@ -395,7 +401,7 @@ def policy_outputs(spark: SparkSession, sf: str) -> DataFrame:
     orders = table(spark, sf, "orders").select(
         "o_orderkey", "o_orderstatus", "o_totalprice", "o_orderpriority"
     )
-    texts = orders.selectExpr("o_orderkey AS plan_id", f"{spliced} AS json")
+    texts = dealt(orders).selectExpr("o_orderkey AS plan_id", f"{spliced} AS json")
     return plan_documents.parse(texts)
 
 

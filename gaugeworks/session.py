@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import os
+import shutil
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -20,10 +24,28 @@ def shared_dir(spark: SparkSession) -> str:
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
     own = tempfile.mkdtemp(prefix="gaugeworks-")
+    atexit.register(shutil.rmtree, own, ignore_errors=True)
     spark.conf.set("spark.checkpoint.dir", own)
     return own
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, so that functions run wherever the driver was started."""
+    if spark.conf.get("gaugeworks.shipped", None):
+        return
+    here = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(tempfile.mkdtemp(prefix="gaugeworks-"), "gaugeworks.zip")
+    atexit.register(shutil.rmtree, os.path.dirname(path), ignore_errors=True)
+    with zipfile.ZipFile(path, "w") as archive:
+        for folder, _, names in os.walk(here):
+            for name in names:
+                if name.endswith(".py"):
+                    file = os.path.join(folder, name)
+                    archive.write(file, os.path.relpath(file, os.path.dirname(here)))
+    spark.sparkContext.addPyFile(path)
+    spark.conf.set("gaugeworks.shipped", "true")
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new, unused path below the shared folder."""
     return f"{shared_dir(spark)}/gaugeworks/{name}-{uuid.uuid4().hex}"
