@@ -235,13 +235,12 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> l
         .limit(sample_rows)
     )
     known = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
-    described = known.limit(sample_rows).select(
-        by_hash.alias("hash"), "quality", counts(F.col("text")).alias("of")
-    )
+    described = known.select(by_hash.alias("hash"), "quality", counts(F.col("text")).alias("of"))
     rows = described.where(~base_failed(F.col("of"))).select(
         "hash", "quality", *(c.alias(name) for name, c in features(F.col("of")).items())
     )
-    table = rows.toPandas().sort_values(["hash", "quality"], kind="stable")
+    # documents that repeat a doc_id could be more than the sample
+    table = rows.limit(sample_rows).toPandas().sort_values(["hash", "quality"], kind="stable")
     columns = {name: table[name].to_numpy(float) for name in features(F.col("of"))}
     return learn(columns, (table["quality"] == 0).to_numpy(bool), (table["hash"] % 3 == 0).to_numpy(bool))
 
