@@ -86,18 +86,22 @@ def _members(node: Column, named: Callable[[Column], Column]) -> Column:
     )
 
 
-def leaves(doc: Column, max_depth: int | None = None) -> Column:
+def leaves(
+    doc: Column, max_depth: int | None = None, keep: Callable[[Column], Column] | None = None
+) -> Column:
     """``array<struct(path, value)>`` of the scalars; list positions are not part of a path.
 
     ``below`` keeps the children of each node, NULL for a scalar, so that a node is taken apart
-    once only. With ``max_depth`` a deeper document is an error.
+    once only. With ``max_depth`` a deeper document is an error. ``keep`` tells of a node (name,
+    value) whether to look below it.
     """
 
     def children(node: Column) -> Column:
         items = F.transform(
             as_list(node["value"]), lambda x: F.struct(node["name"].alias("name"), x.alias("value"))
         )
-        return F.coalesce(_members(node, lambda name: F.concat_ws(".", node["name"], name)), items)
+        found = F.coalesce(_members(node, lambda name: F.concat_ws(".", node["name"], name)), items)
+        return found if keep is None else F.filter(found, keep)
 
     def step(acc: Column) -> Column:
         nodes = F.flatten(F.array_compact(acc["below"]))
