@@ -150,7 +150,10 @@ def policy_verdict(output: Column, zero_is_false: bool = True) -> Column:
 
 
 def policy_error(verdict: Column, complete_output: Column) -> Column:
-    """The error text that goes with a verdict, holding the complete output on failure."""
+    """The error text that goes with a verdict, holding the complete output on failure.
+
+    The texts are fixed values.
+    """
     return F.when(
         verdict == "Failure",
         F.concat(

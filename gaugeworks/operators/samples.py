@@ -132,7 +132,7 @@ def quick_subset(tasks: DataFrame, rows: int = 2, order: Sequence[str] = ("task_
 
 
 def default_result() -> dict[str, Column]:
-    """The result of a sample for which nothing has run."""
+    """The result of a sample for which nothing has run; its texts are fixed values."""
     return {
         "plannable": F.lit(False),
         "plan_output": F.lit("No output"),
