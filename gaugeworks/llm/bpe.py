@@ -24,6 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gaugeworks.llm.batches import bounded
 from gaugeworks.llm.words import Pieces, WordIds, slices, spaced_chunks, spelt
 
 
@@ -159,7 +160,7 @@ def encode(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text:
 
     kind = docs.schema[key].dataType.simpleString()
     schema = f"key {kind}, ids array<int>, first array<int>, last array<int>"
-    return docs.select(key, text).mapInArrow(run, schema).withColumnRenamed("key", key)
+    return bounded(docs).select(key, text).mapInArrow(run, schema).withColumnRenamed("key", key)
 
 
 def decode(encoded: DataFrame, path: str, pattern: str, key: str = "doc_id", ids: str = "ids") -> DataFrame:
@@ -211,4 +212,4 @@ def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
             )
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
+    return bounded(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)

@@ -25,6 +25,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gaugeworks.llm.batches import bounded
+
 UNKNOWN = "und"
 TRAIN_ROWS = 64  # labelled rows read for each language
 TRAIN_LETTERS = 40_000  # letters and blanks of them that its automaton holds
@@ -32,7 +34,7 @@ TRAIN_CHARS = 640_000  # longer texts are not taken as training rows
 MAX_LANGUAGES = 64  # the languages with most rows are learned
 MAX_SYMBOLS = 253  # the most frequent letters are told apart
 _STRETCH = 1024
-_BATCH_CHARS = 2_000_000
+_BATCH_CHARS = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -97,24 +99,26 @@ class Parser:
         self.symbol_of = np.zeros(0x110000, np.uint8)
         self.symbol_of[[c for c in range(0x110000) if chr(c).isalpha()]] = 1
         self.symbol_of[list(map(ord, known))] = range(2, width)
-        tables, self.start, self.weight = [], [], []
-        base = 0
+        self.start, self.weight = [], []
+        # an automaton has at most two states a symbol
+        most = sum(2 * len(text) + 2 for text in model.texts)
+        kind = np.int32 if most * width < 1 << 31 else np.int64
+        tables, base = [], 0
         for text in model.texts:
             steps = suffix_automaton([number.get(c, 1) for c in text])
             outside = (base + len(steps)) * width
             self.start.append(outside)
             self.weight.append(math.log2(max(len(text), 2)))
-            first = np.full(width, ~outside, np.int64)
+            first = np.full(width, ~outside, kind)
             for symbol, target in steps[0].items():
                 first[symbol] = ~((base + target) * width)
             table = np.repeat(first[None, :], len(steps) + 1, 0)
             for state, step in enumerate(steps):
                 if step:
-                    table[state, list(step)] = (base + np.array(list(step.values()), np.int64)) * width
+                    table[state, list(step)] = (base + np.array(list(step.values()), kind)) * width
             tables.append(table)
             base += len(steps) + 1
-        kind = np.int32 if base * width < 1 << 31 else np.int64
-        self.table = np.concatenate([t.astype(kind) for t in tables]).reshape(-1)
+        self.table = np.concatenate(tables).reshape(-1)
 
     def symbols(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Symbols of all texts, one after the other, and how many each has."""
@@ -184,7 +188,7 @@ def fit(
     to TRAIN_CHARS; of them, in this order, an automaton holds ``train_letters``. That bounds
     what the driver receives and what tasks build.
     """
-    rows = docs.where(F.col("lang").isNotNull() & (F.char_length("text") <= TRAIN_CHARS))
+    rows = bounded(docs).where(F.col("lang").isNotNull() & (F.char_length("text") <= TRAIN_CHARS))
     common = [
         r.lang
         for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()

@@ -20,6 +20,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gaugeworks.llm.batches import bounded
+
 COUNTS = (
     "n_words",
     "word_chars",
@@ -154,9 +156,12 @@ def _covered(rule: Rule, columns: dict[str, np.ndarray], n: int) -> np.ndarray:
 
 
 def _best_condition(columns: dict[str, np.ndarray], bad: np.ndarray) -> tuple[float, Condition | None]:
-    """The threshold of the largest information gain for the bad rows (that of FOIL)."""
+    """The threshold of the largest information gain for the bad rows (that of FOIL).
+
+    Of equal gains that in the widest gap is taken, measured by the spread of its feature.
+    """
     p0, n0 = bad.sum(), len(bad)
-    best: tuple[float, Condition | None] = (0.0, None)
+    best: tuple[float, float, Condition | None] = (0.0, 0.0, None)
     for name, values in columns.items():
         order = np.argsort(values, kind="stable")
         ordered, hits = values[order], np.cumsum(bad[order])
@@ -168,11 +173,14 @@ def _best_condition(columns: dict[str, np.ndarray], bad: np.ndarray) -> tuple[fl
             n = (n0 - cuts - 1) if above else cuts + 1
             with np.errstate(divide="ignore", invalid="ignore"):
                 gain = np.where(p > 0, p * (np.log2(p / n) - np.log2(p0 / n0)), 0.0)
-            at = int(np.argmax(gain))
-            if gain[at] > best[0] + 1e-9:
+            gaps = (ordered[cuts + 1] - ordered[cuts]) / (ordered[-1] - ordered[0])
+            top = np.flatnonzero(gain >= gain.max() - 1e-9)
+            at = int(top[np.argmax(gaps[top])])
+            found = (round(float(gain[at]), 6), float(gaps[at]))
+            if found[0] > 0 and found > best[:2]:
                 middle = float((ordered[cuts[at]] + ordered[cuts[at] + 1]) / 2)
-                best = (float(gain[at]), Condition(name, above, middle))
-    return best
+                best = (*found, Condition(name, above, middle))
+    return best[0], best[2]
 
 
 def grow(columns: dict[str, np.ndarray], bad: np.ndarray, most: int = MAX_CONDITIONS) -> Rule:
@@ -234,7 +242,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> l
         .orderBy(by_hash, "doc_id", "quality")
         .limit(sample_rows)
     )
-    known = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
+    known = bounded(docs).select("doc_id", "text").join(F.broadcast(sample), "doc_id")
     described = known.select(by_hash.alias("hash"), "quality", counts(F.col("text")).alias("of"))
     rows = described.where(~base_failed(F.col("of"))).select(
         "hash", "quality", *(c.alias(name) for name, c in features(F.col("of")).items())
@@ -262,7 +270,7 @@ def verdict(rules: list[Rule], of: Column) -> Column:
 def judge(docs: DataFrame, rules: list[Rule], *keep: str) -> DataFrame:
     """The columns ``keep``, the counts, base_failed and kept of each document."""
     of = F.col("_of")
-    described = docs.select(F.struct(*keep).alias("_row"), counts(F.col("text")).alias("_of"))
+    described = bounded(docs).select(F.struct(*keep).alias("_row"), counts(F.col("text")).alias("_of"))
     failed = base_failed(of)
     return described.select(
         "_row.*", "_of.*", failed.alias("base_failed"), (~failed & verdict(rules, of)).alias("kept")
@@ -272,5 +280,5 @@ def judge(docs: DataFrame, rules: list[Rule], *keep: str) -> DataFrame:
 def keep_good(docs: DataFrame, rules: list[Rule]) -> DataFrame:
     """The documents that pass, with their own columns."""
     of = F.col("_of")
-    described = docs.select(F.struct(*docs.columns).alias("_row"), counts(F.col("text")).alias("_of"))
+    described = bounded(docs).select(F.struct(*docs.columns).alias("_row"), counts(F.col("text")).alias("_of"))
     return described.where(~base_failed(of) & verdict(rules, of)).select("_row.*")

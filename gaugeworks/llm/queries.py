@@ -7,7 +7,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaugeworks.llm import bpe, html_text, jaccard, language, neural_lm, packing, quality, spotsigs, token_files
-from gaugeworks.session import checkpointed, scratch_path
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}

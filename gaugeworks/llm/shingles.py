@@ -8,7 +8,7 @@ import numpy as np
 
 _A = np.uint64(0x9E3779B97F4A7C15)
 _BASE = 0xC2B2AE3D27D4EB4F
-_SLICE_CHARS = 2_000_000
+_SLICE_CHARS = 1_000_000
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -30,17 +30,22 @@ _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 
 def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, number of its text) of every word, A-Z lowered; words are parted by ASCII white space.
+    """(hash, number of its text) of every word, A-Z lowered; words are parted by ASCII white space."""
+    hashes, of, *_ = word_spans([t.encode() for t in texts])
+    return hashes, of
+
+
+def word_spans(content: list[bytes]) -> tuple[np.ndarray, ...]:
+    """(hash, number of its text, first byte, byte after the last) of every word, and all bytes.
 
     A word's hash is a polynomial in its bytes, spread over 64 bits together with its length.
     """
-    content = [t.encode() for t in texts]
     data = np.frombuffer(b"\n".join(content).lower(), np.uint8)
     inside = ~_SPACE[data]
     edges = np.diff(np.concatenate(([False], inside, [False])).astype(np.int8))
     first, last = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
     if not len(first):
-        return np.empty(0, np.uint64), np.empty(0, np.int64)
+        return np.empty(0, np.uint64), np.empty(0, np.int64), first, last, data
     size = last - first
     place = np.arange(first[0], len(data)) - np.repeat(first, np.diff(np.append(first, len(data))))
     power = powers(int(size.max()) + 1)
@@ -48,7 +53,8 @@ def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     terms[~inside[first[0] :]] = 0
     sums = np.add.reduceat(terms, first - first[0])
     ends = np.cumsum([len(c) + 1 for c in content]) - 1
-    return mixed(sums ^ (size.astype(np.uint64) * _A)), np.searchsorted(ends, first, side="right")
+    hashes = mixed(sums ^ (size.astype(np.uint64) * _A))
+    return hashes, np.searchsorted(ends, first, side="right"), first, last, data
 
 
 def shingle_sets(texts: list[str], width: int) -> tuple[np.ndarray, np.ndarray]:

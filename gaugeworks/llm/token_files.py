@@ -23,6 +23,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from gaugeworks.llm.batches import bounded
 from gaugeworks.llm.bpe import split_pattern
 from gaugeworks.llm.elias_fano import EliasFano
 from gaugeworks.llm.order import id_range
@@ -128,7 +129,7 @@ def write_encoded(
                 at += len(part)
         yield from flush()
 
-    ranged = docs.select(id_range(docs, docs_per_file).alias("id_range"), F.col("doc_id").cast("long"), "text")
+    ranged = bounded(docs).select(id_range(docs, docs_per_file).alias("id_range"), F.col("doc_id").cast("long"), "text")
     ordered = ranged.repartition("id_range").sortWithinPartitions("id_range", "doc_id", "text")
     return ordered.mapInArrow(write, "file string, id_range long, part long, n_docs long, n_tokens long")
 
@@ -237,7 +238,7 @@ def write_flat(docs: DataFrame, folder: str, path: str, end_id: int, docs_per_fi
         if keys:
             yield flush()
 
-    rows = docs.select(F.col("doc_id").cast("long"), "text")
+    rows = bounded(docs).select(F.col("doc_id").cast("long"), "text")
     return rows.mapInArrow(write, "file string, place long, doc_id long")
 
 
