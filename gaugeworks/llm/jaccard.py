@@ -3,17 +3,17 @@
 Two documents link when their sets of shingles are alike enough. Equal sets are one node. A light
 (small) set is found by enumeration: it shares a whole subset of a known size with each light
 partner, so the hashes of these subsets are its keys. A heavy set scans inverted lists: ordered
-by rising corpus frequency, the first shingles of two alike sets must meet, so these are its keys, and those of
-the light sets that are large enough to be its partner. The boundary is the size at which, over
-the corpus, enumerating costs more than scanning.
+by rising corpus frequency, the first shingles of two alike sets must meet, so these are its
+keys, and those of the light sets that are large enough to be its partner. The boundary is the
+size at which, over the corpus, enumerating costs more than scanning.
 
 Before whole sets are fetched, their parity sketches are compared: the bits in which two sketches
 differ are at most the elements in which the sets differ, so no alike pair is refuted.
 
-Links are only needed to join components. So each list first proposes links to its lowest and
-its highest node, and these are verified; then, list by list, members of different components
-are paired, which leaves few pairs where copies abound, and none is lost. Every proposed link
-is verified on the whole sets.
+Links are only needed to join components. So each list first proposes links to a few of its
+nodes, and these are verified; then, list by list, members of different components are paired,
+which leaves few pairs where copies abound, and none is lost. Every proposed link is verified on
+the whole sets.
 
 NULL texts and texts without words have an empty set that links with nothing; texts with fewer
 words than a shingle have one shingle, all of them. Repeated rows link like other copies. A
@@ -35,6 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gaugeworks.llm.batches import bounded
 from gaugeworks.llm.components import connected
 from gaugeworks.llm.shingles import mixed, shingle_sets, sliced
 from gaugeworks.session import checkpointed
@@ -44,8 +45,11 @@ PERCENT = 90
 MAX_LIGHT = 19  # light sets have at most so many shingles
 CELL_BITS = 18  # cells that shingles are counted in; their number bounds what tasks receive
 _CHUNKS = 8
+PIVOTS = 4  # nodes of a list that all others are first compared with
 SKETCH = tuple(f"p{i}" for i in range(8))  # 512 bits, each the parity of the elements it stands for
 _BIT_BITS = 23  # size of the filter for documents whose sets are read again
+
+
 def least_overlap(a: int, b: int, percent: int) -> int:
     """Common elements that sets of these sizes need to be alike enough."""
     return -(-percent * (a + b) // (100 + percent))
@@ -256,17 +260,18 @@ def _possible(x: str, y: str, percent: int, sketch: tuple[str, ...]):
 
 
 def joined_lists(lists: DataFrame) -> DataFrame:
-    """Entries (node, size, place, key) of the lists that hold two nodes, with the ends of the list.
+    """Entries (node, size, place, key) of the lists that hold two nodes, with n and nth.
 
-    The entries are shuffled once, by key; the ends of the lists are found where they are.
+    n is the list's length, nth the entry's number in it in an order that differs from list to
+    list. The entries are shuffled once, by key; all else is done where they are.
     """
     lists = lists.repartition("key")
-    ends = (
-        lists.groupBy("key")
-        .agg(F.min("node").alias("low"), F.max("node").alias("high"))
-        .where("low < high")
+    lengths = lists.groupBy("key").agg(
+        F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("n")
     )
-    return lists.join(ends, "key")
+    met = lists.join(lengths.where("low < high").select("key", "n"), "key")
+    mixed_order = Window.partitionBy("key").orderBy(F.xxhash64("node", "key"), "node")
+    return met.withColumn("nth", F.row_number().over(mixed_order))
 
 
 def _pairs(x: DataFrame, y: DataFrame, condition, percent: int) -> DataFrame:
@@ -285,13 +290,14 @@ def node_components(met: DataFrame, verify, percent: int) -> DataFrame:
     stored table of pairs (a, b) whose whole sets are alike.
     """
     sketch = [p for p in SKETCH if p in met.columns]
-    ends = met.where("node = low OR node = high")
-    star = checkpointed(_pairs(met, ends, F.col("x.node") != F.col("y.node"), percent), "jaccard-pairs")
+    pivots = met.where(F.col("nth") <= PIVOTS)
+    star = checkpointed(_pairs(met, pivots, F.col("x.node") != F.col("y.node"), percent), "jaccard-pairs")
     links = checkpointed(verify(star), "jaccard-links")
     joined = connected(links)
 
+    # of shorter lists all pairs have been proposed
     label = F.coalesce("component", "node").alias("component")
-    labelled = met.join(joined, "node", "left").select("key", "node", "size", "place", label, *sketch)
+    labelled = met.where(F.col("n") > PIVOTS).join(joined, "node", "left").select("key", "node", "size", "place", label, *sketch)
     by_component = labelled.groupBy("key", "component").agg(F.count("*").alias("n"))
     main = (
         by_component.groupBy("key")
@@ -343,7 +349,7 @@ def shingle_components(
 
 def similar_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """Per row of ``docs``: doc_id, n_shingles, component_id (the lowest doc_id reachable by links)."""
-    cells = cell_counts(docs, width)
+    cells = cell_counts(bounded(docs), width)
     described = checkpointed(describe_sets(docs, cells, width, percent), "jaccard-described")
     nodes = checkpointed(
         described.where("n_shingles > 0")
