@@ -14,6 +14,7 @@ from gaugeworks.session import checkpointed
 
 NEAR_WORDS = 5
 NEAR_PERCENT = 80
+PACKING_WORDS = 120_000  # workers go through all stages, so they remember fewer words
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,7 +35,8 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents in sequences of at most 2048 ids."""
-    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+    path = public_tokenizers.path("word_bpe_49k.json")
+    return packing.pack_documents(docs, path, remember=PACKING_WORDS)
 
 
 STAGES = [

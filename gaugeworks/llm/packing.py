@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gaugeworks.llm.batches import bounded
 from gaugeworks.llm.bpe import split_pattern
 from gaugeworks.llm.words import Pieces, WordIds, slices
 from gaugeworks.session import checkpointed
@@ -70,20 +71,25 @@ class LowerPieces(Pieces):
 
 
 @lru_cache(maxsize=2)
-def _lower_words(path: str) -> WordIds:
+def _lower_words(path: str, remember: int | None = None) -> WordIds:
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
     tokenizer.encode_special_tokens = True
     # this tokenizer drops white space and never joins what it parts
-    return WordIds(LowerPieces(tokenizer), blank_words, lambda text: [text])
+    return WordIds(LowerPieces(tokenizer), blank_words, lambda text: [text], remember=remember)
 
 
-def pieces(docs: DataFrame, path: str, end_id: int = 0, capacity: int = CAPACITY) -> DataFrame:
-    """Pieces of all documents: doc_id, piece, start, length, ids_crc32."""
+def pieces(
+    docs: DataFrame, path: str, end_id: int = 0, capacity: int = CAPACITY, remember: int | None = None
+) -> DataFrame:
+    """Pieces of all documents: doc_id, piece, start, length, ids_crc32.
+
+    ``remember`` bounds the words whose ids a worker keeps; it costs time, not results.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _lower_words(path)
+        codec = _lower_words(path, remember)
         for batch in batches:
             keys, at = batch.column(0).to_pylist(), 0
             for texts in slices([t or "" for t in batch.column(1).to_pylist()]):
@@ -103,7 +109,7 @@ def pieces(docs: DataFrame, path: str, end_id: int = 0, capacity: int = CAPACITY
                 )
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long"
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
+    return bounded(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
 
 
 class Bins:
@@ -326,7 +332,9 @@ def pack(
     return small.unionByName(full)
 
 
-def pack_documents(docs: DataFrame, path: str, end_id: int = 0, capacity: int = CAPACITY) -> DataFrame:
+def pack_documents(
+    docs: DataFrame, path: str, end_id: int = 0, capacity: int = CAPACITY, remember: int | None = None
+) -> DataFrame:
     """Encode, cut and pack ``docs``: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
-    stored = checkpointed(pieces(docs, path, end_id, capacity), "packing-pieces")
+    stored = checkpointed(pieces(docs, path, end_id, capacity, remember), "packing-pieces")
     return pack(stored, capacity)

@@ -17,8 +17,8 @@ import numpy as np
 _ODD_SPACE = re.compile(
     "[\x00\t\x0b\x0c\r\x1c-\x1f\x85\xa0 ᠎ -​    　﻿]"
 )
-_CACHED_WORDS = 600_000
-_SLICE_CHARS = 4_000_000
+CACHED_WORDS = 600_000  # words whose ids a worker remembers, about 250 bytes each
+_SLICE_CHARS = 2_000_000
 
 
 def is_plain(text: str) -> bool:
@@ -78,8 +78,10 @@ class WordIds:
         cut: Callable[[str], list[str]],
         cut_any: Callable[[str], list[str]],
         offsets: bool = False,
+        remember: int | None = None,
     ) -> None:
         self._encode, self._cut, self._cut_any, self._offsets = encode, cut, cut_any, offsets
+        self._remember = remember
         self._index = _Index()
         self._seen = np.empty(0, np.int64)
         self._ends = np.zeros(1, np.int64)
@@ -103,7 +105,7 @@ class WordIds:
     def _forget(self) -> None:
         """Drop the words met once; if half the room is still taken, drop all."""
         keep = np.flatnonzero(self._seen > 1)
-        if len(keep) > _CACHED_WORDS // 2:
+        if len(keep) > (self._remember or CACHED_WORDS) // 2:
             keep = keep[:0]
         words = np.array([*self._index, ""], object)[keep].tolist()
         take, size = self._places(keep)
@@ -128,7 +130,7 @@ class WordIds:
 
         With ``offsets`` also each id's first character in its text and the one after its last.
         """
-        if len(self._index) > _CACHED_WORDS:
+        if len(self._index) > (self._remember or CACHED_WORDS):
             self._forget()
         found, sizes, shifts = [], [], []
         look = self._index.__getitem__

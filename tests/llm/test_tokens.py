@@ -41,7 +41,7 @@ def test_ids_equal_those_of_the_rank_library():
 
 
 def test_words_are_forgotten_without_a_trace(monkeypatch):
-    monkeypatch.setattr("gaugeworks.llm.words._CACHED_WORDS", 20)
+    monkeypatch.setattr("gaugeworks.llm.words.CACHED_WORDS", 20)
     codec, fresh = (bpe.RankCodec(RANKS, public_tokenizers.PATTERN) for _ in range(2))
     for text in random_texts(300):
         assert codec.encode([text, "a b a b"])[0].tolist() == fresh.encode([text, "a b a b"])[0].tolist()
