@@ -247,16 +247,19 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").where(100 * common >= percent * union).select("a", "b")
 
 
-def _possible(x: str, y: str, percent: int, sketch: tuple[str, ...]):
-    """Whether sets that meet first at these places, of these sizes and sketches, can be alike enough."""
+def _possible(x: str, y: str, percent: int):
+    """Whether sets that meet first at these places, of these sizes, can be alike enough."""
     a, b = F.col(f"{x}.size"), F.col(f"{y}.size")
     left = F.least(a - F.col(f"{x}.place"), b - F.col(f"{y}.place"))
-    enough = left * (100 + percent) >= percent * (a + b)
+    return left * (100 + percent) >= percent * (a + b)
+
+
+def _unrefuted(x: str, y: str, percent: int, sketch: list[str]):
+    """Whether the sketches allow as few elements in one set alone as alike sets have."""
     if not sketch:
-        return enough
+        return F.lit(True)
     apart = reduce(add, [F.bit_count(F.col(f"{x}.{p}").bitwiseXOR(F.col(f"{y}.{p}"))) for p in sketch])
-    # elements that only one of two alike sets has
-    return enough & (apart * (100 + percent) <= (100 - percent) * (a + b))
+    return apart * (100 + percent) <= (100 - percent) * (F.col(f"{x}.size") + F.col(f"{y}.size"))
 
 
 def joined_lists(lists: DataFrame) -> DataFrame:
@@ -274,30 +277,37 @@ def joined_lists(lists: DataFrame) -> DataFrame:
     return met.withColumn("nth", F.row_number().over(mixed_order))
 
 
-def _pairs(x: DataFrame, y: DataFrame, condition, percent: int) -> DataFrame:
-    """Distinct pairs (a, b) of entries of the same lists that may be alike enough."""
-    sketch = tuple(p for p in SKETCH if p in x.columns)
-    met = (F.col("x.key") == F.col("y.key")) & condition & _possible("x", "y", percent, sketch)
-    found = x.alias("x").join(y.alias("y"), met)
+def _pairs(x: DataFrame, y: DataFrame, condition) -> DataFrame:
+    """Distinct pairs (a, b) of entries of the same lists that meet a condition."""
+    found = x.alias("x").join(y.alias("y"), (F.col("x.key") == F.col("y.key")) & condition)
     return found.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
 
 
-def node_components(met: DataFrame, verify, percent: int) -> DataFrame:
+def node_components(met: DataFrame, nodes: DataFrame, verify, percent: int) -> DataFrame:
     """(node, component) of all nodes that link with another; a component is its lowest node.
 
     ``met`` is a stored result of ``joined_lists``, in which any two alike sets share a list at
-    their first common key; it may hold the sketches of the sets. ``verify`` gives those of a
-    stored table of pairs (a, b) whose whole sets are alike.
+    their first common key; ``nodes`` has their sizes and, if any, sketches. ``verify`` gives
+    those of a stored table of pairs (a, b) whose whole sets are alike.
     """
-    sketch = [p for p in SKETCH if p in met.columns]
+    sketch = [p for p in SKETCH if p in nodes.columns]
+    known = nodes.select("node", "size", *sketch)
     pivots = met.where(F.col("nth") <= PIVOTS)
-    star = checkpointed(_pairs(met, pivots, F.col("x.node") != F.col("y.node"), percent), "jaccard-pairs")
+    star = _pairs(met, pivots, (F.col("x.node") != F.col("y.node")) & _possible("x", "y", percent))
+    likely = (
+        star.alias("s")
+        .join(known.alias("x"), F.col("s.a") == F.col("x.node"))
+        .join(known.alias("y"), F.col("s.b") == F.col("y.node"))
+        .where(_unrefuted("x", "y", percent, sketch))
+        .select("a", "b")
+    )
+    star = checkpointed(likely, "jaccard-pairs")
     links = checkpointed(verify(star), "jaccard-links")
     joined = connected(links)
 
     # of shorter lists all pairs have been proposed
     label = F.coalesce("component", "node").alias("component")
-    labelled = met.where(F.col("n") > PIVOTS).join(joined, "node", "left").select("key", "node", "size", "place", label, *sketch)
+    labelled = met.where(F.col("n") > PIVOTS).join(joined, "node", "left").select("key", "node", "place", label)
     by_component = labelled.groupBy("key", "component").agg(F.count("*").alias("n"))
     main = (
         by_component.groupBy("key")
@@ -305,11 +315,12 @@ def node_components(met: DataFrame, verify, percent: int) -> DataFrame:
         .where("components > 1")
         .select("key", "main")
     )
-    open_ = checkpointed(labelled.join(main, "key"), "jaccard-open")
+    open_ = checkpointed(labelled.join(main, "key").join(known, "node"), "jaccard-open")
     apart = (F.col("x.component") != F.col("y.component")) & (
         (F.col("y.component") == F.col("y.main")) | (F.col("x.node") < F.col("y.node"))
     )
-    others = _pairs(open_.where("component != main"), open_, apart, percent)
+    apart = apart & _possible("x", "y", percent) & _unrefuted("x", "y", percent, sketch)
+    others = _pairs(open_.where("component != main"), open_, apart)
     unseen = checkpointed(others.join(star, ["a", "b"], "left_anti"), "jaccard-pairs")
     if unseen.isEmpty():
         return joined
@@ -337,14 +348,14 @@ def shingle_components(
         F.transform(subsets, lambda key: F.struct(F.lit(0).alias("place"), key.alias("key"))),
     )
     lists = keyed.select("node", "size", F.inline(keys))
-    met = checkpointed(joined_lists(lists).join(nodes.select("node", *SKETCH), "node"), "jaccard-lists")
+    met = checkpointed(joined_lists(lists), "jaccard-lists")
 
     def verify(pairs: DataFrame) -> DataFrame:
         both = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
         wanted = checkpointed(nodes.join(both, "node").select("node", "doc_id", "d1", "d2"), "jaccard-wanted")
         return verified(pairs, checkpointed(read_sets(docs, wanted, width), "jaccard-sets"), percent)
 
-    return node_components(met, verify, percent)
+    return node_components(met, nodes, verify, percent)
 
 
 def similar_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:

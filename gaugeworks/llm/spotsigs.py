@@ -153,7 +153,8 @@ def near_duplicate_classes(docs: DataFrame, percent: int = 80) -> DataFrame:
     ).select("node", "size", "place", F.xxhash64("part", "hash").alias("key"))
     met = checkpointed(joined_lists(lists), "spotsigs-lists")
     sets = nodes.select("node", "hashes")
-    joined = node_components(met, lambda pairs: verified(pairs, sets, percent), percent)
+    sized = nodes.select("node", F.size("hashes").alias("size"))
+    joined = node_components(met, sized, lambda pairs: verified(pairs, sets, percent), percent)
     own = nodes.join(joined, "node", "left").select("digest", "doc_id", F.coalesce("component", "node").alias("component"))
     numbers = own.groupBy("component").agg(F.min("doc_id").alias("class_id"))
     classes = own.join(numbers, "component").select("digest", "class_id")
