@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gaugeworks.llm.batches import bounded
+from gaugeworks.llm.batches import bounded, freeing
 from gaugeworks.llm.components import connected
 from gaugeworks.llm.shingles import mixed, shingle_sets, sliced
 from gaugeworks.session import checkpointed
@@ -112,7 +112,7 @@ def cell_counts(docs: DataFrame, width: int) -> np.ndarray:
 
         return run
 
-    counted = docs.select("text").mapInArrow(count, "chunk long, part long, cells binary")
+    counted = docs.select("text").mapInArrow(freeing(count), "chunk long, part long, cells binary")
     some = counted.groupBy("chunk", "part").applyInArrow(add("u1"), "chunk long, cells binary")
     rows = some.groupBy("chunk").applyInArrow(add("<u4"), "chunk long, cells binary").collect()
     parts = {r.chunk: np.frombuffer(r.cells, "<u4") for r in rows}
@@ -174,7 +174,7 @@ def describe_sets(docs: DataFrame, cells: np.ndarray, width: int, percent: int)
         "doc_id long, n_shingles int, d1 long, d2 long, prefix array<long>, subsets array<long>, scan double, "
         + ", ".join(f"{p} long" for p in SKETCH)
     )
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(freeing(run), schema)
 
 
 def light_boundary(nodes: DataFrame) -> int:
@@ -229,7 +229,7 @@ def read_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
                 done += len(texts)
 
     rows = docs.select(F.col("doc_id").cast("long"), "text").withColumn("place", place)
-    found = rows.mapInArrow(run, "doc_id long, d1 long, d2 long, hashes array<long>").alias("f")
+    found = rows.mapInArrow(freeing(run), "doc_id long, d1 long, d2 long, hashes array<long>").alias("f")
     same = (
         (F.col("f.d1") == F.col("w.d1"))
         & (F.col("f.d2") == F.col("w.d2"))

@@ -29,7 +29,7 @@ from gaugeworks.llm.batches import bounded
 
 UNKNOWN = "und"
 TRAIN_ROWS = 64  # labelled rows read for each language
-TRAIN_LETTERS = 40_000  # letters and blanks of them that its automaton holds
+TRAIN_LETTERS = 25_000  # letters and blanks of them that its automaton holds
 TRAIN_CHARS = 640_000  # longer texts are not taken as training rows
 MAX_LANGUAGES = 64  # the languages with most rows are learned
 MAX_SYMBOLS = 253  # the most frequent letters are told apart

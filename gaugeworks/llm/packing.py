@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gaugeworks.llm.batches import bounded
+from gaugeworks.llm.batches import bounded, freeing
 from gaugeworks.llm.bpe import split_pattern
 from gaugeworks.llm.words import Pieces, WordIds, slices
 from gaugeworks.session import checkpointed
@@ -109,7 +109,7 @@ def pieces(
                 )
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long"
-    return bounded(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
+    return bounded(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(freeing(run), schema)
 
 
 class Bins:

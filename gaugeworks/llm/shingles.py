@@ -8,7 +8,7 @@ import numpy as np
 
 _A = np.uint64(0x9E3779B97F4A7C15)
 _BASE = 0xC2B2AE3D27D4EB4F
-_SLICE_CHARS = 1_000_000
+_SLICE_CHARS = 500_000
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
