@@ -184,6 +184,27 @@ def test_model_probabilities_sum_to_one(spark, corpus):
         assert share + unseen == pytest.approx(1)
 
 
+def test_classes_grow_with_the_vocabulary(spark, corpus):
+    small = neural_lm.find_classes(neural_lm.word_counts(spark.createDataFrame(corpus, "doc_id long, text string")))
+    assert len(small.mass) >= 2 + 126 + 128 and neural_lm.WIDTH >= 16 and neural_lm.NOISE >= 32
+    many = spark.range(600_000).selectExpr("id AS doc_id", "concat('w', id, ' w', id % 5000) AS text")
+    grown = neural_lm.find_classes(neural_lm.word_counts(many))
+    assert grown.first_suffix > small.first_suffix and grown.buckets > small.buckets
+    assert len(grown.words) == grown.first_suffix - 1 and len(grown.mass) > len(small.mass)
+    assert grown.mass.sum() == pytest.approx(1_800_000 + 0.5 * 600_000, rel=1e-3)
+
+
+def test_words_are_encoded_as_their_classes(spark, corpus):
+    content = ["lom tir. sen!!! ba?!?!?!?!. !!!!!!!! ... x a, lom,,,,,,,, !!a!! \"q\"", "", "!", "TIR tir"]
+    classes = neural_lm.find_classes(neural_lm.word_counts(spark.createDataFrame([(1, " ".join(content))], "doc_id long, text string")))
+    dropped = neural_lm.Classes({b"": 1}, classes.suffixes | {neural_lm.suffix(w): n for n, w in enumerate(tokens(content[0])[:-1], 130)}, classes.mass, 0, 0, 128, 4096)
+    for known in (classes, dropped):
+        found, _, nth = neural_lm.Encoder(known)(content)
+        words = [tokens(t) for t in content]
+        assert found.tolist() == [known.of(w) for text in words for w in text]
+        assert nth.tolist() == [i for text in words for i in range(len(text))]
+
+
 def test_language_model_of_nothing(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert neural_lm.train_and_score(docs).count() == 0
