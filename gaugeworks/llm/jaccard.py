@@ -119,12 +119,15 @@ def cell_counts(docs: DataFrame, width: int) -> np.ndarray:
     return np.concatenate([parts[c] for c in range(_CHUNKS)]) if parts else np.zeros(1 << CELL_BITS, np.uint32)
 
 
-def describe_sets(docs: DataFrame, cells: np.ndarray, width: int, percent: int) -> DataFrame:
+def describe_sets(
+    docs: DataFrame, cells: np.ndarray, width: int, percent: int, keyed: bool = False
+) -> DataFrame:
     """Per row: doc_id, n_shingles, the set's digest (d1, d2) and sketch, its keys and what scanning costs.
 
     ``prefix`` are the keys for inverted lists, ``subsets`` those of a set that may be light,
-    ``scan`` the lengths of its lists, as far as the cells tell.
+    ``scan`` the lengths of its lists, as far as the cells tell. ``keyed`` adds the text's hash, text_key.
     """
+    more = ["text_key"] if keyed else []
     usual = float(cells.mean())
     # what is above 2^16 need not be ordered further; equal counts are ordered by hash
     rank = np.minimum(cells, (1 << 16) - 1).astype(np.uint16)
@@ -165,16 +168,18 @@ def describe_sets(docs: DataFrame, cells: np.ndarray, width: int, percent: int)
                         pa.array(subsets, pa.list_(pa.int64())),
                         pa.array(scan.astype(np.float64)),
                         *(pa.array(np.ascontiguousarray(sketch[:, i]).view(np.int64)) for i in range(len(SKETCH))),
+                        *(batch.column(2).slice(at, len(texts)) for _ in more),
                     ],
-                    ["doc_id", "n_shingles", "d1", "d2", "prefix", "subsets", "scan", *SKETCH],
+                    ["doc_id", "n_shingles", "d1", "d2", "prefix", "subsets", "scan", *SKETCH, *more],
                 )
                 at += len(texts)
 
     schema = (
         "doc_id long, n_shingles int, d1 long, d2 long, prefix array<long>, subsets array<long>, scan double, "
-        + ", ".join(f"{p} long" for p in SKETCH)
+        + ", ".join(f"{p} long" for p in (*SKETCH, *more))
     )
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(freeing(run), schema)
+    keys = [F.xxhash64("text").alias(name) for name in more]
+    return docs.select(F.col("doc_id").cast("long"), "text", *keys).mapInArrow(freeing(run), schema)
 
 
 def light_boundary(nodes: DataFrame) -> int:
@@ -358,10 +363,16 @@ def shingle_components(
     return node_components(met, nodes, verify, percent)
 
 
-def similar_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """Per row of ``docs``: doc_id, n_shingles, component_id (the lowest doc_id reachable by links)."""
+def component_rows(docs: DataFrame, width: int, percent: int, keyed: bool = False) -> DataFrame:
+    """Per row of ``docs``: doc_id, n_shingles, component_id (the lowest doc_id reachable by links).
+
+    ``keyed`` adds text_key, the text's hash, and first_key, that of the document that stands for
+    the component: of those of the lowest doc_id the one of the lowest text_key.
+    """
     cells = cell_counts(bounded(docs), width)
-    described = checkpointed(describe_sets(docs, cells, width, percent), "jaccard-described")
+    described = checkpointed(describe_sets(docs, cells, width, percent, keyed), "jaccard-described")
+    # NULL without a doc_id, which the lowest does not count
+    first = F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", *(["text_key"] if keyed else [])))
     nodes = checkpointed(
         described.where("n_shingles > 0")
         .groupBy("d1", "d2")
@@ -371,35 +382,48 @@ def similar_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
             F.max(F.size("subsets")).alias("n_subsets"),
             F.max("scan").alias("scan"),
             *(F.max(p).alias(p) for p in SKETCH),
+            *([F.min(first).alias("first")] if keyed else []),
         )
         .withColumn("node", F.monotonically_increasing_id()),
         "jaccard-nodes",
     )
     joined = shingle_components(docs, described, nodes, light_boundary(nodes), width, percent)
+    lowest = [F.min("first").alias("first")] if keyed else []
     own = nodes.join(joined, "node", "left").select(
-        "d1", "d2", "doc_id", F.coalesce("component", "node").alias("component")
+        "d1", "d2", "doc_id", F.coalesce("component", "node").alias("component"), *(["first"] if keyed else [])
     )
-    numbers = own.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    of_set = own.join(numbers, "component").select("d1", "d2", "component_id")
-    rows = described.select("doc_id", "n_shingles", "d1", "d2")
+    numbers = own.groupBy("component").agg(F.min("doc_id").alias("component_id"), *lowest)
+    first_key = [F.col("first.text_key").alias("first_key")] if keyed else []
+    numbers = numbers.select("component", "component_id", *first_key)
+    of_set = own.select("d1", "d2", "component").join(numbers, "component").drop("component")
+    rows = described.select("doc_id", "n_shingles", "d1", "d2", *(["text_key"] if keyed else []))
     linked = rows.join(of_set, ["d1", "d2"], "left")
     return linked.select(
         "doc_id",
         F.col("n_shingles").cast("long").alias("n_shingles"),
         F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
+        *(["text_key", "first_key"] if keyed else []),
     )
 
 
+def similar_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """Per row of ``docs``: doc_id, n_shingles, component_id (the lowest doc_id reachable by links)."""
+    return component_rows(docs, width, percent)
+
+
 def keep_one(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """One document of each component, that of the lowest doc_id, with its own columns.
+    """One document of each component, one of the lowest doc_id, with its own columns.
 
     Documents without words are all kept, as are those without doc_id and a linked number. Of rows
-    repeated with the same doc_id and text one is kept.
+    repeated with the same doc_id and text one is kept. Documents are told apart by doc_id and
+    text, so several texts of one doc_id stand each for its own component.
     """
-    found = similar_components(docs, width, percent)
-    gone = found.where("doc_id <> component_id OR (doc_id IS NULL AND component_id IS NOT NULL)")
-    gone = gone.select(F.col("doc_id").alias("_gone")).distinct()
-    kept = docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(gone["_gone"]), "left_anti")
+    found = component_rows(docs, width, percent, keyed=True)
+    stands = F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("text_key") == F.col("first_key"))
+    gone = found.where((F.col("n_shingles") > 0) & F.col("component_id").isNotNull() & ~stands)
+    gone = gone.select(F.col("doc_id").alias("_gone"), F.col("text_key").alias("_gone_key")).distinct()
+    same_id = docs["doc_id"].cast("long").eqNullSafe(gone["_gone"])
+    kept = docs.join(gone, same_id & (F.xxhash64(docs["text"]) == gone["_gone_key"]), "left_anti")
     words = F.length(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+", "")) > 0
     same = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("doc_id")
     numbered = kept.select(F.struct(*docs.columns).alias("row"), words.alias("words"), F.row_number().over(same).alias("nth"))

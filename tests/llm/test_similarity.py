@@ -137,6 +137,20 @@ def test_one_document_of_each_group_stays(spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(want)) + [500, 501]
 
 
+def test_missing_and_repeated_ids_lose_no_group(spark):
+    words = {name: " ".join(f"{name}{i}" for i in range(60)) for name in "abcde"}
+    a, b, c, d, e = words.values()
+    # 5 has two texts, one of them not the lowest of its group; a NULL links with 9, another with nothing
+    rows = [(5, a), (7, a + " x"), (5, b), (3, b + " x"), (9, c), (None, c + " x"), (None, d), (None, None)]
+    # of one doc_id's like texts one stays, also where only white space differs
+    rows += [(11, e), (11, e + " x"), (11, e.replace(" ", "  ")), (12, e)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = [tuple(r) for r in jaccard.keep_one(docs, 3, 90).collect()]
+    assert sorted((k, t) for k, t in kept if k in (3, 5, 7, 9)) == [(3, b + " x"), (5, a), (9, c)]
+    assert sorted((str(t) for k, t in kept if k is None)) == sorted([str(None), d])
+    assert [k for k, _ in kept if k in (11, 12)] == [11]
+
+
 def test_connected_components(spark):
     rng = random.Random(0)
     chain = [(i, i + 1) for i in range(100, 160)]
