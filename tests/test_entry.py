@@ -1,5 +1,7 @@
 import glob
 import os
+import subprocess
+import sys
 
 import duckdb
 import pytest
@@ -37,3 +39,21 @@ def test_every_query_has_sql():
 
 def test_entry(spark):
     assert entry.entry(spark).columns == ["model", "strategy", "metric", "k", "value"]
+
+
+def test_entry_works_without_the_training_data_operators():
+    hidden = """
+import sys
+
+class Hidden:
+    def find_spec(self, name, path=None, target=None):
+        if name == "corpus_pipeline" or name.startswith("gaugeworks.llm"):
+            raise ModuleNotFoundError(name)
+
+sys.meta_path.insert(0, Hidden())
+import __spark_entry__ as entry
+from gaugeworks.catalog import registry
+assert set(entry.queries()) == set(registry.QUERIES) and set(entry.oracle_sql()) == set(registry.ORACLES)
+"""
+    root = os.path.dirname(entry.__file__)
+    subprocess.run([sys.executable, "-c", hidden], check=True, cwd=root, timeout=120)
