@@ -6,7 +6,19 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeworks.llm import bpe, html_text, jaccard, language, neural_lm, packing, quality, spotsigs, token_files
+from gaugeworks.llm import (
+    bpe,
+    html_text,
+    jaccard,
+    language,
+    neural_lm,
+    packing,
+    quality,
+    spotsigs,
+    token_files,
+    vector_codes,
+    whitening,
+)
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
@@ -137,3 +149,56 @@ FROM sets s LEFT JOIN copies k ON list_sort(s.s) = k.s LEFT JOIN component c ON
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose 3-word shingles are alike to 0.9, by the size-aware join."""
     return jaccard.similar_components(_table(spark, sf_dir, "documents"))
+
+
+@_query("op12_qdwh_whitening")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every embedding on the 32 first principal components, whitened."""
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"))
+
+
+_CODES_SQL = """
+WITH kept AS MATERIALIZED (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v,
+         len(embedding) // 16 AS d
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+parts AS MATERIALIZED (
+  SELECT vec_id, p, list_slice(v, p * d + 1, (p + 1) * d) AS s, d FROM kept, (SELECT unnest(range(16)) AS p)),
+start AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS e FROM kept),
+{rounds}
+near AS (
+  SELECT a.vec_id, a.p, min((list_sum(list_transform(range(1, a.d + 1), lambda i: (a.s[i] - c.s[i]) * (a.s[i] - c.s[i]))), c.e)) AS m
+  FROM parts a JOIN book2 c ON a.p = c.p GROUP BY ALL),
+coded AS (
+  SELECT vec_id, string_agg(format('{{:02x}}', m[2]), '' ORDER BY p) AS code, CAST(sum(m[1]) AS BIGINT) AS error
+  FROM near GROUP BY vec_id),
+digest AS (
+  SELECT sha256(string_agg(array_to_string(s, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM book2)
+SELECT k.vec_id, code, error, CAST(sum(error) OVER (PARTITION BY k.label) AS BIGINT) AS label_error, codebooks_sha256
+FROM coded JOIN kept k USING (vec_id), digest
+"""
+
+_ROUND_SQL = """
+near{i} AS (
+  SELECT a.vec_id, a.p, min((list_sum(list_transform(range(1, a.d + 1), lambda i: (a.s[i] - c.s[i]) * (a.s[i] - c.s[i]))), c.e)) AS m
+  FROM parts a JOIN book{i} c ON a.p = c.p GROUP BY ALL),
+sums{i} AS (
+  SELECT p, e, i, CAST(floor(sum(x) / count(*)) AS BIGINT) AS x
+  FROM (SELECT a.p, n.m[2] AS e, unnest(a.s) AS x, generate_subscripts(a.s, 1) AS i
+        FROM parts a JOIN near{i} n ON a.vec_id = n.vec_id AND a.p = n.p) GROUP BY ALL),
+moved{i} AS (SELECT p, e, list(x ORDER BY i) AS s FROM sums{i} GROUP BY ALL),
+book{j} AS MATERIALIZED (
+  SELECT b.p, b.e, coalesce(m.s, b.s) AS s FROM book{i} b LEFT JOIN moved{i} m ON b.p = m.p AND b.e = m.e),
+"""
+
+_CODES_SQL = _CODES_SQL.format(
+    rounds="book0 AS MATERIALIZED (SELECT p, e, s FROM parts JOIN start USING (vec_id) WHERE e < 64),"
+    + "".join(_ROUND_SQL.format(i=i, j=i + 1) for i in range(2))
+)
+
+
+@_query("op13_memoised_grid_codes", _CODES_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes of all embeddings by 16 codebooks of 64 entries, found through memoised grid cells."""
+    return vector_codes.compress(_table(spark, sf_dir, "embeddings"))
