@@ -13,6 +13,7 @@ from gaugeworks.llm import (
     language,
     neural_lm,
     packing,
+    positions,
     quality,
     spotsigs,
     token_files,
@@ -202,3 +203,55 @@ _CODES_SQL = _CODES_SQL.format(
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Codes of all embeddings by 16 codebooks of 64 entries, found through memoised grid cells."""
     return vector_codes.compress(_table(spark, sf_dir, "embeddings"))
+
+
+_WORDS_SQL = r"""regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
+
+# exact windows by their text; near ones from the rarest word of a window
+_POSITIONS_SQL = f"""
+WITH d AS (SELECT doc_id, {_WORDS_SQL} AS w FROM documents),
+b AS (SELECT CAST(item_id AS VARCHAR) AS item_id, {_WORDS_SQL} AS w FROM benchmark),
+runs AS (
+  SELECT DISTINCT item_id, list_slice(w, s + 1, s + 10) AS g
+  FROM (SELECT item_id, w, unnest(range(greatest(len(w) - 10, 0) + 1)) AS s FROM b WHERE len(w) > 0)),
+win AS MATERIALIZED (SELECT g, row_number() OVER () AS win FROM (SELECT DISTINCT g FROM runs)),
+owner AS (SELECT win, item_id FROM runs JOIN win USING (g)),
+token AS MATERIALIZED (SELECT doc_id, unnest(w) AS t, generate_subscripts(w, 1) - 1 AS pos FROM d),
+exact AS (
+  SELECT doc_id, pos, size, win
+  FROM (SELECT doc_id, pos, size, list_slice(w, pos + 1, pos + size) AS g
+        FROM (SELECT doc_id, w, size, unnest(range(len(w) - size + 1)) AS pos
+              FROM d, (SELECT DISTINCT len(g) AS size FROM win) WHERE len(w) >= size)) JOIN win USING (g)),
+hit AS (
+  SELECT doc_id, count(DISTINCT place) AS n_hit
+  FROM (SELECT doc_id, unnest(range(pos, pos + size)) AS place FROM exact) GROUP BY doc_id),
+item AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids
+  FROM (SELECT DISTINCT doc_id, item_id FROM exact JOIN owner USING (win)) GROUP BY doc_id),
+often AS (SELECT t, count(*) AS n FROM token GROUP BY t),
+term AS (SELECT win, len(g) AS size, unnest(g) AS t, generate_subscripts(g, 1) - 1 AS off FROM win),
+rarest AS (
+  SELECT win, size, arg_min(t, (n, off)) AS t, arg_min(off, (n, off)) AS off
+  FROM term LEFT JOIN often USING (t) GROUP BY ALL HAVING count(n) = size),
+proposed AS (SELECT doc_id, win, size, pos - off AS start FROM token JOIN rarest USING (t)),
+stands AS (
+  SELECT DISTINCT p.doc_id, p.win, p.size, p.start, x.off
+  FROM proposed p JOIN term x ON p.win = x.win
+  JOIN token k ON k.doc_id = p.doc_id AND k.t = x.t AND abs(k.pos - p.start - x.off) <= 2),
+near AS (
+  SELECT doc_id, count(DISTINCT item_id) AS n_near_items
+  FROM (SELECT doc_id, win, start FROM stands GROUP BY doc_id, win, start, size HAVING count(*) = size)
+  JOIN owner USING (win) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated,
+       coalesce(n_near_items, 0) AS n_near_items
+FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN item USING (doc_id) LEFT JOIN near USING (doc_id)
+"""
+
+
+@_query("op11_positional_index_decontamination", _POSITIONS_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark windows of ten words in all documents, by a positional inverted index."""
+    return positions.decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
