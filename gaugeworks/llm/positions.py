@@ -123,7 +123,8 @@ def matches(indexed: DataFrame, windows: DataFrame, slop: int = SLOP) -> DataFra
     both = _near(agreed, listed, slop).select("row", "window", "size", "start").distinct()
     both = checkpointed(both.unionByName(proposed.where("size = 1")), "positions-agreed")
 
-    rows = both.select("row").distinct()
+    # a stored table, so that Spark knows how few rows these are when it plans the join
+    rows = checkpointed(both.select("row").distinct(), "positions-rows")
     others = ranked.where("nth > 0").select("window", "place", "term")
     wanted = both.join(others, "window").withColumn("at", F.col("start") + F.col("place"))
     kept = _near(wanted, postings.join(rows, "row", "left_semi"), slop)
