@@ -24,12 +24,12 @@ def n01(spark, sf):
 
 @query("n02_leaf_paths", V.with_sql(V.POLICY_LEAVES_SQL) + "SELECT * FROM policy_leaves")
 def n02(spark, sf):
-    leaf = F.explode(variants.leaves(F.col("doc"))).alias("leaf")
-    return V.policy_outputs(spark, sf).select("plan_id", leaf).select(
+    found = variants.walked_leaves(V.policy_outputs(spark, sf), "doc", ["plan_id"])
+    return found.select(
         "plan_id",
-        F.col("leaf.path").alias("path"),
-        F.variant_get("leaf.value", "$", "string").alias("value"),
-        variants.type_name(F.col("leaf.value")).alias("type"),
+        "path",
+        F.variant_get("value", "$", "string").alias("value"),
+        variants.type_name(F.col("value")).alias("type"),
     )
 
 

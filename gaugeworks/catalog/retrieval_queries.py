@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from gaugeworks.catalog import views as V
 from gaugeworks.catalog.registry import query, rounded
-from gaugeworks.operators import retrieval, vectors
+from gaugeworks.operators import cells, retrieval, vectors
 from gaugeworks.session import scratch_path
 
 _CHUNKS_SQL = """
@@ -102,6 +102,15 @@ def rt03(spark, sf):
     return rounded(vectors.nearest(_questions(spark, sf), _candidates(spark, sf)), "score")
 
 
+@query(
+    "rt03_nearest_by_cells",
+    V.with_sql(_NEAREST_SQL) + "SELECT question_id, chunk_id, round(score, 6) AS score FROM best",
+)
+def rt03_cells(spark, sf):
+    index = cells.build(_candidates(spark, sf))
+    return rounded(cells.nearest_by_cells(_questions(spark, sf), index), "score")
+
+
 _CONTEXTS_SQL = """
 contexts AS (
   SELECT question_id // 25 AS prompt_id, 'context ' || label AS text, CAST(min(question_id % 25) AS INTEGER) AS q_pos

@@ -4,15 +4,16 @@ Nothing here shuffles: each expression looks at the document of its row. Counts
 no paths, so they scan the compact JSON text once. Leaves need paths, so they walk: a fold over
 the depth whose accumulator holds the nodes of the current depth, each step replacing them by
 their children. A document deeper than the usual depth is walked on, for as many steps as its
-text has brackets, which no nesting can exceed.
+text has brackets, which no nesting can exceed. Where the leaves become rows anyway, the walk
+takes a step of rows for each level instead.
 """
 
 from __future__ import annotations
 
 import json
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gaugeworks.functions.text import occurrences
@@ -123,6 +124,39 @@ def leaves(
     return F.when(doc.isNotNull(), pathed)
 
 
+def walked_leaves(
+    rows: DataFrame, doc: str, keep: Sequence[str] = (), until: Callable[[Column], Column] | None = None, levels: int = 5
+) -> DataFrame:
+    """``keep, path, value``: a row for each scalar of the documents in column ``doc``.
+
+    The same leaves as :func:`leaves`, but each level is a step of rows: a node is replaced by its
+    children, a scalar stays. So a node is taken apart once, nothing holds a whole document's nodes
+    and nodes without leaves are gone after a step. ``until`` tells of a path whether its scalars are
+    wanted; others are dropped when they are met. What is deeper than ``levels`` is walked by the fold.
+    """
+    value, path = F.col("_node.value"), F.col("_node.name")
+    members = F.transform(
+        F.map_entries(as_object(value)),
+        lambda e: F.struct(F.concat_ws(".", path, e["key"]).alias("name"), e["value"].alias("value"), F.lit(False).alias("done")),
+    )
+    items = F.transform(as_list(value), lambda x: F.struct(path.alias("name"), x.alias("value"), F.lit(False).alias("done")))
+    itself = F.array(F.struct(path.alias("name"), value.alias("value"), F.lit(True).alias("done")))
+    scalar = itself if until is None else F.when(until(path), itself)
+    step = F.when(F.col("_node.done"), itself).otherwise(F.coalesce(members, items, scalar))
+    root = F.struct(F.lit(None).cast("string").alias("name"), F.col(doc).alias("value"), F.lit(False).alias("done"))
+    nodes = rows.where(F.col(doc).isNotNull()).select(*keep, root.alias("_node"))
+    for _ in range(levels + 1):
+        nodes = nodes.select(*keep, F.explode(step).alias("_node"))
+    deeper = F.transform(
+        leaves(value), lambda n: F.struct(F.concat_ws(".", path, n["path"]).alias("path"), n["value"].alias("value"))
+    )
+    if until is not None:
+        deeper = F.filter(deeper, lambda n: until(n["path"]))
+    own = F.array(F.struct(path.alias("path"), value.alias("value")))
+    found = nodes.select(*keep, F.explode(F.when(F.col("_node.done"), own).otherwise(deeper)).alias("_leaf"))
+    return found.select(*keep, F.col("_leaf.path").alias("path"), F.col("_leaf.value").alias("value"))
+
+
 def type_name(value: Column) -> Column:
     return F.schema_of_variant(value)
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Sequence
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,6 +13,7 @@ from gaugeworks.functions import scores, text
 from gaugeworks.operators.samples import with_prompt
 from gaugeworks.plans import documents
 from gaugeworks.schemas import LEVELS, TASK_KEY
+from gaugeworks.session import checkpointed
 
 # Resource families, in the order their needles are looked for in a type name.
 RESOURCE_FAMILIES = [
@@ -127,30 +130,117 @@ def family_histogram(types: DataFrame, rules: Sequence[tuple[str, Sequence[str]]
     )
 
 
+POINTS = (0.0, 0.25, 0.5, 0.75, 1.0)
+HELD_VALUES = 4096  # distinct values of a range that are read instead of being divided further
+PIVOTS = 63
+
+
+def _ranks(n: int) -> list[tuple[int, float]]:
+    """For each point the rank, from 0, of the value below it, and its distance from there."""
+    places = [p * (n - 1) for p in POINTS]
+    return [(int(place), place - int(place)) for place in places]
+
+
+def values_at_ranks(
+    counted: DataFrame, wanted: dict[str, list[int]], held: int = HELD_VALUES
+) -> dict[tuple[str, int], float]:
+    """The values at ranks (from 0) of each measure of a stored table (measure, value, weight).
+
+    Around each rank a range of values is narrowed: values found by approximate quantiles divide
+    it, and the exact weights between them tell which part holds the rank. Only these counts, and
+    in the end at most ``held`` values of a range, reach the driver; no task orders all values.
+    """
+    spark = counted.sparkSession
+    low, high = float("-inf"), float("inf")
+    # (measure, lowest, highest value of the range, weight below it) -> its ranks
+    open_ = {(m, low, high, 0): sorted(set(ranks)) for m, ranks in wanted.items() if ranks}
+    found: dict[tuple[str, int], float] = {}
+    points = F.array(*[F.lit((i + 1) / (PIVOTS + 1)) for i in range(PIVOTS)])
+    while open_:
+        schema = "measure string, low double, high double, below long"
+        ranges = spark.createDataFrame(list(open_), schema)
+        # ranges of a measure never overlap, so a value is in one of them
+        inside = counted.join(ranges, "measure").where("value >= low AND value <= high")
+        of = ["measure", "low", "high", "below"]
+        sizes = inside.groupBy(*of).agg(
+            F.count("*").alias("n"), F.percentile_approx("value", points, F.lit(1000)).alias("pivots")
+        )
+        small, large = [], []
+        for r in sizes.collect():
+            (small if r.n <= held else large).append(r)
+        if small:
+            few = spark.createDataFrame([tuple(r)[:4] for r in small], schema)
+            rows = counted.join(few, "measure").where("value >= low AND value <= high").select(*of, "value", "weight").collect()
+            by_range: dict[tuple, list[tuple[float, int]]] = {}
+            for r in rows:
+                by_range.setdefault(tuple(r)[:4], []).append((r.value, r.weight))
+            for name, values in by_range.items():
+                values.sort()
+                ends = list(accumulate((w for _, w in values), initial=name[3]))[1:]
+                for rank in open_[name]:
+                    found[name[0], rank] = values[bisect_right(ends, rank)][0]
+        narrowed: dict[tuple, list[int]] = {}
+        if large:
+            cuts = spark.createDataFrame(
+                [(*tuple(r)[:4], sorted(set(r.pivots))) for r in large], schema + ", cuts array<double>"
+            )
+            # part 2i + 1 is the i-th cut itself, part 2i what lies before it
+            smaller = F.size(F.filter("cuts", lambda c: c < F.col("value")))
+            part = 2 * smaller + F.exists("cuts", lambda c: c == F.col("value")).cast("int")
+            parts = (
+                counted.join(cuts, "measure").where("value >= low AND value <= high")
+                .groupBy(*of, part.alias("part"))
+                .agg(F.sum("weight").alias("weight"), F.min("value").alias("first"), F.max("value").alias("last"))
+            )
+            by_range = {}
+            for r in sorted(parts.collect(), key=lambda r: r.part):
+                by_range.setdefault(tuple(r)[:4], []).append(r)
+            for name, rows in by_range.items():
+                below = name[3]
+                for r in rows:
+                    ranks = [x for x in open_[name] if below <= x < below + r.weight]
+                    if ranks and r["first"] == r["last"]:
+                        found |= {(name[0], x): r["first"] for x in ranks}
+                    elif ranks:
+                        narrowed[name[0], r["first"], r["last"], below] = ranks
+                    below += r.weight
+        open_ = narrowed
+    return found
+
+
 def distribution(measured: DataFrame, columns: Sequence[str], approximate: bool = False) -> DataFrame:
     """Minimum, quartiles, maximum and mean of each column, one row per column.
 
-    Exact quantiles interpolate linearly. Values are counted first, so the final step sees one
-    row per distinct value; ``approximate`` bounds memory for columns of very many values.
+    Exact quantiles interpolate linearly between the values at two ranks, which are found by
+    counts; ``approximate`` spares the passes over the counted values.
     """
-    points = F.array(*[F.lit(p) for p in (0.0, 0.25, 0.5, 0.75, 1.0)])
-    rows = [F.struct(F.lit(c).alias("measure"), F.col(c).cast("double").alias("value")) for c in columns]
-    counted = (
-        measured.select(F.inline(F.array(*rows)))
-        .groupBy("measure", "value")
-        .agg(F.count("*").alias("weight"))
-    )
+    # NaN is no value
+    value = {c: F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias("value") for c in columns}
+    rows = [F.struct(F.lit(c).alias("measure"), value[c]) for c in columns]
+    long = measured.select(F.inline(F.array(*rows)))
+    names = ["min", "q1", "median", "q3", "max"]
     if approximate:
-        long = measured.select(F.inline(F.array(*rows)))
+        points = F.array(*[F.lit(p) for p in POINTS])
         summary = long.groupBy("measure").agg(
             F.percentile_approx("value", points, F.lit(10000)).alias("q"), F.avg("value").alias("mean")
         )
-    else:
-        summary = counted.groupBy("measure").agg(
-            F.percentile("value", points, F.col("weight")).alias("q"),
-            (F.sum(F.col("value") * F.col("weight")) / F.sum("weight")).alias("mean"),
-        )
-    names = ["min", "q1", "median", "q3", "max"]
-    return summary.select(
-        "measure", *[F.col("q")[i].alias(name) for i, name in enumerate(names)], "mean"
+        return summary.select("measure", *[F.col("q")[i].alias(name) for i, name in enumerate(names)], "mean")
+    counted = checkpointed(long.groupBy("measure", "value").agg(F.count("*").alias("weight")), "distribution")
+    known = F.when(F.col("value").isNotNull(), F.col("weight"))
+    summary = counted.groupBy("measure").agg(
+        F.coalesce(F.sum(known), F.lit(0)).alias("n"), (F.sum(F.col("value") * known) / F.sum(known)).alias("mean")
     )
+    sums = {r.measure: r for r in summary.collect()}
+    wanted = {m: [x for rank, rest in _ranks(r.n) for x in (rank, rank + (rest > 0))] for m, r in sums.items() if r.n}
+    at = values_at_ranks(counted.where("value IS NOT NULL"), wanted)
+
+    def point(measure: str, rank: int, rest: float) -> float:
+        value = at[measure, rank]
+        return value + rest * (at[measure, rank + 1] - value) if rest else value
+
+    out = []
+    for m, r in sums.items():
+        quantiles = [point(m, *place) for place in _ranks(r.n)] if r.n else [None] * len(POINTS)
+        out.append((m, *quantiles, r["mean"]))
+    schema = ", ".join(["measure string", *(f"{name} double" for name in (*names, "mean"))])
+    return measured.sparkSession.createDataFrame(out, schema)

@@ -29,6 +29,13 @@ def mean_pass_at_k(
         .groupBy(*group, "metric", "c")
         .agg(F.count("*").alias("n_tasks"))
     )
+    return mean_of_counts(by_count, n, ks, group)
+
+
+def mean_of_counts(
+    by_count: DataFrame, n: int, ks: Sequence[int], group: Sequence[str] = tuple(GROUP)
+) -> DataFrame:
+    """Rows (group, metric, k, value) from the number of tasks (n_tasks) with c correct samples of n."""
     per_k = by_count.withColumn("k", F.explode(F.array(*[F.lit(k).cast("bigint") for k in ks])))
     estimate = scores.pass_at_k(F.lit(n).cast("bigint"), F.col("c"), F.col("k"))
     return per_k.groupBy(*group, "metric", "k").agg(

@@ -15,9 +15,10 @@ from gaugeworks.session import shuffle_partitions
 
 BLOCK_VECTORS = 512
 TOKENS_PER_BLOCK = 512
+HELD_QUESTIONS = 200_000  # best chunks that a task holds before it returns them
 
 
-def _unit_rows(column: pa.Array) -> np.ndarray:
+def unit_rows(column: pa.Array) -> np.ndarray:
     """A list column as a matrix of unit rows; zero vectors stay zero."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
@@ -30,7 +31,7 @@ def _unit_rows(column: pa.Array) -> np.ndarray:
     return matrix / np.where(norms == 0, 1.0, norms)
 
 
-def _usable(rows: DataFrame, vector: str) -> DataFrame:
+def usable(rows: DataFrame, vector: str) -> DataFrame:
     return rows.filter(F.col(vector).isNotNull() & (F.size(vector) > 0))
 
 
@@ -45,7 +46,7 @@ def _packed(rows: DataFrame, name: str, vector: str, per_block: int, out: str) -
         for batch in batches:
             for first in range(0, batch.num_rows, per_block):
                 part = batch.slice(first, per_block)
-                values = _unit_rows(part.column(1))
+                values = unit_rows(part.column(1))
                 ids = pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), part.column(0))
                 yield pa.RecordBatch.from_arrays(
                     [ids, pa.array([values.ravel()], pa.list_(pa.float64()))], [f"{out}_ids", f"{out}_values"]
@@ -68,24 +69,25 @@ def nearest(
     Both sides are packed into blocks, and the blocks dealt to the cells of a square grid, about
     as many as there are shuffle partitions: a question block meets the chunk blocks of its row of
     cells, a chunk block the question blocks of its column, so each pair of blocks meets once, on
-    an executor. A task holds two blocks and the best chunk so far of one block's questions, and
-    returns one row a question. Nothing runs before the result is read.
+    an executor. A task holds two blocks and the best chunk so far of a bounded number of questions,
+    and returns one row a question. Nothing runs before the result is read. With very many chunks,
+    :mod:`gaugeworks.operators.cells` compares far fewer pairs.
     """
     side = max(1, int(math.sqrt(shuffle_partitions(questions.sparkSession))))
     own = F.pmod(F.xxhash64(F.lit(1), "_q_block"), F.lit(side))
-    asked = _packed(_usable(questions, vector), question_id, vector, per_block, "_q").select(
+    asked = _packed(usable(questions, vector), question_id, vector, per_block, "_q").select(
         "*", F.explode(F.sequence(own * side, own * side + side - 1)).alias("_cell")
     )
     column = F.pmod(F.xxhash64(F.lit(1), "_c_block"), F.lit(side))
     last = F.lit(side * (side - 1)).cast("bigint")
-    offered = _packed(_usable(chunks, vector), chunk_id, vector, per_block, "_c").select(
+    offered = _packed(usable(chunks, vector), chunk_id, vector, per_block, "_c").select(
         "*", F.explode(F.sequence(column, column + last, F.lit(side).cast("bigint"))).alias("_cell")
     )
-    id_type = questions.schema[question_id].dataType.simpleString()
-    chunk_type = chunks.schema[chunk_id].dataType.simpleString()
-    schema = f"{question_id} {id_type}, {chunk_id} {chunk_type}, score double"
-    met = asked.join(offered, "_cell").select("_q_block", "_q_ids", "_q_values", "_c_ids", "_c_values")
-    found = met.mapInArrow(_search(question_id, chunk_id), schema)
+    return best_of(searched(asked, offered, "_cell", question_id, chunk_id, questions), question_id, chunk_id)
+
+
+def best_of(found: DataFrame, question_id: str, chunk_id: str) -> DataFrame:
+    """One row a question: the highest score, then the lowest id."""
     # the least struct is the highest score, then the lowest id
     best = F.min(F.struct((-F.col("score")).alias("negative"), F.col(chunk_id).alias("id"))).alias("best")
     return found.groupBy(question_id).agg(best).select(
@@ -93,6 +95,22 @@ def nearest(
     )
 
 
+def searched(
+    asked: DataFrame, offered: DataFrame, on: str, question_id: str, chunk_id: str, questions: DataFrame
+) -> DataFrame:
+    """(question_id, chunk_id, score): the best chunk that each question meets in each task.
+
+    ``asked`` holds blocks of questions (_q_ids, _q_values), ``offered`` blocks of chunks (_c_ids,
+    _c_values); blocks meet where ``on`` is equal. ``questions`` gives the type of the ids.
+    """
+    id_type = questions.schema[question_id].dataType.simpleString()
+    chunk_type = offered.schema["_c_ids"].dataType.elementType.simpleString()
+    met = asked.join(offered, on).select("_q_ids", "_q_values", "_c_ids", "_c_values")
+    return met.mapInArrow(
+        _search(question_id, chunk_id), f"{question_id} {id_type}, {chunk_id} {chunk_type}, score double"
+    )
+
+
 def _search(question_id: str, chunk_id: str):
     def matrix(batch: pa.RecordBatch, side: str, row: int) -> tuple[pa.Array, np.ndarray]:
         ids = batch.column(f"{side}_ids")[row].values
@@ -100,20 +118,22 @@ def _search(question_id: str, chunk_id: str):
         return ids, values.reshape(len(ids), -1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, ids, score, best = None, None, np.empty(0), []
+        best: dict = {}  # blocks come in any order, so the best of many questions are held
 
         def hits() -> Iterator[pa.RecordBatch]:
-            if now is not None:
+            if best:
+                names, scores = zip(*best.values())
                 yield pa.RecordBatch.from_arrays(
-                    [ids, pa.array(best), pa.array(score)], [question_id, chunk_id, "score"]
+                    [pa.array(list(best), ids_type), pa.array(names, chunks_type), pa.array(scores, pa.float64())],
+                    [question_id, chunk_id, "score"],
                 )
 
+        ids_type = chunks_type = None
         for batch in batches:
-            for row, block in enumerate(batch.column("_q_block").to_pylist()):
+            ids_type = batch.schema.field("_q_ids").type.value_type
+            chunks_type = batch.schema.field("_c_ids").type.value_type
+            for row in range(batch.num_rows):
                 asked, wanted = matrix(batch, "_q", row)
-                if block != now:
-                    yield from hits()
-                    now, ids, score, best = block, asked, np.full(len(asked), -np.inf), [None] * len(asked)
                 names, offered = matrix(batch, "_c", row)
                 if wanted.shape[1] != offered.shape[1]:
                     raise ValueError(f"vectors of different widths: {wanted.shape[1]}, {offered.shape[1]}")
@@ -121,11 +141,14 @@ def _search(question_id: str, chunk_id: str):
                 names = names.take(order)
                 similarity = wanted @ offered[order.to_numpy()].T
                 at = similarity.argmax(axis=1)  # the lowest id of equal scores
-                top = similarity[np.arange(len(asked)), at]
-                for q in np.nonzero(top >= score)[0]:
-                    name = names[int(at[q])].as_py()
-                    if top[q] > score[q] or best[q] is None or name < best[q]:
-                        score[q], best[q] = top[q], name
+                top = similarity[np.arange(len(asked)), at].tolist()
+                for question, name, score in zip(asked.to_pylist(), names.take(pa.array(at)).to_pylist(), top):
+                    held = best.get(question)
+                    if held is None or score > held[1] or (score == held[1] and name < held[0]):
+                        best[question] = (name, score)
+                if len(best) > HELD_QUESTIONS:
+                    yield from hits()
+                    best = {}
         yield from hits()
 
     return run
@@ -153,9 +176,9 @@ def soft_match(
     A pair with an empty side scores 0 throughout.
     """
     key = list(key)
-    usable = _usable(tokens, "embedding")
-    candidates = _blocks(usable, key, "candidate", per_block)
-    references = _blocks(usable, key, "reference", per_block)
+    rows = usable(tokens, "embedding")
+    candidates = _blocks(rows, key, "candidate", per_block)
+    references = _blocks(rows, key, "reference", per_block)
     key_ddl = ", ".join(f"`{k}` {tokens.schema[k].dataType.simpleString()}" for k in key)
     best = (
         candidates.join(references, key)
@@ -181,7 +204,7 @@ def soft_match(
 def _match_blocks(key: Sequence[str]):
     def side(cell: pa.ListScalar) -> tuple[np.ndarray, np.ndarray]:
         structs = cell.values
-        return structs.field("token_idx").to_numpy(zero_copy_only=False), _unit_rows(structs.field("embedding"))
+        return structs.field("token_idx").to_numpy(zero_copy_only=False), unit_rows(structs.field("embedding"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

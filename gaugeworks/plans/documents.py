@@ -73,23 +73,16 @@ def plan_edges(resources: DataFrame, key: str = "plan_id", keep: Sequence[str] =
     to nothing are not walked.
     """
     refers = variants.count_key(F.col("attributes"), REFERENCES) > 0
-    token = f'"{REFERENCES}":'
-
-    def leads_there(node: Column) -> Column:
-        named = (node["name"] == REFERENCES) | F.endswith(node["name"], F.lit(f".{REFERENCES}"))
-        return named | F.contains(F.to_json(node["value"]), F.lit(token))
-
-    found = F.filter(
-        variants.leaves(F.col("attributes"), keep=leads_there),
-        lambda n: n["path"].rlike(rf"(?:^|\.){REFERENCES}$"),
+    pattern = rf"(?:^|\.){REFERENCES}$"
+    found = variants.walked_leaves(
+        resources.filter(refers), "attributes", [key, "address", *keep], until=lambda path: path.rlike(pattern)
     )
-    rows = resources.filter(refers).select(key, F.col("address").alias("src_address"), *keep, F.explode(found).alias("_leaf"))
-    return rows.select(
+    return found.select(
         key,
-        "src_address",
+        F.col("address").alias("src_address"),
         *keep,
-        F.regexp_replace("_leaf.path", rf"\.?{REFERENCES}$", "").alias("attribute_path"),
-        F.try_variant_get(F.col("_leaf.value"), "$", "string").alias("dst_ref"),
+        F.regexp_replace("path", rf"\.?{REFERENCES}$", "").alias("attribute_path"),
+        F.try_variant_get(F.col("value"), "$", "string").alias("dst_ref"),
     )
 
 

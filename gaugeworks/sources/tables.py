@@ -4,17 +4,14 @@ from __future__ import annotations
 
 import csv
 import io
-import zlib
-from collections.abc import Iterator, Sequence
-from itertools import islice
+from collections.abc import Sequence
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaugeworks.functions import text
 from gaugeworks.operators import files as paths
-from gaugeworks.session import checkpointed
+from gaugeworks.sources.records import read_records
 
 # Dataset columns and the names they had in older files.
 TASK_COLUMNS = {
@@ -25,8 +22,7 @@ TASK_COLUMNS = {
     "resources": ["Resource"],
 }
 
-
-_BATCH_RECORDS = 1000
+CSV_OPTIONS = {"quote": '"', "escape": '"', "mode": "PERMISSIVE"}
 
 
 def _numbered(names: Sequence[str]) -> list[str]:
@@ -58,34 +54,8 @@ def find_tables(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All records of each file with their position; the first one, the header, is at -1.
-
-    ``kind`` is a hash of the header, so that files of one kind can be read without their names.
-    """
-    limit = csv.field_size_limit(1 << 30)
-    try:
-        for batch in batches:
-            for path, content in zip(batch.column(0).to_pylist(), batch.column(1)):
-                text_ = io.TextIOWrapper(io.BytesIO(content.as_buffer()), encoding="utf-8-sig", newline="")
-                rows = (row for row in csv.reader(text_) if row)
-                header = next(rows, None)
-                if header is None:
-                    continue
-                kind = zlib.crc32("\0".join(header).encode())
-                at, held = -1, [header]
-                while held:
-                    size = len(held)
-                    places = pa.array(range(at, at + size), pa.int64())
-                    cells = pa.array(held, pa.list_(pa.string()))
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([path] * size), pa.array([kind] * size, pa.int64()), places, cells],
-                        ["task_file", "kind", "row_idx", "cells"],
-                    )
-                    at += size
-                    held = list(islice(rows, _BATCH_RECORDS))
-    finally:
-        csv.field_size_limit(limit)
+def _header_cells(text_: str) -> list[str]:
+    return next(csv.reader(io.StringIO(text_, newline="")))
 
 
 def read_tables(spark: SparkSession, path: str | Sequence[str], glob: str = "*.csv") -> list[DataFrame]:
@@ -93,27 +63,25 @@ def read_tables(spark: SparkSession, path: str | Sequence[str], glob: str = "*.c
 
     Each has ``task_file`` (the file), ``row_idx`` (record position in the file, from 0) and the
     named columns as text, empty cells NULL. Any cell, of the header too, may hold line breaks and
-    doubled quotes. Cells beyond the header have no name and are left out. A file whose cells
-    hold line breaks cannot be split, so one task reads it, in order; every file is read once,
-    into parquet in the shared folder.
+    doubled quotes. Cells beyond the header have no name and are left out. Files are read in
+    blocks, by as many tasks as they have, and stored as records in the shared folder.
     """
-    files = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", glob)
-        .load(path)
-        .select(F.col("_metadata.file_path").alias("task_file"), "content")
-    )
-    schema = "task_file string, kind long, row_idx long, cells array<string>"
-    stored = checkpointed(files.mapInArrow(_records, schema), "records")
+    records = read_records(spark, path, glob)
+    headers = records.filter("row_idx = -1")
     # as many distinct headers as there are kinds of files, not as there are files
-    kinds = stored.filter("row_idx = -1").select("kind", "cells").distinct().orderBy("cells").collect()
+    kinds: dict[tuple[str, ...], list[str]] = {}
+    for row in headers.select("record").distinct().collect():
+        kinds.setdefault(tuple(_header_cells(row.record)), []).append(row.record)
     tables = []
-    for kind in kinds:
-        names = unique_names(kind["cells"])
-        cells = [F.nullif(F.get("cells", F.lit(i)), F.lit("")).alias(name) for i, name in enumerate(names)]
-        rows = stored.filter((F.col("kind") == kind["kind"]) & (F.col("row_idx") >= 0))
-        tables.append(rows.select("task_file", "row_idx", *cells))
+    for cells, texts in sorted(kinds.items()):
+        rows = records.filter("row_idx >= 0")
+        if len(kinds) > 1:
+            rows = rows.join(headers.filter(F.col("record").isin(texts)).select("task_file"), "task_file", "left_semi")
+        parsed = F.from_csv("record", ", ".join(f"_{i} string" for i in range(len(cells))), CSV_OPTIONS).alias("_cells")
+        named = [
+            F.nullif(F.col(f"_cells._{i}"), F.lit("")).alias(name) for i, name in enumerate(unique_names(cells))
+        ]
+        tables.append(rows.select("task_file", "row_idx", parsed).select("task_file", "row_idx", *named))
     return tables
 
 

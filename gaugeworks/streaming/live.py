@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections import Counter
+from collections.abc import Iterator, Sequence
 from functools import reduce
 from operator import and_
 
+import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from gaugeworks.operators.accuracy import metric_rows
-from gaugeworks.schemas import GROUP, SAMPLE_KEY
+from gaugeworks.operators.passk import as_report, mean_of_counts
+from gaugeworks.schemas import GROUP, LEVELS, SAMPLE_KEY, TASK_KEY
+
+_ARRIVED = "_arrived"
+NO_LEVEL = -1  # of tasks that the task table does not hold
 
 
 def live_counters(samples: DataFrame, group: Sequence[str] = tuple(GROUP)) -> DataFrame:
@@ -87,18 +93,21 @@ def start_ingestion(
     checkpoint: str,
     key: Sequence[str] = tuple(SAMPLE_KEY),
     done: DataFrame | None = None,
-    event_time: str | None = None,
-    delay: str = "1 day",
+    remember: str | None = None,
     **trigger,
 ) -> StreamingQuery:
-    """Append every sample once; a restarted query goes on where it stopped.
+    """Append every sample once, whatever its event time; a restarted query goes on where it stopped.
 
-    With ``event_time`` a key is remembered for ``delay`` only; without it the state holds every
-    key. Samples in ``done`` (a static table) are left out.
+    Keys are remembered for ``remember`` (an interval) after they arrived, by the clock of the
+    batches, so no sample is ever too late; without it the state holds every key. A sample that
+    is sent again later than that is appended again, unless it is in ``done``, a static table of
+    samples to leave out.
     """
     key = list(key)
-    if event_time:
-        fresh = samples.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(key)
+    if remember:
+        # the time of arrival never runs behind the watermark, as that is made of earlier arrivals
+        arriving = samples.withColumn(_ARRIVED, F.current_timestamp()).withWatermark(_ARRIVED, remember)
+        fresh = arriving.dropDuplicatesWithinWatermark(key).drop(_ARRIVED)
     else:
         fresh = samples.dropDuplicates(key)
     if done is not None:
@@ -111,3 +120,137 @@ def start_ingestion(
         .trigger(**(trigger or {"availableNow": True}))
         .start()
     )
+
+
+def _task_changes(n: int, group: Sequence[str]):
+    """Function of a task's arriving samples and state: what leaves the report's counts and what enters.
+
+    The state is three bit sets over the first n samples: arrived, plannable, correct. A sample that
+    arrives again replaces its bits; of several in one batch a correct one counts, then a plannable one.
+    """
+
+    def counted(seen: int, plannable: int, correct: int, level: int) -> Counter:
+        found = Counter()
+        if seen == (1 << n) - 1:
+            found["pass@k", correct.bit_count()] += 1
+            found["pass@k-plan", plannable.bit_count()] += 1
+        if seen & 1:
+            found["rows", level] += 1
+            found["correct", level] += correct & 1
+        return found
+
+    def run(key, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        before = state.get if state.exists else (0, 0, 0, NO_LEVEL)
+        seen, plannable, correct, level = before
+        new: dict[int, tuple[bool, bool]] = {}
+        for part in parts:
+            for i, p, c, difficulty in zip(part["sample_idx"], part["_plannable"], part["_correct"], part["_level"]):
+                new[i] = max(new.get(i, (False, False)), (bool(c), bool(p)))
+                level = int(difficulty)
+        for i, (c, p) in new.items():
+            bit = 1 << int(i)
+            seen |= bit
+            plannable = plannable | bit if p else plannable & ~bit
+            correct = correct | bit if c else correct & ~bit
+        state.update((seen, plannable, correct, level))
+        change = counted(seen, plannable, correct, level)
+        change.subtract(counted(*before))
+        rows = [(*key[: len(group)], kind, at, by) for (kind, at), by in change.items() if by]
+        yield pd.DataFrame(rows, columns=[*group, "kind", "at", "n"])
+
+    return run
+
+
+def start_task_report(
+    samples: DataFrame,
+    tasks: DataFrame,
+    path: str,
+    checkpoint: str,
+    n: int,
+    group: Sequence[str] = tuple(GROUP),
+    **trigger,
+) -> StreamingQuery:
+    """Keep pass@k over the first ``n`` samples and accuracy by level up to date below ``path``.
+
+    The state is a few bits for each task and group. When samples of a task arrive, its old
+    contribution leaves the report's counts and its new one enters, so a verdict may be replaced.
+    Only the changes, summed by group, reach the report: counts of tasks by number of correct
+    samples, and of rows by level. Snapshots take turns as in :func:`start_report`.
+    """
+    if not 1 <= n <= 62:
+        raise ValueError("n must be between 1 and 62")
+    plannable = F.coalesce(F.col("plannable"), F.lit(False))
+    scored = (
+        samples.filter(F.col("prompt").isNotNull() & (F.col("sample_idx") >= 0) & (F.col("sample_idx") < n))
+        .join(tasks.select(*TASK_KEY, "difficulty"), TASK_KEY, "left")
+        .select(
+            *group,
+            *TASK_KEY,
+            "sample_idx",
+            plannable.alias("_plannable"),
+            (plannable & F.coalesce(F.col("verdict") == "Success", F.lit(False))).alias("_correct"),
+            F.coalesce("difficulty", F.lit(NO_LEVEL)).alias("_level"),
+        )
+    )
+    names = [f"`{c}` {scored.schema[c].dataType.simpleString()}" for c in group]
+    changes = scored.groupBy(*group, *TASK_KEY).applyInPandasWithState(
+        _task_changes(n, group),
+        ", ".join([*names, "kind string", "at int", "n long"]),
+        "seen long, plannable long, correct long, level int",
+        "update",
+        "NoTimeout",
+    )
+
+    def add(changed: DataFrame, batch_id: int) -> None:
+        spark = changed.sparkSession
+        counts = changed
+        try:
+            counts = counts.unionByName(spark.read.parquet(f"{path}/slot={(batch_id + 1) % 2}").drop("batch"))
+        except AnalysisException as error:
+            if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+                raise
+        total = counts.groupBy(*group, "kind", "at").agg(F.sum("n").alias("n"))
+        total.withColumn("batch", F.lit(batch_id)).coalesce(1).write.mode("overwrite").parquet(f"{path}/slot={batch_id % 2}")
+
+    return (
+        changes.writeStream.outputMode("update")
+        .foreachBatch(add)
+        .option("checkpointLocation", checkpoint)
+        .trigger(**(trigger or {"availableNow": True}))
+        .start()
+    )
+
+
+def read_task_report(
+    spark: SparkSession,
+    path: str,
+    n: int,
+    ks: Sequence[int] | None = None,
+    group: Sequence[str] = tuple(GROUP),
+    levels: Sequence[int] = tuple(LEVELS),
+) -> DataFrame:
+    """pass@k and accuracy by level as of the last finished batch, as report rows."""
+    stored = spark.read.parquet(path)
+    latest = stored.agg(F.max("batch").alias("batch"))
+    counts = stored.join(latest, "batch").where("n > 0")
+    by_count = counts.where("kind LIKE 'pass@k%'").select(
+        *group, F.col("kind").alias("metric"), F.col("at").cast("bigint").alias("c"), F.col("n").alias("n_tasks")
+    )
+    rates = as_report(mean_of_counts(by_count, n, ks or range(1, n + 1), group))
+
+    def total(kind: str, level: int):
+        return F.coalesce(F.sum(F.when((F.col("kind") == kind) & (F.col("at") == level), F.col("n"))), F.lit(0))
+
+    known = counts.where((F.col("kind").isin("rows", "correct")) & (F.col("at") != NO_LEVEL))
+    wide = known.groupBy(*group).agg(
+        *[total(kind, level).alias(f"{kind}_{level}") for level in levels for kind in ("rows", "correct")]
+    )
+    by_level = metric_rows(
+        wide,
+        group,
+        [
+            ("accuracy_by_level", str(v), F.coalesce(F.try_divide(F.col(f"correct_{v}"), F.col(f"rows_{v}")), F.lit(0.0)))
+            for v in levels
+        ],
+    )
+    return rates.unionByName(by_level)

@@ -1,9 +1,11 @@
 import csv
+import io
 import json
+import random
 
 import pytest
 
-from gaugeworks.operators import accuracy, report
+from gaugeworks.operators import accuracy, passk, report
 from gaugeworks.sources import documents, sinks, tables
 from gaugeworks.streaming import live
 
@@ -109,18 +111,65 @@ def test_live_report_equals_batch(spark, tmp_path):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
 
 
-@pytest.mark.parametrize("event_time", [None, "ts"])
-def test_ingestion_resumes_without_repeats(spark, tmp_path, event_time):
+def test_ingestion_resumes_without_repeats(spark, tmp_path):
     source, path, state = (str(tmp_path / n) for n in ("in", "out", "state"))
     done = spark.createDataFrame([("m0", 0, 0), ("m1", 1, 0)], "model string, row_idx long, sample_idx int")
     for start in (0, 40, 60):
         _arrivals(spark, source, start, start + 50)  # overlaps what came before
         stream = spark.readStream.schema(SCHEMA).parquet(source)
-        live.start_ingestion(stream, path, state, ["model", "row_idx", "sample_idx"], done, event_time).awaitTermination()
+        live.start_ingestion(stream, path, state, ["model", "row_idx", "sample_idx"], done).awaitTermination()
     rows = sorted(r["row_idx"] for r in spark.read.parquet(path).collect())
     assert rows == list(range(2, 110))
 
 
+@pytest.mark.parametrize(("batches", "remember"), [(1, "1 hour"), (4, None), (4, "1 hour"), (40, "1 hour")])
+def test_ingestion_keeps_every_sample_in_any_order(spark, tmp_path, batches, remember):
+    source, path, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    rng = random.Random(batches)
+    keys = [rng.randrange(400) for _ in range(1000)]  # event times of any order, most keys repeated
+    size = -(-len(keys) // batches)
+    for i in range(batches):
+        part = spark.createDataFrame([(k,) for k in keys[i * size : (i + 1) * size]], "row_idx long")
+        part.selectExpr("row_idx", "timestamp_seconds(row_idx * 86400 * 30) AS ts").coalesce(1).write.mode("append").parquet(source)
+    partitions = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    try:
+        stream = spark.readStream.schema("row_idx long, ts timestamp").option("maxFilesPerTrigger", 1).parquet(source)
+        query = live.start_ingestion(stream, path, state, ["row_idx"], remember=remember)
+        query.awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    assert len([p for p in query.recentProgress if p["numInputRows"]]) == batches
+    rows = spark.read.parquet(path)
+    assert rows.columns == ["row_idx", "ts"]
+    assert sorted(r["row_idx"] for r in rows.collect()) == sorted(set(keys))
+
+
+def test_live_task_report_equals_batch_after_every_batch(spark, tmp_path):
+    source, path, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    tasks = spark.range(12).selectExpr("'f' AS task_file", "id AS row_idx", "cast(1 + id % 4 AS int) AS difficulty")
+    rng = random.Random(3)
+    rows = [
+        (f"m{t % 2}", "s", "f", t, i, "p" if t % 5 else None, rng.random() < 0.7, rng.choice(["Success", "Failure"]))
+        for t in range(12)
+        for i in range(4)
+    ]
+    rng.shuffle(rows)
+    schema = "model string, strategy string, task_file string, row_idx long, sample_idx int, prompt string, plannable boolean, verdict string"
+    known = {}
+    for part in (rows[:15], rows[15:40], rows[40:] + rows[:3], [(*r[:6], True, "Success") for r in rows[:9]]):
+        known |= {r[:5]: r for r in part}
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(schema).parquet(source)
+        live.start_task_report(stream, tasks, path, state, n=3).awaitTermination()
+        arrived = spark.createDataFrame(list(known.values()), schema)
+        want = passk.pass_at_k_report(arrived, 3, strict=False).selectExpr("model", "strategy", "metric", "cast(k AS string) AS key", "value")
+        want = want.unionByName(accuracy.accuracy_by_level(arrived, tasks))
+        got = live.read_task_report(spark, path, n=3)
+        values = [sorted((*r[:4], round(r[4], 9)) for r in df.select("model", "strategy", "metric", "key", "value").collect()) for df in (got, want)]
+        assert values[0] == values[1] and values[0]
+
+
 def test_header_cells_may_hold_line_breaks(spark, tmp_path):
     _write(tmp_path / "a.csv", ["k", "two\nlines", "last"], [["1", "2", "3"], ["4", "", "6", "more"], ["7"]])
     (tmp_path / "empty.csv").write_text("")
@@ -142,3 +191,37 @@ def test_booleans_and_attribution_of_read_tables(spark, tmp_path):
     [table] = tables.read_tables(spark, str(tmp_path))
     flags = [r["flag"] for r in tables.as_booleans(table, ["flag"]).orderBy("row_idx").collect()]
     assert flags == [True, False, False]
+
+
+def _random_csv(rng, n):
+    parts = ["a", "é", ",", '"', "\n", "\r\n", " ", "x" * 30, "\\"]
+    return [["".join(rng.choices(parts, k=rng.randint(0, 6))) for _ in range(3)] for _ in range(n)]
+
+
+@pytest.mark.parametrize(("block", "ending"), [("1m", "\n"), ("150", "\r\n"), ("17", "\n")])
+def test_records_are_the_same_wherever_files_are_cut(spark, tmp_path, block, ending):
+    want = {}
+    for i in range(4):
+        rng = random.Random(f"{block}{i}")
+        rows = _random_csv(rng, rng.choice([0, 3, 25 if len(block) > 2 else 6]))
+        text = io.StringIO()
+        writer = csv.writer(text, lineterminator=ending)
+        writer.writerow(["k", "two\nlines", "l"])
+        for row in rows:
+            writer.writerow(row)
+            if rng.random() < 0.2:
+                text.write(ending)
+        (tmp_path / f"f{i}.csv").write_text(text.getvalue(), newline="", encoding="utf-8-sig" if i else "utf-8")
+        again = [r for r in csv.reader(io.StringIO(text.getvalue(), newline="")) if r][1:]
+        assert again == rows
+        want |= {(f"f{i}.csv", at): tuple(c or None for c in r) for at, r in enumerate(rows)}
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", block)
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        [table] = tables.read_tables(spark, str(tmp_path))
+        got = {(r[0].rsplit("/", 1)[1], r[1]): tuple(r)[2:] for r in table.collect()}
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert table.columns[2:] == ["k", "two\nlines", "l"] and got == want

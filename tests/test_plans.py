@@ -209,3 +209,24 @@ def test_deep_documents_are_walked_to_the_end(spark):
     rows = spark.createDataFrame([(deep,), ('{"b":[[[3]]]}',)], "json string").select(F.parse_json("json").alias("v"))
     got = sorted(tuple((x.path, x.value) for x in r[0]) for r in rows.select(F.transform(variants.leaves(F.col("v")), lambda x: F.struct(x["path"].alias("path"), F.to_json(x["value"]).alias("value")))).collect())
     assert got == [((".".join("a" * 60), "1"), (".".join("a" * 60), "2")), (("b", "3"),)]
+
+
+def _deep(levels):
+    doc = {"references": ["end"], "x": 1}
+    for i in range(levels):
+        doc = [doc, i] if i % 3 == 0 else {f"k{i}": doc, "references": [[f"r{i}"], {"n": True}], "other": None}
+    return doc
+
+
+@pytest.mark.parametrize("levels", [0, 2, 5, 9, 30])
+def test_leaves_by_steps_of_rows_equal_the_fold(spark, levels):
+    docs = [json.dumps(_deep(levels)), "[]", "{}", "7", '"references"', "null", None]
+    rows = spark.createDataFrame(list(enumerate(docs)), "id int, json string").select("id", F.parse_json("json").alias("doc"))
+    whole = rows.select("id", F.explode(variants.leaves(F.col("doc"))).alias("n")).select("id", "n.path", F.to_json("n.value").alias("v"))
+    stepped = variants.walked_leaves(rows, "doc", ["id"]).select("id", "path", F.to_json("value").alias("v"))
+    key = lambda r: (r[0], r[1] or "", r[2] or "")
+    want = sorted(map(tuple, whole.collect()), key=key)
+    assert sorted(map(tuple, stepped.collect()), key=key) == want
+    named = variants.walked_leaves(rows, "doc", ["id"], until=lambda p: p.rlike("references$"))
+    found = sorted(((r["id"], r["path"], r["v"]) for r in named.select("id", "path", F.to_json("value").alias("v")).collect()), key=key)
+    assert found == [r for r in want if (r[1] or "").endswith("references")]

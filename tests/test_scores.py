@@ -1,6 +1,7 @@
 import math
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -172,3 +173,28 @@ def test_missing_measures_have_no_level(spark):
     rows = spark.createDataFrame([(1, 1, 1), (None, 1, 1), (1, None, 1), (1, 1, None)], "a int, b int, c int")
     level = scores.difficulty_level(F.col("a"), F.col("b"), F.col("c"))
     assert [r[0] for r in rows.select(level).collect()] == [1, None, None, None]
+
+
+@pytest.mark.parametrize("held", [1, 5, 4096])
+def test_values_at_ranks_by_counts_only(spark, held):
+    rng = np.random.default_rng(held)
+    columns = {
+        "flat": rng.integers(0, 40, 700).astype(float),
+        "steep": np.exp(rng.normal(0, 60, 700)),
+        "one": np.full(700, 3.0),
+        "ends": np.concatenate(([-np.inf, np.inf, 0.0, -0.5], rng.normal(size=696))),
+    }
+    rows = [(m, float(v)) for m, values in columns.items() for v in values]
+    counted = spark.createDataFrame(rows, "measure string, value double").groupBy("measure", "value").agg(F.count("*").alias("weight"))
+    ranks = [0, 1, 174, 175, 349, 350, 698, 699]
+    got = measure.values_at_ranks(counted, {m: ranks for m in columns}, held)
+    assert got == {(m, r): np.sort(v)[r] for m, v in columns.items() for r in ranks}
+
+
+def test_distribution_skips_missing_values(spark):
+    rows = spark.createDataFrame([(1.0, None), (None, None), (4.0, None), (float("nan"), None)], "x double, y double")
+    got = {r["measure"]: tuple(r)[1:] for r in measure.distribution(rows, ["x", "y"]).collect()}
+    assert got == {"x": (1.0, 1.75, 2.5, 3.25, 4.0, 2.5), "y": (None,) * 6}
+    close = {r["measure"]: tuple(r)[1:] for r in measure.distribution(rows, ["x"], approximate=True).collect()}
+    assert close["x"][0] == 1.0 and close["x"][4:] == (4.0, 2.5)
+    assert measure.distribution(rows.limit(0), ["x"]).collect() == []

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gaugeworks.operators import retrieval, vectors
+from gaugeworks.operators import cells, retrieval, vectors
 
 
 def _rows(spark, matrix, names):
@@ -95,3 +95,62 @@ def test_unfinished_tables_are_built_again(spark, tmp_path):
     spark.range(3).write.parquet(path)
     assert retrieval.load_or_build(spark, path, lambda: spark.range(10)).count() == 10
     assert retrieval.load_or_build(spark, path, lambda: spark.range(99)).count() == 10
+
+
+def _clustered(rng, n, around):
+    return around[rng.integers(0, len(around), n)] + 0.05 * rng.normal(size=(n, around.shape[1]))
+
+
+def test_cells_are_exact_and_rule_out_most_pairs(spark):
+    rng = np.random.default_rng(7)
+    around = rng.normal(size=(40, 16))
+    q, c = _clustered(rng, 200, around), _clustered(rng, 3000, around)
+    c[2000] = c[5]  # a tie in one cell
+    q[0], q[1] = c[5], -c[5]
+    questions = _rows(spark, q, range(200)).withColumnRenamed("id", "question_id").repartition(3)
+    chunks = _rows(spark, c, range(3000)).withColumnRenamed("id", "chunk_id").repartition(5)
+    index = cells.build(chunks)
+    got = {r["question_id"]: r for r in cells.nearest_by_cells(questions, index).collect()}
+    similarity = _unit(q) @ _unit(c).T
+    assert len(got) == 200
+    for i in range(200):
+        assert got[i]["chunk_id"] == similarity[i].argmax()
+        assert got[i]["score"] == pytest.approx(similarity[i].max())
+    own = cells.own_cells(questions, index, "question_id", "embedding")
+    first = questions.join(vectors.best_of(vectors.searched(own, index.blocks, "_cell", "question_id", "chunk_id", questions), "question_id", "chunk_id"), "question_id")
+    visits = own.unionByName(cells.other_cells(first, index, "question_id", "embedding"))
+    compared = sum(len(r["_q_ids"]) * int(index.counts[r["_cell"]]) for r in visits.collect())
+    assert index.counts.sum() == 3000 and compared < 200 * 3000 / 5
+
+
+@pytest.mark.parametrize("n_cells", [1, 3, 500])
+def test_cells_with_zero_vectors_ties_and_any_number(spark, n_cells):
+    rng = np.random.default_rng(n_cells)
+    q, c = rng.normal(size=(30, 4)), rng.normal(size=(60, 4))
+    q[3], c[10], c[20] = 0, 0, 0
+    c[30:40] = c[0]
+    questions = _rows(spark, q, range(30)).withColumnRenamed("id", "question_id")
+    chunks = _rows(spark, c, range(60)).withColumnRenamed("id", "chunk_id")
+    index = cells.build(chunks, cells=n_cells)
+    got = {r["question_id"]: (r["chunk_id"], round(r["score"], 9)) for r in cells.nearest_by_cells(questions, index).collect()}
+    want = {r["question_id"]: (r["chunk_id"], round(r["score"], 9)) for r in vectors.nearest(questions, chunks).collect()}
+    assert got == want and len(got) == 30
+    assert cells.build(chunks.limit(0)) is None
+
+
+def test_a_question_returns_one_row_a_task(spark):
+    rng = np.random.default_rng(3)
+    questions = _rows(spark, rng.normal(size=(256, 4)), range(256)).withColumnRenamed("id", "question_id")
+    chunks = _rows(spark, rng.normal(size=(2000, 4)), range(2000)).withColumnRenamed("id", "chunk_id")
+    asked = vectors._packed(questions, "question_id", "embedding", 16, "_q").withColumn("_cell", F.lit(0))
+    offered = vectors._packed(chunks, "chunk_id", "embedding", 16, "_c").withColumn("_cell", F.lit(0))
+    for joined in (F.broadcast(asked), asked):
+        found = vectors.searched(joined, offered, "_cell", "question_id", "chunk_id", questions)
+        assert found.count() <= 256 * found.rdd.getNumPartitions()
+
+
+def test_cell_widths_must_agree(spark):
+    index = cells.build(spark.createDataFrame([(1, [1.0, 0.0, 0.0])], "chunk_id long, embedding array<double>"))
+    questions = spark.createDataFrame([(1, [1.0, 0.0])], "question_id long, embedding array<double>")
+    with pytest.raises(Exception, match="different widths"):
+        cells.nearest_by_cells(questions, index).collect()
