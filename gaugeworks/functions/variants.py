@@ -129,31 +129,32 @@ def walked_leaves(
 ) -> DataFrame:
     """``keep, path, value``: a row for each scalar of the documents in column ``doc``.
 
-    The same leaves as :func:`leaves`, but each level is a step of rows: a node is replaced by its
-    children, a scalar stays. So a node is taken apart once, nothing holds a whole document's nodes
-    and nodes without leaves are gone after a step. ``until`` tells of a path whether its scalars are
-    wanted; others are dropped when they are met. What is deeper than ``levels`` is walked by the fold.
+    The same leaves as :func:`leaves`, but each level is a step of rows: a node is exploded into its
+    children, a scalar stays. So a node is taken apart once and nothing holds all nodes of a
+    document. ``until`` tells of a path whether its scalars are wanted; others are dropped when they
+    are met. What is deeper than ``levels`` is walked by the fold.
     """
-    value, path = F.col("_node.value"), F.col("_node.name")
-    members = F.transform(
-        F.map_entries(as_object(value)),
-        lambda e: F.struct(F.concat_ws(".", path, e["key"]).alias("name"), e["value"].alias("value"), F.lit(False).alias("done")),
-    )
-    items = F.transform(as_list(value), lambda x: F.struct(path.alias("name"), x.alias("value"), F.lit(False).alias("done")))
-    itself = F.array(F.struct(path.alias("name"), value.alias("value"), F.lit(True).alias("done")))
-    scalar = itself if until is None else F.when(until(path), itself)
-    step = F.when(F.col("_node.done"), itself).otherwise(F.coalesce(members, items, scalar))
-    root = F.struct(F.lit(None).cast("string").alias("name"), F.col(doc).alias("value"), F.lit(False).alias("done"))
-    nodes = rows.where(F.col(doc).isNotNull()).select(*keep, root.alias("_node"))
+    path, value, child = F.col("_path"), F.col("_value"), F.col("_child")
+    root = [F.lit(None).cast("string").alias("_path"), F.col(doc).alias("_value")]
+    nodes = rows.where(F.col(doc).isNotNull()).select(*keep, *root)
     for _ in range(levels + 1):
-        nodes = nodes.select(*keep, F.explode(step).alias("_node"))
+        below = rows.sparkSession.tvf.variant_explode_outer(value.outer()).toDF("_pos", "_key", "_child")
+        nodes = nodes.lateralJoin(below)
+        if until is not None:
+            nodes = nodes.where(F.col("_pos").isNotNull() | until(path))
+        name = F.when(F.col("_key").isNull(), path).otherwise(F.concat_ws(".", path, "_key"))
+        nodes = nodes.select(*keep, name.alias("_path"), F.coalesce(child, value).alias("_value"))
     deeper = F.transform(
         leaves(value), lambda n: F.struct(F.concat_ws(".", path, n["path"]).alias("path"), n["value"].alias("value"))
     )
     if until is not None:
         deeper = F.filter(deeper, lambda n: until(n["path"]))
+    # an empty object or list is left as it was and has no leaves
+    inner = as_object(value).isNotNull() | as_list(value).isNotNull()
     own = F.array(F.struct(path.alias("path"), value.alias("value")))
-    found = nodes.select(*keep, F.explode(F.when(F.col("_node.done"), own).otherwise(deeper)).alias("_leaf"))
+    if until is not None:
+        own = F.when(until(path), own)
+    found = nodes.select(*keep, F.explode(F.when(inner, deeper).otherwise(own)).alias("_leaf"))
     return found.select(*keep, F.col("_leaf.path").alias("path"), F.col("_leaf.value").alias("value"))
 
 

@@ -142,13 +142,14 @@ def _ranks(n: int) -> list[tuple[int, float]]:
 
 
 def values_at_ranks(
-    counted: DataFrame, wanted: dict[str, list[int]], held: int = HELD_VALUES
+    counted: DataFrame, wanted: dict[str, list[int]], held: int = HELD_VALUES, distinct: dict[str, int] | None = None
 ) -> dict[tuple[str, int], float]:
     """The values at ranks (from 0) of each measure of a stored table (measure, value, weight).
 
     Around each rank a range of values is narrowed: values found by approximate quantiles divide
     it, and the exact weights between them tell which part holds the rank. Only these counts, and
     in the end at most ``held`` values of a range, reach the driver; no task orders all values.
+    ``distinct``, the number of values of each measure, saves the first count.
     """
     spark = counted.sparkSession
     low, high = float("-inf"), float("inf")
@@ -162,14 +163,17 @@ def values_at_ranks(
         # ranges of a measure never overlap, so a value is in one of them
         inside = counted.join(ranges, "measure").where("value >= low AND value <= high")
         of = ["measure", "low", "high", "below"]
-        sizes = inside.groupBy(*of).agg(
-            F.count("*").alias("n"), F.percentile_approx("value", points, F.lit(1000)).alias("pivots")
-        )
-        small, large = [], []
-        for r in sizes.collect():
-            (small if r.n <= held else large).append(r)
+        if distinct is not None and max(distinct.values()) <= held:
+            small, large = list(open_), []
+        else:
+            sizes = inside.groupBy(*of).agg(
+                F.count("*").alias("n"), F.percentile_approx("value", points, F.lit(1000)).alias("pivots")
+            )
+            small, large = [], []
+            for r in sizes.collect():
+                small.append(tuple(r)[:4]) if r.n <= held else large.append(r)
         if small:
-            few = spark.createDataFrame([tuple(r)[:4] for r in small], schema)
+            few = spark.createDataFrame(small, schema)
             rows = counted.join(few, "measure").where("value >= low AND value <= high").select(*of, "value", "weight").collect()
             by_range: dict[tuple, list[tuple[float, int]]] = {}
             for r in rows:
@@ -228,11 +232,13 @@ def distribution(measured: DataFrame, columns: Sequence[str], approximate: bool
     counted = checkpointed(long.groupBy("measure", "value").agg(F.count("*").alias("weight")), "distribution")
     known = F.when(F.col("value").isNotNull(), F.col("weight"))
     summary = counted.groupBy("measure").agg(
-        F.coalesce(F.sum(known), F.lit(0)).alias("n"), (F.sum(F.col("value") * known) / F.sum(known)).alias("mean")
+        F.coalesce(F.sum(known), F.lit(0)).alias("n"),
+        (F.sum(F.col("value") * known) / F.sum(known)).alias("mean"),
+        F.count("value").alias("distinct"),
     )
     sums = {r.measure: r for r in summary.collect()}
     wanted = {m: [x for rank, rest in _ranks(r.n) for x in (rank, rank + (rest > 0))] for m, r in sums.items() if r.n}
-    at = values_at_ranks(counted.where("value IS NOT NULL"), wanted)
+    at = values_at_ranks(counted.where("value IS NOT NULL"), wanted, distinct={m: r["distinct"] for m, r in sums.items()})
 
     def point(measure: str, rank: int, rest: float) -> float:
         value = at[measure, rank]

@@ -69,14 +69,10 @@ def plan_resources(plans: DataFrame, section: str = "configuration", key: str =
 def plan_edges(resources: DataFrame, key: str = "plan_id", keep: Sequence[str] = ()) -> DataFrame:
     """One row per reference: which attribute of which resource refers to what.
 
-    ``keep`` names further columns of the referring resource to carry along. Resources that refer
-    to nothing are not walked.
+    ``keep`` names further columns of the referring resource to carry along.
     """
-    refers = variants.count_key(F.col("attributes"), REFERENCES) > 0
-    pattern = rf"(?:^|\.){REFERENCES}$"
-    found = variants.walked_leaves(
-        resources.filter(refers), "attributes", [key, "address", *keep], until=lambda path: path.rlike(pattern)
-    )
+    named = lambda path: (path == REFERENCES) | path.endswith(f".{REFERENCES}")
+    found = variants.walked_leaves(resources, "attributes", [key, "address", *keep], until=named)
     return found.select(
         key,
         F.col("address").alias("src_address"),

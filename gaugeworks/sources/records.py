@@ -2,9 +2,9 @@
 
 A line break belongs to a cell if the number of quotes before it in the file is odd (a doubled
 quote counts twice). So one pass counts quotes and record starts in each block of lines, for both
-cases of what stands before the block; running sums over the few blocks of a file tell which case
-holds and how many records came before; and a second pass cuts every block into numbered records.
-Only records that lie across the border of two blocks are put together by a grouping.
+cases of what stands before the block, and cuts first blocks into numbered records; running sums
+over the few blocks of a file tell which case holds for the others and how many records came
+before; and a second pass, where there are others, cuts these. Only records that lie across the border of two blocks are put together by a grouping.
 
 Quotes stand around whole cells, or doubled inside these; lines end with LF or CRLF.
 """
@@ -56,27 +56,43 @@ def _marks(lines: pa.Array, inside: int) -> tuple[np.ndarray, np.ndarray]:
     return before, ~blank
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each block: whether its quotes are odd, and its record starts in either case before it."""
-    now, odd, starts = None, 0, [0, 0]
+class _Counts:
+    """Quotes and record starts of the blocks of a task, in either case of what stands before a block."""
 
-    def row() -> Iterator[pa.RecordBatch]:
-        if now is not None:
-            columns = [[now[0]], [now[1]], [odd], [starts[0]], [starts[1]]]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(columns, (pa.string(), *[pa.int64()] * 4))],
-                ["task_file", "block", "odd", "starts_out", "starts_in"],
-            )
+    def __init__(self):
+        self.now, self.odd, self.starts = None, 0, [0, 0]
+
+    def row(self) -> Iterator[pa.RecordBatch]:
+        if self.now is not None:
+            yield _rows(*self.now, counts=[self.odd, *self.starts])
+
+    def add(self, file: str, block: int, lines: pa.Array) -> Iterator[pa.RecordBatch]:
+        if (file, block) != self.now:
+            yield from self.row()
+            self.now, self.odd, self.starts = (file, block), 0, [0, 0]
+        before, filled = _marks(lines, self.odd)
+        self.starts = [s + int((filled & (before[:-1] == case)).sum()) for case, s in enumerate(self.starts)]
+        self.odd = int(before[-1])
 
-    for batch in batches:
-        for file, block, lines in _runs(batch):
-            if (file, block) != now:
-                yield from row()
-                now, odd, starts = (file, block), 0, [0, 0]
-            before, filled = _marks(lines, odd)
-            starts = [s + int((filled & (before[:-1] == case)).sum()) for case, s in enumerate(starts)]
-            odd = int(before[-1])
-    yield from row()
+
+_SCHEMA = "task_file string, block long, row_idx long, piece boolean, record string, odd long, starts_out long, starts_in long"
+_NAMES = [c.split()[0] for c in _SCHEMA.split(", ")]
+
+
+def _rows(file: str, block: int, numbers=(None,), texts=(None,), piece: bool = False, counts=(None,) * 3) -> pa.RecordBatch:
+    """Records of a block, or the one row of its counts."""
+    n = len(texts)
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array([file] * n, pa.string()),
+            pa.array([block] * n, pa.int64()),
+            pa.array(numbers, pa.int64()),
+            pa.array([piece] * n, pa.bool_()),
+            texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()),
+            *(pa.array([c] * n, pa.int64()) for c in counts),
+        ],
+        _NAMES,
+    )
 
 
 def _block_key(file: str, block: int) -> int:
@@ -108,65 +124,69 @@ class _Before:
         return int(self.values[at]) >> 1, int(self.values[at]) & 1
 
 
-def _cut(known: _Before):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, number, inside = None, 0, 0
-        open_: list[str] | None = None  # lines of a record that goes on
-        piece = False  # whether that record began before this block
-
-        def rows(file, numbers, texts, block=None):
-            n = len(texts)
-            return pa.RecordBatch.from_arrays(
-                [
-                    pa.array([file] * n, pa.string()),
-                    pa.array(numbers, pa.int64()),
-                    pa.array([block] * n, pa.int64()),
-                    texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()),
-                ],
-                ["task_file", "row_idx", "piece", "record"],
-            )
-
-        def left_open():
-            if open_ is not None:
-                yield rows(now[0], [number - 2], ["\n".join(open_)], now[1])
+class _Cutter:
+    """Cuts the blocks of a task into records, given what stands before each block."""
+
+    def __init__(self, of):
+        self.of = of  # (file, block) -> records before, whether inside a quoted cell
+        self.now, self.number, self.inside = None, 0, 0
+        self.open: list[str] | None = None  # lines of a record that goes on
+        self.piece = False  # whether that record began before this block
+
+    def left_open(self) -> Iterator[pa.RecordBatch]:
+        if self.open is not None:
+            yield _rows(*self.now, [self.number - 2], ["\n".join(self.open)], True)
+
+    def add(self, file: str, block: int, lines: pa.Array) -> Iterator[pa.RecordBatch]:
+        if (file, block) != self.now:
+            yield from self.left_open()
+            self.now = (file, block)
+            self.number, self.inside = self.of(file, block)
+            self.open, self.piece = ([], True) if self.inside else (None, False)
+        before, filled = _marks(lines, self.inside)
+        self.inside = int(before[-1])
+        starts = filled & (before[:-1] == 0)
+        # the header is record -1
+        numbers = self.number + np.cumsum(starts) - 2
+        single = np.flatnonzero(starts & (before[1:] == 0))
+        if len(single):
+            yield _rows(file, block, numbers[single], lines.take(pa.array(single)))
+        ends = np.flatnonzero((before[:-1] == 1) & (before[1:] == 0))
+        begins = np.flatnonzero(starts & (before[1:] == 1))
+        if self.open is not None:
+            stop = int(ends[0]) + 1 if len(ends) else len(lines)
+            self.open += lines.slice(0, stop).to_pylist()
+            if len(ends):
+                yield _rows(file, block, [self.number - 2], ["\n".join(self.open)], self.piece)
+                self.open, self.piece, ends = None, False, ends[1:]
+        spans = list(zip(begins.tolist(), ends.tolist()))
+        if spans:
+            texts = ["\n".join(lines.slice(a, b - a + 1).to_pylist()) for a, b in spans]
+            yield _rows(file, block, numbers[begins[: len(spans)]], texts)
+        if len(begins) > len(ends):
+            self.open = lines.slice(int(begins[-1])).to_pylist()
+        self.number += int(starts.sum())
+
+
+def _first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The records of first blocks, before which nothing stands, and the counts of all blocks."""
+    counts, cutter = _Counts(), _Cutter(lambda file, block: (0, 0))
+    for batch in batches:
+        for file, block, lines in _runs(batch):
+            yield from counts.add(file, block, lines)
+            if block == 0:
+                yield from cutter.add(file, block, lines)
+    yield from counts.row()
+    yield from cutter.left_open()
+
 
+def _second_pass(known: _Before):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cutter = _Cutter(known.of)
         for batch in batches:
-            for file, block, lines in _runs(batch):
-                if (file, block) != now:
-                    yield from left_open()
-                    now = (file, block)
-                    number, inside = known.of(file, block)
-                    open_, piece = ([], True) if inside else (None, False)
-                before, filled = _marks(lines, inside)
-                inside = int(before[-1])
-                starts = filled & (before[:-1] == 0)
-                # the header is record -1
-                numbers = number + np.cumsum(starts) - 2
-                single = np.flatnonzero(starts & (before[1:] == 0))
-                if len(single):
-                    yield rows(file, numbers[single], lines.take(pa.array(single)))
-                ends = np.flatnonzero((before[:-1] == 1) & (before[1:] == 0))
-                begins = np.flatnonzero(starts & (before[1:] == 1))
-                done, texts = [], []
-                if open_ is not None:
-                    stop = int(ends[0]) + 1 if len(ends) else len(lines)
-                    open_ += lines.slice(0, stop).to_pylist()
-                    if len(ends):
-                        if piece:
-                            yield rows(file, [number - 2], ["\n".join(open_)], block)
-                        else:
-                            done.append(number - 2)
-                            texts.append("\n".join(open_))
-                        open_, piece, ends = None, False, ends[1:]
-                for a, b in zip(begins.tolist(), ends.tolist()):
-                    done.append(int(numbers[a]))
-                    texts.append("\n".join(lines.slice(a, b - a + 1).to_pylist()))
-                if texts:
-                    yield rows(file, done, texts)
-                if len(begins) > len(ends):
-                    open_ = lines.slice(int(begins[-1])).to_pylist()
-                number += int(starts.sum())
-        yield from left_open()
+            for run_ in _runs(batch):
+                yield from cutter.add(*run_)
+        yield from cutter.left_open()
 
     return run
 
@@ -178,18 +198,15 @@ def read_records(spark: SparkSession, path: str | Sequence[str], glob: str = "*.
     numbers are the same.
     """
     lines = _lines(spark, path, glob)
-    counted = lines.mapInArrow(_count, "task_file string, block long, odd long, starts_out long, starts_in long")
-    known = _Before(counted)
-    schema = "task_file string, row_idx long, piece long, record string"
-    stored = checkpointed(lines.mapInArrow(_cut(known), schema), "records")
-    whole = stored.where("piece IS NULL").select("task_file", "row_idx", "record")
+    stored = checkpointed(lines.mapInArrow(_first_pass, _SCHEMA), "records")
+    known = _Before(stored.where("odd IS NOT NULL"))
+    stored = stored.where("record IS NOT NULL")
+    whole = stored
     if len(known.keys):
+        rest = lines.where("block > 0").mapInArrow(_second_pass(known), _SCHEMA)
+        stored = stored.unionByName(checkpointed(rest, "records"))
         # at most two pieces a block
-        pieces = F.array_sort(F.collect_list(F.struct("piece", "record")))["record"]
-        across = stored.where("piece IS NOT NULL").groupBy("task_file", "row_idx").agg(
-            F.array_join(pieces, "\n").alias("record")
-        )
-        whole = whole.unionByName(across)
-    else:  # a last record whose quote was never closed
-        whole = stored.select("task_file", "row_idx", "record")
-    return whole.withColumn("record", F.regexp_replace("record", "\r$", ""))
+        pieces = F.array_sort(F.collect_list(F.struct("block", "record")))["record"]
+        across = stored.where("piece").groupBy("task_file", "row_idx").agg(F.array_join(pieces, "\n").alias("record"))
+        whole = stored.where("NOT piece").select("task_file", "row_idx", "record").unionByName(across)
+    return whole.select("task_file", "row_idx", F.regexp_replace("record", "\r$", "").alias("record"))
