@@ -8,7 +8,9 @@ keys, and those of the light sets that are large enough to be its partner. The b
 size at which, over the corpus, enumerating costs more than scanning.
 
 Before whole sets are fetched, their parity sketches are compared: the bits in which two sketches
-differ are at most the elements in which the sets differ, so no alike pair is refuted.
+differ are at most the elements in which the sets differ, so no alike pair is refuted. A sketch has
+at least as many bits as its set has elements, so those of long texts tell them apart as well; of
+two sizes the longer sketch is folded to the shorter.
 
 Links are only needed to join components. So each list first proposes links to a few of its
 nodes, and these are verified; then, list by list, members of different components are paired,
@@ -46,7 +48,7 @@ MAX_LIGHT = 19  # light sets have at most so many shingles
 CELL_BITS = 18  # cells that shingles are counted in; their number bounds what tasks receive
 _CHUNKS = 8
 PIVOTS = 4  # nodes of a list that all others are first compared with
-SKETCH = tuple(f"p{i}" for i in range(8))  # 512 bits, each the parity of the elements it stands for
+SKETCH_WORDS = 8  # of 64 bits, each the parity of the elements it stands for; more for large sets
 _BIT_BITS = 23  # size of the filter for documents whose sets are read again
 
 
@@ -119,6 +121,24 @@ def cell_counts(docs: DataFrame, width: int) -> np.ndarray:
     return np.concatenate([parts[c] for c in range(_CHUNKS)]) if parts else np.zeros(1 << CELL_BITS, np.uint32)
 
 
+def sketch_words(sizes: np.ndarray) -> np.ndarray:
+    """Words of the sketches: a power of two, with a bit for each element at least."""
+    steps = np.ceil(np.log2(np.maximum(sizes, 1) / (64 * SKETCH_WORDS)))
+    return SKETCH_WORDS << np.maximum(steps, 0).astype(np.int64)
+
+
+def sketches(found: np.ndarray, of: np.ndarray, sizes: np.ndarray) -> pa.ListArray:
+    """The parity sketches of sets, given all their hashes and the number of the set of each."""
+    words = sketch_words(sizes)
+    first = np.cumsum(words) - words
+    flat = np.zeros(int(words.sum()), np.uint64)
+    bit = found >> np.uint64(8)
+    word = (bit >> np.uint64(6)).astype(np.int64) & (words[of] - 1)
+    np.bitwise_xor.at(flat, first[of] + word, np.uint64(1) << (bit & np.uint64(63)))
+    bounds = np.concatenate((first, [len(flat)]))
+    return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(flat.view(np.int64)))
+
+
 def describe_sets(
     docs: DataFrame, cells: np.ndarray, width: int, percent: int, keyed: bool = False
 ) -> DataFrame:
@@ -153,10 +173,6 @@ def describe_sets(
                     light = 0 < size <= MAX_LIGHT
                     subsets.append(subset_keys(own, percent, MAX_LIGHT) if light else [])
                 digest = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
-                sketch = np.zeros((len(texts), len(SKETCH)), np.uint64)
-                bit = found >> np.uint64(8)
-                word = ((bit >> np.uint64(6)) & np.uint64(7)).astype(np.int64)
-                np.bitwise_xor.at(sketch, (of, word), np.uint64(1) << (bit & np.uint64(63)))
                 bounds = pa.array(np.concatenate(([0], np.cumsum(per_text))), pa.int32())
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -167,16 +183,16 @@ def describe_sets(
                         pa.ListArray.from_arrays(bounds, pa.array(found[kept].view(np.int64))),
                         pa.array(subsets, pa.list_(pa.int64())),
                         pa.array(scan.astype(np.float64)),
-                        *(pa.array(np.ascontiguousarray(sketch[:, i]).view(np.int64)) for i in range(len(SKETCH))),
+                        sketches(found, of, sizes),
                         *(batch.column(2).slice(at, len(texts)) for _ in more),
                     ],
-                    ["doc_id", "n_shingles", "d1", "d2", "prefix", "subsets", "scan", *SKETCH, *more],
+                    ["doc_id", "n_shingles", "d1", "d2", "prefix", "subsets", "scan", "sketch", *more],
                 )
                 at += len(texts)
 
     schema = (
         "doc_id long, n_shingles int, d1 long, d2 long, prefix array<long>, subsets array<long>, scan double, "
-        + ", ".join(f"{p} long" for p in (*SKETCH, *more))
+        + ", ".join(["sketch array<long>", *(f"{m} long" for m in more)])
     )
     keys = [F.xxhash64("text").alias(name) for name in more]
     return docs.select(F.col("doc_id").cast("long"), "text", *keys).mapInArrow(freeing(run), schema)
@@ -193,7 +209,7 @@ def light_boundary(nodes: DataFrame) -> int:
 
 
 def read_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """(node, hashes) of the nodes in ``wanted`` (node, doc_id, d1, d2), read from one document each.
+    """(node, hashes) of the nodes in ``wanted`` (node, doc_id, d1, d2), read from a document of each.
 
     A filter of fixed size on doc_ids spares most other documents the way to the join.
     """
@@ -234,13 +250,10 @@ def read_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
                 done += len(texts)
 
     rows = docs.select(F.col("doc_id").cast("long"), "text").withColumn("place", place)
-    found = rows.mapInArrow(freeing(run), "doc_id long, d1 long, d2 long, hashes array<long>").alias("f")
-    same = (
-        (F.col("f.d1") == F.col("w.d1"))
-        & (F.col("f.d2") == F.col("w.d2"))
-        & F.col("f.doc_id").eqNullSafe(F.col("w.doc_id"))
-    )
-    return found.join(wanted.alias("w"), same).select("w.node", "f.hashes").dropDuplicates(["node"])
+    found = rows.mapInArrow(freeing(run), "doc_id long, d1 long, d2 long, hashes array<long>")
+    # any document of the digest has the set; dropped and joined by the same key, so shuffled once
+    one = found.select("d1", "d2", "hashes").dropDuplicates(["d1", "d2"])
+    return one.join(wanted.select("node", "d1", "d2"), ["d1", "d2"]).select("node", "hashes")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -259,11 +272,22 @@ def _possible(x: str, y: str, percent: int):
     return left * (100 + percent) >= percent * (a + b)
 
 
-def _unrefuted(x: str, y: str, percent: int, sketch: list[str]):
+def _folded(sketch, words):
+    """A sketch with words laid over each other, down to the given number."""
+    over = lambda i: F.aggregate(
+        F.sequence(i, F.size(sketch), words), F.lit(0).cast("long"), lambda acc, j: acc.bitwiseXOR(F.get(sketch, j - 1))
+    )
+    return F.when(F.size(sketch) == words, sketch).otherwise(F.transform(F.sequence(F.lit(1), words), over))
+
+
+def _unrefuted(x: str, y: str, percent: int, sketched: bool):
     """Whether the sketches allow as few elements in one set alone as alike sets have."""
-    if not sketch:
+    if not sketched:
         return F.lit(True)
-    apart = reduce(add, [F.bit_count(F.col(f"{x}.{p}").bitwiseXOR(F.col(f"{y}.{p}"))) for p in sketch])
+    a, b = F.col(f"{x}.sketch"), F.col(f"{y}.sketch")
+    words = F.least(F.size(a), F.size(b))
+    bits = F.zip_with(_folded(a, words), _folded(b, words), lambda p, q: F.bit_count(p.bitwiseXOR(q)))
+    apart = F.aggregate(bits, F.lit(0), lambda total, n: total + n)
     return apart * (100 + percent) <= (100 - percent) * (F.col(f"{x}.size") + F.col(f"{y}.size"))
 
 
@@ -295,8 +319,8 @@ def node_components(met: DataFrame, nodes: DataFrame, verify, percent: int) -> D
     their first common key; ``nodes`` has their sizes and, if any, sketches. ``verify`` gives
     those of a stored table of pairs (a, b) whose whole sets are alike.
     """
-    sketch = [p for p in SKETCH if p in nodes.columns]
-    known = nodes.select("node", "size", *sketch)
+    sketch = "sketch" in nodes.columns
+    known = nodes.select("node", "size", *(["sketch"] if sketch else []))
     pivots = met.where(F.col("nth") <= PIVOTS)
     star = _pairs(met, pivots, (F.col("x.node") != F.col("y.node")) & _possible("x", "y", percent))
     likely = (
@@ -366,13 +390,15 @@ def shingle_components(
 def component_rows(docs: DataFrame, width: int, percent: int, keyed: bool = False) -> DataFrame:
     """Per row of ``docs``: doc_id, n_shingles, component_id (the lowest doc_id reachable by links).
 
-    ``keyed`` adds text_key, the text's hash, and first_key, that of the document that stands for
-    the component: of those of the lowest doc_id the one of the lowest text_key.
+    ``keyed`` adds text_key, the text's hash, and first (doc_id, text_key), the document that stands
+    for the component: of those of the lowest doc_id, or of all if none has one, that of the lowest
+    text_key.
     """
     cells = cell_counts(bounded(docs), width)
     described = checkpointed(describe_sets(docs, cells, width, percent, keyed), "jaccard-described")
-    # NULL without a doc_id, which the lowest does not count
-    first = F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", *(["text_key"] if keyed else [])))
+    # the least struct has a doc_id if any has
+    key = [F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), *([F.col("text_key")] if keyed else [])]
+    first = F.struct(*key)
     nodes = checkpointed(
         described.where("n_shingles > 0")
         .groupBy("d1", "d2")
@@ -381,7 +407,7 @@ def component_rows(docs: DataFrame, width: int, percent: int, keyed: bool = Fals
             F.max("n_shingles").alias("size"),
             F.max(F.size("subsets")).alias("n_subsets"),
             F.max("scan").alias("scan"),
-            *(F.max(p).alias(p) for p in SKETCH),
+            F.first("sketch").alias("sketch"),
             *([F.min(first).alias("first")] if keyed else []),
         )
         .withColumn("node", F.monotonically_increasing_id()),
@@ -393,8 +419,6 @@ def component_rows(docs: DataFrame, width: int, percent: int, keyed: bool = Fals
         "d1", "d2", "doc_id", F.coalesce("component", "node").alias("component"), *(["first"] if keyed else [])
     )
     numbers = own.groupBy("component").agg(F.min("doc_id").alias("component_id"), *lowest)
-    first_key = [F.col("first.text_key").alias("first_key")] if keyed else []
-    numbers = numbers.select("component", "component_id", *first_key)
     of_set = own.select("d1", "d2", "component").join(numbers, "component").drop("component")
     rows = described.select("doc_id", "n_shingles", "d1", "d2", *(["text_key"] if keyed else []))
     linked = rows.join(of_set, ["d1", "d2"], "left")
@@ -402,7 +426,7 @@ def component_rows(docs: DataFrame, width: int, percent: int, keyed: bool = Fals
         "doc_id",
         F.col("n_shingles").cast("long").alias("n_shingles"),
         F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
-        *(["text_key", "first_key"] if keyed else []),
+        *(["text_key", "first"] if keyed else []),
     )
 
 
@@ -414,13 +438,14 @@ def similar_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
 def keep_one(docs: DataFrame, width: int, percent: int) -> DataFrame:
     """One document of each component, one of the lowest doc_id, with its own columns.
 
-    Documents without words are all kept, as are those without doc_id and a linked number. Of rows
-    repeated with the same doc_id and text one is kept. Documents are told apart by doc_id and
-    text, so several texts of one doc_id stand each for its own component.
+    Documents without words are all kept. A component in which none has a doc_id keeps one too, that
+    of the lowest hash of its text. Of rows repeated with the same doc_id and text one is kept.
+    Documents are told apart by doc_id and text, so several texts of one doc_id stand each for its
+    own component.
     """
     found = component_rows(docs, width, percent, keyed=True)
-    stands = F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("text_key") == F.col("first_key"))
-    gone = found.where((F.col("n_shingles") > 0) & F.col("component_id").isNotNull() & ~stands)
+    stands = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_key") == F.col("first.text_key"))
+    gone = found.where((F.col("n_shingles") > 0) & ~stands)
     gone = gone.select(F.col("doc_id").alias("_gone"), F.col("text_key").alias("_gone_key")).distinct()
     same_id = docs["doc_id"].cast("long").eqNullSafe(gone["_gone"])
     kept = docs.join(gone, same_id & (F.xxhash64(docs["text"]) == gone["_gone_key"]), "left_anti")

@@ -117,6 +117,55 @@ def test_any_boundary_gives_the_same_components(spark, monkeypatch, boundary):
     assert [found[i] for i in range(len(texts))] == brute(texts, 3, 90)[1]
 
 
+def long_corpus(seed):
+    """Texts of up to some thousand words, whose copies differ by a little more or less than a tenth."""
+    rng = random.Random(seed)
+    texts = []
+    for n in (450, 700, 1100, 2600):
+        base = [f"v{rng.randrange(5000)}" for _ in range(n)]
+        texts.append(" ".join(base))
+        for share in (0.005, 0.015, 0.017, 0.019, 0.03, 0.2):
+            words = list(base)
+            for _ in range(int(n * share)):
+                words[rng.randrange(len(words))] = f"u{rng.randrange(10**6)}"
+            texts.append(" ".join(words))
+        texts.append(" ".join(base[: int(n * 0.92)]))
+    return texts
+
+
+@pytest.mark.parametrize(("width", "percent"), [(3, 90), (5, 80)])
+def test_long_texts_equal_brute_force(spark, width, percent):
+    texts = long_corpus(width)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: r.component_id for r in jaccard.similar_components(docs, width, percent).collect()}
+    want = brute(texts, width, percent)[1]
+    assert [found[i] for i in range(len(texts))] == want and 4 < len(set(want)) < len(texts)
+
+
+def test_sketches_never_differ_by_more_than_the_sets(spark):
+    rng = np.random.default_rng(1)
+    universe = shingles.mixed(np.arange(1, 60_000, dtype=np.uint64))
+    sets = [rng.choice(universe, n, replace=False) for n in (0, 1, 500, 513, 2000, 9000)]
+    sets += [np.concatenate((s[: int(len(s) * 0.8)], rng.choice(universe, 7))) for s in sets]
+    sets = [np.unique(s) for s in sets]
+    sizes = np.array([len(s) for s in sets])
+    column = jaccard.sketches(np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes), sizes).to_pylist()
+    assert all(64 * len(c) >= n for c, n in zip(column, sizes)) and len({len(c) for c in column}) > 3
+    rows = spark.createDataFrame([(i, int(n), c) for i, (n, c) in enumerate(zip(sizes, column))], "node int, size int, sketch array<long>")
+    pairs = rows.alias("x").join(rows.alias("y"), F.col("x.node") < F.col("y.node"))
+    for percent in (50, 80, 90):
+        kept = pairs.where(jaccard._unrefuted("x", "y", percent, True)).select("x.node", "y.node").collect()
+        alike = {
+            (i, j)
+            for j in range(len(sets))
+            for i in range(j)
+            if 100 * len(np.intersect1d(sets[i], sets[j])) >= percent * len(np.union1d(sets[i], sets[j]))
+        }
+        assert alike <= {tuple(r) for r in kept}
+        large = [(a, b) for a, b in kept if percent >= 80 and min(sizes[a], sizes[b]) > 100]
+        assert all(len(np.intersect1d(sets[a], sets[b])) * 100 >= (percent - 25) * len(np.union1d(sets[a], sets[b])) for a, b in large)
+
+
 def test_repeated_rows_missing_keys_and_nothing(spark):
     long = " ".join(f"x{i}" for i in range(50))
     rows = [(5, long), (5, long), (None, long), (9, long + " y"), (None, "alone"), (7, None)]
@@ -151,6 +200,14 @@ def test_missing_and_repeated_ids_lose_no_group(spark):
     assert [k for k, _ in kept if k in (11, 12)] == [11]
 
 
+def test_groups_without_ids_keep_one(spark):
+    a, b = (" ".join(f"{name}{i}" for i in range(60)) for name in "ab")
+    rows = [(None, a), (None, a), (None, a + " x"), (None, b), (None, ""), (None, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = sorted(r.text for r in jaccard.keep_one(docs, 3, 90).collect())
+    assert kept[:2] == ["", ""] and len(kept) == 4 and kept[3] == b and kept[2] in (a, a + " x")
+
+
 def test_connected_components(spark):
     rng = random.Random(0)
     chain = [(i, i + 1) for i in range(100, 160)]
