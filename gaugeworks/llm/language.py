@@ -3,13 +3,15 @@
 A suffix automaton of a language's training text recognises exactly the substrings of that text.
 A text is cut greedily into the longest phrases that the automaton knows; a phrase ends with the
 first letter that cannot continue it. The language that needs the fewest phrases, each weighted
-with the logarithm of its training text's length, wins. Texts are parsed in stretches of a fixed
-length, many at once: the automata are one table of next states, and every step of all stretches
-and languages is one look-up.
+with the logarithm of its training text's length, wins; of several, the one with most training
+rows, then the alphabetically first. Texts are parsed in stretches of a fixed length, many at
+once: the steps of all automata lie in one compact table, and every step of all stretches and
+languages is one look-up. Every labelled language is learned, and all its letters are told apart.
 
 Texts are read as lower-case letters, with one blank for whatever stands between them. NULL texts
-and texts without a letter are "und" with score 0. Repeated rows give repeated results. Without
-training rows every text is "und". An empty table gives an empty one.
+and texts without a letter are "und" with score 0; of a very long text every letter counts.
+Repeated rows give repeated results, and teach once. Without training rows every text is "und".
+An empty table gives an empty one; further columns are not looked at.
 """
 
 from __future__ import annotations
@@ -28,13 +30,11 @@ from pyspark.sql import functions as F
 from gaugeworks.llm.batches import bounded
 
 UNKNOWN = "und"
-TRAIN_ROWS = 64  # labelled rows read for each language
-TRAIN_LETTERS = 25_000  # letters and blanks of them that its automaton holds
-TRAIN_CHARS = 640_000  # longer texts are not taken as training rows
-MAX_LANGUAGES = 64  # the languages with most rows are learned
-MAX_SYMBOLS = 253  # the most frequent letters are told apart
+TRAIN_ROWS = 64  # labelled texts read for each language
+TRAIN_LETTERS = 40_000  # letters and blanks of them that its automaton holds
 _STRETCH = 1024
 _BATCH_CHARS = 1_000_000
+_TRIES = 32  # places tried for a state before the search moves on
 
 
 @dataclass(frozen=True)
@@ -81,44 +81,93 @@ def suffix_automaton(symbols: list[int]) -> list[dict[int, int]]:
     return steps
 
 
+def packed(steps: list[dict[int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place of each state, owner of each cell, target of each cell).
+
+    The step of a state by a symbol lies in the cell of its place plus the symbol, if that cell is
+    its own. States with several steps are laid first, those with most before the others, into the
+    gaps of what lies there; states with one step fill the cells that are left.
+    """
+    width = max((symbol for step in steps for symbol in step), default=0) + 1
+    n_steps = sum(map(len, steps))
+    # cells below ``width`` stay free, so that no place is negative
+    taken = bytearray(b"\1" * width + bytes(n_steps + width))
+    place = np.zeros(len(steps), np.int32)
+    low = width
+    several = [state for state, step in enumerate(steps) if len(step) > 1]
+    for state in sorted(several, key=lambda state: -len(steps[state])):
+        symbols = sorted(steps[state])
+        cell, tries = low - 1, 0
+        while True:
+            cell = taken.find(0, cell + 1)
+            at = cell - symbols[0]
+            if cell < 0 or at + symbols[-1] >= len(taken):
+                cell = len(taken) if cell < 0 else cell
+                taken.extend(bytes(cell + 2 * width - len(taken)))
+                at = cell - symbols[0]
+            if not any(taken[at + symbol] for symbol in symbols):
+                break
+            tries += 1
+        if tries > _TRIES:
+            low = taken.find(0, low + 1)
+        place[state] = at
+        for symbol in symbols:
+            taken[at + symbol] = 1
+    single = [state for state, step in enumerate(steps) if len(step) == 1]
+    free = np.flatnonzero(np.frombuffer(taken, np.uint8) == 0)
+    if len(free) < len(single):
+        free = np.concatenate([free, len(taken) + np.arange(len(single) - len(free))])
+    place[single] = free[: len(single)] - np.array([next(iter(steps[s])) for s in single], np.int64)
+    cells = int(place.max(initial=0)) + width
+    owner, target = np.full(cells, -1, np.int32), np.zeros(cells, np.int32)
+    of = np.repeat(np.arange(len(steps)), list(map(len, steps)))
+    at = place[of] + np.fromiter((c for step in steps for c in step), np.int64, n_steps)
+    owner[at] = of
+    target[at] = np.fromiter((t for step in steps for t in step.values()), np.int64, n_steps)
+    return place, owner, target
+
+
 class Parser:
     """Phrase counts of many texts in all languages of a model.
 
-    Entry (state, symbol) of the table is the next state times the number of symbols. Where a
-    state has no such step, a new phrase begins: the entry is then the complement of the state
-    that the symbol leads to from the automaton's start. Parsing begins, and goes on after a
-    letter that the language lacks, in a state from which every step begins a phrase.
+    Where a state has no step by a symbol, a new phrase begins in the state that the symbol leads
+    to from the automaton's start. Parsing begins, and goes on after a letter that the language
+    lacks, in a state without steps.
     """
 
     def __init__(self, model: Model) -> None:
         found = Counter(c for text in model.texts for c in text if c != " ")
-        known = [c for c, _ in sorted(found.items(), key=lambda x: (-x[1], x[0]))[:MAX_SYMBOLS]]
-        # 0: between words, 1: a letter not told apart
+        known = [c for c, _ in sorted(found.items(), key=lambda x: (-x[1], x[0]))]
+        # 0: between words, 1: a letter of no language
         number = {" ": 0} | {c: n for n, c in enumerate(known, 2)}
-        width = len(known) + 2
-        self.symbol_of = np.zeros(0x110000, np.uint8)
+        self.width = len(known) + 2
+        self.symbol_of = np.zeros(0x110000, np.int32)
         self.symbol_of[[c for c in range(0x110000) if chr(c).isalpha()]] = 1
-        self.symbol_of[list(map(ord, known))] = range(2, width)
+        self.symbol_of[list(map(ord, known))] = range(2, self.width)
         self.start, self.weight = [], []
-        # an automaton has at most two states a symbol
-        most = sum(2 * len(text) + 2 for text in model.texts)
-        kind = np.int32 if most * width < 1 << 31 else np.int64
-        tables, base = [], 0
+        places, owners, targets, firsts = [], [], [], []
+        states = cells = 0
         for text in model.texts:
-            steps = suffix_automaton([number.get(c, 1) for c in text])
-            outside = (base + len(steps)) * width
-            self.start.append(outside)
+            steps = suffix_automaton([number[c] for c in text])
+            outside = len(steps)
+            steps.append({})
+            place, owner, target = packed(steps)
+            first = np.full(self.width, states + outside, np.int32)
+            first[list(steps[0])] = states + np.array(list(steps[0].values()), np.int32)
+            places.append(place + cells)
+            owners.append(np.where(owner < 0, -1, owner + states).astype(np.int32))
+            targets.append(target + states)
+            firsts.append(first)
+            self.start.append(states + outside)
             self.weight.append(math.log2(max(len(text), 2)))
-            first = np.full(width, ~outside, kind)
-            for symbol, target in steps[0].items():
-                first[symbol] = ~((base + target) * width)
-            table = np.repeat(first[None, :], len(steps) + 1, 0)
-            for state, step in enumerate(steps):
-                if step:
-                    table[state, list(step)] = (base + np.array(list(step.values()), kind)) * width
-            tables.append(table)
-            base += len(steps) + 1
-        self.table = np.concatenate(tables).reshape(-1)
+            states += len(steps)
+            cells += len(owner)
+        # a state's place plus any symbol is a cell
+        beyond = np.full(self.width, -1, np.int32)
+        self.place = np.concatenate(places)
+        self.owner = np.concatenate([*owners, beyond])
+        self.target = np.concatenate([*targets, beyond])
+        self.first = np.concatenate(firsts)
 
     def symbols(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Symbols of all texts, one after the other, and how many each has."""
@@ -145,15 +194,16 @@ class Parser:
         size = np.minimum(_STRETCH, ends[text_of] - begin)
         order = np.argsort(-size, kind="stable")
         begin, size, text_of = begin[order], size[order], text_of[order]
-        state = np.repeat(np.array(self.start, self.table.dtype)[:, None], len(order), 1)
+        state = np.repeat(np.array(self.start, np.int32)[:, None], len(order), 1)
         count = np.zeros(state.shape, np.int32)
-        bits = self.table.dtype.itemsize * 8 - 1
+        row = (np.arange(len(self.start), dtype=np.int32) * self.width)[:, None]
         active = np.searchsorted(-size, -np.arange(1, (size[0] if len(size) else 0) + 1), side="right")
         for step, n in enumerate(active.tolist()):
-            following = self.table.take(state[:, :n] + symbols[begin[:n] + step])
-            ended = following >> bits
-            count[:, :n] -= ended.astype(np.int32, copy=False)
-            state[:, :n] = following ^ ended
+            now, symbol = state[:, :n], symbols[begin[:n] + step]
+            cell = self.place.take(now) + symbol
+            ended = self.owner.take(cell) != now
+            count[:, :n] += ended
+            state[:, :n] = np.where(ended, self.first.take(row + symbol), self.target.take(cell))
         total = np.array([np.bincount(text_of, c, len(texts)) for c in count])
         return total.reshape(len(self.start), len(texts)), sizes, has_letter
 
@@ -179,49 +229,56 @@ def _parser(model: Model) -> Parser:
     return Parser(model)
 
 
+def equal_shares(texts: list[str], letters: int) -> list[str]:
+    """The beginnings of the texts, equally long but for shorter texts, of ``letters`` in all."""
+    shares, left = {}, letters
+    for n, i in enumerate(sorted(range(len(texts)), key=lambda i: len(texts[i]))):
+        shares[i] = min(len(texts[i]), left // (len(texts) - n))
+        left -= shares[i]
+    return [text[: shares[i]] for i, text in enumerate(texts)]
+
+
 def fit(
     docs: DataFrame, train_rows: int = TRAIN_ROWS, train_letters: int = TRAIN_LETTERS
 ) -> Model:
     """Training text of each language, from rows with text and lang.
 
-    Read are the ``train_rows`` rows of each language that have the lowest key hash, of texts up
-    to TRAIN_CHARS; of them, in this order, an automaton holds ``train_letters``. That bounds
-    what the driver receives and what tasks build.
+    Read are the ``train_rows`` different texts of each language that have the lowest hash; each
+    gives an equal share of the ``train_letters`` that an automaton holds. Shares are taken in
+    tasks, so the driver gets one text a language, of that length at most.
     """
-    rows = bounded(docs).where(F.col("lang").isNotNull() & (F.char_length("text") <= TRAIN_CHARS))
-    common = [
-        r.lang
-        for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
-    ]
-    if not common:
+    spark = docs.sparkSession
+    rows = bounded(docs).where(F.col("lang").isNotNull() & F.col("text").isNotNull())
+    rows = rows.select("lang", "text", F.xxhash64("text").alias("hash"))
+    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    if not counts:
         return Model((), ())
-    by_hash = F.xxhash64("doc_id")
-    ranked = rows.where(F.col("lang").isin(common)).select(
-        "doc_id",
-        "lang",
-        F.row_number().over(Window.partitionBy("lang").orderBy(by_hash, "doc_id")).alias("nth"),
-    )
-    chosen = ranked.where(F.col("nth") <= train_rows)
-    # a bounded table: train_rows of MAX_LANGUAGES languages
-    keys = F.broadcast(chosen.withColumnRenamed("doc_id", "key").select("key", F.col("lang").alias("of"), "nth"))
-    same = F.col("doc_id").eqNullSafe(F.col("key")) & (F.col("lang") == F.col("of"))
-    texts = (
-        rows.join(keys, same)
-        .select("lang", "nth", "text")
-        .orderBy("lang", "nth", "text")
-        .limit(train_rows * len(common))
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("hash"))
+    lowest = rows.select("lang", "hash").distinct().select("lang", "hash", nth.alias("nth"))
+    last = lowest.where(F.col("nth") <= train_rows).groupBy("lang").agg(F.max("hash").alias("last")).collect()
+    # one row a language; Spark sees its size
+    last = spark.createDataFrame([(r.lang, r["last"]) for r in last], "lang string, last long")
+    chosen = rows.join(last, "lang").where(F.col("hash") <= F.col("last"))
+    once = chosen.groupBy("lang", "hash").agg(F.min("text").alias("text"))
+
+    @F.pandas_udf("string")
+    def beginning(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda text: letters_only(text)[:train_letters])
+
+    def joined(group: pd.DataFrame) -> pd.DataFrame:
+        texts = group.sort_values("hash").text.tolist()
+        # a blank stands between two texts
+        shares = equal_shares([t for t in texts if t], max(0, train_letters - len(texts)))
+        return pd.DataFrame({"lang": group.lang.iloc[:1], "text": [" ".join(s.strip() for s in shares)]})
+
+    found = (
+        once.select("lang", "hash", beginning("text").alias("text"))
+        .groupBy("lang")
+        .applyInPandas(joined, "lang string, text string")
         .collect()
     )
-    sample = {}
-    for lang in common:
-        held, size = [], 0
-        for row in texts:
-            if row.lang == lang and size < train_letters:
-                held.append(letters_only(row.text))
-                size += len(held[-1]) + 1
-        sample[lang] = " ".join(t for t in held if t)[:train_letters]
-    learned = [lang for lang in common if sample[lang]]
-    return Model(tuple(learned), tuple(sample[lang] for lang in learned))
+    learned = sorted((r for r in found if r.text), key=lambda r: (-counts[r.lang], r.lang))
+    return Model(tuple(r.lang for r in learned), tuple(r.text for r in learned))
 
 
 def predict(text: Column, model: Model) -> Column:

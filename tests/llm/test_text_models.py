@@ -69,6 +69,56 @@ def test_languages_are_told_apart(spark, texts):
     assert kept.columns == docs.columns and kept.count() == docs.count() - 2
 
 
+def test_packed_steps_are_those_of_the_automaton():
+    rng = random.Random(8)
+    for letters, n in ((2, 60), (30, 3000), (4000, 5000), (1, 1), (1, 0)):
+        steps = language.suffix_automaton([rng.randrange(letters) for _ in range(n)])
+        place, owner, target = language.packed(steps)
+        assert (owner >= 0).sum() == sum(map(len, steps))
+        for state, step in enumerate(steps):
+            for symbol, after in step.items():
+                assert owner[place[state] + symbol] == state and target[place[state] + symbol] == after
+
+
+def test_shares_are_equal_and_whole():
+    for sizes in ([], [3], [0, 9, 9], [50, 1, 50, 7], [2, 2]):
+        for letters in (0, 4, 30, 200):
+            got = [len(t) for t in language.equal_shares(["x" * n for n in sizes], letters)]
+            assert sum(got) <= letters and all(a <= b for a, b in zip(got, sizes))
+            assert sum(got) == min(letters, sum(sizes)) or letters - sum(got) < len(sizes)
+            cut = [a for a, b in zip(got, sizes) if a < b]
+            assert not cut or max(got) - min(cut) <= 1
+
+
+def test_every_language_and_letter_is_learned(spark):
+    """80 languages of letters of their own, and two that share 3,000 letters but not their order."""
+    rng = random.Random(9)
+    own = {f"l{k:02}": [chr(0x4E00 + 40 * k + i) for i in range(40)] for k in range(80)}
+    rows = [(f"l{k:02}", "".join(rng.choices(own[f"l{k:02}"], k=30))) for k in range(80) for _ in range(3)]
+    wide = [chr(0xAC00 + i) for i in range(3000)]
+    pairs = {lang: rng.sample(wide, 3000) for lang in ("ma", "mb")}
+    for lang, order in pairs.items():
+        for _ in range(30):
+            at = rng.randrange(2900)
+            rows.append((lang, "".join(order[at : at + 100])))
+    rows.append(("long", "q" * 700_000))
+    docs = spark.createDataFrame([(i, t, lang) for i, (lang, t) in enumerate(rows)], "doc_id long, text string, lang string")
+    model = language.fit(docs)
+    assert set(model.languages) == {lang for lang, _ in rows} and model.languages[:2] == ("ma", "mb")
+    assert all(len(text) <= language.TRAIN_LETTERS for text in model.texts)
+    found = docs.select("lang", language.predict(docs.text, model).alias("of")).collect()
+    assert all(r.of.lang_pred == r.lang for r in found)
+    assert language.keep_known(docs, model).count() == len(rows)
+
+
+def test_equal_costs_go_to_the_language_with_more_rows(spark):
+    rows = [("b", "abab"), ("a", "abab"), ("b", "baba"), ("a", "baba"), ("c", "abab"), ("c", "baba"), ("c", "abab")]
+    docs = spark.createDataFrame([(None, t, lang) for lang, t in rows], "doc_id long, text string, lang string")
+    model = language.fit(docs)
+    assert model.languages == ("c", "a", "b")
+    assert {r.o.lang_pred for r in docs.select(language.predict(docs.text, model).alias("o")).collect()} == {"c"}
+
+
 def test_nothing_to_learn_from(spark):
     docs = spark.createDataFrame([(1, "abc", None)], "doc_id long, text string, lang string")
     model = language.fit(docs)
