@@ -257,9 +257,9 @@ def fit(
     nth = F.row_number().over(Window.partitionBy("lang").orderBy("hash"))
     lowest = rows.select("lang", "hash").distinct().select("lang", "hash", nth.alias("nth"))
     last = lowest.where(F.col("nth") <= train_rows).groupBy("lang").agg(F.max("hash").alias("last")).collect()
-    # one row a language; Spark sees its size
+    # one number a language, less than the model that every task gets
     last = spark.createDataFrame([(r.lang, r["last"]) for r in last], "lang string, last long")
-    chosen = rows.join(last, "lang").where(F.col("hash") <= F.col("last"))
+    chosen = rows.join(F.broadcast(last), "lang").where(F.col("hash") <= F.col("last"))
     once = chosen.groupBy("lang", "hash").agg(F.min("text").alias("text"))
 
     @F.pandas_udf("string")
