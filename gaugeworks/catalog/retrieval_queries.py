@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from gaugeworks.catalog import views as V
 from gaugeworks.catalog.registry import query, rounded
+from gaugeworks.catalog.text_queries import _filled_sql
+from gaugeworks.functions import prompts
 from gaugeworks.operators import cells, retrieval, vectors
 from gaugeworks.session import scratch_path
 
@@ -137,3 +139,22 @@ def rt04(spark, sf):
 )
 def rt05(spark, sf):
     return retrieval.retrieve_contexts(_questions(spark, sf), _candidates(spark, sf))
+
+
+@query(
+    "rt05_retrieved_prompts",
+    V.with_sql(_NEAREST_SQL, _CONTEXTS_SQL)
+    + f"""SELECT prompt_id, n_questions, md5({_filled_sql(prompts.CONTEXT_PROMPT, "coalesce(context, '')", "'prompt ' || prompt_id")}) AS sent
+         FROM (SELECT vec_id // 25 AS prompt_id, CAST(count_if(label < 5) AS BIGINT) AS n_questions FROM embeddings GROUP BY ALL)
+         LEFT JOIN (
+           SELECT prompt_id, string_agg('Context ' || (rank - 1) || ': ' || chr(10) || text, '' ORDER BY rank) AS context
+           FROM (SELECT *, row_number() OVER (PARTITION BY prompt_id ORDER BY q_pos) AS rank FROM contexts)
+           WHERE rank <= 4 GROUP BY prompt_id) USING (prompt_id)""",
+)
+def rt05_prompts(spark, sf):
+    """Questions to nearest chunks, to contexts, to the prompt that is sent; prompts without questions too."""
+    rows = V.table(spark, sf, "embeddings").selectExpr("vec_id div 25 AS prompt_id", "label")
+    asked = rows.groupBy("prompt_id").agg(F.count_if(F.col("label") < 5).alias("n_questions"))
+    asked = asked.withColumn("prompt", F.concat(F.lit("prompt "), "prompt_id"))
+    sent = retrieval.prompts_with_contexts(asked, _questions(spark, sf), _candidates(spark, sf))
+    return sent.select("prompt_id", "n_questions", F.md5("sent").alias("sent"))

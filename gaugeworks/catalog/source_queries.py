@@ -244,3 +244,86 @@ def s07_measured(spark, sf):
 def a16_read(spark, sf):
     [table] = tables.read_tables(spark, _written_tasks(spark, sf))
     return measure.level_histogram(samples.with_prompt(tables.as_tasks(table)))
+
+
+# model, strategy and folder names that paths of evaluated files hold
+_ATTRIBUTION = [(m, s, f) for m in ("alpha", "beta") for s in ("Standard", "COT", "RAG") for f in ("short", "wide")]
+
+
+@query(
+    "s01_attributed_read",
+    """SELECT 'policy ' || doc_id AS policy, CASE doc_id % 2 WHEN 0 THEN 'alpha' ELSE 'beta' END AS model,
+         CASE doc_id % 3 WHEN 0 THEN 'Standard' WHEN 1 THEN 'COT' ELSE 'RAG' END AS strategy,
+         md5(text) AS reference
+       FROM documents WHERE n_chars < 2000 OR n_chars % 3 > 0""",
+)
+def s01_attributed(spark, sf):
+    """Model and strategy of evaluated tables, read off their paths; files that no rule fits are left out."""
+    path = scratch_path(spark, "evaluated")
+    folder = F.expr("CASE WHEN n_chars < 2000 THEN 'short' WHEN n_chars % 3 > 0 THEN 'wide' ELSE 'other' END")
+    rows = V.table(spark, sf, "documents").select(
+        F.expr("CASE doc_id % 2 WHEN 0 THEN 'alpha' ELSE 'beta' END").alias("model"),
+        F.expr("CASE doc_id % 3 WHEN 0 THEN 'Standard' WHEN 1 THEN 'COT' ELSE 'RAG' END").alias("strategy"),
+        folder.alias("folder"),
+        F.col("text").alias("Reference output"),
+        F.concat(F.lit("policy "), "doc_id").alias("Rego intent"),
+    )
+    # each writing task adds a file to a folder, so files stay as small as partitions
+    (
+        rows.write.partitionBy("model", "strategy", "folder")
+        .option("header", True).option("quoteAll", True).option("escape", '"')
+        .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
+        .csv(path)
+    )
+    [table] = tables.read_tables(spark, path)
+    found = tables.with_attribution(table, _ATTRIBUTION).where(F.col("model").isNotNull())
+    return found.select(
+        F.col("Rego intent").alias("policy"), "model", "strategy", F.md5("Reference output").alias("reference")
+    )
+
+
+@query(
+    "s05_plan_files",
+    """SELECT l_suppkey AS plan_id, CAST(row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_returnflag) - 1 AS INTEGER) AS pos,
+         'aws_' || lower(l_returnflag) AS type, 'aws_' || lower(l_returnflag) || '.r' || l_orderkey || '_' || l_linenumber AS address
+       FROM lineitem""",
+)
+def s05_files(spark, sf):
+    """One file a plan, the plan of a supplier's deliveries; a folder of them is read as documents."""
+    path = scratch_path(spark, "plan-files")
+    resource = F.expr(
+        """struct(l_orderkey, l_linenumber, concat('aws_', lower(l_returnflag)) AS type,
+             concat('aws_', lower(l_returnflag), '.r', l_orderkey, '_', l_linenumber) AS address)"""
+    )
+    plans = V.table(spark, sf, "lineitem").groupBy("l_suppkey").agg(F.array_sort(F.collect_list(resource)).alias("r"))
+    text = F.to_json(F.struct(F.struct(F.struct(F.col("r").alias("resources")).alias("root_module")).alias("configuration")))
+    # the plans of a supplier lie in one partition already, so each becomes one file
+    plans.select(F.col("l_suppkey").alias("plan"), text.alias("value")).write.partitionBy("plan").text(path)
+    resources = plan_documents.plan_resources(documents.read_plans(spark, path, glob="*.txt"))
+    plan = F.regexp_extract("plan_id", "plan=([0-9]+)", 1).cast("bigint")
+    return resources.select(plan.alias("plan_id"), "pos", "type", "address")
+
+
+@query(
+    "r01_wide_judgements",
+    """SELECT CAST(doc_id AS VARCHAR) AS file, CAST(doc_id % 2 AS INTEGER) AS sample_idx, judge, CAST(run AS INTEGER) AS judge_run,
+         lang || ' "' || n_chars || '"' AS judge_output,
+         CASE (doc_id + run) % 3 WHEN 0 THEN 'correct' WHEN 1 THEN 'incorrect' END AS judge_verdict
+       FROM documents, unnest(['a', 'b c']) AS j(judge), unnest([0, 1]) AS r(run)""",
+)
+def r01_judgements(spark, sf):
+    """Judge columns of a wide table, written and read; judges, runs and samples come from its header."""
+    path = scratch_path(spark, "judged")
+    rows = V.table(spark, sf, "documents")
+    names = [(judge, run, sample) for judge in ("a", "b c") for run in (0, 1) for sample in (0, 1)]
+    cells = []
+    for judge, run, sample in names:
+        of = {"judge": judge, "run": run, "sample": sample}
+        here = F.col("doc_id") % 2 == sample
+        verdict = F.expr(f"CASE (doc_id + {run}) % 3 WHEN 0 THEN 'correct' WHEN 1 THEN 'incorrect' END")
+        output = F.concat("lang", F.lit(' "'), "n_chars", F.lit('"'))
+        cells.append(F.when(here, output).otherwise("").alias(reshape.JUDGE_OUTPUT.format(**of)))
+        cells.append(F.when(here, F.coalesce(verdict, F.lit(""))).otherwise("").alias(reshape.JUDGE_VERDICT.format(**of)))
+    sinks.write_csv(rows.select(F.col("doc_id").cast("string").alias("file"), *cells), path)
+    [table] = tables.read_tables(spark, path)
+    return reshape.judgements_to_long(table, ["file"]).where(F.col("judge_output").isNotNull())

@@ -108,22 +108,50 @@ def add_empty_judgements(wide: DataFrame, judge: str, runs: int, sample: int = 0
     return wide.withColumns({name: F.lit("") for name in names})
 
 
-def judgements_to_long(wide: DataFrame, keep: Sequence[str], judge: str, runs: int, sample: int = 0) -> DataFrame:
-    """One row per judge run from the judge columns of a wide table."""
-    structs = []
-    for run in range(runs):
-        output = JUDGE_OUTPUT.format(judge=judge, run=run, sample=sample)
-        verdict = JUDGE_VERDICT.format(judge=judge, run=run, sample=sample)
-        structs.append(
-            F.struct(
-                F.lit(sample).alias("sample_idx"),
-                F.lit(judge).alias("judge"),
-                F.lit(run).alias("judge_run"),
-                F.nullif(F.col(_quoted(output)).cast("string"), F.lit("")).alias("judge_output"),
-                F.nullif(F.col(_quoted(verdict)).cast("string"), F.lit("")).alias("judge_verdict"),
-            )
+def judge_runs(columns: Sequence[str]) -> list[tuple[str, int, int]]:
+    """(judge, run, sample) of the judge outputs that a wide header holds, in column order."""
+    escaped = re.escape(JUDGE_OUTPUT.format(judge="@judge", run="@run", sample="@sample"))
+    pattern = escaped.replace("@judge", "(.+)").replace("@run", r"(\d+)").replace("@sample", r"(\d+)")
+    found = [re.fullmatch(pattern, c, re.DOTALL) for c in columns]
+    return [(m[1], int(m[2]), int(m[3])) for m in found if m]
+
+
+def judgements_to_long(
+    wide: DataFrame,
+    keep: Sequence[str],
+    judge: str | None = None,
+    runs: int | None = None,
+    sample: int | None = None,
+) -> DataFrame:
+    """One row per judge run from the judge columns of a wide table.
+
+    Judges, runs and samples are read off the header; given ones restrict them. A run without a
+    verdict column has NULL verdicts. A header without judges gives no rows.
+    """
+    found = [
+        (j, r, s)
+        for j, r, s in judge_runs(wide.columns)
+        if (judge is None or j == judge) and (runs is None or r < runs) and (sample is None or s == sample)
+    ]
+    entry = "struct<sample_idx:int,judge:string,judge_run:int,judge_output:string,judge_verdict:string>"
+
+    def cell(pattern: str, j: str, r: int, s: int):
+        name = pattern.format(judge=j, run=r, sample=s)
+        if name not in wide.columns:
+            return F.lit(None).cast("string")
+        return F.nullif(F.col(_quoted(name)).cast("string"), F.lit(""))
+
+    structs = [
+        F.struct(
+            F.lit(s).alias("sample_idx"),
+            F.lit(j).alias("judge"),
+            F.lit(r).alias("judge_run"),
+            cell(JUDGE_OUTPUT, j, r, s).alias("judge_output"),
+            cell(JUDGE_VERDICT, j, r, s).alias("judge_verdict"),
         )
-    return wide.select(*[F.col(_quoted(k)) for k in keep], F.inline(F.array(*structs)))
+        for j, r, s in found
+    ]
+    return wide.select(*[F.col(_quoted(k)) for k in keep], F.inline(F.array(*structs).cast(f"array<{entry}>")))
 
 
 def complete_samples(samples: DataFrame, file: Sequence[str] = ("task_file",)) -> DataFrame:

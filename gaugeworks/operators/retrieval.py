@@ -95,3 +95,18 @@ def retrieve_contexts(
         .join(chunks.select("chunk_id", "text"), "chunk_id")
     )
     return prompt_contexts(distinct_contexts(hits), limit=limit)
+
+
+def prompts_with_contexts(
+    asked: DataFrame, questions: DataFrame, chunks: DataFrame, limit: int = prompts.CONTEXTS_PER_PROMPT
+) -> DataFrame:
+    """``asked`` (``prompt_id, prompt``) with the text that is sent, retrieved contexts filled in.
+
+    ``questions`` and ``chunks`` are those of :func:`retrieve_contexts`. A prompt for which
+    nothing was found is sent with an empty context, so no prompt is lost.
+    """
+    contexts = retrieve_contexts(questions, chunks, limit)
+    filled = prompts.enhance_prompt(
+        F.col("prompt"), F.lit("RAG"), F.coalesce("context", F.lit("")), cot_examples="", fsp_examples=""
+    )
+    return asked.join(contexts, "prompt_id", "left").select(*asked.columns, filled.alias("sent"))

@@ -53,6 +53,27 @@ def test_empty_sample_and_judge_columns(spark):
     assert long.count() == 4 and long.filter("judge_verdict IS NOT NULL").count() == 0
 
 
+def test_judges_are_read_off_the_header(spark):
+    names = [
+        "k",
+        "a Judge Output #0 for LLM output #0",
+        "a Judge verdict #0 for LLM output #0",
+        "a.b ` Judge Output #1 for LLM output #2",
+        "a Judge Output #x for LLM output #0",
+    ]
+    wide = spark.createDataFrame([("x", "yes", "correct", "no", "?"), (None, "", None, None, "?")], names)
+    assert reshape.judge_runs(wide.columns) == [("a", 0, 0), ("a.b `", 1, 2)]
+    rows = {tuple(r) for r in reshape.judgements_to_long(wide, ["k"]).collect()}
+    assert rows == {
+        ("x", 0, "a", 0, "yes", "correct"),
+        ("x", 2, "a.b `", 1, "no", None),
+        (None, 0, "a", 0, None, None),
+        (None, 2, "a.b `", 1, None, None),
+    }
+    assert reshape.judgements_to_long(wide, ["k"], "a").count() == 2
+    assert reshape.judgements_to_long(wide, ["k"], "nobody").count() == 0
+
+
 def test_repeated_sample_columns_are_further_samples(spark):
     names = ["k", "LLM Output #0", "LLM Output #0", "LLM Correct? #0", "LLM Correct? #0"]
     renamed = tables.unique_names(names)
