@@ -1,7 +1,7 @@
 """Spot signatures: what stands after common words, as a fingerprint of a text.
 
-Every common word that stands before a content word (an anchor) opens a signature: the anchor and
-the next content words, common words between them left out. A text's fingerprint is the set of its signatures. Sets are compared by
+Every common word (an anchor) opens a signature: the anchor and the next content words, common
+words between them left out; the last anchors of a text, which too few content words follow, open none. A text's fingerprint is the set of its signatures. Sets are compared by
 Jaccard likeness; as sets of lengths a <= b are never more alike than a / b, sets are partitioned
 by length and only neighbouring partitions compared.
 
@@ -48,12 +48,22 @@ def signatures(text: Column, anchors: list[str] = ANCHORS, chain: int = CHAIN) -
     stop = _any_of(anchors) + " "
     word = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+", " ")
     spaced = F.concat(F.lit(" "), F.trim(word), F.lit(" "))
-    # possessive loops neither recurse nor go back, however long a run of common words is
-    content = "[^ ]++" + f" (?:{stop})*+[^ ]++" * (chain - 1)
-    spans = F.regexp_extract_all(spaced, F.lit(f"(?= ({stop}(?!{stop}){content}) )"), F.lit(1))
-    found = F.transform(spans, lambda s: F.xxhash64(F.regexp_replace(s, f"(?<= )(?:{stop})++", "")))
+    # a run of common words is read once, with what follows it: its anchors share the content words;
+    # possessive loops neither recurse nor go back, however long a run is
+    content = "[^ ]++" + f"(?: (?:{stop})*+[^ ]++)" * (chain - 1)
+    runs = F.regexp_extract_all(spaced, F.lit(f" (?=((?:{stop})++(?:{content})?))(?:{stop})++"), F.lit(1))
+    parted = F.transform(runs, lambda r: F.struct(r.alias("run"), F.regexp_replace(r, f"^(?:{stop})++", "").alias("after")))
+    followed = F.filter(parted, lambda p: p["after"] != "")
+    spelled = F.transform(
+        followed,
+        lambda p: F.struct(
+            F.array_distinct(F.split(F.substring(p["run"], F.lit(1), F.length(p["run"]) - F.length(p["after"]) - 1), " ")).alias("anchors"),
+            F.regexp_replace(p["after"], f"(?<= )(?:{stop})++", "").alias("content"),
+        ),
+    )
+    found = F.flatten(F.transform(spelled, lambda p: F.transform(p["anchors"], lambda a: F.xxhash64(F.concat_ws(" ", a, p["content"])))))
     whole = F.when(spaced == "  ", F.array().cast("array<long>")).otherwise(F.array(F.xxhash64(spaced)))
-    return F.array_sort(F.array_distinct(F.when(F.size(spans) > 0, found).otherwise(whole)))
+    return F.array_sort(F.array_distinct(F.when(F.size(found) > 0, found).otherwise(whole)))
 
 
 def fingerprint(sigs: Column) -> Column:

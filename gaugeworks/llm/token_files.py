@@ -28,7 +28,7 @@ from gaugeworks.llm.bpe import split_pattern
 from gaugeworks.llm.elias_fano import EliasFano
 from gaugeworks.llm.order import id_range
 from gaugeworks.llm.words import Pieces, WordIds, slices, spaced_chunks
-from gaugeworks.session import checkpointed, scratch_path
+from gaugeworks.session import checkpointed, scratch_path, shuffle_partitions
 
 # fixed value: the splitting pattern of the byte-level vocabularies that this module reads
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -67,13 +67,14 @@ def _with_ends(ids: np.ndarray, ends: np.ndarray, end_id: int) -> tuple[np.ndarr
 
 
 def write_encoded(
-    docs: DataFrame, folder: str, path: str, end_id: int = 0, docs_per_file: int = 4096
+    docs: DataFrame, folder: str, path: str, end_id: int = 0, docs_per_file: int = 4096, ids_per_file: int = 1 << 24
 ) -> DataFrame:
     """Write documents in ascending doc_id order; one row (file, id_range, part, n_docs, n_tokens) a file.
 
-    Files take one range of ids each, and no more than ``docs_per_file`` documents: a range that
-    holds more goes on in further files, so memory stays bounded wherever ids cluster. The rows
-    come when the result is read, and with them the files.
+    Files take one range of ids each, no more than ``docs_per_file`` documents and no more than
+    ``ids_per_file`` ids, but for a document that is longer alone: a range that holds more goes on
+    in further files, so memory stays bounded wherever ids cluster and however long texts are. The
+    rows come when the result is read, and with them the files.
     """
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,10 +117,14 @@ def write_encoded(
                     if now != state["range"]:
                         yield from flush()
                         state.update(range=int(now), part=0)
+                    low = int(stops[begin - 1]) if begin else 0
                     room = docs_per_file - sum(len(h[2]) for h in held)
                     same = int(np.searchsorted(ranges[at : at + len(part)], now, side="right"))
-                    stop = min(same, begin + room)
-                    low = int(stops[begin - 1]) if begin else 0
+                    fitting = int(np.searchsorted(stops, low + ids_per_file - sum(len(h[0]) for h in held), side="right"))
+                    if fitting <= begin and held:
+                        yield from flush()
+                        continue
+                    stop = min(same, begin + room, max(fitting, begin + 1))
                     held.append(
                         (ids[low : stops[stop - 1]], sizes[begin:stop], keys[at + begin : at + stop])
                     )
@@ -279,9 +284,11 @@ def scan_flat(
         .where("n > 0")
         .select("path", "n", F.explode(F.sequence(F.lit(0), F.col("n") - 1, F.lit(block_ids))).alias("begin"))
         .select("path", "begin", F.least(F.lit(block_ids), F.col("n") - F.col("begin")).alias("size"))
-        .repartition("path", "begin")
+        # a count of its own, here and below: blocks are few bytes and much work, so sizes say little
+        .repartition(shuffle_partitions(spark), "path", "begin")
     )
     found = blocks.mapInArrow(scan, "file string, stop long, n_ends long, last_end long, ends array<long>")
+    found = found.repartition(shuffle_partitions(spark), "file")
     before = Window.partitionBy("file").orderBy("stop").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy("file")
     stitched = found.select(

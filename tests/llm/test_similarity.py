@@ -224,8 +224,8 @@ def test_connected_components(spark):
 def signature_set(text):
     words = re.findall(r"[^\W_]+", text.lower())
     anchors, found = set(spotsigs.ANCHORS), set()
-    for i, word in enumerate(words[:-1]):
-        if word in anchors and words[i + 1] not in anchors:
+    for i, word in enumerate(words):
+        if word in anchors:
             content = [w for w in words[i + 1 :] if w not in anchors][:2]
             if len(content) == 2:
                 found.add((word, *content))
@@ -286,6 +286,30 @@ def test_near_duplicate_classes(spark):
     assert [found[i] for i in range(len(texts))] == roots(len(texts), links)
 
 
+def test_anchors_before_anchors_open_signatures(spark):
+    rows = spark.createDataFrame([("of the cat sat",), ("the of dog on the mat the",), ("the of",)], "text string")
+    found = [len(r[0]) for r in rows.select(spotsigs.signatures(F.col("text"))).collect()]
+    assert found == [2, 2, 1]  # the last text is one signature as a whole
+
+
+def test_a_far_id_leaves_ranges_even(spark):
+    docs = spark.range(20_000).withColumnRenamed("id", "doc_id").unionByName(spark.createDataFrame([(2**61,), (-(2**62),)], "doc_id long"))
+    sizes = [r["count"] for r in docs.groupBy(id_range(docs, 100).alias("r")).count().collect()]
+    assert len(sizes) >= 150 and max(sizes) <= 400
+
+
+def test_ranges_beyond_the_quantiles_ascend(spark):
+    docs = spark.range(0, 60_000, 3).withColumnRenamed("id", "doc_id")
+    rows = docs.select("doc_id", id_range(docs, 4).alias("r")).orderBy("doc_id").collect()
+    assert [r.r for r in rows] == sorted(r.r for r in rows) and len({r.r for r in rows}) > 4_000
+
+
+def test_repeated_ids_share_a_range(spark):
+    docs = spark.createDataFrame([(7,)] * 50 + [(8,)] * 3, "doc_id long")
+    rows = {tuple(r) for r in docs.select("doc_id", id_range(docs, 2)).collect()}
+    assert len(rows) == 2 and sorted(rows)[0][1] <= sorted(rows)[1][1]
+
+
 def test_id_ranges_ascend(spark):
     ids = [None, -(2**62), 5, 6, 7, 2**62]
     docs = spark.createDataFrame([(i,) for i in ids], "doc_id long")
