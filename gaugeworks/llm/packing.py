@@ -4,10 +4,12 @@ A document's ids end with an end id; only documents longer than a sequence are c
 of full length and a rest. Full pieces are sequences of their own. All other pieces are dealt by
 a hash to blocks of bounded size; each block is packed by several islands. On an
 island an individual is a set of bins; crossover takes the best-filled whole bins of one parent,
-drops those of the other that share a piece with them, and puts the displaced pieces where they
-fit best; mutation dissolves the worst-filled bins. Between epochs every island sends its best
-individual to the next island of its block. An island stops as soon as the number of bins is the
-total length divided by a bin, rounded up, which nothing can beat.
+drops those of the other that share a piece with them, and fits the displaced pieces in: they
+take the place of smaller pieces of a bin which they fill better, and what is loose in the end goes
+where it fits best; mutation dissolves the worst-filled bins. Islands start from one best fit of
+the longest first and from fits in random orders. Between epochs every island sends its best
+individual to the next island of its block. An island stops when generations bring nothing more, or as
+soon as the number of bins is the total length divided by a bin, rounded up, which nothing can beat.
 
 NULL texts count as empty and hold the end id alone. Repeated rows are packed as often as they
 come, with equal keys. NULL doc_ids are packed like others. An empty table gives no rows; only
@@ -17,9 +19,10 @@ the columns named here are read.
 from __future__ import annotations
 
 import zlib
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -29,14 +32,16 @@ from pyspark.sql import functions as F
 from gaugeworks.llm.batches import bounded, freeing
 from gaugeworks.llm.bpe import split_pattern
 from gaugeworks.llm.words import Pieces, WordIds, slices
-from gaugeworks.session import checkpointed
+from gaugeworks.session import checkpointed, shuffle_partitions
 
 CAPACITY = 2048
 BLOCK_PIECES = 8192
 ISLANDS = 3
 EPOCHS = 2
 GENERATIONS = 6
-POPULATION = 4
+POPULATION = 8
+PATIENCE = 8  # an island runs at most so many times its generations without gain
+SWAPPED = 6  # a bin's longest pieces, of which one or two are swapped at a time
 
 # fixed value: the splitting pattern of the lower-case vocabulary
 _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -130,9 +135,9 @@ class Bins:
             insort(self.free, (room, len(self.bins)))
         self.bins.append(bin_)
 
-    def best_fit(self, pieces_: list[int]) -> list[list[int]]:
+    def best_fit(self, pieces_: list[int], longest_first: bool = True) -> list[list[int]]:
         """Put each piece, the longest first, where it leaves the least room; else in a new bin."""
-        for p in sorted(pieces_, key=lambda p: (-self.sizes[p], p)):
+        for p in sorted(pieces_, key=lambda p: (-self.sizes[p], p)) if longest_first else pieces_:
             size = self.sizes[p]
             at = bisect_left(self.free, (size, -1))
             if at < len(self.free):
@@ -152,26 +157,56 @@ def fitness(bins: list[list[int]], sizes: list[int], capacity: int) -> tuple[int
     return -len(bins), sum(f * f for f in fill) / max(len(fill), 1)
 
 
+def swap_in(bins: list[list[int]], loose: list[int], sizes: list[int], capacity: int) -> list[list[int]]:
+    """``bins`` with loose pieces: first in place of smaller ones, then where they fit best.
+
+    One or two pieces of a bin make room for one or two loose ones that leave less of it empty. What
+    comes out is smaller than what goes in, so it is fitted in more easily.
+    """
+    loose = sorted(loose, key=lambda p: sizes[p])
+    keys = [sizes[p] for p in loose]
+    done = Bins(sizes, capacity)
+    for bin_ in bins:
+        bin_ = list(bin_)
+        room = capacity - sum(sizes[p] for p in bin_)
+        if room and loose:
+            longest = sorted(bin_, key=lambda p: -sizes[p])[:SWAPPED]
+            gain, out, into = 0, (), ()
+            for given in [*((p,) for p in longest), *combinations(longest, 2)]:
+                size = sum(sizes[p] for p in given)
+                one = bisect_right(keys, room + size) - 1
+                if one >= 0 and keys[one] - size > gain:
+                    gain, out, into = keys[one] - size, given, (one,)
+                # the second of two is the longest that the first, one of the longest, leaves room for
+                for first in range(one, max(one - SWAPPED, 0), -1):
+                    second = min(bisect_right(keys, room + size - keys[first]), first) - 1
+                    if second >= 0 and keys[first] + keys[second] - size > gain:
+                        gain, out, into = keys[first] + keys[second] - size, given, (first, second)
+                if gain == room:
+                    break
+            if gain:
+                bin_ = [p for p in bin_ if p not in out] + [loose[i] for i in into]
+                for i in sorted(into, reverse=True):
+                    del loose[i], keys[i]
+                for p in out:
+                    at = bisect_left(keys, sizes[p])
+                    loose.insert(at, p)
+                    keys.insert(at, sizes[p])
+        done.add(bin_)
+    return done.best_fit(loose)
+
+
 def crossover(
     giver: list[list[int]], taker: list[list[int]], sizes: list[int], capacity: int, rng: np.random.Generator
 ) -> list[list[int]]:
     """Whole well-filled bins of ``giver`` go into ``taker``; what they displace is fitted in anew."""
     rest = np.array([capacity - sum(sizes[p] for p in b) for b in giver])
     good = np.flatnonzero(rest <= np.quantile(rest, 0.5))
-    chosen = rng.choice(good, max(1, len(good) // 2), replace=False)
-    child = Bins(sizes, capacity)
-    taken: set[int] = set()
-    for b in chosen.tolist():
-        child.add(giver[b])
-        taken.update(giver[b])
-    displaced = []
-    for b in taker:
-        if taken.isdisjoint(b):
-            child.add(list(b))
-        else:
-            displaced += [p for p in b if p not in taken]
-    child.bins = [list(b) for b in child.bins]
-    return child.best_fit(displaced)
+    chosen = [giver[b] for b in rng.choice(good, max(1, len(good) // 2), replace=False).tolist()]
+    taken = {p for b in chosen for p in b}
+    kept = [b for b in taker if taken.isdisjoint(b)]
+    displaced = [p for b in taker if not taken.isdisjoint(b) for p in b if p not in taken]
+    return swap_in(chosen + kept, displaced, sizes, capacity)
 
 
 def mutate(
@@ -181,40 +216,51 @@ def mutate(
     rest = np.array([capacity - sum(sizes[p] for p in b) for b in bins])
     worst = np.argsort(-rest, kind="stable")[: max(2, len(bins) // 50)].tolist()
     gone = {*worst, *rng.choice(len(bins), max(1, len(bins) // 50)).tolist()}
-    kept = Bins(sizes, capacity)
-    for n, b in enumerate(bins):
-        if n not in gone:
-            kept.add(list(b))
-    return kept.best_fit([p for n in sorted(gone) for p in bins[n]])
+    kept = [b for n, b in enumerate(bins) if n not in gone]
+    return swap_in(kept, [p for n in sorted(gone) for p in bins[n]], sizes, capacity)
 
 
 def evolve(
     sizes: list[int], seeds: list[list[list[int]]], capacity: int, generations: int, seed: int
 ) -> list[list[int]]:
-    """The best bins found for pieces of the given sizes, from some individuals to start with."""
+    """The best bins found for pieces of the given sizes, from some individuals to start with.
+
+    Ends after ``generations`` without gain, or after PATIENCE times as many.
+    """
     lowest = -(-sum(sizes) // capacity)
     rng = np.random.default_rng(seed)
-    everything = list(range(len(sizes)))
-    population = [s for s in seeds if s]
+
+    def ranked(bins: list[list[int]]) -> tuple[tuple[int, float], list[list[int]]]:
+        return fitness(bins, sizes, capacity), bins
+
+    def rank(individual: tuple[tuple[int, float], list[list[int]]]) -> tuple[int, float]:
+        return individual[0]
+
+    population = [ranked(s) for s in seeds if s]
     if not population:
-        population.append(Bins(sizes, capacity).best_fit(everything))
-    rank = lambda bins: fitness(bins, sizes, capacity)
+        population.append(ranked(Bins(sizes, capacity).best_fit(list(range(len(sizes))))))
     best = max(population, key=rank)
-    if len(best) <= lowest:
-        return best
-    while len(population) < POPULATION:
-        population.append(mutate(best, sizes, capacity, rng))
-    for _ in range(generations):
+    if len(best[1]) <= lowest:
+        return best[1]
+    while generations and len(population) < POPULATION:
+        order = rng.permutation(len(sizes)).tolist()
+        population.append(ranked(Bins(sizes, capacity).best_fit(order, longest_first=False)))
+    without = 0
+    for _ in range(PATIENCE * generations):
         population.sort(key=rank, reverse=True)
-        if len(population[0]) <= lowest:
+        best = population[0]
+        if len(best[1]) <= lowest or without >= generations:
             break
-        a, b = rng.permutation(len(population))[:2].tolist()
+        a, b = (population[n][1] for n in rng.permutation(len(population))[:2].tolist())
         children = [
-            crossover(population[a], population[b], sizes, capacity, rng),
-            mutate(population[0], sizes, capacity, rng),
+            crossover(a, b, sizes, capacity, rng),
+            crossover(best[1], a, sizes, capacity, rng),
+            mutate(best[1], sizes, capacity, rng),
         ]
-        population = population[: POPULATION - len(children)] + children
-    return max(population, key=rank)
+        # the worst make place, never the best
+        population = population[: POPULATION - len(children)] + [ranked(c) for c in children]
+        without = 0 if max(map(rank, population)) > rank(best) else without + 1
+    return max(population, key=rank)[1]
 
 
 def _lists(bins: list[list[int]], n: int) -> list[int]:
@@ -264,6 +310,8 @@ def pack(
         F.sort_array(F.collect_list(F.struct((-F.col("size")).alias("size"), "row"))).alias("all")
     )
     stored = checkpointed(gathered, "packing-blocks")
+    # islands are few bytes and much work, so their tasks are counted, not sized
+    tasks = max(1, min(blocks * islands, shuffle_partitions(parts.sparkSession)))
 
     def run(generations_: int, epoch: int):
         def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -294,7 +342,7 @@ def pack(
             nothing.alias("own"),
             nothing.alias("guest"),
         )
-        .repartition("block", "island")
+        .repartition(tasks, "block", "island")
         .mapInArrow(run(generations, 0), schema)
     )
     for epoch in range(1, epochs):
@@ -306,6 +354,7 @@ def pack(
             now.withColumnRenamed("bins", "own")
             .join(guests, ["block", "island"])
             .select("block", "island", "sizes", "own", "guest")
+            .repartition(tasks, "block", "island")
             .mapInArrow(run(generations, epoch), schema)
         )
     best = evolved.groupBy("block").agg(F.min_by("bins", F.struct("n_bins", "island")).alias("bins"))

@@ -7,11 +7,12 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from gaugeworks.llm import bpe, packing, token_files
 from gaugeworks.llm.elias_fano import EliasFano
-from gaugeworks.session import scratch_path
+from gaugeworks.session import checkpointed, scratch_path
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 BYTE_JSON = public_tokenizers.path("byte_bpe_50k.json")
@@ -110,6 +111,14 @@ def test_token_files_without_keys_and_without_rows(spark):
     assert token_files.encode_and_read(docs.limit(0), BYTE_JSON).count() == 0
 
 
+def test_files_are_bounded_by_ids(spark):
+    texts = ["a b c d " * 50, "one", "two", "x y " * 500, "", None, "end " * 60]
+    folder = scratch_path(spark, "test-tokens-ids")
+    files = token_files.write_encoded(table(spark, texts), folder, BYTE_JSON, 0, ids_per_file=300).collect()
+    assert sum(f.n_docs for f in files) == len(texts)
+    assert all(f.n_tokens <= 300 or f.n_docs == 1 for f in files) and 3 <= len(files) < len(texts)
+
+
 def test_many_files_and_single_documents(spark):
     texts = random_texts(100)
     folder = scratch_path(spark, "test-tokens")
@@ -209,6 +218,40 @@ def test_evolution_never_loses_to_its_start():
     assert len(best) <= len(greedy)
 
 
+def triplets(bins, capacity, seed):
+    """Sizes of which always three fill a bin, which best fit seldom finds."""
+    rng = random.Random(seed)
+    sizes = []
+    for _ in range(bins):
+        a = rng.randint(capacity * 38 // 100, capacity * 49 // 100)
+        b = rng.randint(capacity // 4, (capacity - a) // 2)
+        sizes += [a, b, capacity - a - b]
+    return sorted(sizes, reverse=True)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_evolution_beats_best_fit(seed):
+    sizes = triplets(40, 1000, seed)
+    greedy = packing.Bins(sizes, 1000).best_fit(list(range(len(sizes))))
+    best = packing.evolve(sizes, [], 1000, packing.GENERATIONS, seed)
+    bins_are_valid(best, sizes, 1000)
+    assert 40 <= len(best) < len(greedy)
+    assert packing.evolve(sizes, [], 1000, 0, seed) == greedy
+
+
+def test_islands_beat_best_fit(spark):
+    sizes = triplets(40, 1000, 9)
+    greedy = packing.Bins(sizes, 1000).best_fit(list(range(len(sizes))))
+    rows = spark.createDataFrame([(i, 0, n) for i, n in enumerate(sizes)], "doc_id long, piece int, length long")
+    found = packing.pack(checkpointed(rows, "test-pieces"), 1000).groupBy("sequence_id").agg(F.sum("length").alias("n")).collect()
+    assert len(found) < len(greedy) and max(r.n for r in found) <= 1000
+
+
+def test_swaps_fill_bins():
+    sizes = [70, 60, 40, 30]
+    assert sorted(map(sorted, packing.swap_in([[1, 3]], [0, 2], sizes, 100))) == [[0, 3], [1, 2]]
+
+
 def test_pieces_longer_than_a_sequence_are_refused(spark):
     parts = spark.createDataFrame([(1, 0, 9)], "doc_id long, piece int, length long")
     with pytest.raises(Exception, match="longer than 8"):
