@@ -1,15 +1,17 @@
 """Main text of web pages by templates deduced from occurrence vectors.
 
-A token is a block element in its place (the path of elements around it) or a whole text block in
-its place. Its occurrence vector says how often it occurs on each page of a host. Tokens of the same
+A token is a block element in its place or a whole text block in its place. The place is the path of
+elements around it, containers with their position among siblings of one name, so that a second
+and a third div are two. Its occurrence vector says how often it occurs on each page of a host. Tokens of the same
 vector form an equivalence class: what a template writes together. Classes that are frequent,
 hold an element and whose elements lie inside those of one other class are valid; nested by their
-paths they make the host's template. Text that stands in the same place on a clear majority of the
+paths they make the host's template. Text that stands in the same elements on a clear majority of the
 host's pages, and on more than are copies of one page, is part of the template and no content; pages
 without text do not count, and pages of another layout may lack it. What remains are slots. Slots that hold mostly links, or text that comes
 again and again, are navigation and notices; of the others the deepest element around nearly all
 of the text holds the article. On top, what markup says of itself counts: menus, headers, footers, sidebars, notices,
-adverts, forms, comments, scripts and styles by element, role and class name. Article or main elements
+adverts, forms, comments, scripts and styles by element, role and class name; on a host whose slots
+are all marked so, the marks say nothing and the template decides alone. Article or main elements
 are the place of the article if they hold nearly all text of the slots, or, without a template, most
 of the page's; slots are left out inside them as elsewhere.
 
@@ -52,6 +54,9 @@ _BLOCKS = set(
     "caption blockquote pre figure figcaption header footer nav aside form fieldset address details summary hr "
     "center dialog menu search hgroup".split()
 )
+_CONTAINERS = set(
+    "article main section div ul ol dl table header footer nav aside form fieldset center dialog menu search hgroup".split()
+)
 _VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = set("script style noscript template iframe svg math object canvas audio video textarea title select".split())
 _NOT_CONTENT = set("nav footer aside form fieldset button label dialog menu search head datalist".split())
@@ -78,6 +83,7 @@ _TOKEN = re.compile(
     re.S,
 )
 _ATTRIBUTE = re.compile(r"([\w:-]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
+_POSITION = re.compile(r"\[\d+\]")
 _PARTS = re.compile(r"[^a-z]+")
 
 
@@ -89,6 +95,7 @@ class Block:
     text: str
     links: int
     inside: bool  # of an article or main element
+    out: bool  # markup says that it is no article text
 
 
 @dataclass
@@ -120,7 +127,8 @@ def is_boilerplate(tag: str, attributes: dict[str, str], inside: bool) -> bool:
 def parse(html: str | None) -> Page:
     """Blocks and places of a page; elements left open end with what surrounds them."""
     page = Page()
-    stack: list[tuple[str, str, bool]] = []  # element, path, whether it is left out
+    stack: list[tuple[str, str, bool, Counter]] = []  # element, path, whether it is left out, children by name
+    top: Counter = Counter()
     held: list[str] = []
     links = [0, 0]  # open links, characters in links of the held text
     source, at = html or "", 0
@@ -130,9 +138,9 @@ def parse(html: str | None) -> Page:
 
     def flush() -> None:
         text = " ".join(unescape("".join(held)).split())
-        if text and not (stack and stack[-1][2]):
+        if text:
             where = path()
-            page.blocks.append(Block(where, text, min(links[1], len(text)), is_marked(where)))
+            page.blocks.append(Block(where, text, min(links[1], len(text)), is_marked(where), bool(stack and stack[-1][2])))
         held.clear()
         links[1] = 0
 
@@ -151,10 +159,9 @@ def parse(html: str | None) -> Page:
         tag = (found["tag"] or "").lower()
         if not tag:
             if source[found.start()] != "<" or found.end() - found.start() == 1:
-                if not (stack and stack[-1][2]):
-                    held.append(found[0])
-                    if links[0]:
-                        links[1] += len(found[0])
+                held.append(found[0])
+                if links[0]:
+                    links[1] += len(found[0])
             continue
         if found["end"]:
             if tag == "a":
@@ -190,13 +197,20 @@ def parse(html: str | None) -> Page:
             if len(stack) > 500:  # deeper nesting says nothing more of the place
                 continue
             name = (attributes.get("class", "").split() or [""])[0]
-            kind = re.sub(r"\d+", "", name)[:40]
-            where = f"{path()}/{tag}" + (f".{kind}" if kind else "")
+            kind = re.sub(r"[\d/\[\]]+", "", name)[:40]
+            step = f"/{tag}" + (f".{kind}" if kind else "")
+            where = path() + step
+            if tag in _CONTAINERS:
+                siblings = stack[-1][3] if stack else top
+                siblings[step] += 1
+                if siblings[step] > 1:
+                    where += f"[{siblings[step]}]"
             page.places[where] += 1
-            stack.append((tag, where, out or own))
+            stack.append((tag, where, out or own, Counter()))
         elif own:
             flush()
-            stack.append((tag, path(), True))
+            where = f"{path()}/{tag}"
+            stack.append((tag, where, True, Counter()))
     flush()
     return page
 
@@ -207,13 +221,15 @@ def host_of(url: str | None) -> str | None:
 
 
 def text_token(path: str, text: str) -> int:
-    return xxhash.xxh3_64_intdigest(f"{path}\n{text}".encode()) - (1 << 63)
+    """Hash of a text in its elements, wherever among their siblings these are."""
+    return xxhash.xxh3_64_intdigest(f"{_POSITION.sub('', path)}\n{text}".encode()) - (1 << 63)
 
 
 def tokens(pages: DataFrame) -> DataFrame:
-    """Tokens of each page with a host and text: (host, page, path, token, n, chars, links).
+    """Tokens of each page with a host and text: (host, page, path, token, n, chars, links, out, first).
 
     ``token`` is NULL for an element, else the hash of a text block, or at _COPY that of all blocks.
+    ``first`` is 1 for one of a page's rows of a token, else 0.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,23 +243,31 @@ def tokens(pages: DataFrame) -> DataFrame:
                 if not page.blocks:
                     continue
                 number = xxhash.xxh3_64_intdigest(f"{url}\n{html}".encode()) - (1 << 63)
-                rows.append((host, number, "", None, 1, 0, 0))
+                rows.append((host, number, "", None, 1, 0, 0, False, 1))
                 whole = "\n".join(f"{b.path} {b.text}" for b in page.blocks)
-                rows.append((host, number, _COPY, text_token(_COPY, whole), 1, 0, 0))
-                rows += [(host, number, path, None, n, 0, 0) for path, n in page.places.items()]
-                texts = Counter((b.path, text_token(b.path, b.text), len(b.text), b.links) for b in page.blocks)
-                rows += [(host, number, p, t, n, c, k) for (p, t, c, k), n in texts.items()]
-            kinds = (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
-            columns = list(zip(*rows)) or [()] * 7
+                rows.append((host, number, _COPY, text_token(_COPY, whole), 1, 0, 0, False, 1))
+                rows += [(host, number, path, None, n, 0, 0, False, 1) for path, n in page.places.items()]
+                texts = Counter((b.path, text_token(b.path, b.text), len(b.text), b.links, b.out) for b in page.blocks)
+                new = {t for _, t, *_ in texts}
+                rows += [(host, number, p, t, n, c, k, o, _first(new, t)) for (p, t, c, k, o), n in texts.items()]
+            kinds = (pa.string(), pa.int64(), pa.string(), *[pa.int64()] * 4, pa.bool_(), pa.int64())
+            columns = list(zip(*rows)) or [()] * len(kinds)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, k) for c, k in zip(columns, kinds)],
-                ["host", "page", "path", "token", "n", "chars", "links"],
+                ["host", "page", "path", "token", "n", "chars", "links", "out", "first"],
             )
 
-    schema = "host string, page long, path string, token long, n long, chars long, links long"
+    schema = "host string, page long, path string, token long, n long, chars long, links long, out boolean, first long"
     return pages.select("url", "html").mapInArrow(run, schema)
 
 
+def _first(new: set[int], token: int) -> int:
+    """1 if the token is still among the new ones, which it leaves."""
+    found = token in new
+    new.discard(token)
+    return int(found)
+
+
 def equivalence_classes(found: DataFrame) -> DataFrame:
     """One row a token of a host: its vector (v1, v2), pages and occurrences."""
     cell = F.struct("page", "n")
@@ -254,6 +278,8 @@ def equivalence_classes(found: DataFrame) -> DataFrame:
         F.sum("n").alias("total"),
         F.max("chars").alias("chars"),
         F.max("links").alias("links"),
+        F.bool_and("out").alias("out"),
+        F.sum("first").alias("own_pages"),
     )
 
 
@@ -266,7 +292,7 @@ def _parent(path: str) -> str:
     return path.rpartition("/")[0]
 
 
-def nest(elements: dict[str, tuple], pages: int) -> dict[tuple, str]:
+def nest(elements: dict[str, tuple]) -> dict[tuple, str]:
     """Valid classes of a host, each with the path under which its elements lie.
 
     ``elements`` gives each frequent element's vector. A class is valid if the elements around
@@ -289,7 +315,8 @@ def templates(pages: DataFrame) -> DataFrame:
 
     ``constants`` are the tokens of its own text, ``skipped`` the slots that are no content,
     ``article`` the path of the element that holds the article (empty if none does), ``marked``
-    whether article or main elements hold it (NULL if no slot is content), ``nested`` the valid classes as "path of the class: its place".
+    whether article or main elements hold it (NULL if no slot is content), ``marks`` whether some slot is
+    content that no markup speaks against, ``nested`` the valid classes as "path of the class: its place".
     """
     all_tokens = checkpointed(equivalence_classes(tokens(pages)), "html-classes")
     hosts = all_tokens.where("path = '' AND token IS NULL").select("host", F.col("pages").alias("of_host"))
@@ -299,7 +326,9 @@ def templates(pages: DataFrame) -> DataFrame:
     text = F.col("token").isNotNull()
     element = known.where(~text & (F.col("path") != "") & (F.col("pages") >= SLOT_SHARE * F.col("of_host")))
     common = (F.col("pages") >= CONSTANT_SHARE * F.col("of_host")) & (F.col("pages") > F.col("copies"))
-    constant = known.where(text & common)
+    # wherever its elements stand among their siblings; a token tells other elements apart
+    wide = known.where(text).groupBy("host", "of_host", "copies", "token").agg(F.sum("own_pages").alias("pages"))
+    constant = wide.where(common)
     slots = (
         known.where(text)
         .groupBy("host", "of_host", "path")
@@ -308,21 +337,24 @@ def templates(pages: DataFrame) -> DataFrame:
             F.sum("total").alias("total"),
             F.sum(F.col("chars") * F.col("total")).alias("chars"),
             F.sum(F.col("links") * F.col("total")).alias("links"),
+            F.sum(F.when(F.col("out"), F.col("chars") * F.col("total")).otherwise(0)).alias("out"),
         )
         .where(F.col("total") >= SLOT_SHARE * F.col("of_host"))
     )
-    nothing = F.lit(None).cast("long")
-    rows = (
-        element.select("host", "of_host", "path", F.lit("element").alias("kind"), "v1", "v2", nothing.alias("token"), "total", nothing.alias("texts"), nothing.alias("chars"), nothing.alias("links"))
-        .unionByName(constant.select("host", "of_host", "path", F.lit("constant").alias("kind"), "v1", "v2", "token", "total", nothing.alias("texts"), "chars", "links"))
-        .unionByName(slots.select("host", "of_host", "path", F.lit("slot").alias("kind"), nothing.alias("v1"), nothing.alias("v2"), nothing.alias("token"), "total", "texts", "chars", "links"))
-    )
+    kinds = {"element": element, "constant": constant, "slot": slots}
+    fields = {
+        "element": ["path", "v1", "v2"],
+        "constant": ["token"],
+        "slot": ["path", "total", "texts", "chars", "links", "out"],
+    }
+    parts = [found.select("host", F.lit(kind).alias("kind"), *fields[kind]) for kind, found in kinds.items()]
+    rows = parts[0].unionByName(parts[1], allowMissingColumns=True).unionByName(parts[2], allowMissingColumns=True)
 
     def deduce(table: pa.Table) -> pa.Table:
         # frequent tokens of one host; their number follows the size of its pages, not their count
         found = table.to_pylist()
         elements = {r["path"]: (r["v1"], r["v2"]) for r in found if r["kind"] == "element"}
-        valid = nest(elements, found[0]["of_host"])
+        valid = nest(elements)
         constants = sorted(r["token"] for r in found if r["kind"] == "constant")
         slots_ = [r for r in found if r["kind"] == "slot"]
         skipped = sorted(
@@ -330,13 +362,10 @@ def templates(pages: DataFrame) -> DataFrame:
             for r in slots_
             if r["links"] > LINK_SHARE * r["chars"] or r["texts"] < FRESH_SHARE * r["total"]
         )
-        content = {r["path"]: r["chars"] for r in slots_ if r["path"] not in skipped}
-        article = ""
-        inner = {p for path in content for p in _prefixes(path)}
-        for path in sorted(inner, key=lambda p: (p.count("/"), p)):
-            share = sum(n for p, n in content.items() if p == path or p.startswith(path + "/"))
-            if path.startswith(article) and share >= ARTICLE_SHARE * sum(content.values()) and path not in content:
-                article = path
+        fresh = [r for r in slots_ if r["path"] not in skipped]
+        marks = any(2 * r["out"] <= r["chars"] for r in fresh) or not fresh
+        content = {r["path"]: r["chars"] for r in fresh if not marks or 2 * r["out"] <= r["chars"]}
+        article = deepest(content)
         inside = sum(n for p, n in content.items() if is_marked(p))
         marked = inside >= ARTICLE_SHARE * sum(content.values()) if content else None
         nested = sorted(f"{min(p for p, v in elements.items() if v == vector)}: {place}" for vector, place in valid.items())
@@ -347,14 +376,25 @@ def templates(pages: DataFrame) -> DataFrame:
                 "skipped": pa.array([skipped], pa.list_(pa.string())),
                 "article": pa.array([article]),
                 "marked": pa.array([marked], pa.bool_()),
+                "marks": pa.array([marks]),
                 "nested": pa.array([nested], pa.list_(pa.string())),
             }
         )
 
-    schema = "host string, constants array<long>, skipped array<string>, article string, marked boolean, nested array<string>"
+    schema = "host string, constants array<long>, skipped array<string>, article string, marked boolean, marks boolean, nested array<string>"
     return rows.groupBy("host").applyInArrow(deduce, schema)
 
 
+def deepest(content: dict[str, int]) -> str:
+    """The deepest element around ARTICLE_SHARE of the text of ``content`` (characters by path)."""
+    around: Counter = Counter()
+    for path, chars in content.items():
+        for outer in _prefixes(_parent(path)):
+            around[outer] += chars
+    enough = [path for path, chars in around.items() if chars and chars >= ARTICLE_SHARE * sum(content.values())]
+    return max(enough, key=lambda path: (path.count("/"), path), default="")
+
+
 def _prefixes(path: str) -> list[str]:
     parts = path.split("/")
     return ["/".join(parts[:n]) for n in range(2, len(parts) + 1)]
@@ -362,8 +402,8 @@ def _prefixes(path: str) -> list[str]:
 
 def main_text(html: str | None, template: dict | None) -> str:
     """The article of a page, one line a block."""
-    blocks = parse(html).blocks
-    template = template or {"constants": [], "skipped": [], "article": "", "marked": None}
+    template = template or {"constants": [], "skipped": [], "article": "", "marked": None, "marks": True}
+    blocks = [b for b in parse(html).blocks if not (b.out and template["marks"])]
     own = [b for b in blocks if b.links <= LINK_SHARE * len(b.text)]
     marked, place = template["marked"], template["article"]
     if marked is None:
@@ -383,7 +423,9 @@ def main_text(html: str | None, template: dict | None) -> str:
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of every page."""
     marked = bounded(pages).select(F.col("page_id"), "url", "html")
-    known = checkpointed(templates(marked).select("host", "constants", "skipped", "article", "marked"), "html-templates")
+    known = checkpointed(templates(marked).drop("nested"), "html-templates")
+
+    fields = ["constants", "skipped", "article", "marked", "marks"]
 
     def hosts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -392,10 +434,10 @@ def extract(pages: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            of_host = zip(*(batch.column(n).to_pylist() for n in ("constants", "skipped", "article", "marked")))
+            of_host = zip(*(batch.column(n).to_pylist() for n in fields))
             texts = [
-                main_text(html, None if c is None else {"constants": c, "skipped": s, "article": a, "marked": m})
-                for html, (c, s, a, m) in zip(batch.column("html").to_pylist(), of_host)
+                main_text(html, None if row[0] is None else dict(zip(fields, row)))
+                for html, row in zip(batch.column("html").to_pylist(), of_host)
             ]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())],
@@ -404,5 +446,5 @@ def extract(pages: DataFrame) -> DataFrame:
 
     kind = pages.schema["page_id"].dataType.simpleString()
     with_host = marked.mapInArrow(hosts, f"page_id {kind}, url string, html string, host string")
-    joined = with_host.join(known, "host", "left").select("page_id", "url", "html", "constants", "skipped", "article", "marked")
+    joined = with_host.join(known, "host", "left").select("page_id", "url", "html", *fields)
     return joined.mapInArrow(run, f"page_id {kind}, url string, text string, n_chars long")

@@ -37,10 +37,56 @@ def test_templates_are_nested_classes(spark):
     pages = spark.createDataFrame([(u, h) for u, h in rows], "url string, html string")
     [template] = html_text.templates(pages).collect()
     assert template.host == "h" and template.article == "/html/body.has-sidebar/div.content"
-    assert len(template.constants) == 1  # the notice; what is excluded by its element is no token
+    # head, menu, notice, sidebar, form, comment and foot: marked elements are tokens like others
+    assert len(template.constants) == 7 and template.marks
     assert any(n.startswith("/html: ") for n in template.nested)
 
 
+def test_templates_find_the_article_among_plain_elements(spark):
+    rng = random.Random(3)
+
+    def words(n):
+        return " ".join(str(rng.random())[2:8] for _ in range(n))
+
+    rows, articles = [], []
+    for i in range(30):
+        own = [words(5), *(words(rng.randint(5, 40)) for _ in range(rng.randint(1, 6)))]
+        menu = "".join(f"<li><a href='/{k}'>{words(2)}</a></li>" for k in range(4))
+        body = f"<h2>{own[0]}</h2>" + "".join(f"<p>{t}</p>" for t in own[1:])
+        rows.append((f"http://plain/{i}", f"<body><div><ul>{menu}</ul></div><div>{words(6)}</div><div>{body}</div><div>Site {words(3)}</div></body>"))
+        articles.append("\n".join(own))
+    found = extract(spark, rows)
+    assert [found[i].text for i in range(30)] == articles
+    # the same pages without their template keep adverts and footers
+    assert all(html_text.main_text(html, None) != text for (_, html), text in zip(rows, articles))
+
+
+def test_texts_are_constant_wherever_their_element_stands(spark):
+    def html(i):
+        shift = "<div></div>" * (i % 3)
+        return f"<body>{shift}<div><p>Read this first</p></div><div><p>Own text {i}, long enough to be the article</p></div></body>"
+
+    found = extract(spark, [(f"http://shift/{i}", html(i)) for i in range(9)])
+    assert [found[i].text for i in range(9)] == [f"Own text {i}, long enough to be the article" for i in range(9)]
+
+
+def test_marks_around_all_text_say_nothing(spark):
+    rows = [(f"http://side/{i}", f"<body><div class='sidebar'><p>Always so</p><div><p>Text {i}</p><p>More {i}</p></div></div></body>") for i in range(6)]
+    found = extract(spark, rows)
+    assert [found[i].text for i in range(6)] == [f"Text {i}\nMore {i}" for i in range(6)]
+
+
+def test_a_text_twice_on_some_pages_is_no_constant(spark):
+    def html(i):
+        twice = "<ul><li>Maybe</li></ul><ul><li>Maybe</li></ul>" if i < 4 else ""
+        return f"<body><div><p>Text {i} that goes on for a while</p><p>And more of {i}</p>{twice}</div></body>"
+
+    found = extract(spark, [(f"http://twice/{i}", html(i)) for i in range(10)])
+    assert "Maybe" in html_text.main_text(html(1), {"constants": [], "skipped": [], "article": "", "marked": False, "marks": True})
+    template = html_text.templates(spark.createDataFrame([(f"http://twice/{i}", html(i)) for i in range(10)], "url string, html string")).first()
+    assert template.constants == [] and found[7].text == "Text 7 that goes on for a while\nAnd more of 7"
+
+
 def test_few_pages_use_their_own_markup(spark):
     found = extract(spark, [(None, page("T", "<p>One</p>", notice="")), ("no host", None), ("http://a/", ""), ("http://b/", "plain &lt;text&gt; only")])
     assert found[0].text == "T\nOne"
