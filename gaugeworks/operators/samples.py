@@ -92,12 +92,16 @@ def unjudged_files(
 def final_turns(turns: DataFrame, key: Sequence[str] = tuple(SAMPLE_KEY)) -> DataFrame:
     """The result of the last turn of every sample.
 
-    The latest turn is found by a map-side combined aggregate that carries only the turn number;
-    the wide columns come from joining it back, so no group is ever gathered. Of rows that repeat
-    the last turn one stays.
+    The latest turn is found by a map-side combined aggregate that carries only the turn number
+    and a hash of the row; the wide columns come from joining it back, so no group is ever
+    gathered. Of different rows that share the last turn the one of the highest hash stays, so the
+    result does not depend on the order of rows.
     """
-    last = turns.groupBy(*key).agg(F.max("turn").alias("turn"))
-    return turns.join(last, [*key, "turn"], "left_semi").dropDuplicates([*key, "turn"])
+    marked = turns.withColumn("_row", F.xxhash64(F.to_json(F.struct(*turns.columns))))
+    last = marked.groupBy(*key).agg(F.max(F.struct("turn", "_row")).alias("_last"))
+    last = last.select(*key, "_last.turn", "_last._row")
+    found = marked.join(last, [*key, "turn", "_row"], "left_semi").dropDuplicates([*key, "turn"])
+    return found.drop("_row")
 
 
 def second_turns(

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -165,6 +167,18 @@ def test_last_of_equal_turns_is_one_row(spark):
     assert samples.final_turns(turns, ["k"]).count() == 2
 
 
+def test_equal_last_turns_do_not_depend_on_the_order_of_rows(spark):
+    rows = [(k, t, f"v{n}", None if n % 3 else n) for k in range(20) for t in (1, 2) for n in range(6)]
+    results = set()
+    for seed in range(3):
+        mixed = random.Random(seed).sample(rows, len(rows))
+        turns = spark.createDataFrame(mixed, "k int, turn int, verdict string, note int").repartition(seed + 1)
+        found = samples.final_turns(turns, ["k"]).collect()
+        assert len(found) == 20 and {r.turn for r in found} == {2}
+        results.add(frozenset(map(tuple, found)))
+    assert len(results) == 1
+
+
 def test_follow_up_of_unknown_results(spark):
     row = spark.createDataFrame([("p", "c", None, None, None, None, None)], "prompt string, code string, policy string, plannable boolean, verdict string, plan_error string, policy_error string")
     made = row.select(prompts.follow_up_prompt(*[F.col(c) for c in row.columns])).first()[0]
