@@ -8,6 +8,7 @@ MODULES = [
     "metric_queries",
     "plan_queries",
     "retrieval_queries",
+    "rule_queries",
     "source_queries",
     "stream_queries",
 ]
