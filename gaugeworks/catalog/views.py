@@ -164,9 +164,10 @@ def doc_pairs(spark: SparkSession, sf: str) -> DataFrame:
     first = docs.groupBy("n_chars").agg(F.min("doc_id").alias("doc_id"))
     references = docs.join(first, ["n_chars", "doc_id"]).select("n_chars", F.col("text").alias("reference"))
     labels = table(spark, sf, "labels").select("doc_id", (F.col("quality") == 1).alias("good"))
+    # labels first, so that a row holds one text when it moves to them
     return (
-        docs.join(references, "n_chars")
-        .join(labels, "doc_id", "left")
+        docs.join(labels, "doc_id", "left")
+        .join(references, "n_chars")
         .select(
             F.col("source").alias("model"),
             F.col("lang").alias("strategy"),

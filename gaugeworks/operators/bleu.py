@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections import Counter
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gaugeworks.functions import text
 from gaugeworks.session import shuffle_partitions
@@ -22,59 +25,79 @@ def bleu(
 ) -> DataFrame:
     """``key`` and ``bleu`` for every pair.
 
-    ``key`` identifies a pair; keep it short, since every n-gram carries it. The texts are
-    shuffled once, by key; n-grams are made after that and counted where they are, by hash
-    aggregation that spills, because the aggregations need no other partitioning. The partition
-    count is fixed: sized from the texts it would be too low for their n-grams. Pairs of equal
-    words score 1 and make no n-grams.
+    ``key`` identifies a pair; the n-grams of pairs with equal keys are counted together. The words
+    are shuffled once, by key, and sorted by it, and a task counts the n-grams of one pair at a time,
+    so no n-gram is ever a row. Pairs of equal words score 1 and, like pairs of too few words, carry
+    no words along.
     """
     key = list(key)
     count = partitions or shuffle_partitions(pairs.sparkSession)
-    placed = pairs.select(
-        *key, F.col(reference).alias("_reference"), F.col(candidate).alias("_candidate")
-    ).repartition(count, *key)
-    words = placed.select(
-        *key, text.tokens(F.col("_reference")).alias("_r"), text.tokens(F.col("_candidate")).alias("_c")
-    )
-    sides = F.array(
-        F.struct(F.lit(False).alias("in_c"), F.col("_r").alias("words")),
-        F.struct(F.lit(True).alias("in_c"), F.col("_c").alias("words")),
+    words = pairs.select(
+        *key, text.tokens(F.col(reference)).alias("_r"), text.tokens(F.col(candidate)).alias("_c")
     )
     long_enough = (F.size("_r") >= ORDER) & (F.size("_c") >= ORDER)
-    same = long_enough & F.coalesce(F.col("_r") == F.col("_c"), F.lit(False))
-    texts = words.select(
-        *key, same.alias("_same"), F.explode_outer(F.when(long_enough & ~same, sides)).alias("_side")
-    )
-    # row i holds words i to i + 3; its first n words are one n-gram for each n that fits
-    spelled = [f"_w{n}" for n in range(1, ORDER + 1)]
-    line = F.col("_side.words")
-    shifted = [F.slice(line, n, F.size(line)).alias(name) for n, name in enumerate(spelled, start=1)]
-    places = texts.select(
-        *key, "_same", F.col("_side.in_c").alias("_is_c"), F.inline_outer(F.arrays_zip(*shifted)).alias(*spelled)
-    )
-    n = F.col("_n")
-    grams = places.withColumn("_n", F.explode(F.array(*[F.lit(i) for i in range(1, ORDER + 1)])))
-    last = F.coalesce(*[F.when(n == i, F.col(w)) for i, w in enumerate(spelled, start=1)])
-    fitting = grams.filter(last.isNotNull() | (F.col("_is_c").isNull() & (n == 1)))
-    spelled_out = [F.when(n >= i, F.col(w)).alias(w) for i, w in enumerate(spelled, start=1)]
-    counted = (
-        fitting.select(*key, "_same", "_is_c", "_n", *spelled_out)
-        .groupBy(*key, "_n", *spelled)
-        .agg(
-            F.count_if("_is_c").alias("_in_c"),
-            F.count_if(~F.col("_is_c")).alias("_in_r"),
-            F.bool_or("_same").alias("_same"),
-        )
-    )
-    clipped = F.least("_in_c", "_in_r")
-    matched = counted.groupBy(*key).agg(
-        # the single words of a side are as many as its words
-        F.sum(F.when(n == 1, F.col("_in_c"))).alias("_c_len"),
-        F.sum(F.when(n == 1, F.col("_in_r"))).alias("_r_len"),
-        F.bool_or("_same").alias("_same"),
-        *[F.sum(F.when(n == i, clipped)).alias(f"_m{i}") for i in range(1, ORDER + 1)],
-    )
-    return matched.select(*key, _score().alias("bleu"))
+    same = F.coalesce(long_enough & (F.col("_r") == F.col("_c")), F.lit(False))
+    # words hold no blanks
+    sides = [F.when(long_enough & ~same, F.array_join(c, " ")).alias(c) for c in ("_r", "_c")]
+    placed = words.select(*key, same.alias("_same"), *sides).repartition(count, *key).sortWithinPartitions(*key)
+    schema = T.StructType([placed.schema[k] for k in key])
+    schema.add("_same", T.BooleanType())
+    for name in _COUNTS:
+        schema.add(name, T.LongType())
+    return placed.mapInArrow(_count(len(key)), schema).select(*key, _score().alias("bleu"))
+
+
+_COUNTS = ("_c_len", "_r_len", *[f"_m{n}" for n in range(1, ORDER + 1)])
+
+
+class _Grams:
+    """n-gram counts of the pairs of one key."""
+
+    def __init__(self):
+        self.same = False
+        self.sides = [[Counter() for _ in range(ORDER)] for _ in range(2)]
+
+    def add(self, same: bool, *texts: str | None) -> None:
+        self.same |= same
+        for line, counts in zip(texts, self.sides):
+            if line is not None:
+                shifted = [line.split(" ")]
+                for counter in counts:
+                    counter.update(zip(*shifted))
+                    shifted.append(shifted[-1][1:])
+
+    def row(self) -> tuple:
+        (r, *_), (c, *_) = self.sides
+        matches = (sum(min(a[g], b[g]) for g in a.keys() & b.keys()) for a, b in zip(*self.sides))
+        return self.same, c.total(), r.total(), *matches
+
+
+def _count(n_key: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, None  # rows of a key follow each other, across batches too
+        kinds = None
+
+        def rows(found: list[tuple]) -> pa.RecordBatch:
+            columns = [pa.array(c, t) for c, t in zip(zip(*found), kinds)]
+            return pa.RecordBatch.from_arrays(columns, names)
+
+        for batch in batches:
+            kinds = [*batch.schema.types[: n_key], pa.bool_(), *[pa.int64()] * len(_COUNTS)]
+            names = [*batch.schema.names[: n_key], "_same", *_COUNTS]
+            done = []
+            keys = zip(*[c.to_pylist() for c in batch.columns[:n_key]])
+            for key, *pair in zip(keys, *[c.to_pylist() for c in batch.columns[n_key:]]):
+                if held is None or key != now:
+                    if held is not None:
+                        done.append((*now, *held.row()))
+                    now, held = key, _Grams()
+                held.add(*pair)
+            if done:
+                yield rows(done)
+        if held is not None:
+            yield rows([(*now, *held.row())])
+
+    return run
 
 
 def _score() -> Column:

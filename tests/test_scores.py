@@ -89,6 +89,21 @@ def test_bleu_shuffles_the_texts_once(spark):
     assert plan.count("Exchange") == 1
 
 
+def test_bleu_makes_no_row_of_an_n_gram(spark):
+    rows = spark.createDataFrame([(1, "a b c d", "a b c e")], "id int, reference string, candidate string")
+    plan = bleu.bleu(rows, ["id"])._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "Aggregate" not in plan
+
+
+def test_bleu_of_keys_that_repeat_or_are_null(spark):
+    pairs = [(1, "a b c d e", "a b c d x"), (1, "a b x d", "x b c d e"), (1, "a b", "a b"), (None, "a b c d", "a b c d"), (None, "a b c d", "a b c e"), (2, "a", None)]
+    rows = spark.createDataFrame(pairs, "id int, reference string, candidate string")
+    got = {r["id"]: r["bleu"] for r in bleu.bleu(rows, ["id"], partitions=1).collect()}
+    assert len(got) == 3 and (got[None], got[2]) == (1.0, 0.0)
+    # the n-grams of both pairs together: 9 words against 10, of which 8, 4, 3 and 2 n-grams match
+    assert got[1] == pytest.approx((8 / 10 * 4 / 9 * 3 / 8 * 2 / 7) ** 0.25)
+
+
 def _samples(spark, n_tasks=30, n=8):
     rows = [
         ("m", "s", "f", t, i, "p", (t + i) % 3 != 0, "Success" if (t * i) % 4 == 1 else "Failure")
