@@ -10,8 +10,10 @@ and buckets grow with the fourth root of the training vocabulary.
 
 Counts cover all training rows. They meet the texts by blocks of documents: each block asks for
 the counts of the words it has, so neither the vocabulary nor a text is ever in one place.
-Training starts from a model fitted on a bounded sample, goes over all training rows in every
-partition, and averages the results.
+Training deals all training rows to rounds by hash. A round goes over its rows in every partition,
+starting from the average of the round before; the first starts from random vectors. So every
+training row teaches, and no model stands on a sample. A table of few rows has fewer parts than
+rounds, and its rows are learned from several times.
 
 NULL texts count as empty: their only token is the end. Repeated rows are scored alike. A row
 without doc_id is a training row. Without training rows every count is 0, and the scores are those
@@ -48,8 +50,8 @@ CONTEXT = 3
 NOISE = 32
 BATCH = 8192
 _SCORE_CELLS = 1 << 18  # tokens times classes of one matrix product, which then fits the cache
-SEED_DOCS = 1500  # about so many training rows give the model that all partitions start from
-SEED_PASSES = 4
+ROUND_DOCS = 6000  # a round has about so many training rows at least
+RATES = (0.3, 0.3, 0.3, 0.2, 0.1, 0.05)  # of the rounds
 _HELD_WORDS = 500_000
 _OTHER, _END_CLASS = 0, 1
 _END_BUCKET = 0
@@ -317,10 +319,16 @@ def find_classes(counts: DataFrame) -> Classes:
     return Classes(words, suffixes, mass, total.n or 0, total.v, first_suffix, buckets)
 
 
-def train(docs: DataFrame, classes: Classes, seed_docs: int = SEED_DOCS) -> Weights:
-    """A model of ``docs``: fitted on about ``seed_docs`` of them, then on all and averaged."""
+def averaged(rows: list) -> np.ndarray | None:
+    """The mean of weights, each by its number of tokens; None without any."""
+    n = sum(r.n for r in rows)
+    return (sum(np.frombuffer(r.weights) for r in rows) / n).astype(np.float32) if n else None
 
-    def fitted(start: np.ndarray | None, passes: int, rate: float, part: Column) -> list:
+
+def train(docs: DataFrame, classes: Classes, seed_docs: int = ROUND_DOCS) -> Weights:
+    """A model of all ``docs``; no round has fewer than about ``seed_docs`` of them, where there are as many."""
+
+    def fitted(start: np.ndarray | None, rate: float, part: DataFrame) -> list:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             from pyspark import TaskContext
 
@@ -334,9 +342,8 @@ def train(docs: DataFrame, classes: Classes, seed_docs: int = SEED_DOCS) -> Weig
                 for texts in slices([t or "" for t in batch.column(0).to_pylist()]):
                     of, buckets, nth = encode(texts)
                     before = contexts(buckets, nth)
-                    for _ in range(passes):
-                        for at in range(0, len(of), BATCH):
-                            trainer.batch(before[:, at : at + BATCH], of[at : at + BATCH])
+                    for at in range(0, len(of), BATCH):
+                        trainer.batch(before[:, at : at + BATCH], of[at : at + BATCH])
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([TaskContext.get().partitionId()], pa.int64()),
@@ -357,14 +364,12 @@ def train(docs: DataFrame, classes: Classes, seed_docs: int = SEED_DOCS) -> Weig
         groups = rows.where("n > 0").withColumn("part", F.pmod("part", F.lit(64)))
         return groups.groupBy("part").applyInArrow(add, "n long, weights binary").collect()
 
-    def average(rows: list) -> np.ndarray | None:
-        n = sum(r.n for r in rows)
-        return (sum(np.frombuffer(r.weights) for r in rows) / n).astype(np.float32) if n else None
-
-    some = max(1, docs.count() // seed_docs)
-    sample = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(some)) == 0).repartition(1)
-    seed = average(fitted(None, SEED_PASSES, 0.3, sample))
-    flat = average(fitted(seed, 1, 0.05, docs))
+    parts = max(1, min(len(RATES), docs.count() // seed_docs))
+    of_part = F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts))
+    flat = None
+    for n, rate in enumerate(RATES):
+        found = averaged(fitted(flat, rate, docs.where(of_part == n % parts)))
+        flat = flat if found is None else found
     return Weights.start(classes.mass, classes.buckets) if flat is None else Weights(flat, classes.buckets)
 
 

@@ -234,6 +234,19 @@ def test_model_probabilities_sum_to_one(spark, corpus):
         assert share + unseen == pytest.approx(1)
 
 
+def test_every_training_row_teaches_in_every_round(spark, monkeypatch):
+    docs = spark.range(400).selectExpr("id AS doc_id", "concat('w', id % 7, ' x') AS text").repartition(4)
+    classes = neural_lm.find_classes(neural_lm.word_counts(docs))
+    learned, average = [], neural_lm.averaged
+    monkeypatch.setattr(neural_lm, "averaged", lambda rows: (learned.append(sum(r.n for r in rows)), average(rows))[1])
+    neural_lm.train(docs, classes, seed_docs=100)
+    # 3 tokens a row; 4 parts in 6 rounds
+    assert len(learned) == len(neural_lm.RATES) and sum(learned[:4]) == 1200
+    learned.clear()
+    neural_lm.train(docs, classes)
+    assert learned == [1200] * len(neural_lm.RATES)
+
+
 def test_classes_grow_with_the_vocabulary(spark, corpus):
     small = neural_lm.find_classes(neural_lm.word_counts(spark.createDataFrame(corpus, "doc_id long, text string")))
     assert len(small.mass) >= 2 + 126 + 128 and neural_lm.WIDTH >= 16 and neural_lm.NOISE >= 32
