@@ -280,17 +280,11 @@ _rules(
     ),
 )
 def p17_rows(spark, sf):
-    plans = V.plans(spark, sf)
-    sections = [documents.plan_resources(plans, s) for s in ("planned_values", "resource_changes")]
     attributes = F.col("attributes")
-    return (
-        sections[0]
-        .unionByName(sections[1])
-        .select(
-            "plan_id", "section", "pos", "address", "mode", "type", "name",
-            F.variant_get(attributes, "$.size", "bigint").alias("size"),
-            F.variant_get(attributes, "$.enabled", "boolean").alias("enabled"),
-        )
+    return documents.plan_resources(V.plans(spark, sf), ["planned_values", "resource_changes"]).select(
+        "plan_id", "section", "pos", "address", "mode", "type", "name",
+        F.variant_get(attributes, "$.size", "bigint").alias("size"),
+        F.variant_get(attributes, "$.enabled", "boolean").alias("enabled"),
     )
 
 

@@ -60,10 +60,16 @@ def interconnections(doc: Column) -> Column:
     return variants.count_key(resources, REFERENCES)
 
 
-def plan_resources(plans: DataFrame, section: str = "configuration", key: str = "plan_id") -> DataFrame:
-    """One row per resource of a section, with its position."""
-    rows = plans.select(key, F.posexplode(resource_array(F.col("doc"), section)).alias("pos", "r"))
-    return rows.select(key, F.lit(section).alias("section"), "pos", "r.*")
+def plan_resources(
+    plans: DataFrame, section: str | Sequence[str] = "configuration", key: str = "plan_id"
+) -> DataFrame:
+    """One row per resource of a section, or of several, with its position; a plan is read once."""
+    if isinstance(section, str):
+        rows = plans.select(key, F.lit(section).alias("section"), resource_array(F.col("doc"), section).alias("_all"))
+    else:
+        lists = [F.struct(F.lit(s).alias("section"), resource_array(F.col("doc"), s).alias("_all")) for s in section]
+        rows = plans.select(key, F.inline(F.array(*lists)))
+    return rows.select(key, "section", F.posexplode("_all").alias("pos", "r")).select(key, "section", "pos", "r.*")
 
 
 def plan_edges(resources: DataFrame, key: str = "plan_id", keep: Sequence[str] = ()) -> DataFrame:
