@@ -129,7 +129,8 @@ def s05(spark, sf):
     lines = V.plan_texts(spark, sf).select(
         F.concat(F.lit('{"plan_id":"'), "plan_id", F.lit('","doc":'), "json", F.lit("}")).alias("value")
     )
-    lines.write.text(path)
+    # plans repeat their keys; a file is as small as a partition, so it need not be cut
+    lines.write.option("compression", "gzip").text(path)
     resources = plan_documents.plan_resources(documents.read_plan_lines(spark, path))
     return resources.select(F.col("plan_id").cast("bigint").alias("plan_id"), "pos", "type", "address")
 

@@ -1,8 +1,11 @@
 """Queries on small tables of their own: what is read, written and grouped does not exceed the job."""
 
+import glob
+
 import pytest
 
-from gaugeworks.catalog import plan_queries
+from gaugeworks.catalog import plan_queries, source_queries
+from gaugeworks.session import shared_dir
 
 
 @pytest.fixture
@@ -25,3 +28,11 @@ def test_sections_of_a_plan_are_read_in_one_scan(spark, tables):
     for section in ("planned_values", "resource_changes"):
         r = found[9, section, 2]
         assert (r.name, r.mode, r.size, r.enabled) == ("r3", "data", 9, False)
+
+
+def test_written_plans_are_compressed(spark, tables):
+    before = set(glob.glob(f"{shared_dir(spark)}/gaugeworks/plans-*/part-*"))
+    rows = source_queries.s05(spark, tables).collect()
+    written = set(glob.glob(f"{shared_dir(spark)}/gaugeworks/plans-*/part-*")) - before
+    assert written and all(name.endswith(".txt.gz") for name in written)
+    assert sorted((r.plan_id, r.pos) for r in rows) == [(k, i) for k in range(40) for i in range(1 + k % 5)]
