@@ -5,6 +5,7 @@ import glob
 import pytest
 
 from gaugeworks.catalog import plan_queries, source_queries
+from gaugeworks.operators import reshape
 from gaugeworks.session import shared_dir
 
 
@@ -36,3 +37,16 @@ def test_written_plans_are_compressed(spark, tables):
     written = set(glob.glob(f"{shared_dir(spark)}/gaugeworks/plans-*/part-*")) - before
     assert written and all(name.endswith(".txt.gz") for name in written)
     assert sorted((r.plan_id, r.pos) for r in rows) == [(k, i) for k in range(40) for i in range(1 + k % 5)]
+
+
+def test_the_number_of_samples_is_read_without_grouping(spark, tables, monkeypatch):
+    plans, width = [], reshape.sample_width
+
+    def seen(samples):
+        plans.append(samples._jdf.queryExecution().executedPlan().toString())
+        return width(samples)
+
+    monkeypatch.setattr(reshape, "sample_width", seen)
+    rows = source_queries.s02_wide(spark, tables).collect()
+    assert len(plans) == 1 and "Aggregate" not in plans[0]
+    assert len(rows) == 60 and {r.sample_idx for r in rows} == {0, 1, 2}
