@@ -12,8 +12,8 @@ Counts cover all training rows. They meet the texts by blocks of documents: each
 the counts of the words it has, so neither the vocabulary nor a text is ever in one place.
 Training deals all training rows to rounds by hash. A round goes over its rows in every partition,
 starting from the average of the round before; the first starts from random vectors. So every
-training row teaches, and no model stands on a sample. A table of few rows has fewer parts than
-rounds, and its rows are learned from several times.
+training row teaches, and no model stands on a sample. A table of few rows has two rounds over all
+of them, the first of several passes.
 
 NULL texts count as empty: their only token is the end. Repeated rows are scored alike. A row
 without doc_id is a training row. Without training rows every count is 0, and the scores are those
@@ -51,7 +51,9 @@ NOISE = 32
 BATCH = 8192
 _SCORE_CELLS = 1 << 18  # tokens times classes of one matrix product, which then fits the cache
 ROUND_DOCS = 6000  # a round has about so many training rows at least
+TASK_DOCS = 1500  # a task learns from about so many in a round at least, or averages are of models that know little
 RATES = (0.3, 0.3, 0.3, 0.2, 0.1, 0.05)  # of the rounds
+FEW_PASSES = 4  # over a table too small for two rounds
 _HELD_WORDS = 500_000
 _OTHER, _END_CLASS = 0, 1
 _END_BUCKET = 0
@@ -328,7 +330,7 @@ def averaged(rows: list) -> np.ndarray | None:
 def train(docs: DataFrame, classes: Classes, seed_docs: int = ROUND_DOCS) -> Weights:
     """A model of all ``docs``; no round has fewer than about ``seed_docs`` of them, where there are as many."""
 
-    def fitted(start: np.ndarray | None, rate: float, part: DataFrame) -> list:
+    def fitted(start: np.ndarray | None, passes: int, rate: float, part: DataFrame) -> list:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             from pyspark import TaskContext
 
@@ -342,8 +344,9 @@ def train(docs: DataFrame, classes: Classes, seed_docs: int = ROUND_DOCS) -> Wei
                 for texts in slices([t or "" for t in batch.column(0).to_pylist()]):
                     of, buckets, nth = encode(texts)
                     before = contexts(buckets, nth)
-                    for at in range(0, len(of), BATCH):
-                        trainer.batch(before[:, at : at + BATCH], of[at : at + BATCH])
+                    for _ in range(passes):
+                        for at in range(0, len(of), BATCH):
+                            trainer.batch(before[:, at : at + BATCH], of[at : at + BATCH])
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([TaskContext.get().partitionId()], pa.int64()),
@@ -364,11 +367,15 @@ def train(docs: DataFrame, classes: Classes, seed_docs: int = ROUND_DOCS) -> Wei
         groups = rows.where("n > 0").withColumn("part", F.pmod("part", F.lit(64)))
         return groups.groupBy("part").applyInArrow(add, "n long, weights binary").collect()
 
-    parts = max(1, min(len(RATES), docs.count() // seed_docs))
+    n_docs = docs.count()
+    parts = max(1, min(len(RATES), n_docs // seed_docs))
+    tasks = max(1, n_docs // parts // TASK_DOCS)
     of_part = F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts))
+    few = ((FEW_PASSES, RATES[0]), (1, RATES[-1]))
     flat = None
-    for n, rate in enumerate(RATES):
-        found = averaged(fitted(flat, rate, docs.where(of_part == n % parts)))
+    for n, (passes, rate) in enumerate(few if parts == 1 else [(1, rate) for rate in RATES]):
+        part = docs.where(of_part == n % parts).coalesce(tasks)
+        found = averaged(fitted(flat, passes, rate, part))
         flat = flat if found is None else found
     return Weights.start(classes.mass, classes.buckets) if flat is None else Weights(flat, classes.buckets)
 

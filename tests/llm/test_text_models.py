@@ -234,6 +234,12 @@ def test_model_probabilities_sum_to_one(spark, corpus):
         assert share + unseen == pytest.approx(1)
 
 
+def test_few_rows_in_many_partitions_are_learned_from(spark, corpus):
+    docs = spark.createDataFrame(corpus, "doc_id long, text string").repartition(40)
+    out = [r for r in neural_lm.train_and_score(docs).collect() if r.held_out]
+    assert sum(r.score for r in out) > sum(r.base_score for r in out)
+
+
 def test_every_training_row_teaches_in_every_round(spark, monkeypatch):
     docs = spark.range(400).selectExpr("id AS doc_id", "concat('w', id % 7, ' x') AS text").repartition(4)
     classes = neural_lm.find_classes(neural_lm.word_counts(docs))
@@ -244,7 +250,7 @@ def test_every_training_row_teaches_in_every_round(spark, monkeypatch):
     assert len(learned) == len(neural_lm.RATES) and sum(learned[:4]) == 1200
     learned.clear()
     neural_lm.train(docs, classes)
-    assert learned == [1200] * len(neural_lm.RATES)
+    assert learned == [neural_lm.FEW_PASSES * 1200, 1200]
 
 
 def test_classes_grow_with_the_vocabulary(spark, corpus):
