@@ -69,7 +69,9 @@ def plan_resources(
     else:
         lists = [F.struct(F.lit(s).alias("section"), resource_array(F.col("doc"), s).alias("_all")) for s in section]
         rows = plans.select(key, F.inline(F.array(*lists)))
-    return rows.select(key, "section", F.posexplode("_all").alias("pos", "r")).select(key, "section", "pos", "r.*")
+    # the inner form would have Spark test the list for rows first, building and parsing each plan again for it
+    found = rows.select(key, "section", F.posexplode_outer("_all").alias("pos", "r"))
+    return found.where(F.col("pos").isNotNull()).select(key, "section", "pos", "r.*")
 
 
 def plan_edges(resources: DataFrame, key: str = "plan_id", keep: Sequence[str] = ()) -> DataFrame:

@@ -50,3 +50,8 @@ def test_the_number_of_samples_is_read_without_grouping(spark, tables, monkeypat
     rows = source_queries.s02_wide(spark, tables).collect()
     assert len(plans) == 1 and "Aggregate" not in plans[0]
     assert len(rows) == 60 and {r.sample_idx for r in rows} == {0, 1, 2}
+
+
+def test_a_plan_is_parsed_once_for_its_resources(spark, tables):
+    plan = plan_queries.n07(spark, tables)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parseJson") == 1
