@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gaugeworks.functions import variants
+from gaugeworks.session import checkpointed
 
 # Fixed value: the key below which a resource lists what it refers to.
 REFERENCES = "references"
@@ -96,10 +97,14 @@ def referring_resources(
     """Resources of one type that refer to the address of a resource of another in the same plan.
 
     Only the attributes of the first type are searched for references; a plan with very many
-    resources spreads over the join by address.
+    resources spreads over the join by address. The resources of both types are stored, so that
+    the plans are read once for the two sides.
     """
-    sources = resources.filter(F.col("type") == source_type)
-    targets = resources.filter(F.col("type") == target_type).select(key, F.col("address").alias("dst_ref"))
+    searched = F.when(F.col("type") == source_type, F.col("attributes")).alias("attributes")
+    both = resources.filter(F.col("type").isin(source_type, target_type))
+    both = checkpointed(both.select(key, "pos", "address", "type", "name", searched), "referring")
+    sources = both.filter(F.col("type") == source_type)
+    targets = both.filter(F.col("type") == target_type).select(key, F.col("address").alias("dst_ref"))
     hits = plan_edges(sources, key, ["pos", "name"]).join(targets, [key, "dst_ref"], "left_semi")
     return hits.select(key, "pos", F.col("src_address").alias("address"), "name").distinct()
 

@@ -55,3 +55,18 @@ def test_the_number_of_samples_is_read_without_grouping(spark, tables, monkeypat
 def test_a_plan_is_parsed_once_for_its_resources(spark, tables):
     plan = plan_queries.n07(spark, tables)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("parseJson") == 1
+
+
+def test_both_sides_of_a_reference_come_from_stored_resources(spark, tables):
+    rows = plan_queries.j04(spark, tables)
+    assert "parseJson" not in rows._jdf.queryExecution().optimizedPlan().toString()
+    keys = {(r.plan_id, r.name) for r in rows.collect()}
+    types = lambda k, i: (k * 7 + i) % 12
+    first, second = (plan_queries.V.PLAN_TYPES.index(t) for t in ("aws_subnet", "aws_vpc"))
+    want = set()
+    for k in range(40):
+        for i in range(2, 2 + k % 5):
+            refers = {i - 1} | ({1} if i % 2 == 0 else set())
+            if types(k, i) == first and any(types(k, j) == second for j in refers):
+                want.add((k, f"r{i}"))
+    assert keys == want and want
