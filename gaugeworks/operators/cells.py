@@ -8,6 +8,7 @@ is exact, and centroids, learned on a bounded sample, only decide how much is ru
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -16,12 +17,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gaugeworks.operators.vectors import best_of, searched, unit_rows, usable
-from gaugeworks.session import checkpointed
+from gaugeworks.operators.vectors import best_of, searched, searched_pairs, unit_rows, usable
+from gaugeworks.session import checkpointed, shuffle_partitions
 
 SAMPLE_VECTORS = 20_000
 MOST_CELLS = 2048
 BLOCK_VECTORS = 2048
+QUESTIONS_PER_BLOCK = 1024
 _ROUNDING = 1e-9  # distances may be off by so much
 
 
@@ -153,6 +155,11 @@ def other_cells(first: DataFrame, index: Cells, question_id: str, vector: str) -
 
     ``first`` is (question_id, vector, score); of unit vectors the distance follows from the score.
     """
+    return _asked(first.select(question_id, vector, "score"), index, question_id, _possible(index))
+
+
+def _possible(index: Cells):
+    """The mask of all other cells that may hold a better vector, of batches (question_id, vector, score)."""
     radii, empty = index.radii, index.counts == 0
 
     def possible(batch: pa.RecordBatch, apart: np.ndarray) -> np.ndarray:
@@ -164,7 +171,63 @@ def other_cells(first: DataFrame, index: Cells, question_id: str, vector: str) -
         mask[np.arange(len(mask)), own] = False
         return mask
 
-    return _asked(first.select(question_id, vector, "score"), index, question_id, possible)
+    return possible
+
+
+def dealt_questions(first: DataFrame, index: Cells, question_id: str, vector: str, side: int) -> DataFrame:
+    """The questions of :func:`other_cells`, a block once for each of ``side`` columns of cells.
+
+    ``_column, _q_ids, _q_values`` with ``_q_cells``, the cells of the column (by rest of ``side``) that
+    a question of the block is to visit, and ``_q_masks``, for each of them which questions, as bits. A
+    vector is written ``side`` times at most, however many cells it visits.
+    """
+    rows = first.select(question_id, vector, "score")
+    kind = rows.schema[question_id].dataType.simpleString()
+    distances, visited = _distances_of(index.centroids), _possible(index)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, QUESTIONS_PER_BLOCK):
+                batch = whole.slice(at, QUESTIONS_PER_BLOCK)
+                unit = unit_rows(batch.column(1))
+                mask = visited(batch, distances(unit))
+                for column in range(side):
+                    part = mask[:, column::side]
+                    of, cells = np.flatnonzero(part.any(axis=1)), np.flatnonzero(part.any(axis=0))
+                    if not len(of):
+                        continue
+                    bits = np.packbits(part[np.ix_(of, cells)], axis=0)
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array([column], pa.int32()),
+                            pa.ListArray.from_arrays(pa.array([0, len(of)], pa.int32()), batch.column(0).take(pa.array(of))),
+                            pa.array([unit[of].ravel()], pa.list_(pa.float64())),
+                            pa.array([column + side * cells], pa.list_(pa.int32())),
+                            pa.array([[bits[:, j].tobytes() for j in range(len(cells))]], pa.list_(pa.binary())),
+                        ],
+                        ["_column", "_q_ids", "_q_values", "_q_cells", "_q_masks"],
+                    )
+
+    return rows.mapInArrow(
+        run, f"_column int, _q_ids array<{kind}>, _q_values array<double>, _q_cells array<int>, _q_masks array<binary>"
+    )
+
+
+def _searched_on_grid(first: DataFrame, index: Cells, question_id: str, vector: str) -> DataFrame:
+    """(question_id, chunk_id, score) of the best in the other cells that may hold better than ``first``.
+
+    Cells are dealt to the columns of a square grid, blocks of questions to its rows, so what is
+    shuffled are ``side`` copies of the vectors at most, and not one for each cell that a question visits.
+    """
+    side = max(1, int(math.sqrt(shuffle_partitions(first.sparkSession))))
+    row = F.pmod(F.xxhash64("_q_ids"), F.lit(side))
+    asked = dealt_questions(first, index, question_id, vector, side)
+    asked = asked.select("*", (F.col("_column") * side + row).cast("int").alias("_place")).drop("_column")
+    start = F.pmod("_cell", F.lit(side)) * side
+    offered = index.blocks.select("*", F.explode(F.sequence(start, start + (side - 1))).alias("_place"))
+    met = asked.join(offered, (asked["_place"] == offered["_place"]) & F.array_contains("_q_cells", F.col("_cell")))
+    mask = F.element_at("_q_masks", F.array_position("_q_cells", F.col("_cell")).cast("int"))
+    return searched_pairs(met.withColumn("_q_mask", mask), question_id, index.chunk_id, first)
 
 
 def nearest_by_cells(
@@ -175,6 +238,5 @@ def nearest_by_cells(
     first = searched(own_cells(asked, index, question_id, vector), index.blocks, "_cell", question_id, index.chunk_id, asked)
     first = checkpointed(best_of(first, question_id, index.chunk_id), "cells-first")
     bounded = asked.join(first, question_id)
-    others = other_cells(bounded, index, question_id, vector)
-    more = searched(others, index.blocks, "_cell", question_id, index.chunk_id, asked)
+    more = _searched_on_grid(bounded, index, question_id, vector)
     return best_of(first.unionByName(more), question_id, index.chunk_id)

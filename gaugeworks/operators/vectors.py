@@ -103,10 +103,15 @@ def searched(
     ``asked`` holds blocks of questions (_q_ids, _q_values), ``offered`` blocks of chunks (_c_ids,
     _c_values); blocks meet where ``on`` is equal. ``questions`` gives the type of the ids.
     """
+    return searched_pairs(asked.join(offered, on), question_id, chunk_id, questions)
+
+
+def searched_pairs(met: DataFrame, question_id: str, chunk_id: str, questions: DataFrame) -> DataFrame:
+    """:func:`searched` of blocks that have met; bits ``_q_mask``, if any, name the questions that take part."""
     id_type = questions.schema[question_id].dataType.simpleString()
-    chunk_type = offered.schema["_c_ids"].dataType.elementType.simpleString()
-    met = asked.join(offered, on).select("_q_ids", "_q_values", "_c_ids", "_c_values")
-    return met.mapInArrow(
+    chunk_type = met.schema["_c_ids"].dataType.elementType.simpleString()
+    mask = [c for c in met.columns if c == "_q_mask"]
+    return met.select("_q_ids", "_q_values", "_c_ids", "_c_values", *mask).mapInArrow(
         _search(question_id, chunk_id), f"{question_id} {id_type}, {chunk_id} {chunk_type}, score double"
     )
 
@@ -134,6 +139,10 @@ def _search(question_id: str, chunk_id: str):
             chunks_type = batch.schema.field("_c_ids").type.value_type
             for row in range(batch.num_rows):
                 asked, wanted = matrix(batch, "_q", row)
+                if "_q_mask" in batch.schema.names:
+                    bits = np.frombuffer(batch.column("_q_mask")[row].as_py(), np.uint8)
+                    of = np.flatnonzero(np.unpackbits(bits, count=len(asked)))
+                    asked, wanted = asked.take(pa.array(of)), wanted[of]
                 names, offered = matrix(batch, "_c", row)
                 if wanted.shape[1] != offered.shape[1]:
                     raise ValueError(f"vectors of different widths: {wanted.shape[1]}, {offered.shape[1]}")

@@ -154,3 +154,18 @@ def test_cell_widths_must_agree(spark):
     questions = spark.createDataFrame([(1, [1.0, 0.0])], "question_id long, embedding array<double>")
     with pytest.raises(Exception, match="different widths"):
         cells.nearest_by_cells(questions, index).collect()
+
+
+def test_a_question_is_written_once_a_column_of_cells(spark):
+    rng = np.random.default_rng(5)
+    questions = _rows(spark, rng.normal(size=(50, 8)), range(50)).withColumnRenamed("id", "question_id")
+    chunks = _rows(spark, rng.normal(size=(900, 8)), range(900)).withColumnRenamed("id", "chunk_id")
+    index = cells.build(chunks, cells=30)
+    first = questions.withColumn("score", F.lit(0.2))
+    visits = {(q, r._cell) for r in cells.other_cells(first, index, "question_id", "embedding").collect() for q in r._q_ids}
+    dealt = cells.dealt_questions(first, index, "question_id", "embedding", 3).collect()
+    written = [q for r in dealt for q in r._q_ids]
+    assert len(written) <= 50 * 3 < len(visits)
+    bits = lambda mask, n: np.flatnonzero(np.unpackbits(np.frombuffer(mask, np.uint8), count=n))
+    found = [(r._q_ids[i], c) for r in dealt for c, m in zip(r._q_cells, r._q_masks) for i in bits(m, len(r._q_ids))]
+    assert set(found) == visits and len(found) == len(visits)
