@@ -9,7 +9,7 @@ from gaugeworks.catalog import views as V
 from gaugeworks.catalog.registry import query, rounded
 from gaugeworks.operators import ordinals
 from gaugeworks.schemas import GROUP, TASK_KEY
-from gaugeworks.session import scratch_path
+from gaugeworks.session import checkpointed, scratch_path
 from gaugeworks.streaming import live
 
 _LIVE = {
@@ -84,7 +84,9 @@ def st1_tasks(spark, sf):
     samples = samples.select(*GROUP, *TASK_KEY, "sample_idx", "prompt", "plannable", "verdict")
     samples.repartition(FILES, "sample_idx", "row_idx").write.parquet(source)
     arriving = spark.readStream.schema(samples.schema).option("maxFilesPerTrigger", 1).parquet(source)
-    tasks = samples.select("task_file", "row_idx").distinct().withColumn("difficulty", F.lit(1))
+    # of the written samples, and stored: each batch joins the tasks, which would be found anew for it
+    tasks = spark.read.parquet(source).select("task_file", "row_idx").distinct().withColumn("difficulty", F.lit(1))
+    tasks = checkpointed(tasks, "tasks")
     live.start_task_report(arriving, tasks, path, checkpoint, M.N).awaitTermination()
     report = live.read_task_report(spark, path, M.N)
     return rounded(report.where("metric LIKE 'pass@k%'"), "value")

@@ -19,6 +19,7 @@ from gaugeworks.schemas import GROUP, LEVELS, SAMPLE_KEY, TASK_KEY
 
 _ARRIVED = "_arrived"
 NO_LEVEL = -1  # of tasks that the task table does not hold
+TASK_BUCKETS = 64  # of a group's tasks; each has one state. Part of the checkpoint: another number needs a new one
 
 
 def live_counters(samples: DataFrame, group: Sequence[str] = tuple(GROUP)) -> DataFrame:
@@ -123,10 +124,10 @@ def start_ingestion(
 
 
 def _task_changes(n: int, group: Sequence[str]):
-    """Function of a task's arriving samples and state: what leaves the report's counts and what enters.
+    """Function of a bucket's arriving samples and state: what leaves the report's counts and what enters.
 
-    The state is three bit sets over the first n samples: arrived, plannable, correct. A sample that
-    arrives again replaces its bits; of several in one batch a correct one counts, then a plannable one.
+    The state of a task is three bit sets over the first n samples: arrived, plannable, correct. A sample
+    that arrives again replaces its bits; of several in one batch a correct one counts, then a plannable one.
     """
 
     def counted(seen: int, plannable: int, correct: int, level: int) -> Counter:
@@ -140,21 +141,28 @@ def _task_changes(n: int, group: Sequence[str]):
         return found
 
     def run(key, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        before = state.get if state.exists else (0, 0, 0, NO_LEVEL)
-        seen, plannable, correct, level = before
-        new: dict[int, tuple[bool, bool]] = {}
+        tasks = {task: bits for task, *bits in zip(*state.get)} if state.exists else {}
+        new: dict[str, dict[int, tuple[bool, bool]]] = {}
+        levels: dict[str, int] = {}
+        columns = ("_task", "sample_idx", "_plannable", "_correct", "_level")
         for part in parts:
-            for i, p, c, difficulty in zip(part["sample_idx"], part["_plannable"], part["_correct"], part["_level"]):
-                new[i] = max(new.get(i, (False, False)), (bool(c), bool(p)))
-                level = int(difficulty)
-        for i, (c, p) in new.items():
-            bit = 1 << int(i)
-            seen |= bit
-            plannable = plannable | bit if p else plannable & ~bit
-            correct = correct | bit if c else correct & ~bit
-        state.update((seen, plannable, correct, level))
-        change = counted(seen, plannable, correct, level)
-        change.subtract(counted(*before))
+            for task, i, p, c, level in zip(*(part[name].tolist() for name in columns)):
+                found = new.setdefault(task, {})
+                found[i] = max(found.get(i, (False, False)), (c, p))
+                levels[task] = level
+        change = Counter()
+        for task, found in new.items():
+            before = tasks.get(task, (0, 0, 0, NO_LEVEL))
+            seen, plannable, correct, _ = before
+            for i, (c, p) in found.items():
+                bit = 1 << i
+                seen |= bit
+                plannable = plannable | bit if p else plannable & ~bit
+                correct = correct | bit if c else correct & ~bit
+            tasks[task] = (seen, plannable, correct, levels[task])
+            change.subtract(counted(*before))
+            change.update(counted(*tasks[task]))
+        state.update(([*tasks], *map(list, zip(*tasks.values()))))
         rows = [(*key[: len(group)], kind, at, by) for (kind, at), by in change.items() if by]
         yield pd.DataFrame(rows, columns=[*group, "kind", "at", "n"])
 
@@ -172,7 +180,8 @@ def start_task_report(
 ) -> StreamingQuery:
     """Keep pass@k over the first ``n`` samples and accuracy by level up to date below ``path``.
 
-    The state is a few bits for each task and group. When samples of a task arrive, its old
+    The state is a few bits for each task and group; tasks share states by buckets, so a batch costs a
+    call for each bucket and not for each task. When samples of a task arrive, its old
     contribution leaves the report's counts and its new one enters, so a verdict may be replaced.
     Only the changes, summed by group, reach the report: counts of tasks by number of correct
     samples, and of rows by level. Snapshots take turns as in :func:`start_report`.
@@ -185,18 +194,20 @@ def start_task_report(
         .join(tasks.select(*TASK_KEY, "difficulty"), TASK_KEY, "left")
         .select(
             *group,
-            *TASK_KEY,
-            "sample_idx",
+            # exact, with NULLs told apart, whatever the types of the key
+            F.to_json(F.struct(*TASK_KEY)).alias("_task"),
+            F.pmod(F.xxhash64(*TASK_KEY), F.lit(TASK_BUCKETS)).cast("int").alias("_bucket"),
+            F.col("sample_idx").cast("int").alias("sample_idx"),
             plannable.alias("_plannable"),
             (plannable & F.coalesce(F.col("verdict") == "Success", F.lit(False))).alias("_correct"),
             F.coalesce("difficulty", F.lit(NO_LEVEL)).alias("_level"),
         )
     )
     names = [f"`{c}` {scored.schema[c].dataType.simpleString()}" for c in group]
-    changes = scored.groupBy(*group, *TASK_KEY).applyInPandasWithState(
+    changes = scored.groupBy(*group, "_bucket").applyInPandasWithState(
         _task_changes(n, group),
         ", ".join([*names, "kind string", "at int", "n long"]),
-        "seen long, plannable long, correct long, level int",
+        "tasks array<string>, seen array<long>, plannable array<long>, correct array<long>, level array<int>",
         "update",
         "NoTimeout",
     )

@@ -170,6 +170,20 @@ def test_live_task_report_equals_batch_after_every_batch(spark, tmp_path):
         assert values[0] == values[1] and values[0]
 
 
+def test_tasks_share_states(spark, tmp_path):
+    source, path, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    columns = ["'m' AS model", "'s' AS strategy", "'f' AS task_file", "if(id < 999, id, NULL) AS row_idx", "0 AS sample_idx", "'p' AS prompt"]
+    rows = spark.range(1000).selectExpr(*columns, "true AS plannable", "if(id % 4 = 0, 'Success', '') AS verdict")
+    rows.write.parquet(source)
+    tasks = spark.range(1000).selectExpr("'f' AS task_file", "id AS row_idx", "1 AS difficulty")
+    query = live.start_task_report(spark.readStream.schema(rows.schema).parquet(source), tasks, path, state, n=1)
+    query.awaitTermination()
+    # the stream-static join keeps nothing, so these are the states of the tasks
+    assert sum(op["numRowsTotal"] for op in query.lastProgress["stateOperators"]) <= live.TASK_BUCKETS
+    [got] = live.read_task_report(spark, path, n=1).where("metric = 'pass@k'").collect()
+    assert got["value"] == 0.25
+
+
 def test_header_cells_may_hold_line_breaks(spark, tmp_path):
     _write(tmp_path / "a.csv", ["k", "two\nlines", "last"], [["1", "2", "3"], ["4", "", "6", "more"], ["7"]])
     (tmp_path / "empty.csv").write_text("")
