@@ -157,19 +157,18 @@ def contexts(buckets: np.ndarray, nth: np.ndarray) -> np.ndarray:
     return out
 
 
-def predicted(weights: Weights, before: np.ndarray) -> np.ndarray:
-    """The vector each context predicts."""
-    return np.einsum("cnw,cw->nw", weights.context[before], weights.place)
-
-
 def class_log10(weights: Weights, before: np.ndarray, classes: np.ndarray) -> np.ndarray:
     """Normalised log10 probability of each token's class, by batched matrix products."""
     out = np.empty(len(classes))
     size = max(1, _SCORE_CELLS // weights.n)
     with_bias = np.vstack([weights.target.T, weights.bias])
     ones = np.ones(weights.n, np.float32)
+    # a vector is weighted by place once, not with each token; a context predicts the sum of its vectors
+    placed = weights.context * weights.place[:, None]
     for at in range(0, len(classes), size):
-        given = predicted(weights, before[:, at : at + size])
+        given = placed[0].take(before[0, at : at + size], axis=0)
+        for back in range(1, CONTEXT):
+            given += placed[back].take(before[back, at : at + size], axis=0)
         logits = np.column_stack([given, np.ones(len(given), np.float32)]) @ with_bias
         own = logits[np.arange(len(logits)), classes[at : at + size]]
         np.exp(logits, out=logits)
