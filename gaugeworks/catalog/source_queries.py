@@ -300,8 +300,7 @@ def s05_files(spark, sf):
     )
     plans = V.table(spark, sf, "lineitem").groupBy("l_suppkey").agg(F.array_sort(F.collect_list(resource)).alias("r"))
     text = F.to_json(F.struct(F.struct(F.struct(F.col("r").alias("resources")).alias("root_module")).alias("configuration")))
-    # the plans of a supplier lie in one partition already, so each becomes one file
-    plans.select(F.col("l_suppkey").alias("plan"), text.alias("value")).write.partitionBy("plan").text(path)
+    sinks.write_files(plans.select(F.col("l_suppkey").alias("plan"), text.alias("value")), path, "plan", "value")
     resources = plan_documents.plan_resources(documents.read_plans(spark, path, glob="*.txt"))
     plan = F.regexp_extract("plan_id", "plan=([0-9]+)", 1).cast("bigint")
     return resources.select(plan.alias("plan_id"), "pos", "type", "address")

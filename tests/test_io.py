@@ -54,6 +54,33 @@ def test_csv_round_trip_keeps_text(spark, tmp_path):
     assert sorted((int(r["k"]), r["t"]) for r in table.collect()) == rows
 
 
+def test_write_files(spark, tmp_path):
+    rows = [(n % 9, f'{{"a":"é\\\\n{n}"}}') for n in range(60)] + [(None, '{"a":"none"}'), (7, '{"a":"\\\\"}')]
+    table = spark.createDataFrame(rows, "plan int, v string").repartition(4)
+    sinks.write_files(table, f"file://{tmp_path}/a b/out", "plan", "v")
+    files = [f for f in (tmp_path / "a b" / "out").rglob("*") if f.is_file()]
+    keys = [f.name.split(".")[0].removeprefix("plan=").replace("__HIVE_DEFAULT_PARTITION__", "") for f in files]
+    found = [(int(k) if k else None, f.read_bytes().decode()) for k, f in zip(keys, files)]
+    assert sorted(found, key=str) == sorted([(k, v + "\n") for k, v in rows], key=str)
+    # no file has a folder or a checksum of its own, which cost Hadoop a process each
+    assert len({f.parent for f in files}) <= 4
+    read = documents.read_plans(spark, f"file://{tmp_path}/a b/out", glob="*.txt").selectExpr("doc:a::string AS a").collect()
+    assert sorted(r["a"] for r in read) == sorted(json.loads(v)["a"] for _, v in rows)
+    with pytest.raises(FileExistsError):
+        sinks.write_files(table, f"file://{tmp_path}/a b/out", "plan", "v")
+
+
+def test_write_files_of_odd_keys(spark, tmp_path):
+    sinks.write_files(spark.createDataFrame([("../x/y", None)], "k string, v string"), str(tmp_path / "out"), "k", "v")
+    [file] = [f for f in tmp_path.rglob("*") if f.is_file()]
+    assert file.name == "k=..%2Fx%2Fy.0.txt" and file.read_text() == "\n"
+
+
+def test_mounted_folders(spark):
+    assert sinks.mounted(spark, "file:///a/b c").lstrip("/") == "a/b c" and sinks.mounted(spark, "/a#b") == "/a#b"
+    assert sinks.mounted(spark, "hdfs://host/a") is None and sinks.mounted(spark, "file://host/a") is None
+
+
 def test_nested_report(spark, tmp_path):
     rows = [("m", "s", "acc", "", 0.5), ("m", "s", "level", "1", 1.0), ("m", "s", "level", "2", 0.0), ("n", "s", "acc", "", None)]
     table = spark.createDataFrame(rows, "model string, strategy string, metric string, key string, value double")
