@@ -164,13 +164,16 @@ def class_log10(weights: Weights, before: np.ndarray, classes: np.ndarray) -> np
     with_bias = np.vstack([weights.target.T, weights.bias])
     ones = np.ones(weights.n, np.float32)
     # a vector is weighted by place once, not with each token; a context predicts the sum of its vectors
-    placed = weights.context * weights.place[:, None]
+    placed = np.zeros((CONTEXT, weights.buckets, WIDTH + 1), np.float32)
+    placed[:, :, :WIDTH] = weights.context * weights.place[:, None]
+    placed[0, :, WIDTH] = 1  # the factor of the bias
+    rows = np.arange(size)
     for at in range(0, len(classes), size):
         given = placed[0].take(before[0, at : at + size], axis=0)
         for back in range(1, CONTEXT):
             given += placed[back].take(before[back, at : at + size], axis=0)
-        logits = np.column_stack([given, np.ones(len(given), np.float32)]) @ with_bias
-        own = logits[np.arange(len(logits)), classes[at : at + size]]
+        logits = given @ with_bias
+        own = logits[rows[: len(logits)], classes[at : at + size]]
         np.exp(logits, out=logits)
         out[at : at + size] = own - np.log(logits @ ones)
     return out / math.log(10)
@@ -401,6 +404,8 @@ def score(docs: DataFrame, counts: DataFrame, classes: Classes, weights: Weights
 
     def run(texts: pa.Table, found: pa.Table) -> pa.Table:
         model = Weights(flat, buckets)
+        # frequent words lie together, so most look-ups stay in the cache
+        found = found.sort_by([("c", "descending")])
         words, c = found["word"].to_pylist(), found["c"].to_numpy()
         place = dict(zip(words, range(len(words))))
         # the end is the only word that is empty
