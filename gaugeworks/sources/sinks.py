@@ -54,8 +54,8 @@ def mounted(spark: SparkSession, path: str) -> str | None:
 def write_files(rows: DataFrame, path: str, key: str, text: str) -> None:
     """A file for each row below the new folder ``path``, with ``key``=value in its path; it holds the text and a line feed.
 
-    For a file in a mounted folder Hadoop starts two processes, to set its permissions and those of its
-    checksum. There the tasks write the files, each in a folder of its own that is named when it is whole, so
+    For a file in a mounted folder Hadoop starts three processes, to set permissions: its own, its
+    checksum's and its folder's. There the tasks write the files, each in a folder of its own that is named when it is whole, so
     a task that failed or ran twice leaves nothing behind.
     """
     rows = rows.select(F.col(key).alias("key"), F.col(text).alias("value"))

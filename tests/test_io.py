@@ -62,7 +62,7 @@ def test_write_files(spark, tmp_path):
     keys = [f.name.split(".")[0].removeprefix("plan=").replace("__HIVE_DEFAULT_PARTITION__", "") for f in files]
     found = [(int(k) if k else None, f.read_bytes().decode()) for k, f in zip(keys, files)]
     assert sorted(found, key=str) == sorted([(k, v + "\n") for k, v in rows], key=str)
-    # no file has a folder or a checksum of its own, which cost Hadoop a process each
+    # no file has a folder or a checksum of its own, each of which costs Hadoop a process
     assert len({f.parent for f in files}) <= 4
     read = documents.read_plans(spark, f"file://{tmp_path}/a b/out", glob="*.txt").selectExpr("doc:a::string AS a").collect()
     assert sorted(r["a"] for r in read) == sorted(json.loads(v)["a"] for _, v in rows)
